@@ -72,13 +72,13 @@ def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int =
     return mix((h[end] - h[start]) * powers(inverse, n + 1)[start] + length * np.uint64(0xA24BAED4963EE407))
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start, end and document row of every word ``[^\\x20\\x09-\\x0D]+``, in order."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, end and document row of every word, by default ``[^\\x20\\x09-\\x0D]+``, in order."""
     n = len(buf)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    space = IS_SPACE[buf]
+    space = is_space[buf]
     inside = ~space
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
