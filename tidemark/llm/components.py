@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import checkpoint
+from tidemark.llm.storage import checkpoint, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -51,3 +53,28 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if (new == root).all():
             return root
         root = new[root]
+
+
+def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components (id, component) over known links (a, b), verified candidate pairs (a, b), and groups (part, id) in which any two may be linked.
+
+    A group is first joined to its smallest member. Members that are then in one component
+    need no further check; pairs of a group across components are checked, so no link that
+    matters for the components is lost and a large group of copies stays linear.
+    """
+    members = written(members.distinct())
+    centre = checkpoint(members.groupBy("part").agg(F.min("id").alias("a")))
+    stars = members.join(centre, "part").where("a <> id").select("a", F.col("id").alias("b"))
+    links = written(links.unionByName(verify(checkpoint(pairs.unionByName(stars).distinct()))))
+    joined = components(links)
+    if members.isEmpty():
+        return joined
+    labels = joined.select(F.col("id").alias("node"), "component")
+    labelled = written(members.join(labels, members["id"] == labels["node"], "left").select("part", "id", F.coalesce("component", "id").alias("component")))
+    mixed = labelled.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("part")
+    rest = written(labelled.join(mixed, "part", "left_semi"))
+    if rest.isEmpty():
+        return joined
+    other = rest.select("part", F.col("id").alias("b"), F.col("component").alias("component_b"))
+    across = rest.select("part", F.col("id").alias("a"), "component").join(other, "part").where("a < b and component <> component_b").select("a", "b").distinct()
+    return components(written(links.unionByName(verify(checkpoint(across)))))

@@ -29,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import bloom
 from tidemark.llm import hashing as H
 from tidemark.llm.storage import checkpoint
 
-FILTER_BITS = 1 << 23
-PROBES = 3
 IS_GAP = np.ones(256, dtype=bool)
 IS_GAP[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
@@ -47,10 +46,6 @@ def _windows(texts, k: int):
     return row[at] if len(at) else at, h, words, row
 
 
-def _probes(h: np.ndarray) -> list[np.ndarray]:
-    return [((h >> np.uint64(20 * i)) ^ (h << np.uint64(7 * i))) % np.uint64(FILTER_BITS) for i in range(PROBES)]
-
-
 def tiles(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of word hashes: (document position, item position, length) of each tile."""
     zero = np.zeros(len(doc), np.int64)
@@ -98,26 +93,14 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = 5, coverage
     item_type = items.schema["item_id"].dataType.simpleString()
     seeds = checkpoint(items.mapInArrow(seed, f"item_id {item_type}, seed long").distinct())
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.concatenate(_probes(b.column(0).to_numpy().view(np.uint64)))
-            yield pa.RecordBatch.from_pydict({"cell": pa.array((at >> np.uint64(6)).astype(np.int64)), "bits": pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))})
-
-    cells = seeds.select("seed").mapInArrow(bits, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
-    filled = np.zeros(FILTER_BITS // 64, np.int64)
-    filled[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(filled.tobytes())
+    shared = bloom.build(seeds.select("seed"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.frombuffer(shared.value, np.uint64)
         for whole in batches:
             for begin in range(0, whole.num_rows, 500):
                 b = whole.slice(begin, 500)
                 row, h, _, _ = _windows(b.column(1), k)
-                at = np.arange(len(h))
-                for probe in range(PROBES):
-                    bit = _probes(h[at])[probe]
-                    at = at[(cells[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0]
+                at = bloom.passing(shared, h)
                 if len(at):
                     rows = np.unique(row[at])
                     per = [np.unique(h[at][row[at] == r]).view(np.int64) for r in rows]

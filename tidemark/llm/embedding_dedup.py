@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                raw, sizes = b.column(0).to_pylist(), pa.compute.binary_length(b.column(0)).to_numpy()
+                raw, sizes = b.column(0).to_pylist(), pc.binary_length(b.column(0)).to_numpy()
                 for size in np.unique(sizes):
                     rows_here = np.flatnonzero(sizes == size)
                     key = _keys(_unit([raw[i] for i in rows_here]), k, tables, seed)

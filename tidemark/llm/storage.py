@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there: its lineage ends, and a lost executor costs nothing."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None:  # not on a cluster: tests
-            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A small table, cut off from its lineage: a lost executor costs nothing. Files go when the table does."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As checkpoint, for large tables: compressed Parquet in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
