@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 #: Bytes of text in a batch. Requests of a batch to a shard shrink with the number of shards; raise it with the corpus.
 BATCH_BYTES = 2 << 20
 
+#: Not a shard: notes of a batch for its next round.
+KEPT = -1
+
 PACKED = "batch long, body binary"
 REQUEST = "shard int, batch long, body binary"
 REPLY = "batch long, shard int, body binary"
@@ -101,6 +104,18 @@ def _lengths(b: pa.RecordBatch, text: str) -> np.ndarray:
     return pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) rows with about size bytes of text at a time."""
+    for b in batches:
+        ends = np.cumsum(_lengths(b, b.schema.names[1]))
+        begin = 0
+        while begin < b.num_rows:
+            before = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield b.slice(begin, stop - begin)
+            begin = stop
+
+
 def unpack(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(unsqueeze(body)).read_all()
 
@@ -122,10 +137,14 @@ def ask(packed: DataFrame, fn: Callable[[pa.Table], Iterable[tuple[int, bytes]]]
 
 
 def ask_again(packed: DataFrame, replies: DataFrame, fn: Callable[[pa.Table, dict[int, bytes]], Iterable[tuple[int, bytes]]]) -> DataFrame:
-    """As ask, for a later round: fn also gets the replies that the batch has had."""
+    """As ask, for a later round: fn also gets the replies that the batch has had.
+
+    What fn yields for the shard KEPT comes back with the replies, under KEPT.
+    """
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = [(s, key[0].as_py(), x) for s, x in fn(*_met(left, right))]
+        batch = key[0].as_py()
+        rows = [(s if s != KEPT else KEPT - 1 - batch % 100_003, batch, x) for s, x in fn(*_met(left, right))]
         return pa.Table.from_batches([_rows(["shard", "batch", "body"], [pa.int32(), pa.int64(), pa.binary()], rows)])
 
     return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, REQUEST)
@@ -135,6 +154,8 @@ def answer(requests: DataFrame, fn: Callable[[list[bytes]], list[bytes | None]])
     """fn gets all requests to a shard and gives a reply to each, or None."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("shard")[0].as_py() < 0:
+            return table.select(["batch", "shard", "body"]).set_column(1, "shard", pa.array([KEPT] * table.num_rows, pa.int32()))
         table = table.sort_by([("batch", "ascending")])
         got = fn(table.column("body").to_pylist())
         rows = [(b, s, x) for b, s, x in zip(table.column("batch").to_pylist(), table.column("shard").to_pylist(), got, strict=True) if x is not None]

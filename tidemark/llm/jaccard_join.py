@@ -77,18 +77,6 @@ def sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row, h, n, code
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) rows with about size bytes of text at a time."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        begin = 0
-        while begin < b.num_rows:
-            before = ends[begin - 1] if begin else 0
-            stop = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
-            yield b.slice(begin, stop - begin)
-            begin = stop
-
-
 def parts(row: np.ndarray, h: np.ndarray, n: np.ndarray):
     """For the rows' own bands and the next ones: (entries, signatures).
 
@@ -137,7 +125,7 @@ def _candidates(docs: DataFrame, k: int) -> DataFrame:
     n_shards = X.shards(docs)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in X.slices(batches):
             b = b.take(pc.sort_indices(b.column(0)))
             row, h, n, code = sets(b.column(1), k)
             _, once = np.unique(code, return_index=True)  # a class once, by its smallest document
@@ -193,7 +181,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             at = bloom.passing(wanted, whole.column(2).to_numpy().view(np.uint64))
-            for b in _slices([whole.take(pa.array(at))]):
+            for b in X.slices([whole.take(pa.array(at))]):
                 row, h, n, _ = sets(b.column(1), k)
                 low6 = np.ascontiguousarray(h[:, None].view(np.uint8)[:, :6]).reshape(-1)  # 48 bits are plenty within a pair
                 ends = np.cumsum(n) * 6
@@ -225,7 +213,7 @@ def similar_documents(docs: DataFrame, k: int = 5) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in X.slices(batches):
             _, _, n, code = sets(b.column(1), k)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(code.view(np.int64))], ["doc_id", "n_shingles", "set_code"])
 

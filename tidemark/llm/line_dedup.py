@@ -30,7 +30,6 @@ from tidemark.llm import bloom
 from tidemark.llm import exchange as X
 from tidemark.llm import hashing as H
 from tidemark.llm.components import link_groups
-from tidemark.llm.jaccard_join import _slices
 from tidemark.llm.storage import written
 
 SHINGLE = 8
@@ -100,7 +99,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
     n_shards = X.shards(docs)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 2 << 20):
+        for b in X.slices(batches, 2 << 20):
             buf, start, end, _, _ = line_spans(b.column(1))
             start, end = start[end > start], end[end > start]
             ids, once = np.unique(line_ids(buf, start, end), return_index=True)
@@ -141,7 +140,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
     wanted = bloom.build(ids)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in X.slices(batches):
             buf, start, end, _, _ = line_spans(b.column(1))
             start, end = start[end > start], end[end > start]
             own, once = np.unique(line_ids(buf, start, end), return_index=True)
@@ -176,7 +175,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in X.slices(batches):
             buf, start, end, row, number = line_spans(b.column(1))
             at = np.flatnonzero(end > start)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), pa.array(line_ids(buf, start[at], end[at]))], ["doc_id", "number", "line"])
