@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
 from tidemark.llm import hashing as H
+from tidemark.llm.filtering import without
 from tidemark.llm.storage import checkpoint
 
 IS_GAP = np.ones(256, dtype=bool)
@@ -132,4 +133,4 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = 5, coverage
 
 def clean(docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float = 0.5) -> DataFrame:
     """docs without those that hold a test item; a document with a null doc_id stays."""
-    return docs.join(contaminated(docs, items, min_match, coverage).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, contaminated(docs, items, min_match, coverage).select("doc_id"))

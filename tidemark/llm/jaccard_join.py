@@ -38,6 +38,7 @@ from tidemark.llm import bloom
 from tidemark.llm import exchange as X
 from tidemark.llm import hashing as H
 from tidemark.llm.components import link_groups
+from tidemark.llm.filtering import without
 from tidemark.llm.storage import checkpoint, written
 
 #: Members of a part of which all pairs are counted.
@@ -242,5 +243,4 @@ def similar_documents(docs: DataFrame, k: int = 5) -> DataFrame:
 
 def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     """docs without those that are not the smallest of their group; rows with a null doc_id stay."""
-    gone = similar_documents(docs, k).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return without(docs, similar_documents(docs, k).where("component_id <> doc_id").select("doc_id"))
