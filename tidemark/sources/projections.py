@@ -91,8 +91,8 @@ def llm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same record types in SQL, for the oracle.
 VIEWS = {
     "lines": "lines AS (SELECT video_id, lang, unnest(ls) AS text, unnest(range(1, len(ls) + 1)) AS idx FROM (SELECT doc_id AS video_id, lang, string_split(text, chr(10)) AS ls FROM documents))",
-    "segments": """placed AS (SELECT *, length(text) AS n, coalesce(sum(length(text) + CASE WHEN (video_id * 31 + idx) % 7 = 0 THEN 200 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM lines),
-        segments AS (SELECT video_id, idx, at::DOUBLE / 16 AS start_s, (at + n)::DOUBLE / 16 AS end_s, text, lang FROM placed)""",
+    "segments": """placed AS (SELECT *, length(text) AS n, coalesce(sum(length(text) + CASE WHEN (video_id * 31 + idx) % 7 = 0 THEN 200 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at16 FROM lines),
+        segments AS (SELECT video_id, idx, at16::DOUBLE / 16 AS start_s, (at16 + n)::DOUBLE / 16 AS end_s, text, lang FROM placed)""",
     "raw_cues": "raw_cues AS (SELECT video_id, idx, lang, CASE WHEN idx % 50 = 7 THEN '  ' ELSE text END AS text, CASE WHEN idx % 50 = 13 THEN -1.0::DOUBLE ELSE start_s END AS start_s, CASE WHEN idx % 50 = 21 THEN 0.0::DOUBLE ELSE end_s - start_s END AS duration_s FROM segments)",
     "media": """media AS (SELECT video_id, CASE WHEN video_id % 11 = 0 THEN NULL WHEN video_id % 3 = 0 THEN max(end_s) * 2 WHEN video_id % 2 = 0 THEN max(end_s) + 8 ELSE max(end_s) END AS media_s, 'en' AS requested, lang AS actual,
         ['manual_caption', 'generated_caption', 'translated_caption', 'stt'][video_id % 4 + 1] AS source_type FROM segments GROUP BY video_id, lang)""",
