@@ -55,26 +55,42 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new[root]
 
 
-def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components (id, component) over known links (a, b), verified candidate pairs (a, b), and groups (part, id) in which any two may be linked.
+def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = 0.8) -> DataFrame:
+    """Components (id, component) over known links (a, b), candidate pairs (a, b), and groups (part, id) in which any two may be linked.
 
-    A group is first joined to its smallest member. Members that are then in one component
-    need no further check; pairs of a group across components are checked, so no link that
-    matters for the components is lost and a large group of copies stays linear.
+    verify gives the Jaccard similarity of pairs as (a, b, similarity, linked); of pairs with
+    a column reach it may leave out those further apart than 1 - threshold + reach. A group is
+    first checked against its smallest member, so a large group of copies stays linear.
+    Members linked to one are held by it as their pivot. Jaccard distance is a metric:
+    two members of different components can only be linked when their pivots are no
+    further apart than 1 - threshold plus both distances to the pivots. So pivots of different
+    components in a group are compared, and their members only where that bound allows it.
     """
     members = written(members.distinct())
     centre = checkpoint(members.groupBy("part").agg(F.min("id").alias("a")))
     stars = members.join(centre, "part").where("a <> id").select("a", F.col("id").alias("b"))
-    links = written(links.unionByName(verify(checkpoint(pairs.unionByName(stars).distinct()))))
+    checked = written(verify(checkpoint(pairs.unionByName(stars).distinct())))
+    links = written(links.unionByName(checked.where("linked").select("a", "b")))
     joined = components(links)
     if members.isEmpty():
         return joined
     labels = joined.select(F.col("id").alias("node"), "component")
     labelled = written(members.join(labels, members["id"] == labels["node"], "left").select("part", "id", F.coalesce("component", "id").alias("component")))
     mixed = labelled.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("part")
-    rest = written(labelled.join(mixed, "part", "left_semi"))
+    held = checked.where("linked").groupBy(F.col("b").alias("held")).agg(F.min(F.struct("a", "similarity")).alias("holder"))
+    rest = labelled.join(mixed, "part", "left_semi")
+    rest = written(rest.join(held, rest["id"] == held["held"], "left").select("part", "id", "component", F.coalesce("holder.a", "id").alias("pivot"), F.coalesce(1 - F.col("holder.similarity"), F.lit(0.0)).alias("radius")))
     if rest.isEmpty():
         return joined
-    other = rest.select("part", F.col("id").alias("b"), F.col("component").alias("component_b"))
-    across = rest.select("part", F.col("id").alias("a"), "component").join(other, "part").where("a < b and component <> component_b").select("a", "b").distinct()
-    return components(written(links.unionByName(verify(checkpoint(across)))))
+    pivots = rest.groupBy("part", "pivot", "component").agg(F.max("radius").alias("radius"))
+    other = pivots.select("part", F.col("pivot").alias("b"), F.col("component").alias("component_b"), F.col("radius").alias("radius_b"))
+    apart = pivots.withColumnRenamed("pivot", "a").join(other, "part").where("a < b and component <> component_b").groupBy("a", "b").agg(F.max(F.col("radius") + F.col("radius_b")).alias("reach"))
+    apart = written(apart)
+    near = verify(apart).join(apart, ["a", "b"]).where(1 - F.col("similarity") <= 1 - threshold + F.col("reach") + 1e-9)
+    near = written(near.select("a", "b", "similarity"))
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    first = rest.select("part", F.col("id").alias("x"), F.col("pivot").alias("a"), F.col("radius").alias("rx")).join(both, "a")
+    second = rest.select("part", F.col("id").alias("y"), F.col("pivot").alias("b"), F.col("radius").alias("ry"))
+    across = first.join(second, ["part", "b"]).where((F.col("x") < F.col("y")) & (1 - F.col("similarity") <= 1 - threshold + F.col("rx") + F.col("ry") + 1e-9))
+    found = verify(written(across.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())).where("linked").select("a", "b")
+    return components(written(links.unionByName(found)))

@@ -105,13 +105,13 @@ def _lengths(b: pa.RecordBatch, text: str) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) rows with about size bytes of text at a time."""
+    """(doc_id, text) rows with about size bytes of text, and at most 1024 of them, at a time."""
     for b in batches:
         ends = np.cumsum(_lengths(b, b.schema.names[1]))
         begin = 0
         while begin < b.num_rows:
             before = ends[begin - 1] if begin else 0
-            stop = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+            stop = min(begin + 1024, max(begin + 1, int(np.searchsorted(ends, before + size, side="right"))))
             yield b.slice(begin, stop - begin)
             begin = stop
 

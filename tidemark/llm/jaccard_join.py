@@ -12,8 +12,9 @@ are counted; a pair can only be similar when it shares r + 1 parts, less those o
 its parts that are empty or hot, so chance pairs never reach the exact check. A
 document of which at most r parts are empty or hot is sure to meet every partner in
 a part that is not, so hot parts (a common line, a large group) need only be looked at for
-the others: there each is first checked against the smallest document of the part,
-and after these are joined into components, pairs across components are checked.
+the others, and of those only the ones beyond r, the rarest: there each is first checked
+against the smallest document of the part; what may be linked across the components
+that follow is bounded by the distances to these.
 Every candidate is verified by the exact intersection of the sets.
 
 Documents with equal sets are a class that takes part once for each slice of the input.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
@@ -44,6 +45,10 @@ from tidemark.llm.storage import checkpoint, written
 #: Members of a part of which all pairs are counted.
 HOT = 16
 WIDTH_BITS = 20
+#: Bits of a shingle's hash, beside the row in a slice of at most 1024.
+HASH_BITS = 54
+#: Bits of the compact sketch that candidates are compared by before their sets are.
+SKETCH_BITS = 4096
 
 
 def _bands(n: int) -> np.ndarray:
@@ -57,7 +62,7 @@ def _bands(n: int) -> np.ndarray:
 
 
 def sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles as (row, hash) sorted by row, the number a row, and a 64-bit code of each row's set."""
+    """Distinct shingles as (row, hash) sorted by row, the number a row, and a 64-bit code of each row's set; 1024 texts at most."""
     buf, offsets = H.flat(texts, lower=True)
     start, end, row = H.word_spans(buf, offsets)
     words = H.range_hash(buf, start, end)
@@ -67,10 +72,9 @@ def sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarra
     short = np.flatnonzero((n_words > 0) & (n_words < k))
     h = np.r_[h, H.range_hash(words, first[short], first[short] + n_words[short])]
     row = np.r_[row[at], short]
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])] if len(h) else np.zeros(0, bool)
-    h, row = h[new], row[new]
+    # one sort of numbers that hold the row and 54 bits of the hash
+    both = np.unique((row.astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS)))
+    row, h = (both >> np.uint64(HASH_BITS)).astype(np.int64), both & np.uint64((1 << HASH_BITS) - 1)
     n = np.bincount(row, minlength=len(texts))
     bounds = np.r_[0, np.cumsum(n)]
     total = np.r_[np.uint64(0), np.cumsum(H.mix(h + np.uint64(0x51ED270B)), dtype=np.uint64)]
@@ -172,41 +176,58 @@ def _candidates(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(ask, "shard int, body binary").groupBy("shard").applyInArrow(meet, ", ".join(f"{c} long" for c in names))
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by their exact intersection."""
-    pairs = pairs.select("a", "b")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, n, sketch, set) of the wanted documents: a parity sketch of SKETCH_BITS, and the sorted hashes, 48 bits each."""
+    ids = checkpoint(ids.distinct())
     wanted = bloom.build(ids.select(F.xxhash64("id")))
-    of_wanted = docs.withColumn("hash", F.xxhash64("doc_id"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             at = bloom.passing(wanted, whole.column(2).to_numpy().view(np.uint64))
             for b in X.slices([whole.take(pa.array(at))]):
                 row, h, n, _ = sets(b.column(1), k)
-                low6 = np.ascontiguousarray(h[:, None].view(np.uint8)[:, :6]).reshape(-1)  # 48 bits are plenty within a pair
-                ends = np.cumsum(n) * 6
-                data = low6.tobytes()
                 some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array([data[e - 6 * m : e] for e, m in zip(ends[some].tolist(), n[some].tolist(), strict=True)], pa.binary())], ["id", "set"])
+                low6 = np.ascontiguousarray(h[:, None].view(np.uint8)[:, :6]).tobytes()
+                ends = np.cumsum(n) * 6
+                bits = np.bincount(row * SKETCH_BITS + (H.mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=len(n) * SKETCH_BITS) & 1
+                sketch = np.packbits(bits.reshape(len(n), SKETCH_BITS).astype(np.uint8), axis=1)[some]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([low6[e - 6 * m : e] for e, m in zip(ends[some].tolist(), n[some].tolist(), strict=True)], pa.binary())], ["id", "n", "sketch", "set"])
+
+    got = docs.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(emit, "id long, n long, sketch binary, set binary")
+    return written(got.join(ids, "id", "left_semi"))
+
+
+def _similar(known: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b, similarity, linked) of the pairs, by the exact intersection of their sets; those that the sketches show to be too far apart are left out."""
+    reach = F.col("reach") if "reach" in pairs.columns else F.lit(0.0)
+    pairs = pairs.select("a", "b", (1 - percent / 100 + reach).alias("most"))
+    side = lambda c, value: known.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col(value).alias(f"{value}_{c}"))
+    sketched = pairs.join(side("b", "sketch"), "b").join(side("a", "sketch"), "a").select("a", "b", "most", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (5, 6))
+            apart = np.bitwise_count(x ^ y).sum(axis=1)
+            most = b.column(2).to_numpy()
+            both = b.column(3).to_numpy() + b.column(4).to_numpy()
+            keep = apart <= most * both / (2 - most) + 1e-6  # the distance is the symmetric difference over the union
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    got = of_wanted.mapInArrow(emit, "id long, set binary").join(ids, "id", "left_semi")
-    got = written(got)
-    left = got.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = got.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
+    left = written(sketched.mapInArrow(may, "a long, b long"))
+    both = left.join(side("b", "set"), "b").join(side("a", "set"), "a").select("a", "b", "set_a", "set_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = lambda x: np.pad(np.frombuffer(x, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view(np.uint64).ravel()
         for b in batches:
-            ok = []
+            common, union = [], []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = wide(x.as_py()), wide(y.as_py())
-                common = len(np.intersect1d(x, y, assume_unique=False))
-                ok.append(100 * common >= 80 * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                common.append(len(x) + len(y) - len(np.unique(np.r_[x, y])))
+                union.append(len(x) + len(y) - common[-1])
+            common, union = np.array(common, np.int64), np.array(union, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common / np.maximum(union, 1)), pa.array(100 * common >= percent * union)], ["a", "b", "similarity", "linked"])
 
-    return both.mapInArrow(verify, "a long, b long")
+    return both.mapInArrow(verify, "a long, b long, similarity double, linked boolean")
 
 
 def similar_documents(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -233,11 +254,19 @@ def similar_documents(docs: DataFrame, k: int = 5) -> DataFrame:
     missed = F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
     # half of the spare parts may be empty and unsent
     candidates = likely.where(F.col("n") >= F.greatest(F.lit(1), spare + 1 - F.floor(spare / 2) - missed)).select("a", "b").distinct()
-    unsafe = hot.join(hot_parts.where(F.col("hot") > F.col("spare")).select("doc", "level"), ["doc", "level"], "left_semi").select("part", F.col("doc").alias("id"))
+    # Of its hot parts a document may leave out as many as it has to spare, the most common first: a partner leaves out
+    # by the same order, so the rarest part that they share is left in both.
+    sizes = checkpoint(hot.groupBy("part").agg(F.count("*").alias("members")))
+    order = Window.partitionBy("doc", "level").orderBy(F.desc("members"), "part")
+    unsafe = hot.join(hot_parts.where(F.col("hot") > F.col("spare")).select("doc", "level"), ["doc", "level"], "left_semi")
+    unsafe = unsafe.join(sizes, "part").withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("spare")).select("part", F.col("doc").alias("id"))
     copies = every.where("n_shingles > 0 and doc_id is not null")
     least = checkpoint(copies.groupBy("set_code").agg(F.min("doc_id").alias("a")))
     equal = written(copies.join(least, "set_code").where("a <> doc_id").select("a", F.col("doc_id").alias("b")))
-    joined = link_groups(equal, candidates, unsafe, lambda pairs: _similar(keyed, pairs, k))
+    unsafe = written(unsafe)
+    candidates = written(candidates)
+    known = _sets(keyed, unsafe.select("id").unionByName(candidates.select(F.col("a").alias("id"))).unionByName(candidates.select(F.col("b").alias("id"))), k)
+    joined = link_groups(equal, candidates, unsafe, lambda pairs: _similar(known, pairs))
     return every.join(joined, every["doc_id"] == joined["id"], "left").select("doc_id", "n_shingles", "set_code", F.coalesce("component", "doc_id").alias("component_id"))
 
 

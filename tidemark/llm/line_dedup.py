@@ -134,7 +134,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
-    """The pairs (a, b) of line ids whose shingle sets have that Jaccard similarity."""
+    """(a, b, similarity, linked) of the pairs of line ids, by the exact intersection of their shingle sets."""
     pairs = pairs.select("a", "b")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = bloom.build(ids)
@@ -157,17 +157,18 @@ def _similar(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                ok = []
+                common, union = [], []
                 texts = pa.concat_arrays([b.column(2), b.column(3)])
                 flat, offsets = np.frombuffer(b"".join(texts.to_pylist()), np.uint8), np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy())]
                 value, bounds = _shingles(flat, offsets[:-1], offsets[1:])
                 for i in range(b.num_rows):
                     x, y = (np.unique(value[bounds[j] : bounds[j + 1]]) for j in (i, i + b.num_rows))
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                    common.append(len(np.intersect1d(x, y, assume_unique=True)))
+                    union.append(len(x) + len(y) - common[-1])
+                common, union = np.array(common, np.int64), np.array(union, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common / np.maximum(union, 1)), pa.array(100 * common >= percent * union)], ["a", "b", "similarity", "linked"])
 
-    return both.mapInArrow(verify, "a long, b long")
+    return both.mapInArrow(verify, "a long, b long, similarity double, linked boolean")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
