@@ -70,19 +70,22 @@ def build(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
         prefixes.write(np.zeros(m, small))
         texts = texts[lengths > 0]
         place = texts  # of each text's latest suffix
+        owner = np.empty(m + len(symbols), np.int32)
         for j in range(1, int(lengths.max(initial=0)) + 1):
             bwt, common = transform.read(), prefixes.read()
             n = len(bwt)
             order = np.argsort(bwt, kind="stable")
-            rank = np.empty(n, np.int32)
-            rank[order] = np.arange(n, dtype=np.int32)
-            zeros = int(np.searchsorted(bwt[order], 1)) if n < 64 else int(n - np.count_nonzero(bwt))
-            r = rank[place].astype(np.int64)
-            by = np.argsort(r)
-            texts, place, r = texts[by], place[by], r[by]
+            zeros = n - np.count_nonzero(bwt)
+            owner[place] = texts
+            latest = np.zeros(n, bool)
+            latest[place] = True
+            r = np.flatnonzero(latest[order])  # ranks of the latest suffixes' first symbols to come
+            place = order[r]
+            texts = owner[place]
             before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, n - 1)]
-            same_before = (r > 0) & (bwt[before] == bwt[place])
-            same_after = (r < n - 1) & (bwt[after] == bwt[place])
+            own = bwt[place]
+            same_before = (r > 0) & (bwt[before] == own)
+            same_after = (r < n - 1) & (bwt[after] == own)
             to_before, to_after = np.zeros(len(r), small), np.zeros(len(r), small)
             at = np.flatnonzero(same_before)
             to_before[at] = 1 + _range_min(common, before[at] + 1, place[at])

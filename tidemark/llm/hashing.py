@@ -36,10 +36,11 @@ def powers(base: int, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: near inputs get unrelated outputs."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def flat(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +73,17 @@ def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int =
     return mix((h[end] - h[start]) * powers(inverse, n + 1)[start] + length * np.uint64(0xA24BAED4963EE407))
 
 
+def fixed_hash(buf: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
+    """range_hash of buf[i:i + length] for every i, by slices."""
+    base, n = BASES[lane], len(buf)
+    h = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(base, n), out=h[1:])
+    x = h[length:] - h[:-length]
+    x *= powers(pow(base, -1, 1 << 64), n + 1)[: len(x)]
+    x += np.uint64(length * 0xA24BAED4963EE407 & (1 << 64) - 1)
+    return mix(x)
+
+
 def word_spans(buf: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """start, end and document row of every word, by default ``[^\\x20\\x09-\\x0D]+``, in order."""
     n = len(buf)

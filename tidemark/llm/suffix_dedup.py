@@ -31,31 +31,49 @@ from tidemark.llm import hashing as H
 ANCHOR = 20
 #: Bytes of segments in a block, unless one anchor has more.
 BLOCK = 1 << 18
+#: Bytes of documents that are searched for segments at a time.
+CHUNK = 1 << 18
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 _PLACE = np.uint64((1 << 32) - 1)
 
 
 def segments(table: pa.Table, depth: int):
-    """Bytes, document offsets, and per segment: first window, number of windows, document row, anchor hash."""
+    """Bytes, document offsets, and per segment: first window, number of windows, document row, anchor hash.
+
+    Some documents at a time, so that the working arrays stay in the processor's cache.
+    """
     buf, offsets = H.flat(table.column("text"))
+    cuts = np.unique(np.r_[0, np.searchsorted(offsets, np.arange(CHUNK, len(buf), CHUNK)), len(offsets) - 1])
+    parts = [_segments(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], depth) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    parts = [(first + offsets[a], n, row + a, anchor) for a, (first, n, row, anchor) in zip(cuts[:-1], parts, strict=True)] or [_segments(buf, offsets, depth)]
+    return buf, offsets, *(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _segments(buf: np.ndarray, offsets: np.ndarray, depth: int):
     n = len(buf) - depth + 1
-    z = np.zeros(0, np.int64)
     if n <= 0:
-        return buf, offsets, z, z, z, np.zeros(0, np.uint64)
-    at = np.arange(len(buf) - ANCHOR + 1)
-    hashes = H.range_hash(buf, at, at + ANCHOR)
-    low = (hashes & ~_PLACE) | at.astype(np.uint64)  # the leftmost of equals
+        z = np.zeros(0, np.int64)
+        return z, z, z, np.zeros(0, np.uint64)
+    hashes = H.fixed_hash(buf, ANCHOR)
+    low = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)  # the leftmost of equals
     span, width = 1, depth - ANCHOR + 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     low = np.minimum(low[:n], low[width - span : width - span + n])
     anchor = (low & _PLACE).astype(np.int64)
-    row = np.searchsorted(offsets, np.arange(n), side="right") - 1
-    whole = np.arange(n) + depth <= offsets[1:][row]
-    first = np.flatnonzero(whole & np.r_[True, (anchor[1:] != anchor[:-1]) | ~whole[:-1] | (row[1:] != row[:-1])])
-    last = np.flatnonzero(whole & np.r_[(anchor[1:] != anchor[:-1]) | ~whole[1:] | (row[1:] != row[:-1]), True])
-    return buf, offsets, first, last - first + 1, row[first], hashes[anchor[first]]
+    whole = np.zeros(n + 1, np.int8)  # windows that end inside their document
+    long = np.flatnonzero(np.diff(offsets) >= depth)
+    np.add.at(whole, offsets[long], 1)
+    np.add.at(whole, offsets[long + 1] - depth + 1, -1)
+    whole = np.cumsum(whole[:-1], dtype=np.int8) > 0
+    change = np.ones(n + 1, bool)
+    change[1:-1] = anchor[1:] != anchor[:-1]
+    change[offsets[long]] = True
+    change[offsets[long + 1] - depth + 1] = True
+    first = np.flatnonzero(whole & change[:-1])
+    last = np.flatnonzero(whole & change[1:])
+    return first, last - first + 1, np.searchsorted(offsets, first, side="right") - 1, hashes[anchor[first]]
 
 
 def _shard(anchor: np.ndarray, n_shards: int) -> np.ndarray:
