@@ -39,8 +39,8 @@ def shards(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
@@ -61,6 +61,15 @@ def load(body: bytes, *types) -> list[np.ndarray]:
     return [np.frombuffer(table.column(i)[0].as_py(), t) for i, t in enumerate(types)]
 
 
+def dump_sorted(keys: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit keys as byte planes of their steps, which compress to what the steps need."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def load_sorted(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(batch, body): bounded batches of the rows of docs, dealt out by batch.
 
@@ -79,7 +88,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_bytes:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table)
-            out = pa.RecordBatch.from_pydict({"batch": pa.array([part + seq], pa.int64()), "body": pa.array([squeeze(sink.getvalue())], pa.binary())})
+            out = pa.RecordBatch.from_pydict({"batch": pa.array([part + seq], pa.int64()), "body": pa.array([squeeze(sink.getvalue(), 3)], pa.binary())})
             held, size, seq = [], 0, seq + 1
             return out
 
