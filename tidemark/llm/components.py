@@ -55,9 +55,11 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new[root]
 
 
-def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = 0.8) -> DataFrame:
+def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = 0.8, sizes: DataFrame | None = None) -> DataFrame:
     """Components (id, component) over known links (a, b), candidate pairs (a, b), and groups (part, id) in which any two may be linked.
 
+    sizes (id, low, high), if given, bound the sizes of the members' sets: the smaller over the larger bounds the similarity.
+
     verify gives the Jaccard similarity of pairs as (a, b, similarity, linked); of pairs with
     a column reach it may leave out those further apart than 1 - threshold + reach. A group is
     first checked against its smallest member, so a large group of copies stays linear.
@@ -83,14 +85,20 @@ def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify:
     if rest.isEmpty():
         return joined
     pivots = rest.groupBy("part", "pivot", "component").agg(F.max("radius").alias("radius"))
-    other = pivots.select("part", F.col("pivot").alias("b"), F.col("component").alias("component_b"), F.col("radius").alias("radius_b"))
-    apart = pivots.withColumnRenamed("pivot", "a").join(other, "part").where("a < b and component <> component_b").groupBy("a", "b").agg(F.max(F.col("radius") + F.col("radius_b")).alias("reach"))
+    if sizes is None:
+        pivots = pivots.withColumn("low", F.lit(1)).withColumn("high", F.lit(1))
+    else:
+        pivots = pivots.join(sizes.select(F.col("id").alias("pivot"), "low", "high"), "pivot")
+    other = pivots.select("part", F.col("pivot").alias("b"), F.col("component").alias("component_b"), F.col("radius").alias("radius_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    may = 1 - F.least("high", "high_b") / F.greatest("low", "low_b") <= 1 - threshold + F.col("radius") + F.col("radius_b") + 1e-9
+    apart = pivots.withColumnRenamed("pivot", "a").join(other, "part").where(F.expr("a < b and component <> component_b") & may).groupBy("a", "b").agg(F.max(F.col("radius") + F.col("radius_b")).alias("reach"))
     apart = written(apart)
     near = verify(apart).join(apart, ["a", "b"]).where(1 - F.col("similarity") <= 1 - threshold + F.col("reach") + 1e-9)
     near = written(near.select("a", "b", "similarity"))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    first = rest.select("part", F.col("id").alias("x"), F.col("pivot").alias("a"), F.col("radius").alias("rx")).join(both, "a")
-    second = rest.select("part", F.col("id").alias("y"), F.col("pivot").alias("b"), F.col("radius").alias("ry"))
-    across = first.join(second, ["part", "b"]).where((F.col("x") < F.col("y")) & (1 - F.col("similarity") <= 1 - threshold + F.col("rx") + F.col("ry") + 1e-9))
+    holding = written(rest.select("id", "pivot", "radius").distinct())
+    first = holding.select(F.col("id").alias("x"), F.col("pivot").alias("a"), F.col("radius").alias("rx")).join(both, "a")
+    second = holding.select(F.col("id").alias("y"), F.col("pivot").alias("b"), F.col("radius").alias("ry"))
+    across = first.join(second, "b").where((F.col("x") < F.col("y")) & (1 - F.col("similarity") <= 1 - threshold + F.col("rx") + F.col("ry") + 1e-9))
     found = verify(written(across.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())).where("linked").select("a", "b")
     return components(written(links.unionByName(found)))

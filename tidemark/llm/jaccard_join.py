@@ -266,7 +266,8 @@ def similar_documents(docs: DataFrame, k: int = 5) -> DataFrame:
     unsafe = written(unsafe)
     candidates = written(candidates)
     known = _sets(keyed, unsafe.select("id").unionByName(candidates.select(F.col("a").alias("id"))).unionByName(candidates.select(F.col("b").alias("id"))), k)
-    joined = link_groups(equal, candidates, unsafe, lambda pairs: _similar(known, pairs))
+    sizes = known.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    joined = link_groups(equal, candidates, unsafe, lambda pairs: _similar(known, pairs), sizes=sizes)
     return every.join(joined, every["doc_id"] == joined["id"], "left").select("doc_id", "n_shingles", "set_code", F.coalesce("component", "doc_id").alias("component_id"))
 
 
