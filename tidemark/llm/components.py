@@ -55,17 +55,17 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new[root]
 
 
-def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = 0.8, sizes: DataFrame | None = None) -> DataFrame:
+def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = 0.8, rest_pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components (id, component) over known links (a, b), candidate pairs (a, b), and groups (part, id) in which any two may be linked.
 
-    sizes (id, low, high), if given, bound the sizes of the members' sets: the smaller over the larger bounds the similarity.
+    rest_pairs, if given, makes the candidate pairs (a, b) of members (id, component) of groups that hold several components.
 
     verify gives the Jaccard similarity of pairs as (a, b, similarity, linked); of pairs with
     a column reach it may leave out those further apart than 1 - threshold + reach. A group is
     first checked against its smallest member, so a large group of copies stays linear.
     Members linked to one are held by it as their pivot. Jaccard distance is a metric:
     two members of different components can only be linked when their pivots are no
-    further apart than 1 - threshold plus both distances to the pivots. So pivots of different
+    further apart than 1 - threshold plus both distances to the pivots. Without rest_pairs, pivots of different
     components in a group are compared, and their members only where that bound allows it.
     """
     members = written(members.distinct())
@@ -79,19 +79,20 @@ def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify:
     labels = joined.select(F.col("id").alias("node"), "component")
     labelled = written(members.join(labels, members["id"] == labels["node"], "left").select("part", "id", F.coalesce("component", "id").alias("component")))
     mixed = labelled.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("part")
+    if rest_pairs is not None:
+        rest = written(labelled.join(mixed, "part", "left_semi").select("id", "component").distinct())
+        if rest.isEmpty():
+            return joined
+        found = verify(written(rest_pairs(rest))).where("linked").select("a", "b")
+        return components(written(links.unionByName(found)))
     held = checked.where("linked").groupBy(F.col("b").alias("held")).agg(F.min(F.struct("a", "similarity")).alias("holder"))
     rest = labelled.join(mixed, "part", "left_semi")
     rest = written(rest.join(held, rest["id"] == held["held"], "left").select("part", "id", "component", F.coalesce("holder.a", "id").alias("pivot"), F.coalesce(1 - F.col("holder.similarity"), F.lit(0.0)).alias("radius")))
     if rest.isEmpty():
         return joined
     pivots = rest.groupBy("part", "pivot", "component").agg(F.max("radius").alias("radius"))
-    if sizes is None:
-        pivots = pivots.withColumn("low", F.lit(1)).withColumn("high", F.lit(1))
-    else:
-        pivots = pivots.join(sizes.select(F.col("id").alias("pivot"), "low", "high"), "pivot")
-    other = pivots.select("part", F.col("pivot").alias("b"), F.col("component").alias("component_b"), F.col("radius").alias("radius_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    may = 1 - F.least("high", "high_b") / F.greatest("low", "low_b") <= 1 - threshold + F.col("radius") + F.col("radius_b") + 1e-9
-    apart = pivots.withColumnRenamed("pivot", "a").join(other, "part").where(F.expr("a < b and component <> component_b") & may).groupBy("a", "b").agg(F.max(F.col("radius") + F.col("radius_b")).alias("reach"))
+    other = pivots.select("part", F.col("pivot").alias("b"), F.col("component").alias("component_b"), F.col("radius").alias("radius_b"))
+    apart = pivots.withColumnRenamed("pivot", "a").join(other, "part").where("a < b and component <> component_b").groupBy("a", "b").agg(F.max(F.col("radius") + F.col("radius_b")).alias("reach"))
     apart = written(apart)
     near = verify(apart).join(apart, ["a", "b"]).where(1 - F.col("similarity") <= 1 - threshold + F.col("reach") + 1e-9)
     near = written(near.select("a", "b", "similarity"))

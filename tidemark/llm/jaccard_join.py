@@ -13,8 +13,8 @@ its parts that are empty or hot, so chance pairs never reach the exact check. A
 document of which at most r parts are empty or hot is sure to meet every partner in
 a part that is not, so hot parts (a common line, a large group) need only be looked at for
 the others, and of those only the ones beyond r, the rarest: there each is first checked
-against the smallest document of the part; what may be linked across the components
-that follow is bounded by the distances to these.
+against the smallest document of the part; documents of such parts that are still in
+different components meet by the rarest fifth of their shingles.
 Every candidate is verified by the exact intersection of the sets.
 
 Documents with equal sets are a class that takes part once for each slice of the input.
@@ -230,6 +230,34 @@ def _similar(known: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame
     return both.mapInArrow(verify, "a long, b long, similarity double, linked boolean")
 
 
+def _rarest(known: DataFrame, nodes: DataFrame, percent: int = 80) -> DataFrame:
+    """Candidate pairs (a, b) across components among nodes (id, component).
+
+    Sets that are similar share one of the n - 0.8 n + 1 rarest shingles of each, by
+    one order of all shingles. Where a common passage fills most of a document, these are the shingles beside it.
+    """
+    sets_of = known.select("id", "set").withColumn("uid", F.monotonically_increasing_id()).join(nodes, "id").select("uid", "id", "component", "set")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                raw = b.column(3).to_pylist()
+                n = np.array([len(x) // 6 for x in raw])
+                h = np.pad(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view(np.int64).ravel()
+                row = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([pa.array(h), *(b.column(i).take(row) for i in range(3)), pa.array(np.repeat(n, n))], ["shingle", "uid", "id", "component", "n"])
+
+    rows = written(sets_of.mapInArrow(spread, "shingle long, uid long, id long, component long, n long"))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("documents"))
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy("documents", "shingle"))
+    first = rows.join(common, "shingle").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    first = written(first.where("documents > 1").select("shingle", F.col("id").alias("a"), "component", "n"))
+    other = first.select("shingle", F.col("a").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"))
+    fit = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent
+    return first.join(other, "shingle").where(F.expr("a < b and component <> component_b") & fit).select("a", "b").distinct()
+
+
 def similar_documents(docs: DataFrame, k: int = 5) -> DataFrame:
     """Per document: doc_id, n_shingles, set_code, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -266,8 +294,7 @@ def similar_documents(docs: DataFrame, k: int = 5) -> DataFrame:
     unsafe = written(unsafe)
     candidates = written(candidates)
     known = _sets(keyed, unsafe.select("id").unionByName(candidates.select(F.col("a").alias("id"))).unionByName(candidates.select(F.col("b").alias("id"))), k)
-    sizes = known.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    joined = link_groups(equal, candidates, unsafe, lambda pairs: _similar(known, pairs), sizes=sizes)
+    joined = link_groups(equal, candidates, unsafe, lambda pairs: _similar(known, pairs), rest_pairs=lambda rest: _rarest(known, rest))
     return every.join(joined, every["doc_id"] == joined["id"], "left").select("doc_id", "n_shingles", "set_code", F.coalesce("component", "doc_id").alias("component_id"))
 
 
