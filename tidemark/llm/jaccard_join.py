@@ -252,9 +252,11 @@ def _rarest(known: DataFrame, nodes: DataFrame, percent: int = 80) -> DataFrame:
     common = rows.groupBy("shingle").agg(F.count("*").alias("documents"))
     rank = F.row_number().over(Window.partitionBy("uid").orderBy("documents", "shingle"))
     first = rows.join(common, "shingle").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    first = written(first.where("documents > 1").select("shingle", F.col("id").alias("a"), "component", "n"))
-    other = first.select("shingle", F.col("a").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"))
-    fit = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent
+    first = written(first.where("documents > 1").select("shingle", F.col("id").alias("a"), "component", "n", "rank"))
+    other = first.select("shingle", F.col("a").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"), F.col("rank").alias("rank_b"))
+    # With their first common shingle at these ranks, sets have one more in common than what is left of the shorter rest.
+    left = 1 + F.least(F.col("n") - F.col("rank"), F.col("n_b") - F.col("rank_b"))
+    fit = left * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
     return first.join(other, "shingle").where(F.expr("a < b and component <> component_b") & fit).select("a", "b").distinct()
 
 
