@@ -113,7 +113,7 @@ def _lengths(b: pa.RecordBatch, text: str) -> np.ndarray:
     return pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) rows with about size bytes of text, and at most 1024 of them, at a time."""
     for b in batches:
         ends = np.cumsum(_lengths(b, b.schema.names[1]))
