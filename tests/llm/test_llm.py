@@ -186,6 +186,21 @@ def test_op7_against_counts(spark, docs, empty):
     assert len(suffix_tree_lm.score(documents(spark, [(3, "a"), (3, "a"), (None, None)]), min_count=1).collect()) == 3
 
 
+def test_op7_keeps_contexts_of_a_large_corpus(spark):
+    """A context of min_count occurrences counts however many tokens there are besides."""
+    rng = random.Random(12)
+    train = [i for i in range(1000) if not suffix_tree_lm.held_out(i)]
+    own = {i: " ".join(rng.choices("abcdefgh", k=1000)) for i in train[2:702]}
+    own |= {i: "seldom seen" for i in train[:2]}
+    got = by_id(suffix_tree_lm.score(documents(spark, list(own.items())), min_count=2))
+    r = got[train[0]]
+    n, kinds = r.train_tokens, 8 + 2 + 1
+    assert n > 700_000
+    root = lambda c: (c + 0.5) / (n + 0.5 * (kinds + 1))
+    seen, end = (2 + root(2)) / 3, (2 + root(702)) / 3
+    assert r.score == pytest.approx(math.log10(root(2)) + math.log10(seen) + math.log10((2 + end) / 3))
+
+
 def test_op8_against_the_library(spark, docs, empty):
     ranks = tokenizer("byte_bpe_50k.tiktoken")
     n = [len(token_counts._encoding(ranks).encode_ordinary(t or "")) for t in texts()]

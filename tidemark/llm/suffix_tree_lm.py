@@ -1,7 +1,8 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 States are contexts of up to two words. A context is a candidate when it occurs
-``min_count`` times in training and makes up ``min_share`` of all training tokens; it is retained when its next-word distribution
+``min_count`` times in training, a number that doesn't depend on the size of the corpus,
+so candidates grow with the input; it is retained when its next-word distribution
 diverges from that of its parent (the context without its first word) by more than
 what its description costs: sum of c(sx) * log(P(x|s) / P(x|parent)) over next words
 x has to exceed half of T(s) * log c(s), T(s) the number of different next words. A
@@ -121,7 +122,7 @@ def _retained(bodies: list[tuple[np.ndarray, ...]]) -> list[bytes]:
     return [X.dump(np.zeros(0), x) for x in np.split(t, np.cumsum([len(b[1]) for b in bodies])[:-1])]
 
 
-def score(docs: DataFrame, min_count: int = 64, min_share: float = 4e-6) -> DataFrame:
+def score(docs: DataFrame, min_count: int = 64) -> DataFrame:
     n_shards = X.shards(docs)
     packed = X.pack(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batch_bytes=4 << 20)
 
@@ -138,9 +139,6 @@ def score(docs: DataFrame, min_count: int = 64, min_share: float = 4e-6) -> Data
             return _retained([(None, *_asked(b, np.float64, np.float64, np.float32)) for b in bodies])
         return _counts([(None, *_asked(b, np.uint32)) for b in bodies], head=kind == 1)
 
-    def enough(heads: np.ndarray) -> float:
-        return max(min_count, min_share * heads[0])
-
     def train_counts(which: np.ndarray, train: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(which[train], minlength=n).astype(np.uint32)
 
@@ -154,7 +152,7 @@ def score(docs: DataFrame, min_count: int = 64, min_share: float = 4e-6) -> Data
         v = View(table)
         heads = np.sum([X.load(replies[s], np.float64, np.uint32)[0] for s in range(n_shards)], axis=0)
         c = _returned(v.words, n_shards, replies, 0, np.uint32)
-        v.counted(c, heads[0], heads[1], enough(heads))
+        v.counted(c, heads[0], heads[1], min_count)
         yield X.KEPT, X.dump(heads, c)
         yield from asked(2, 0, v.pairs, train_counts(v.pair, v.train[v.at1], len(v.pairs)))
 
@@ -162,9 +160,9 @@ def score(docs: DataFrame, min_count: int = 64, min_share: float = 4e-6) -> Data
     def contexts(table: pa.Table, replies: dict[int, bytes]):
         v = View(table)
         heads, c = X.load(replies[X.KEPT], np.float64, np.uint32)
-        v.counted(c, heads[0], heads[1], enough(heads))
+        v.counted(c, heads[0], heads[1], min_count)
         c2 = _returned(v.pairs, n_shards, replies, 0, np.uint32)
-        v.paired(c2, enough(heads))
+        v.paired(c2, min_count)
         yield X.KEPT, X.dump(heads, c, c2)
         own, count = v.train[v.at1], v.c[v.word[v.at1 - 1]]
         with np.errstate(divide="ignore"):
@@ -178,8 +176,8 @@ def score(docs: DataFrame, min_count: int = 64, min_share: float = 4e-6) -> Data
     def longer(table: pa.Table, replies: dict[int, bytes]):
         v = View(table)
         heads, c, c2 = X.load(replies[X.KEPT], np.float64, np.uint32, np.uint32)
-        v.counted(c, heads[0], heads[1], enough(heads))
-        v.paired(c2, enough(heads))
+        v.counted(c, heads[0], heads[1], min_count)
+        v.paired(c2, min_count)
         t1 = _returned(v.words[v.ones], n_shards, replies, 0, np.float32)
         c3 = _returned(v.triples, n_shards, replies, n_shards, np.uint32)
         yield X.KEPT, X.dump(heads, c, c2, t1, c3)
@@ -193,8 +191,8 @@ def score(docs: DataFrame, min_count: int = 64, min_share: float = 4e-6) -> Data
     def settle(table: pa.Table, replies: dict[int, bytes]) -> pa.Table:
         v = View(table)
         heads, c, c2, t1, c3 = X.load(replies[X.KEPT], np.float64, np.uint32, np.uint32, np.float32, np.uint32)
-        v.counted(c, heads[0], heads[1], enough(heads))
-        v.paired(c2, enough(heads))
+        v.counted(c, heads[0], heads[1], min_count)
+        v.paired(c2, min_count)
         t2 = _returned(v.pairs[v.firsts], n_shards, replies, 0, np.float32).astype(np.float64)[v.first]
         p1 = v.p1(t1.astype(np.float64))
         p = v.root[v.word]
