@@ -367,6 +367,26 @@ def test_op1_separates_and_keeps(spark, empty):
     assert quality.classify(empty.withColumn("lang", F.lit("en")), labels).count() == 0
 
 
+def test_op1_defaults_on_toxic_junk_and_clean_rows(spark):
+    """A few insults in normal prose are rejected, as is junk, and clean rows stay."""
+    rng = random.Random(9)
+    parts = ["ther", "on", "ing", "ed", "re", "st", "ha", "in", "ou", "tion"]
+    say = lambda: ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(250)]
+    own = [(i, " ".join(say())) for i in range(400)]
+    for i in range(400, 420):
+        w = say()
+        for insult in ("moron", "pathetic"):
+            w[rng.randrange(250)] = insult
+        own.append((i, " ".join(w)))
+    own += [(i, " ".join(f"{w}{rng.choice('$%&*') * 3}" for w in say())) for i in range(420, 440)]
+    own = [(i, t + (" 4111 2222 a.b@c.org" if i % 3 == 0 else "")) for i, t in own]
+    docs = spark.createDataFrame(own, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.classify(docs, labels).where("kept").collect()}
+    assert kept.isdisjoint(range(400, 440))
+    assert len(kept) >= 388
+
+
 def test_helpers(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (100, 98), (7, 7)], "a long, b long")
     assert {r.id: r.component for r in components.components(links).collect()} == {**{i: 0 for i in range(41)}, 98: 98, 99: 98, 100: 98}
