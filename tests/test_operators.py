@@ -1,6 +1,7 @@
 """Rows computed by hand, and loops, for what SQL can't say."""
 
 import json
+import re
 from collections import defaultdict
 
 import pandas as pd
@@ -16,6 +17,7 @@ from tidemark.operators import telemetry as T
 from tidemark.operators import transcript as TR
 from tidemark.operators import vision as V
 from tidemark.sources import files
+from tidemark.sources import projections as P
 
 
 def test_p95_is_the_floor_index(spark):
@@ -130,6 +132,37 @@ def test_diversity(spark):
     assert got == {0: 1, 1: 2} or got == {0: 1, 2: 2}
 
 
+def test_knowledge_of_all_lectures_is_a_loop(spark, data):
+    rows = lambda name: sorted(map(tuple, entry.queries()[name](spark, data).collect()), key=repr)
+    own = defaultdict(list)
+    for r in P.segments(spark, data).orderBy("video_id", "idx").collect():
+        own[r.video_id].append(r)
+    shown = defaultdict(list)
+    for r in P.frames(spark, data).select("video_id", "timestamp_ms").collect():
+        shown[r.video_id].append(r.timestamp_ms)
+    times, notation, groups, packets, risks = [], {}, defaultdict(set), [], {}
+    for v, lines in own.items():
+        for c, r in enumerate(lines):
+            at = (f"{v}_range_{c}", r.start_s, r.end_s) if c % 3 == 0 else ("unknown", 1.5, 2.5) if c % 3 == 1 else (f"{v}_range_0", lines[0].start_s, lines[0].end_s)
+            times.append((f"{v}_range_{c}", 0, *at))
+            notation.setdefault((v, f"k{len(r.text) % 4}"), f"v{c}")
+            groups[v, f"t{c % 2}"] |= {f"n{x % 6}" for x in (len(r.text), c) if x % 6 in (0, 2, 4)}
+            said = [x.text for x in lines if r.start_s <= x.start_s <= r.end_s + 20]
+            packets.append((v, c, " ".join(said), len(said), sum(r.start_s <= t / 1000 <= r.end_s + 20 for t in shown[v])))
+        terms = {w.lower() for w in re.findall(r"(?<![.!?]\s)(?<!\A)\b[A-Z][a-z]{2,}\b", lines[0].text)}
+        rest = " ".join(x.text for x in lines[1:]).lower()
+        novel = sum(w not in rest and w != "the" for w in terms)
+        risks[v] = (len(terms), novel, round(novel / len(terms), 4) if terms else 0.0)
+    assert rows("source_times_all") == sorted(times, key=repr)
+    assert rows("notation_merge_all") == sorted(((*k, x) for k, x in notation.items()), key=repr)
+    assert rows("topic_groups_all") == sorted(((*k, ",".join(sorted(x))) for k, x in groups.items() if x), key=repr)
+    assert rows("context_packets_all") == sorted(packets, key=repr)
+    assert rows("hallucination_risk_all") == sorted(((v, *x) for v, x in risks.items()), key=repr)
+    valid = {r.video_id: (r.kind, r.valid) for r in entry.queries()["required_keys"](spark, data).collect()}
+    want = [(v, *valid[v], x[2], round(max(0.0, (1.0 if valid[v][1] else 0.5) - x[2] * 0.5), 4), (not valid[v][1]) + (x[2] > 0.3)) for v, x in risks.items()]
+    assert rows("artifact_quality_all") == sorted(want, key=repr)
+
+
 def test_text_edges(spark):
     one = lambda f, x: spark.createDataFrame([(x,)], "t string").select(f(F.col("t")).alias("v")).first().v
     assert one(X.normalise, "a\r\n b  c ") == "a b c" and one(X.normalise, None) == ""

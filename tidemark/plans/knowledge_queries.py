@@ -61,9 +61,10 @@ novel AS (SELECT w.video_id, count(*) AS novel FROM words w LEFT JOIN said s USI
 risks AS (SELECT video_id, coalesce(terms, 0) AS terms, coalesce(novel, 0) AS novel, coalesce(round(novel / terms, 4), 0) AS risk FROM notes LEFT JOIN (SELECT video_id, count(*) AS terms FROM words GROUP BY 1) USING (video_id) LEFT JOIN novel USING (video_id))"""
 
 
-def _risks(spark: SparkSession, d: str) -> DataFrame:
-    s = P.segments(spark, d).where("lang = 'en'")
-    notes = s.where("idx = 1 and video_id % 3 = 0").select("video_id", "text")
+def _risks(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Of all lectures, or of the slice that the SQL takes."""
+    s = P.segments(spark, d).where("true" if whole else "lang = 'en'")
+    notes = s.where("idx = 1" if whole else "idx = 1 and video_id % 3 = 0").select("video_id", "text")
     return K.hallucination_risk(notes, M.full_text(s.where("idx > 1"), "video_id"), notes.select("video_id", F.lit("The").alias("name")))
 
 
@@ -76,12 +77,24 @@ def hallucination_risk(spark: SparkSession, d: str) -> DataFrame:
     return _risks(spark, d)
 
 
+@query()
+def hallucination_risk_all(spark: SparkSession, d: str) -> DataFrame:
+    """J12, F14, U2, U3 of all lectures in every language; tested against a loop."""
+    return _risks(spark, d, whole=True)
+
+
 @query(P.sql("segments", "SELECT video_id, kind, valid, risk, round(greatest(0.0::DOUBLE, CASE WHEN valid THEN 1.0::DOUBLE ELSE 0.5 END - risk * 0.5), 4) AS score, (NOT valid)::INT + (risk > 0.3)::INT AS n_warnings FROM checked JOIN risks USING (video_id)", ARTIFACTS, ENGLISH, NOUNS.replace("FROM segments", "FROM english")))
 def artifact_quality(spark: SparkSession, d: str) -> DataFrame:
     """Q2."""
     return K.artifact_quality(K.missing_keys(_artifacts(spark, d), spark), _risks(spark, d))
 
 
+@query()
+def artifact_quality_all(spark: SparkSession, d: str) -> DataFrame:
+    """Q2 of all lectures; tested against a loop."""
+    return K.artifact_quality(K.missing_keys(_artifacts(spark, d), spark), _risks(spark, d, whole=True))
+
+
 @query(P.sql("segments", "SELECT s.video_id, s.idx FROM segments s LEFT JOIN labels l ON l.doc_id = s.video_id WHERE coalesce(CASE WHEN l.quality = 0 THEN 'chatter' ELSE 'technical' END, 'technical') = 'technical'"))
 def technical_chunks(spark: SparkSession, d: str) -> DataFrame:
     """A chunk without a label stays."""
@@ -92,14 +105,24 @@ def technical_chunks(spark: SparkSession, d: str) -> DataFrame:
 CHUNKS = "chunks AS (SELECT video_id || '_range_' || (idx - 1) AS chunk_id, video_id, idx - 1 AS chunk, start_s, end_s, text FROM segments WHERE video_id % 5 = 0)"
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return P.segments(spark, d).where("video_id % 5 = 0").select(F.concat_ws("", F.col("video_id").cast("string"), F.lit("_range_"), (F.col("idx") - 1).cast("string")).alias("chunk_id"), "video_id", (F.col("idx") - 1).alias("chunk"), "start_s", "end_s", "text")
+def _chunks(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Of all lectures, or of the slice that the SQL takes."""
+    return P.segments(spark, d).where("true" if whole else "video_id % 5 = 0").select(F.concat_ws("", F.col("video_id").cast("string"), F.lit("_range_"), (F.col("idx") - 1).cast("string")).alias("chunk_id"), "video_id", (F.col("idx") - 1).alias("chunk"), "start_s", "end_s", "text")
 
 
 @query(P.sql("segments", """SELECT item, pos, r.chunk_id, coalesce(c.start_s, r.s) AS start_s, coalesce(c.end_s, r.e) AS end_s FROM (SELECT chunk_id AS item, 0 AS pos, CASE WHEN chunk % 3 = 0 THEN chunk_id WHEN chunk % 3 = 1 THEN 'unknown' ELSE video_id || '_range_0' END AS chunk_id, CASE WHEN chunk % 3 <> 0 THEN 1.5::DOUBLE END AS s, CASE WHEN chunk % 3 <> 0 THEN 2.5::DOUBLE END AS e FROM chunks) r LEFT JOIN chunks c USING (chunk_id)""", CHUNKS))
 def source_times(spark: SparkSession, d: str) -> DataFrame:
     """J10, J17."""
-    c = _chunks(spark, d)
+    return _source_times(_chunks(spark, d))
+
+
+@query()
+def source_times_all(spark: SparkSession, d: str) -> DataFrame:
+    """J10, J17 of all lectures; tested against a loop."""
+    return _source_times(_chunks(spark, d, whole=True))
+
+
+def _source_times(c: DataFrame) -> DataFrame:
     ref = lambda name: F.array(F.struct(name.alias("chunk_id"), F.lit(1.5).alias("start_s"), F.lit(2.5).alias("end_s")))
     empty = F.filter(ref(F.lit("")), lambda x: F.lit(False))
     sources = F.when(F.col("chunk") % 3 == 0, empty).when(F.col("chunk") % 3 == 1, ref(F.lit("unknown"))).otherwise(ref(F.concat_ws("", F.col("video_id").cast("string"), F.lit("_range_0"))))
@@ -109,14 +132,33 @@ def source_times(spark: SparkSession, d: str) -> DataFrame:
 @query(P.sql("segments", "SELECT video_id, key, arg_min(value, chunk) AS value FROM (SELECT video_id, chunk, 'k' || (length(text) % 4) AS key, 'v' || chunk AS value FROM chunks) GROUP BY 1, 2", CHUNKS))
 def notation_merge(spark: SparkSession, d: str) -> DataFrame:
     """A15."""
-    maps = _chunks(spark, d).select("video_id", "chunk", F.create_map(F.concat(F.lit("k"), (F.length("text") % 4).cast("string")), F.concat(F.lit("v"), F.col("chunk").cast("string"))).alias("notation"))
+    return _notation(_chunks(spark, d))
+
+
+@query()
+def notation_merge_all(spark: SparkSession, d: str) -> DataFrame:
+    """A15 of all lectures; tested against a loop."""
+    return _notation(_chunks(spark, d, whole=True))
+
+
+def _notation(c: DataFrame) -> DataFrame:
+    maps = c.select("video_id", "chunk", F.create_map(F.concat(F.lit("k"), (F.length("text") % 4).cast("string")), F.concat(F.lit("v"), F.col("chunk").cast("string"))).alias("notation"))
     return K.first_wins(maps).select("video_id", F.explode("notation").alias("key", "value"))
 
 
 @query(P.sql("segments", "SELECT video_id, topic, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM (SELECT video_id, 't' || (chunk % 2) AS topic, unnest(['n' || (length(text) % 6), 'n' || (chunk % 6)]) AS name FROM chunks) WHERE name IN ('n0', 'n2', 'n4') GROUP BY 1, 2", CHUNKS))
 def topic_groups(spark: SparkSession, d: str) -> DataFrame:
     """A16, U3."""
-    c = _chunks(spark, d)
+    return _groups(_chunks(spark, d))
+
+
+@query()
+def topic_groups_all(spark: SparkSession, d: str) -> DataFrame:
+    """A16, U3 of all lectures; tested against a loop."""
+    return _groups(_chunks(spark, d, whole=True))
+
+
+def _groups(c: DataFrame) -> DataFrame:
     name = lambda x: F.concat(F.lit("n"), (x % 6).cast("string"))
     maps = c.select("video_id", F.create_map(F.concat(F.lit("t"), (F.col("chunk") % 2).cast("string")), F.array(name(F.length("text")), name(F.col("chunk")))).alias("groups"))
     names = c.select("video_id").distinct().withColumn("name", F.explode(F.array(*map(F.lit, ("n0", "n2", "n4")))))
@@ -127,8 +169,17 @@ def topic_groups(spark: SparkSession, d: str) -> DataFrame:
 LEFT JOIN (SELECT w.video_id, topic_id, count(*) AS n FROM frames f JOIN w ON w.video_id = f.video_id AND f.timestamp_ms / 1000 BETWEEN w.a AND w.b GROUP BY 1, 2) f USING (video_id, topic_id)""", CHUNKS, "w AS (SELECT video_id, chunk AS topic_id, start_s AS a, end_s + 20 AS b FROM chunks WHERE chunk % 2 = 0 AND end_s + 20 > start_s)"))
 def context_packets(spark: SparkSession, d: str) -> DataFrame:
     """J11."""
-    w = _chunks(spark, d).where("chunk % 2 = 0").select("video_id", F.col("chunk").alias("topic_id"), "start_s", (F.col("end_s") + 20).alias("end_s"))
-    return K.context_packet(w, P.segments(spark, d), P.frames(spark, d))
+    return K.context_packet(_windows(_chunks(spark, d).where("chunk % 2 = 0")), P.segments(spark, d), P.frames(spark, d))
+
+
+@query()
+def context_packets_all(spark: SparkSession, d: str) -> DataFrame:
+    """J11 of all chunks of all lectures; tested against a loop."""
+    return K.context_packet(_windows(_chunks(spark, d, whole=True)), P.segments(spark, d), P.frames(spark, d))
+
+
+def _windows(c: DataFrame) -> DataFrame:
+    return c.select("video_id", F.col("chunk").alias("topic_id"), "start_s", (F.col("end_s") + 20).alias("end_s"))
 
 
 @query(P.sql("", "SELECT user_id, sum(CASE WHEN difficulty = 'easy' THEN 1 ELSE 0 END)::BIGINT AS easy, sum(CASE WHEN difficulty = 'medium' THEN 1 ELSE 0 END)::BIGINT AS medium, sum(CASE WHEN difficulty = 'hard' THEN 1 ELSE 0 END)::BIGINT AS hard FROM (SELECT user_id, CASE WHEN event_id % 5 + 1 <= 2 THEN 'easy' WHEN event_id % 5 + 1 = 3 THEN 'medium' ELSE 'hard' END AS difficulty FROM events) GROUP BY user_id"))
