@@ -163,6 +163,30 @@ def test_knowledge_of_all_lectures_is_a_loop(spark, data):
     assert rows("artifact_quality_all") == sorted(want, key=repr)
 
 
+def test_frames_and_parts_have_their_whole_text(spark, data):
+    rows = lambda name: entry.queries()[name](spark, data).collect()
+    own = {(r.video_id, r.idx): r.text for r in P.segments(spark, data).collect()}
+    assert sum(len(t) > 200 for t in own.values()) > 100
+    clean = lambda t: re.sub(r"\s{2,}", " ", t.strip()) if len(t.strip()) > 1 or t.strip().isdigit() else ""
+    features = rows("ocr_features_all")
+    assert {(r.video_id, r.idx): (r.ocr, r.words, r.characters) for r in features} == {k: (clean(t), len(clean(t).split()), len(clean(t))) for k, t in own.items() if k[1] % 2}
+    inside = rows("chunk_frames_all")
+    assert inside and all(r.clean_text == own[r.video_id, r.idx] for r in inside)
+    pages = {r.video_id: r.markdown for r in rows("unified_markdown_all")}
+    assert all(f"] {r.clean_text}" in pages[r.video_id] for r in inside[:200] if len(r.clean_text) > 200)
+    detail = {(r.video_id, r.idx): r.clean_text for r in rows("frame_detail_all")}
+    assert all(t == (own[k] if k[1] % 5 else None) for k, t in detail.items())
+    # a match is the ratio of the whole texts
+    norm = {(r.video_id, r.idx): r.v for r in P.segments(spark, data).select("video_id", "idx", X.match_text(F.col("text")).alias("v")).collect()}
+    matched = [r for r in rows("frame_match") if r.segment is not None]
+    assert matched and all(r.transcript_similarity == V.token_set_ratio(norm[r.video_id, r.idx], norm[r.video_id, r.segment]) for r in matched)
+    by_video = defaultdict(dict)
+    for (v, i), t in own.items():
+        by_video[v][i] = t
+    assert {r.video_id: r.summary for r in rows("summaries_all")} == {v: "\n\n".join(t for i, t in sorted(x.items()) if i % 4 == 0) if any(i % 4 == 0 for i in x) else "No summary available." for v, x in by_video.items()}
+    assert {r.video_id: r.context for r in rows("first_concepts_all")} == {v: ", ".join(t for _, t in sorted(x.items())[:20]) for v, x in by_video.items()}
+
+
 def test_text_edges(spark):
     one = lambda f, x: spark.createDataFrame([(x,)], "t string").select(f(F.col("t")).alias("v")).first().v
     assert one(X.normalise, "a\r\n b  c ") == "a b c" and one(X.normalise, None) == ""

@@ -202,7 +202,17 @@ def chunk_totals(spark: SparkSession, d: str) -> DataFrame:
 @query(P.sql("segments", "SELECT video_id, coalesce(string_agg(CASE WHEN idx % 4 = 0 THEN left(text, 30) END, chr(10) || chr(10) ORDER BY idx), 'No summary available.') AS summary FROM segments GROUP BY video_id"))
 def summaries(spark: SparkSession, d: str) -> DataFrame:
     """A23."""
-    s = P.segments(spark, d).select("video_id", "idx", F.when(F.col("idx") % 4 == 0, F.substring("text", 1, 30)).alias("part"))
+    return _summaries(P.segments(spark, d).withColumn("text", F.substring("text", 1, 30)))
+
+
+@query()
+def summaries_all(spark: SparkSession, d: str) -> DataFrame:
+    """A23 with whole parts."""
+    return _summaries(P.segments(spark, d))
+
+
+def _summaries(segments: DataFrame) -> DataFrame:
+    s = segments.select("video_id", "idx", F.when(F.col("idx") % 4 == 0, F.col("text")).alias("part"))
     listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("idx", "part")))), lambda x: x["part"])
     return s.groupBy("video_id").agg(F.when(F.size(listed) > 0, F.array_join(listed, "\n\n")).otherwise("No summary available.").alias("summary"))
 
@@ -210,9 +220,19 @@ def summaries(spark: SparkSession, d: str) -> DataFrame:
 @query(P.sql("segments", "SELECT video_id, string_agg(left(text, 12), ', ' ORDER BY idx) AS context FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS r FROM segments) WHERE r <= 20 GROUP BY 1"))
 def first_concepts(spark: SparkSession, d: str) -> DataFrame:
     """O8."""
+    return _concepts(P.segments(spark, d).withColumn("text", F.substring("text", 1, 12)))
+
+
+@query()
+def first_concepts_all(spark: SparkSession, d: str) -> DataFrame:
+    """O8 with whole texts."""
+    return _concepts(P.segments(spark, d))
+
+
+def _concepts(segments: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    top = P.segments(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy("idx"))).where("r <= 20").select("video_id", "idx", F.substring("text", 1, 12).alias("text"))
+    top = segments.withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy("idx"))).where("r <= 20").select("video_id", "idx", "text")
     return top.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), ", ").alias("context"))
 
 

@@ -87,6 +87,13 @@ def chunk_frames(spark: SparkSession, d: str) -> DataFrame:
     return C.frames_in(C.gather(s, C.fixed(s)), P.frames(spark, d))
 
 
+@query()
+def chunk_frames_all(spark: SparkSession, d: str) -> DataFrame:
+    """J7 with the whole text of frames."""
+    s = P.segments(spark, d)
+    return C.frames_in(C.gather(s, C.fixed(s)), P.frames(spark, d, whole=True))
+
+
 @query(P.sql("segments frames", "SELECT f.video_id, f.idx, coalesce(min(g.chunk), 0)::BIGINT AS chunk FROM frames f LEFT JOIN gathered g ON f.video_id = g.video_id AND f.timestamp_ms / 1000 BETWEEN g.start_s AND g.end_s GROUP BY 1, 2", FIXED))
 def formula_chunk(spark: SparkSession, d: str) -> DataFrame:
     """J8."""
@@ -107,6 +114,14 @@ def unified_markdown(spark: SparkSession, d: str) -> DataFrame:
     return C.markdown(chunks, C.frames_in(chunks, P.frames(spark, d)))
 
 
+@query()
+def unified_markdown_all(spark: SparkSession, d: str) -> DataFrame:
+    """F28 with the whole text of frames."""
+    s = P.segments(spark, d)
+    chunks = C.gather(s, C.after(s))
+    return C.markdown(chunks, C.frames_in(chunks, P.frames(spark, d, whole=True)))
+
+
 # Frames
 
 
@@ -147,7 +162,7 @@ def asof_context(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def frame_match(spark: SparkSession, d: str) -> DataFrame:
     """Q6, F4, F5, U5; tested against hand-computed ratios."""
-    return V.match(P.frames(spark, d), P.segments(spark, d))
+    return V.match(P.frames(spark, d, whole=True), P.segments(spark, d))
 
 
 CLEAN = "array_to_string(list_transform(list_filter(list_transform(string_split(clean_text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 1 OR regexp_matches(x, '^\\d$')), lambda x: regexp_replace(x, '\\s{2,}', ' ', 'g')), chr(10))"
@@ -161,13 +176,19 @@ def ocr_features(spark: SparkSession, d: str) -> DataFrame:
     return V.features(P.frames(spark, d)).select("video_id", "idx", "ocr", "words", "characters", "has_code", "has_equation", "has_bullets")
 
 
+@query()
+def ocr_features_all(spark: SparkSession, d: str) -> DataFrame:
+    """F11, F12, A14 of the whole text."""
+    return V.features(P.frames(spark, d, whole=True)).select("video_id", "idx", "ocr", "words", "characters", "has_code", "has_equation", "has_bullets")
+
+
 SCORED = """scored AS (SELECT *, round(least(greatest(0 * 0.35 + least(length(trim(clean_text)) / 800, 1.0) * 0.25::DOUBLE + least(CASE WHEN has_code THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN has_equation THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN has_bullets THEN 0.3::DOUBLE ELSE 0 END, 1.0) * 0.2::DOUBLE
 + least(blur_score / 1000, 1.0) * 0.1::DOUBLE + least(duration_ms / 60000, 1.0) * 0.1::DOUBLE, 0), 1) + 1e-9, 4) AS importance FROM featured),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id, scene_number ORDER BY importance DESC, idx) <= 1 AS is_selected FROM scored)"""
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return V.select_top(V.importance(V.features(P.frames(spark, d)).withColumn("transcript_similarity", F.lit(0.0))))
+def _scored(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return V.select_top(V.importance(V.features(P.frames(spark, d, whole)).withColumn("transcript_similarity", F.lit(0.0))))
 
 
 @query(P.sql("frames", "SELECT video_id, idx, importance FROM scored", FEATURES, SCORED))
@@ -176,16 +197,37 @@ def frame_score(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("video_id", "idx", "importance")
 
 
+@query()
+def frame_score_all(spark: SparkSession, d: str) -> DataFrame:
+    """F19, F21 by the whole text."""
+    return _scored(spark, d, whole=True).select("video_id", "idx", "importance")
+
+
 @query(P.sql("frames", "SELECT video_id, scene_number, idx, is_selected FROM ranked", FEATURES, SCORED))
 def top_frames(spark: SparkSession, d: str) -> DataFrame:
     """W8, P13."""
     return _scored(spark, d).select("video_id", "scene_number", "idx", "is_selected")
 
 
+@query()
+def top_frames_all(spark: SparkSession, d: str) -> DataFrame:
+    """W8, P13 by the whole text; the selected frames are P12, the others U1."""
+    return _scored(spark, d, whole=True).select("video_id", "scene_number", "idx", "is_selected")
+
+
 @query(P.sql("frames", "SELECT f.video_id, f.idx, f.scene_number, CASE WHEN f.idx % 3 <> 0 THEN f.blur_score END AS blur_score, CASE WHEN f.idx % 5 <> 0 THEN f.clean_text END AS clean_text, CASE WHEN f.idx % 7 <> 0 THEN importance END AS importance, f.idx % 7 <> 0 AND is_selected AS is_selected FROM frames f JOIN ranked USING (video_id, idx)", FEATURES, SCORED))
 def frame_detail(spark: SparkSession, d: str) -> DataFrame:
     """Three left joins."""
-    f, s = P.frames(spark, d), _scored(spark, d)
+    return _details(P.frames(spark, d), _scored(spark, d))
+
+
+@query()
+def frame_detail_all(spark: SparkSession, d: str) -> DataFrame:
+    """J3, O5 with the whole text."""
+    return _details(P.frames(spark, d, whole=True), _scored(spark, d, whole=True))
+
+
+def _details(f: DataFrame, s: DataFrame) -> DataFrame:
     return V.frame_details(f.select("video_id", "idx", "scene_number"), f.where("idx % 3 <> 0").select("video_id", "idx", "blur_score"), f.where("idx % 5 <> 0").select("video_id", "idx", "clean_text"), s.where("idx % 7 <> 0").select("video_id", "idx", "importance", "is_selected"))
 
 
@@ -210,13 +252,13 @@ def stage_funnel(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def vision_run(spark: SparkSession, d: str) -> DataFrame:
     """Q7: unique, sharp, matched, scored and selected frames."""
-    return V.pipeline(P.frames(spark, d), P.segments(spark, d)).select("video_id", "idx", "scene_number", "transcript_similarity", "importance", "is_selected")
+    return V.pipeline(P.frames(spark, d, whole=True), P.segments(spark, d)).select("video_id", "idx", "scene_number", "transcript_similarity", "importance", "is_selected")
 
 
 @query()
 def frame_tables(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the four tables with their shared key."""
-    t = V.tables(_scored(spark, d))
+    t = V.tables(_scored(spark, d, whole=True))
     return t["video_frames"].join(t["frame_scores"], ["frame_id", "video_id"]).select("frame_id", "video_id", "scene_number", "is_selected")
 
 
@@ -299,14 +341,14 @@ def full_text(spark: SparkSession, d: str) -> DataFrame:
 def lecture_markdown(spark: SparkSession, d: str) -> DataFrame:
     """F29."""
     scenes = P.scenes(spark, d)
-    return M.lecture_markdown(M.sections(P.segments(spark, d), scenes), P.segments(spark, d), M.scene_windows(scenes), P.frames(spark, d))
+    return M.lecture_markdown(M.sections(P.segments(spark, d), scenes), P.segments(spark, d), M.scene_windows(scenes), P.frames(spark, d, whole=True))
 
 
 @query()
 def merged_lectures(spark: SparkSession, d: str) -> DataFrame:
     """Nested records, counted."""
     built = M.sections(P.segments(spark, d), P.scenes(spark, d))
-    return M.lectures(P.segments(spark, d), P.frames(spark, d), built).select("video_id", F.size("sections").alias("n_sections"), F.size("segments").alias("n_segments"), F.coalesce(F.size("frames"), F.lit(0)).alias("n_frames"))
+    return M.lectures(P.segments(spark, d), P.frames(spark, d, whole=True), built).select("video_id", F.size("sections").alias("n_sections"), F.size("segments").alias("n_segments"), F.coalesce(F.size("frames"), F.lit(0)).alias("n_frames"))
 
 
 @query(P.sql("segments", "SELECT video_id, idx, CASE WHEN formula THEN 'equation' WHEN regexp_matches(text, '(?m)(def |class |import |#include|<[a-z]|\\{|\\}|;$|\\(\\))') THEN 'code' WHEN regexp_matches(lower(text), '\\b(is|are) (a|an|the)\\b|means|defined as') THEN 'definition' ELSE 'narrative' END AS structure FROM (SELECT *, regexp_matches(text, '[∑∫√²³∂≤≥≈≠]') OR (contains(text, '=') AND (regexp_matches(text, '[+\\-*/^]') OR regexp_matches(text, '\\b[A-Za-z]+\\s*=\\s*[A-Za-z0-9]'))) OR (regexp_matches(text, '\\b[A-Za-z0-9]+\\s*[+\\-*/]\\s*[A-Za-z0-9]+\\b') AND NOT regexp_matches(text, '^[A-Za-z\\s\\-]+$')) AS formula FROM segments)"))

@@ -46,13 +46,16 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select("video_id", length.alias("media_s"), F.lit("en").alias("requested"), F.col("lang").alias("actual"), source.alias("source_type"))
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key frames: one for each odd segment, with recognised text, blur score and perceptual hash."""
+def frames(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Key frames: one for each odd segment, with recognised text, blur score and perceptual hash.
+
+    The text is the whole line, or the first 200 characters of it that the SQL takes.
+    """
     s = segments(spark, sf_dir).where("idx % 2 = 1")
     v, i = F.col("video_id"), F.col("idx")
     return s.select(
         "video_id", "idx", (F.floor((i - 1) / 4) + 1).alias("scene_number"), (F.col("start_s") * 1000 + 500).cast("long").alias("timestamp_ms"),
-        ((F.col("end_s") - F.col("start_s")) * 1000).cast("long").alias("duration_ms"), F.substring("text", 1, 200).alias("clean_text"),
+        ((F.col("end_s") - F.col("start_s")) * 1000).cast("long").alias("duration_ms"), (F.col("text") if whole else F.substring("text", 1, 200)).alias("clean_text"),
         (((v * 7919 + i * 104729) % 1000) / 8).alias("blur_score"), F.substring(F.md5(F.concat_ws("-", v.cast("string"), F.floor(i / 3).cast("string"))), 1, 16).alias("phash"),
         (((v * 31 + i * 17) % 100) / 100).alias("average_confidence"),
     )
