@@ -336,6 +336,18 @@ def test_op10_finds_what_is_similar(spark, monkeypatch):
     assert [got[i] == 0 for i in range(120)] == (root == np.arange(120)).tolist()
 
 
+def test_op10_two_bands_are_as_good_as_sure():
+    """Lines of a large bucket have to share two bands; at similarity 0.8 hardly a pair doesn't."""
+    rng = np.random.default_rng(7)
+    n, size, tail = 20_000, 107, 11  # 100 shingles each; the last 11 differ: 89 of 111 in common
+    lines = rng.integers(33, 127, (2 * n, size)).astype(np.uint8)
+    lines[n:, : size - tail] = lines[:n, : size - tail]
+    start = np.arange(2 * n) * size
+    keys = line_dedup.signatures(lines.ravel(), start, start + size)
+    shared = (keys[:, :n] == keys[:, n:]).sum(axis=0)
+    assert (shared >= 2).mean() > 0.9995
+
+
 def test_op1_model_sums_to_one(spark, docs):
     model = quality.fit(quality.count_grams(docs)).toPandas()
     rows = [model[c].to_numpy() for c in ("kind", "order", "key", "value")]

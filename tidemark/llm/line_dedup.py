@@ -2,12 +2,12 @@
 
 A line is compared by its bytes without white space at its ends and with A-Z
 lower-cased. Its set is its distinct 8-byte shingles, which fit a 64-bit number
-exactly; a shorter line is one shingle. Equal lines are one from the start. 16
-bands of 4 MinHash values find a pair at similarity 0.8 with probability 0.9998.
+exactly; a shorter line is one shingle. Equal lines are one from the start. Of 24
+bands of 4 MinHash values a pair at similarity 0.8 shares one with probability 0.999997.
 All pairs of a small bucket are candidates. A large bucket may hold many lines that
-only have a passage in common; there a pair has to share a second bucket, which 0.9974 of the
-pairs at similarity 0.8 do, and more of those above. Candidates are verified by their exact Jaccard similarity, and verified links are
-joined by distributed union-find. Of each component the first line stays, by
+only have a passage in common; there a pair has to share a second bucket, which
+0.99994 of the pairs at similarity 0.8 do, and more of those above. Candidates are verified
+by their exact Jaccard similarity, and verified links are joined by distributed union-find. Of each component the first line stays, by
 (doc_id, line number), and all other occurrences go.
 
 Defined results: a null text has no lines and stays null; an empty text has one
@@ -35,7 +35,7 @@ from tidemark.llm.components import link_groups
 from tidemark.llm.storage import written
 
 SHINGLE = 8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 24, 4
 #: Lines in a bucket of which all pairs are candidates; larger buckets are split by a second band.
 GROUP = 8
 
