@@ -299,53 +299,67 @@ def test_op3_tiles_and_pairs(spark, docs, empty):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
-def test_op10_lines(spark, empty):
-    long = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark forest tonight"
-    near = long.replace("tonight", "again")
-    own = [(0, f"{long}\nunique zero here"), (1, f"  {long.upper()}  \nunique one there\n\n"), (2, f"{near}\nshort"), (3, f"short\n{near}\nshort"), (4, None), (5, ""), (6, " \n\t"), (7, "Short"), (7, "Short\nother things entirely"), (None, long)]
-    rows = line_dedup.remove_lines(documents(spark, own)).collect()
-    got = defaultdict(list)
-    for r in rows:
-        got[r.doc_id].append((r.text, r.n_lines, r.n_removed))
-    assert got[0] == [(own[0][1], 2, 0)]
-    assert got[1] == [("unique one there\n\n", 4, 1)]
-    assert got[2] == [("short", 2, 1)]
-    assert got[3] == [("", 3, 3)]
-    assert got[4] == [(None, 0, 0)] and got[5] == [("", 1, 0)] and got[6] == [(" \n\t", 2, 0)]
-    assert sorted(got[7]) == [("", 1, 1), ("other things entirely", 2, 1)]
-    assert got[None] == [(long, 1, 0)]
-    assert all(r[c] == i for r in rows for i, c in enumerate(CLASHES))
-    assert line_dedup.remove_lines(empty).count() == 0
-
-
-def test_op10_finds_what_is_similar(spark, monkeypatch):
-    """All pairs at 0.8 or more are found, also when buckets of three lines count as large."""
-    monkeypatch.setattr(line_dedup, "GROUP", 2)
+def lines_brute(own):
+    """(text, n_lines, n_removed) of each row by comparing every line with every other one."""
+    trim = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    shingles = lambda x: {x[i : i + 8] for i in range(max(1, len(x) - 7))}
+    places = [(i, k, trim(lower(x)).encode()) for i, t in own if i is not None and t is not None for k, x in enumerate(t.split("\n"))]
+    lines = sorted({x for _, _, x in places if x})
+    sets = [shingles(x) for x in lines]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    root = components.forest(len(lines), np.array([i for i, _ in links], int), np.array([j for _, j in links], int)).tolist()
+    of, first = dict(zip(lines, root, strict=True)), {}
+    for i, k, x in sorted(places):
+        if x:
+            first.setdefault(of[x], (i, k))
+    out = []
+    for i, t in own:
+        if t is None:
+            out.append((i, None, 0, 0))
+            continue
+        parts = t.split("\n")
+        stay = [x for k, x in enumerate(parts) if i is None or not trim(x) or first[of[trim(lower(x)).encode()]] == (i, k)]
+        out.append((i, "\n".join(stay), len(parts), len(parts) - len(stay)))
+    return out
+
+
+@pytest.mark.parametrize("group", [8, 2])
+def test_op10_against_brute_force(spark, empty, monkeypatch, group):
+    """Also with buckets of three lines held to be large; texts, counts and hashes of every document."""
+    monkeypatch.setattr(line_dedup, "GROUP", group)
     rng = random.Random(4)
     base = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(99)}" for _ in range(40)) for _ in range(12)]
     lines = []
-    for k in range(120):
+    for k in range(160):  # families about the threshold, and a passage that many have in common
         w = rng.choice(base).split()
-        for _ in range(rng.randrange(3)):
+        for _ in range(rng.randrange(4)):
             w[rng.randrange(40)] = f"q{k}{rng.randrange(99)}"
-        lines.append(" ".join(w))
-    shingles = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
-    a, b = zip(*[(i, j) for i in range(120) for j in range(i) if 100 * len(shingles[i] & shingles[j]) >= 80 * len(shingles[i] | shingles[j])], strict=True)
-    root = components.forest(120, np.array(a), np.array(b))
-    got = {r.doc_id: r.n_removed for r in line_dedup.remove_lines(documents(spark, list(enumerate(lines)))).collect()}
-    assert [got[i] == 0 for i in range(120)] == (root == np.arange(120)).tolist()
+        lines.append((" ".join(base[0].split()[:25]) + " " if k % 4 == 0 else "") + " ".join(w))
+    long = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark forest tonight"
+    own = [(i, "\n".join(rng.sample(lines, 3) + rng.choice([["short"], ["", " \t"], []]))) for i in range(90)]
+    own += [(100, f"{long}\nunique zero here"), (101, f"  {long.upper()}  \nunique one there\n\n"), (102, long.replace("tonight", "again")), (103, f"Short\n{long}\nshort"), (104, None), (105, ""), (106, " \n\t" + " " * 40), (107, "Short"), (107, "Short\nother things entirely"), (None, long), (108, "x" * 300_000), (109, "x" * 300_000 + "y\n" + "z " * 50_000)]
+    own += [(200 + i, t) for i, t in enumerate(texts())]
+    df = documents(spark, own)
+    for c in ("n_lines", "n_removed", "kept_sha256", "dropped_lines", "dropped_from", "check", "number", "part"):
+        df = df.withColumn(c, F.lit("clash"))
+    rows = line_dedup.remove_lines(df).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in rows), key=key) == sorted(lines_brute(own), key=key)
+    assert all(r.kept_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() and r.part == "clash" for r in rows)
+    assert all(r[c] == i for r in rows for i, c in enumerate(CLASHES))
+    assert line_dedup.remove_lines(empty).count() == 0
 
 
-def test_op10_two_bands_are_as_good_as_sure():
-    """Lines of a large bucket have to share two bands; at similarity 0.8 hardly a pair doesn't."""
+def test_op10_recall_of_the_shipped_bands():
+    """Pairs just above 0.8, short and long: all but a few in ten thousand share a bucket, whatever its size."""
     rng = np.random.default_rng(7)
-    n, size, tail = 20_000, 107, 11  # 100 shingles each; the last 11 differ: 89 of 111 in common
-    lines = rng.integers(33, 127, (2 * n, size)).astype(np.uint8)
-    lines[n:, : size - tail] = lines[:n, : size - tail]
-    start = np.arange(2 * n) * size
-    keys = line_dedup.signatures(lines.ravel(), start, start + size)
-    shared = (keys[:, :n] == keys[:, n:]).sum(axis=0)
-    assert (shared >= 2).mean() > 0.9995
+    for size, tail in ((30, 2), (50, 4), (107, 11), (307, 33)):
+        n = 5000
+        lines = rng.integers(33, 127, (2 * n, size)).astype(np.uint8)
+        lines[n:, : size - tail] = lines[:n, : size - tail]
+        start = np.arange(2 * n) * size
+        keys = line_dedup.signatures(lines.ravel(), start, start + size)
+        assert ((keys[:, :n] == keys[:, n:]).sum(axis=0) >= 1).mean() > 0.998
 
 
 def test_op1_model_sums_to_one(spark, docs):

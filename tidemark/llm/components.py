@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.storage import checkpoint, written
 
+#: Members of a group that its centre meets in one task.
+BLOCK = 1024
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that is reachable from each id in links (a, b).
@@ -55,51 +58,35 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new[root]
 
 
-def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = 0.8, rest_pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest_pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (id, component) over known links (a, b), candidate pairs (a, b), and groups (part, id) in which any two may be linked.
 
-    rest_pairs, if given, makes the candidate pairs (a, b) of members (id, component) of groups that hold several components.
-
-    verify gives the Jaccard similarity of pairs as (a, b, similarity, linked); of pairs with
-    a column reach it may leave out those further apart than 1 - threshold + reach. A group is
-    first checked against its smallest member, so a large group of copies stays linear.
-    Members linked to one are held by it as their pivot. Jaccard distance is a metric:
-    two members of different components can only be linked when their pivots are no
-    further apart than 1 - threshold plus both distances to the pivots. Without rest_pairs, pivots of different
-    components in a group are compared, and their members only where that bound allows it.
+    verify gives the linked ones (a, b) of pairs (a, b, block). A group is first checked against
+    its smallest member, so a large group of copies stays linear; such a centre meets its
+    members in blocks of at most BLOCK a group, so no task has all of them. rest_pairs makes
+    the candidate pairs (a, b) of members (id, component) of groups that hold several components.
     """
     members = written(members.distinct())
-    centre = checkpoint(members.groupBy("part").agg(F.min("id").alias("a")))
-    stars = members.join(centre, "part").where("a <> id").select("a", F.col("id").alias("b"))
-    checked = written(verify(checkpoint(pairs.unionByName(stars).distinct())))
-    links = written(links.unionByName(checked.where("linked").select("a", "b")))
+    centre = checkpoint(members.groupBy("part").agg(F.min("id").alias("a"), F.count("*").alias("n")))
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    stars = members.join(centre, "part").where("a <> id").select("a", F.col("id").alias("b"), block.alias("block"))
+    pairs = pairs.select("a", "b", F.lit(0).alias("block")).unionByName(stars).groupBy("a", "b").agg(F.min("block").alias("block"))
+    links = written(links.unionByName(verify(written(pairs))))
     joined = components(links)
     if members.isEmpty():
         return joined
     labels = joined.select(F.col("id").alias("node"), "component")
     labelled = written(members.join(labels, members["id"] == labels["node"], "left").select("part", "id", F.coalesce("component", "id").alias("component")))
     mixed = labelled.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("part")
-    if rest_pairs is not None:
-        rest = written(labelled.join(mixed, "part", "left_semi").select("id", "component").distinct())
-        if rest.isEmpty():
-            return joined
-        found = verify(written(rest_pairs(rest))).where("linked").select("a", "b")
-        return components(written(links.unionByName(found)))
-    held = checked.where("linked").groupBy(F.col("b").alias("held")).agg(F.min(F.struct("a", "similarity")).alias("holder"))
-    rest = labelled.join(mixed, "part", "left_semi")
-    rest = written(rest.join(held, rest["id"] == held["held"], "left").select("part", "id", "component", F.coalesce("holder.a", "id").alias("pivot"), F.coalesce(1 - F.col("holder.similarity"), F.lit(0.0)).alias("radius")))
+    rest = written(labelled.join(mixed, "part", "left_semi").select("id", "component").distinct())
     if rest.isEmpty():
         return joined
-    pivots = rest.groupBy("part", "pivot", "component").agg(F.max("radius").alias("radius"))
-    other = pivots.select("part", F.col("pivot").alias("b"), F.col("component").alias("component_b"), F.col("radius").alias("radius_b"))
-    apart = pivots.withColumnRenamed("pivot", "a").join(other, "part").where("a < b and component <> component_b").groupBy("a", "b").agg(F.max(F.col("radius") + F.col("radius_b")).alias("reach"))
-    apart = written(apart)
-    near = verify(apart).join(apart, ["a", "b"]).where(1 - F.col("similarity") <= 1 - threshold + F.col("reach") + 1e-9)
-    near = written(near.select("a", "b", "similarity"))
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    holding = written(rest.select("id", "pivot", "radius").distinct())
-    first = holding.select(F.col("id").alias("x"), F.col("pivot").alias("a"), F.col("radius").alias("rx")).join(both, "a")
-    second = holding.select(F.col("id").alias("y"), F.col("pivot").alias("b"), F.col("radius").alias("ry"))
-    across = first.join(second, "b").where((F.col("x") < F.col("y")) & (1 - F.col("similarity") <= 1 - threshold + F.col("rx") + F.col("ry") + 1e-9))
-    found = verify(written(across.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())).where("linked").select("a", "b")
+    found = verify(written(rest_pairs(rest).withColumn("block", F.lit(0))))
     return components(written(links.unionByName(found)))
+
+
+def with_sides(pairs: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b, block) with the columns of both sides from known (id, ...) as a_.. and b_..; a's go once to each of its blocks."""
+    side = lambda c: known.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in columns])
+    blocks = pairs.select("a", "block").distinct().join(side("a"), "a")
+    return pairs.join(side("b"), "b").join(blocks, ["a", "block"])

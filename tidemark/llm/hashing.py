@@ -43,6 +43,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order, by one sort."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
 def flat(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and the n + 1 offsets; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -5,9 +5,11 @@ one bit of a sketch of P parts, so the Hamming distance of two sketches is at mo
 the symmetric difference d of the sets. A Jaccard similarity of at least 0.8 means
 d <= (|A| + |B|) / 9, which is bounded in the band: with P = D + 1 + r parts, where
 D bounds d, at least r + 1 parts of the two sketches are equal (pigeonhole). Parts
-are 2**20 bits wide and are held as one 64-bit XOR code of the bits that are set.
+are 2**20 bits wide and are held as one XOR code of the bits that are set. A set is in its
+own band and, where a similar one may be in the next band, in that as well.
 
-Equal parts meet in shards. Of a part that at most ``HOT`` documents share, all pairs
+Documents with equal sets are one class, found first by a code of 128 bits; only its smallest
+document goes on. Equal parts meet in shards. Of a part that at most ``HOT`` documents share, all pairs
 are counted; a pair can only be similar when it shares r + 1 parts, less those of
 its parts that are empty or hot, so chance pairs never reach the exact check. A
 document of which at most r parts are empty or hot is sure to meet every partner in
@@ -17,12 +19,10 @@ against the smallest document of the part; documents of such parts that are stil
 different components meet by the rarest fifth of their shingles.
 Every candidate is verified by the exact intersection of the sets.
 
-Documents with equal sets are a class that takes part once for each slice of the input.
-
 Defined results: with fewer than five words the whole sequence is the one shingle; a null
-or empty text has no shingles and links with nothing; rows with equal doc_id count as one
+or empty text has no shingles and links with nothing; texts may be of any length; rows with equal doc_id count as one
 document with the links of all, and each row is returned with its own n_shingles; rows with
-a null doc_id link with nothing and have a null component; other columns are ignored.
+a null doc_id link with nothing and have a null component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,37 +32,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom
+from tidemark.llm import bloom, rarest
 from tidemark.llm import exchange as X
 from tidemark.llm import hashing as H
-from tidemark.llm.components import link_groups
+from tidemark.llm.components import link_groups, with_sides
 from tidemark.llm.filtering import without
 from tidemark.llm.storage import checkpoint, written
 
 #: Members of a part of which all pairs are counted.
 HOT = 16
 WIDTH_BITS = 20
-#: Bits of a shingle's hash, beside the row in a slice of at most 1024.
+#: Bits of a shingle's hash, beside the row in a slice of at most 1024; sets are stored with so many bytes a hash.
 HASH_BITS = 54
+HASH_BYTES = 7
+#: Bits of a part's code that are sent; others choose its shard.
+CODE_BITS = 48
 #: Bits of the compact sketch that candidates are compared by before their sets are.
 SKETCH_BITS = 4096
+#: Size bands grow by this ratio.
+BAND = (5, 3)
 
 
 def _bands(n: int) -> np.ndarray:
-    """Lower ends of the size bands up to n; similar sets are in the same band or in neighbouring ones."""
+    """Lower ends of the size bands up to n and two more; similar sets are in the same band or in neighbouring ones."""
     low = [1]
     while low[-1] <= n:
-        low.append(low[-1] * 5 // 4 + 1)
-    low.append(low[-1] * 5 // 4 + 1)
-    low.append(low[-1] * 5 // 4 + 1)
+        low.append(low[-1] * BAND[0] // BAND[1] + 1)
+    for _ in range(2):
+        low.append(low[-1] * BAND[0] // BAND[1] + 1)
     return np.array(low)
 
 
 def sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles as (row, hash) sorted by row, the number a row, and a 64-bit code of each row's set; 1024 texts at most."""
+    """Distinct shingles as (row, hash) sorted by row, the number a row, and a 128-bit code of each row's set as two columns; 1024 texts at most."""
     buf, offsets = H.flat(texts, lower=True)
     start, end, row = H.word_spans(buf, offsets)
     words = H.range_hash(buf, start, end)
@@ -73,36 +78,39 @@ def sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarra
     h = np.r_[h, H.range_hash(words, first[short], first[short] + n_words[short])]
     row = np.r_[row[at], short]
     # one sort of numbers that hold the row and 54 bits of the hash
-    both = np.unique((row.astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS)))
+    both = H.distinct((row.astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS)))
     row, h = (both >> np.uint64(HASH_BITS)).astype(np.int64), both & np.uint64((1 << HASH_BITS) - 1)
     n = np.bincount(row, minlength=len(texts))
     bounds = np.r_[0, np.cumsum(n)]
-    total = np.r_[np.uint64(0), np.cumsum(H.mix(h + np.uint64(0x51ED270B)), dtype=np.uint64)]
-    code = H.mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    code = np.empty((len(texts), 2), np.uint64)
+    for lane, salt in enumerate((0x51ED270B, 0xA0761D6478BD642F)):
+        total = np.r_[np.uint64(0), np.cumsum(H.mix(h + np.uint64(salt)), dtype=np.uint64)]
+        code[:, lane] = H.mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     return row, h, n, code
 
 
-def parts(row: np.ndarray, h: np.ndarray, n: np.ndarray):
-    """For the rows' own bands and the next ones: (entries, signatures).
+def parts(h: np.ndarray, n: np.ndarray):
+    """The parts of rows with n hashes each, for their own bands and the next ones: (entries, entry, code).
 
-    entries: row, level, whether the row is below the level's own band, and how many of its
-    emitted parts may be hot. signatures: entry and 64-bit code of each part.
+    entries: row, whether the row is below the level's own band, how many of its emitted parts may be hot,
+    and how many parts a similar pair shares of those that are sent. entry and code are those of each part.
     """
     low = _bands(int(n.max(initial=1)))
     band = np.searchsorted(low, n, side="right") - 1
-    bounds = np.r_[0, np.cumsum(n)]
-    entries, entry_of, codes = [], [], []
+    row = np.repeat(np.arange(len(n)), n)
+    entries, entry_of, codes = [np.zeros((0, 4), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     count = 0
     for up in (0, 1):
         level = band + up
         most = 2 * (low[level + 1] - 1) // 9
-        some = np.flatnonzero((n > 0) & (most > 0))
+        wanted = (n > 0) & (most > 0) & ((5 * n >= 4 * low[level]) | (up == 0))
+        some = np.flatnonzero(wanted)
+        if not len(some):
+            continue
         n_parts = most + 1 + (most + 1) // 5 + 3
         spare = n_parts - most - 1
-        shingles = np.repeat(some, n[some])
-        if not len(shingles):
-            continue
-        own = h[np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in some])]
+        shingles = row[wanted[row]]
+        own = h[wanted[row]]
         x = H.mix(own ^ (level[shingles].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         part = ((x >> np.uint64(32)) * n_parts[shingles].astype(np.uint64)) >> np.uint64(32)
         bit = H.mix((x & np.uint64((1 << WIDTH_BITS) - 1)) + np.uint64(0x632BE59BD9B4E019))
@@ -116,188 +124,237 @@ def parts(row: np.ndarray, h: np.ndarray, n: np.ndarray):
         said = empty <= spare[some] // 2  # then empty parts needn't be sent
         sent = (word != 0) | ~said[owner]
         key = H.mix(word + H.mix((np.arange(len(word)) - begin[owner]).astype(np.uint64) * np.uint64(1 << 16) + level[some][owner].astype(np.uint64)))
-        entries.append(np.stack([some, level[some], np.full(len(some), up), np.where(said, spare[some] - empty, spare[some] - spare[some] // 2)], axis=1))
+        may_miss = np.where(said, spare[some] - empty, spare[some] - spare[some] // 2)
+        entries.append(np.stack([some, np.full(len(some), up), may_miss, spare[some] + 1 - spare[some] // 2], axis=1))
         entry_of.append(owner[sent] + count)
         codes.append(key[sent])
         count += len(some)
-    if not entries:
-        return np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(entries), np.concatenate(entry_of), np.concatenate(codes)
 
 
-def _candidates(docs: DataFrame, k: int) -> DataFrame:
-    """What shards say of equal parts: kind 0 pairs (a, b, level, n shared, spare), kind 1 members b of hot parts a (level, -, spare)."""
+class View:
+    """The sets of a batch of (doc_id, text) rows."""
+
+    def __init__(self, table: pa.Table, k: int):
+        rows, self.h, n, code = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
+        for b in X.slices(table.to_batches(), 1 << 20):
+            _, h, m, c = sets(b.column(1), k)
+            self.h.append(h)
+            n.append(m)
+            code.append(c)
+        self.h, self.n, self.code = np.concatenate(self.h), np.concatenate(n), np.concatenate(code)
+        self.ids = table.column("doc_id").to_numpy()
+        order = np.lexsort((self.code[:, 1], self.code[:, 0]))
+        a, b = self.code[order, 0], self.code[order, 1]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(order)]
+        self.which = np.empty(len(order), np.int64)  # the class of each row
+        self.which[order] = np.cumsum(new) - 1
+        self.classes = self.code[order[new]]
+
+    def by_shard(self, n_shards: int):
+        return X.by_shard((self.classes[:, 0] % np.uint64(n_shards)).astype(np.int64), n_shards)
+
+    def parts(self, least: np.ndarray, n_shards: int):
+        """Entries and parts of the rows that are the smallest of their class, and the parts by shard and code."""
+        rep = np.flatnonzero((self.n > 0) & (least[self.which] == self.ids))
+        chosen = np.zeros(len(self.n), bool)
+        chosen[rep] = True
+        entries, entry, code = parts(self.h[np.repeat(chosen, self.n)], self.n[rep])
+        entries[:, 0] = rep[entries[:, 0]]
+        short = (code // np.uint64(n_shards)) & np.uint64((1 << CODE_BITS) - 1)
+        by_code = np.argsort(short)
+        order, bounds = X.by_shard((code[by_code] % np.uint64(n_shards)).astype(np.int64), n_shards)
+        return entries, entry, short, by_code[order], bounds
+
+
+def _nodes(batch: int, entry: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """A number for each entry of a batch, odd where it is below the level's own band."""
+    return ((batch >> 32) << 40 | (batch & 0xFFFFFFFF) << 18) + 2 * entry + below
+
+
+def _met(docs: DataFrame, k: int) -> DataFrame:
+    """(kind, a, b, c, d), all that batches and shards find out: 0 pairs of nodes (a, b, n shared); 1 nodes (node, doc_id, hot parts, needed);
+    2 documents (doc_id, n_shingles, smallest equal one or null); 3 hot parts (part, doc_id) that a document may not leave out."""
     n_shards = X.shards(docs)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in X.slices(batches):
-            b = b.take(pc.sort_indices(b.column(0)))
-            row, h, n, code = sets(b.column(1), k)
-            _, once = np.unique(code, return_index=True)  # a class once, by its smallest document
-            n = np.where(np.isin(np.arange(len(n)), once), n, 0)
-            keep = n[row] > 0
-            entries, entry, key = parts(row[keep], h[keep], n)
-            ids = b.column(0).to_numpy()[entries[:, 0]]
-            order, bounds = X.by_shard((key % np.uint64(n_shards)).astype(np.int64), n_shards)
-            for s in np.flatnonzero(np.diff(bounds)):
-                own = order[bounds[s] : bounds[s + 1]]
-                here, which = np.unique(entry[own], return_inverse=True)
-                body = X.dump(key[own], np.diff(which, prepend=0).astype(np.uint16), np.diff(ids[here], prepend=0), entries[here, 1].astype(np.uint8), entries[here, 2].astype(np.uint8), entries[here, 3].astype(np.uint32))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "body": pa.array([body], pa.binary())})
-
-    names = ["kind", "a", "b", "level", "n", "spare"]
+    packed = X.pack(docs)
+
+    def classes(table: pa.Table):
+        v = View(table, k)
+        least = np.full(len(v.classes), np.iinfo(np.int64).max)
+        np.minimum.at(least, v.which, v.ids)
+        order, bounds = v.by_shard(n_shards)
+        for s in np.flatnonzero(np.diff(bounds)):
+            own = order[bounds[s] : bounds[s + 1]]
+            yield int(s), X.dump(v.classes[own].ravel(), least[own])
+
+    def least_of(bodies: list[bytes]) -> list[bytes]:
+        got = [X.load(b, np.uint64, np.int64) for b in bodies]
+        code, ids = np.concatenate([g[0].reshape(-1, 2) for g in got]), np.concatenate([g[1] for g in got])
+        order = np.lexsort((ids, code[:, 1], code[:, 0]))
+        a, b = code[order, 0], code[order, 1]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        least = np.empty(len(ids), np.int64)
+        least[order] = ids[order[new]][np.cumsum(new) - 1]
+        return [X.dump(x) for x in np.split(least, np.cumsum([len(g[1]) for g in got])[:-1])]
+
+    def send(table: pa.Table, replies: dict[int, bytes]):
+        v = View(table, k)
+        least = np.zeros(len(v.classes), np.int64)
+        order, bounds = v.by_shard(n_shards)
+        for s, body in replies.items():
+            least[order[bounds[s] : bounds[s + 1]]] = X.load(body, np.int64)[0]
+        yield X.KEPT, X.dump(least)
+        entries, entry, short, order, bounds = v.parts(least, n_shards)
+        for s in np.flatnonzero(np.diff(bounds)):
+            own = order[bounds[s] : bounds[s + 1]]
+            yield int(s), X.dump(X.dump_sorted(short[own]), np.ascontiguousarray((2 * entry[own] + entries[entry[own], 1]).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel())
 
     def meet(table: pa.Table) -> pa.Table:
-        got = [X.load(x, np.uint64, np.uint16, np.int64, np.uint8, np.uint8, np.uint32) for x in table.column("body").to_pylist()]
-        at = [np.cumsum(g[1].astype(np.int64)) for g in got]
-        key = np.concatenate([g[0] for g in got])
-        doc = np.concatenate([np.cumsum(g[2])[w] for g, w in zip(got, at, strict=True)])
-        level, below, spare = (np.concatenate([g[i][w] for g, w in zip(got, at, strict=True)]).astype(np.int64) for i in (3, 4, 5))
+        if table.column("shard")[0].as_py() < 0:
+            return table.select(["batch", "shard", "body"]).set_column(1, "shard", pa.array([X.KEPT] * table.num_rows, pa.int32()))
+        shard, batches, got = table.column("shard")[0].as_py(), table.column("batch").to_pylist(), [X.load(b, np.uint8, np.uint8) for b in table.column("body").to_pylist()]
+        key = np.concatenate([X.load_sorted(g[0]) for g in got])
+        entry = [np.ascontiguousarray(g[1].reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64) for g in got]
+        node = np.concatenate([_nodes(b, e >> 1, e & 1) for b, e in zip(batches, entry, strict=True)])
         order = np.argsort(key, kind="stable")
         begins = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         size = np.diff(np.r_[begins, len(key)])
-        out = []
+        none_own = np.minimum.reduceat(node[order] & 1, begins) > 0  # all are below the level's band and meet in their own
+        size[none_own] = 0
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for g in range(2, HOT + 1):  # all groups of one size together
             members = order[begins[size == g][:, None] + np.arange(g)]
-            if len(members):
-                i, j = np.triu_indices(g, 1)
-                x, y = members[:, i].ravel(), members[:, j].ravel()
-                ok = ((below[x] == 0) | (below[y] == 0)) & (doc[x] != doc[y])
-                out.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), level[x]], axis=1)[ok])
-        pairs, shared = np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
-        hot = order[np.repeat(begins[size > HOT], size[size > HOT]) + np.concatenate([np.arange(x) for x in size[size > HOT]] or [np.zeros(0, np.int64)])]
-        zero = np.zeros(len(pairs), np.int64)
-        columns = [
-            np.r_[zero, np.ones(len(hot), np.int64)], np.r_[pairs[:, 0], key[hot].view(np.int64)], np.r_[pairs[:, 1], doc[hot]],
-            np.r_[pairs[:, 2], level[hot]], np.r_[shared, np.zeros(len(hot), np.int64)], np.r_[zero, spare[hot]],
-        ]
-        return pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names)
-
-    return docs.mapInArrow(ask, "shard int, body binary").groupBy("shard").applyInArrow(meet, ", ".join(f"{c} long" for c in names))
+            i, j = np.triu_indices(g, 1)
+            x, y = node[members[:, i].ravel()], node[members[:, j].ravel()]
+            ok = (x & y & 1) == 0
+            a.append(np.minimum(x, y)[ok])
+            b.append(np.maximum(x, y)[ok])
+        a, b = np.concatenate(a), np.concatenate(b)
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+        members = np.zeros(len(key), np.uint32)
+        members[order] = np.repeat(np.where(size > HOT, size, 0), np.diff(np.r_[begins, len(key)]))
+        out = [X.dump(x) if x.any() else None for x in np.split(members, np.cumsum([len(e) for e in entry])[:-1])]
+        rows = [(n, shard, x) for n, x in zip(batches, out, strict=True) if x is not None]
+        if len(new):
+            rows.append((-1 - shard, shard, X.dump(a[new], b[new], np.diff(np.r_[new, len(a)]))))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["batch", "shard", "body"])
+
+    def told(kind: int, *columns: np.ndarray) -> pa.Table:
+        arrays = [pa.array(np.full(len(columns[0]), kind)), *(c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in columns)]
+        zeros = [pa.array(np.zeros(len(columns[0]), np.int64))] * (4 - len(columns))
+        return pa.Table.from_arrays([*arrays, *zeros], ["kind", "a", "b", "c", "d"])
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        bodies = dict(zip(right.column("shard").to_pylist(), right.column("body").to_pylist(), strict=True))
+        if not left.num_rows:  # pairs from a shard
+            return pa.concat_tables([told(0, *X.load(x, np.int64, np.int64, np.int64)) for x in bodies.values()])
+        v, batch = View(X.unpack(left.column("body")[0].as_py()), k), left.column("batch")[0].as_py()
+        least = X.load(bodies.pop(X.KEPT), np.int64)[0]
+        entries, entry, short, order, bounds = v.parts(least, n_shards)
+        members, shard = np.zeros(len(entry), np.int64), np.zeros(len(entry), np.uint64)
+        for s, body in bodies.items():
+            own = order[bounds[s] : bounds[s + 1]]
+            members[own], shard[own] = X.load(body, np.uint32)[0], s
+        hot = np.flatnonzero(members)
+        n_hot = np.bincount(entry[hot], minlength=len(entries))
+        # Of its hot parts a document may leave out as many as it has to spare, the most common first: a partner leaves out
+        # by the same order, so the rarest part that they share is left in both.
+        hot = hot[(n_hot > entries[:, 2])[entry[hot]]]
+        part = H.mix(short[hot] * np.uint64(n_shards) + shard[hot]).view(np.int64)
+        by = np.lexsort((part, -members[hot], entry[hot]))
+        hot, part = hot[by], part[by]
+        rank = np.arange(len(hot)) - np.searchsorted(entry[hot], entry[hot])
+        stay = rank >= entries[entry[hot], 2]
+        doc = v.ids[entries[:, 0]]
+        rep = least[v.which]
+        return pa.concat_tables([
+            told(1, _nodes(batch, np.arange(len(entries)), entries[:, 1]), doc, n_hot, entries[:, 3]),
+            told(2, v.ids, v.n, pa.array(rep, mask=v.n == 0)),
+            told(3, part[stay], doc[entry[hot[stay]]]),
+        ])
+
+    mail = X.answer(X.ask(packed, classes), least_of)
+    mail = X.ask_again(packed, mail, send).groupBy("shard").applyInArrow(meet, X.REPLY)
+    return packed.groupBy("batch").cogroup(mail.groupBy("batch")).applyInArrow(settle, "kind long, a long, b long, c long, d long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, sketch, set) of the wanted documents: a parity sketch of SKETCH_BITS, and the sorted hashes, 48 bits each."""
+    """(id, n, sketch, set) of the wanted documents: a parity sketch of SKETCH_BITS, and the sorted hashes, HASH_BYTES each."""
     ids = checkpoint(ids.distinct())
     wanted = bloom.build(ids.select(F.xxhash64("id")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             at = bloom.passing(wanted, whole.column(2).to_numpy().view(np.uint64))
-            for b in X.slices([whole.take(pa.array(at))]):
+            for b in X.slices([whole.take(pa.array(at))], 1 << 20):
                 row, h, n, _ = sets(b.column(1), k)
                 some = np.flatnonzero(n)
-                low6 = np.ascontiguousarray(h[:, None].view(np.uint8)[:, :6]).tobytes()
-                ends = np.cumsum(n) * 6
                 bits = np.bincount(row * SKETCH_BITS + (H.mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=len(n) * SKETCH_BITS) & 1
                 sketch = np.packbits(bits.reshape(len(n), SKETCH_BITS).astype(np.uint8), axis=1)[some]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([low6[e - 6 * m : e] for e, m in zip(ends[some].tolist(), n[some].tolist(), strict=True)], pa.binary())], ["id", "n", "sketch", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(rarest.narrow(h, n[some], HASH_BYTES), pa.binary())], ["id", "n", "sketch", "set"])
 
     got = docs.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(emit, "id long, n long, sketch binary, set binary")
     return written(got.join(ids, "id", "left_semi"))
 
 
-def _similar(known: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b, similarity, linked) of the pairs, by the exact intersection of their sets; those that the sketches show to be too far apart are left out."""
-    reach = F.col("reach") if "reach" in pairs.columns else F.lit(0.0)
-    pairs = pairs.select("a", "b", (1 - percent / 100 + reach).alias("most"))
-    side = lambda c, value: known.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col(value).alias(f"{value}_{c}"))
-    sketched = pairs.join(side("b", "sketch"), "b").join(side("a", "sketch"), "a").select("a", "b", "most", "n_a", "n_b", "sketch_a", "sketch_b")
+def _linked(known: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
+    """Those of the pairs (a, b, block) that are similar, by the exact intersection of their sets; those that the sketches show to be too far apart never send their sets."""
+    sketched = with_sides(pairs, known, ["n", "sketch"]).select("a", "b", "block", "a_n", "b_n", "a_sketch", "b_sketch")
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (5, 6))
             apart = np.bitwise_count(x ^ y).sum(axis=1)
-            most = b.column(2).to_numpy()
             both = b.column(3).to_numpy() + b.column(4).to_numpy()
-            keep = apart <= most * both / (2 - most) + 1e-6  # the distance is the symmetric difference over the union
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+            keep = (100 + percent) * apart.astype(np.int64) <= (100 - percent) * both  # the symmetric difference is the Jaccard distance of the union
+            yield b.select(["a", "b", "block"]).filter(pa.array(keep))
 
-    left = written(sketched.mapInArrow(may, "a long, b long"))
-    both = left.join(side("b", "set"), "b").join(side("a", "set"), "a").select("a", "b", "set_a", "set_b")
+    left = written(sketched.mapInArrow(may, "a long, b long, block int"))
+    both = with_sides(left, known, ["set"]).select("a", "b", "a_set", "b_set")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = lambda x: np.pad(np.frombuffer(x, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view(np.uint64).ravel()
-        for b in batches:
-            common, union = [], []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = wide(x.as_py()), wide(y.as_py())
-                common.append(len(x) + len(y) - len(np.unique(np.r_[x, y])))
-                union.append(len(x) + len(y) - common[-1])
-            common, union = np.array(common, np.int64), np.array(union, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common / np.maximum(union, 1)), pa.array(100 * common >= percent * union)], ["a", "b", "similarity", "linked"])
-
-    return both.mapInArrow(verify, "a long, b long, similarity double, linked boolean")
-
-
-def _rarest(known: DataFrame, nodes: DataFrame, percent: int = 80) -> DataFrame:
-    """Candidate pairs (a, b) across components among nodes (id, component).
-
-    Sets that are similar share one of the n - 0.8 n + 1 rarest shingles of each, by
-    one order of all shingles. Where a common passage fills most of a document, these are the shingles beside it.
-    """
-    sets_of = known.select("id", "set").withColumn("uid", F.monotonically_increasing_id()).join(nodes, "id").select("uid", "id", "component", "set")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                raw = b.column(3).to_pylist()
-                n = np.array([len(x) // 6 for x in raw])
-                h = np.pad(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view(np.int64).ravel()
-                row = pa.array(np.repeat(np.arange(len(n)), n))
-                yield pa.RecordBatch.from_arrays([pa.array(h), *(b.column(i).take(row) for i in range(3)), pa.array(np.repeat(n, n))], ["shingle", "uid", "id", "component", "n"])
-
-    rows = written(sets_of.mapInArrow(spread, "shingle long, uid long, id long, component long, n long"))
-    common = rows.groupBy("shingle").agg(F.count("*").alias("documents"))
-    rank = F.row_number().over(Window.partitionBy("uid").orderBy("documents", "shingle"))
-    first = rows.join(common, "shingle").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    first = written(first.where("documents > 1").select("shingle", F.col("id").alias("a"), "component", "n", "rank"))
-    other = first.select("shingle", F.col("a").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"), F.col("rank").alias("rank_b"))
-    # With their first common shingle at these ranks, sets have one more in common than what is left of the shorter rest.
-    left = 1 + F.least(F.col("n") - F.col("rank"), F.col("n_b") - F.col("rank_b"))
-    fit = left * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
-    return first.join(other, "shingle").where(F.expr("a < b and component <> component_b") & fit).select("a", "b").distinct()
+            for begin in range(0, whole.num_rows, 256):
+                b = whole.slice(begin, 256)
+                key, size = [], np.zeros(b.num_rows, np.int64)
+                for side in (2, 3):
+                    h, n = rarest.wide(b.column(side).to_pylist(), HASH_BYTES)
+                    key.append(np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(8 * HASH_BYTES), n) | h)
+                    size += n
+                key = np.sort(np.concatenate(key))
+                common = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(8 * HASH_BYTES)).astype(np.int64), minlength=b.num_rows)
+                yield b.select(["a", "b"]).filter(pa.array(100 * common >= percent * (size - common)))
+
+    return both.mapInArrow(verify, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Per document: doc_id, n_shingles, set_code, component_id (the smallest doc_id reachable by links)."""
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = docs.where("doc_id is not null")
+    found = written(_met(keyed, k))
+    every = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("least"))
+    nodes = lambda c: found.where("kind = 1").select(F.col("a").alias(f"{c}_node"), F.col("b").alias(c), F.col("c").alias(f"{c}_hot"), F.col("d").alias("needed"))
+    pairs = written(found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("n")).select(F.col("a").alias("a_node"), F.col("b").alias("b_node"), "n"))
+    # A similar pair shares at least r + 1 parts; those that are empty or hot are not counted in n, and of those that count at least one is left.
+    likely = pairs.join(nodes("a"), "a_node").join(nodes("b").drop("needed"), "b_node")
+    likely = likely.where(F.col("n") >= F.greatest(F.lit(1), F.col("needed") - F.least("a_hot", "b_hot"))).where("a <> b")
+    candidates = written(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    unsafe = found.where("kind = 3").select(F.col("a").alias("part"), F.col("b").alias("id"))
+    equal = every.where("least <> doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    known = _sets(keyed, unsafe.select("id").unionByName(candidates.select(F.col("a").alias("id"))).unionByName(candidates.select(F.col("b").alias("id"))), k)
+    rest = lambda nodes: rarest.across(known.select("id", "set").join(nodes, "id"), width=HASH_BYTES)
+    joined = link_groups(equal, candidates, unsafe, lambda pairs: _linked(known, pairs), rest)
+    out = every.join(joined, every["doc_id"] == joined["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in X.slices(batches):
-            _, _, n, code = sets(b.column(1), k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(code.view(np.int64))], ["doc_id", "n_shingles", "set_code"])
+            n = sets(b.column(1), k)[2]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), b.column(0)], ["doc_id", "n_shingles", "component_id"])
 
-    every = written(docs.mapInArrow(describe, "doc_id long, n_shingles long, set_code long"))
-    keyed = docs.where("doc_id is not null")
-    found = written(_candidates(keyed, k))
-    pairs = found.where("kind = 0").groupBy("a", "b", "level").agg(F.sum("n").alias("n"))
-    hot = found.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("doc"), "level", "spare")
-    hot_parts = checkpoint(hot.groupBy("doc", "level").agg(F.count("*").alias("hot"), F.min("spare").alias("spare")))
-    # A similar pair shares at least r + 1 parts; those that are empty or hot are not counted in n, and of those that count at least one is left.
-    bands = _bands(1 << 24)
-    most = F.array(*[F.lit(int(2 * (x - 1) // 9)) for x in bands[1:]])
-    spare = F.floor((F.element_at(most, F.col("level").cast("int") + 1) + 1) / 5) + 3
-    of = lambda c: hot_parts.select(F.col("doc").alias(c), "level", F.col("hot").alias(f"hot_{c}"))
-    likely = pairs.join(of("a"), ["a", "level"], "left").join(of("b"), ["b", "level"], "left")
-    missed = F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
-    # half of the spare parts may be empty and unsent
-    candidates = likely.where(F.col("n") >= F.greatest(F.lit(1), spare + 1 - F.floor(spare / 2) - missed)).select("a", "b").distinct()
-    # Of its hot parts a document may leave out as many as it has to spare, the most common first: a partner leaves out
-    # by the same order, so the rarest part that they share is left in both.
-    sizes = checkpoint(hot.groupBy("part").agg(F.count("*").alias("members")))
-    order = Window.partitionBy("doc", "level").orderBy(F.desc("members"), "part")
-    unsafe = hot.join(hot_parts.where(F.col("hot") > F.col("spare")).select("doc", "level"), ["doc", "level"], "left_semi")
-    unsafe = unsafe.join(sizes, "part").withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("spare")).select("part", F.col("doc").alias("id"))
-    copies = every.where("n_shingles > 0 and doc_id is not null")
-    least = checkpoint(copies.groupBy("set_code").agg(F.min("doc_id").alias("a")))
-    equal = written(copies.join(least, "set_code").where("a <> doc_id").select("a", F.col("doc_id").alias("b")))
-    unsafe = written(unsafe)
-    candidates = written(candidates)
-    known = _sets(keyed, unsafe.select("id").unionByName(candidates.select(F.col("a").alias("id"))).unionByName(candidates.select(F.col("b").alias("id"))), k)
-    joined = link_groups(equal, candidates, unsafe, lambda pairs: _similar(known, pairs), rest_pairs=lambda rest: _rarest(known, rest))
-    return every.join(joined, every["doc_id"] == joined["id"], "left").select("doc_id", "n_shingles", "set_code", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.unionByName(docs.where("doc_id is null").mapInArrow(describe, "doc_id long, n_shingles long, component_id long"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:

@@ -2,19 +2,22 @@
 
 A line is compared by its bytes without white space at its ends and with A-Z
 lower-cased. Its set is its distinct 8-byte shingles, which fit a 64-bit number
-exactly; a shorter line is one shingle. Equal lines are one from the start. Of 24
-bands of 4 MinHash values a pair at similarity 0.8 shares one with probability 0.999997.
-All pairs of a small bucket are candidates. A large bucket may hold many lines that
-only have a passage in common; there a pair has to share a second bucket, which
-0.99994 of the pairs at similarity 0.8 do, and more of those above. Candidates are verified
-by their exact Jaccard similarity, and verified links are joined by distributed union-find. Of each component the first line stays, by
+exactly; a shorter line is one shingle. Equal lines are one from the start, known by a
+hash of 128 bits. A signature has one MinHash value for each of 64 slots: every shingle is hashed
+once and falls in one slot, and an empty slot borrows the value of another one, chosen by a
+fixed sequence. Of 16 bands of 4 values a pair at similarity 0.8 shares one with probability 0.9998.
+All pairs of a small bucket are candidates. Lines of a larger bucket are first compared with its smallest
+one; those that are in different components after that meet by their rarest shingles, which no
+pair at 0.8 escapes. Candidates are verified by their exact Jaccard similarity,
+and verified links are joined by distributed union-find. Of each component the first line stays, by
 (doc_id, line number), and all other occurrences go.
 
 Defined results: a null text has no lines and stays null; an empty text has one
 empty line; lines that are empty or white space are never removed; the kept lines of a
-document are joined by newlines, unchanged; rows with equal doc_id count as the
+document are joined by newlines, unchanged; texts and lines may be of any length; rows with equal doc_id count as the
 same document (an equal line at the same place stays in each); rows with a null
-doc_id stay as they are and remove nothing; other columns are kept.
+doc_id stay as they are and remove nothing; an empty table stays empty; other columns are kept, but for
+n_lines, n_removed and kept_sha256, which are set anew.
 """
 
 from __future__ import annotations
@@ -28,16 +31,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom
+from tidemark.llm import bloom, rarest
 from tidemark.llm import exchange as X
 from tidemark.llm import hashing as H
-from tidemark.llm.components import link_groups
+from tidemark.llm.components import link_groups, with_sides
 from tidemark.llm.storage import written
 
 SHINGLE = 8
-BANDS, ROWS = 24, 4
-#: Lines in a bucket of which all pairs are candidates; larger buckets are split by a second band.
+BANDS, ROWS = 16, 4
+SLOTS = BANDS * ROWS
+VALUE_BITS = 45
+#: Odd factors of the values of a band, and what is added for each band.
+MIXERS = np.random.default_rng(5).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SALTS = np.random.default_rng(6).integers(0, 1 << 63, BANDS, dtype=np.uint64)
+#: Lines in a bucket of which all pairs are candidates.
 GROUP = 8
+#: Bytes of lines that are verified at a time.
+VERIFIED = 4 << 20
+#: For each attempt, the slot that each empty slot looks at.
+BORROW = np.stack([np.random.default_rng(11 + i).permutation(SLOTS) for i in range(256)])
 
 
 def line_spans(texts: pa.Array):
@@ -53,15 +65,25 @@ def line_spans(texts: pa.Array):
     end = offsets[1:][row]
     end[same] = start[np.flatnonzero(same) + 1] - 1
     number = np.arange(len(row)) - np.searchsorted(row, row)
-    solid = np.flatnonzero(~H.IS_SPACE[buf])
-    a, b = np.searchsorted(solid, start), np.searchsorted(solid, end) - 1
-    filled = b >= a
-    start, end = np.where(filled, solid[np.minimum(a, len(solid) - 1)] if len(solid) else 0, start), np.where(filled, solid[b] + 1 if len(solid) else 0, start)
+    for side, step in ((start, 1), (end, -1)):  # most lines end after a step or two; the others need one look at all bytes
+        for _ in range(8):
+            at = np.flatnonzero(start < end)
+            at = at[H.IS_SPACE[buf[side[at] - (step < 0)]]]
+            side[at] += step
+            if not len(at):
+                break
+        else:
+            solid = np.flatnonzero(~H.IS_SPACE[buf])
+            at = at[start[at] < end[at]]
+            a, b = np.searchsorted(solid, start[at]), np.searchsorted(solid, end[at]) - 1
+            some = at[b >= a]
+            start[some], end[some] = solid[a[b >= a]], solid[b[b >= a]] + 1
+            end[at[b < a]] = start[at[b < a]]
     return buf, start, end, row, number
 
 
-def line_ids(buf, start, end) -> np.ndarray:
-    return H.range_hash(buf, start, end).view(np.int64)
+def line_ids(buf, start, end, lane: int = 0) -> np.ndarray:
+    return H.range_hash(buf, start, end, lane).view(np.int64)
 
 
 def _shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,48 +105,83 @@ def _shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 def signatures(buf, start, end) -> np.ndarray:
     """The band keys of each line."""
-    rng = np.random.default_rng(11)
-    factor = rng.integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-    shift = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
-    least = np.empty((BANDS * ROWS, len(start)), np.uint32)
-    cuts = np.searchsorted(np.cumsum(np.maximum(end - start, SHINGLE)), np.arange(0, (end - start).sum() + len(start) * SHINGLE + 1, 1 << 16))
-    cuts = np.unique(np.r_[0, cuts, len(start)])
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # so many lines at a time that their shingles stay in the cache
-        value, bounds = _shingles(buf, start[a:b], end[a:b])
-        base = (H.mix(value) >> np.uint64(32)).astype(np.uint32)
-        for i in range(BANDS * ROWS):
-            least[i, a:b] = np.minimum.reduceat((base ^ shift[i]) * factor[i], bounds[:-1])
     keys = np.zeros((BANDS, len(start)), np.uint64)
-    for i in range(BANDS * ROWS):
-        keys[i // ROWS] = H.mix(keys[i // ROWS] + least[i] + np.uint64(i << 33))
+    n = np.maximum(end - start - SHINGLE + 1, 1)
+    block = np.cumsum(n) >> 17  # so many lines at a time that their shingles stay in the cache
+    cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(block)) + 1, np.arange(0, len(start), 4096), len(start)])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        value, bounds = _shingles(buf, start[a:b], end[a:b])
+        h = H.mix(value)
+        x = np.repeat(np.arange(b - a, dtype=np.uint64) << np.uint64(VALUE_BITS + 6), np.diff(bounds))
+        x |= h >> np.uint64(64 - VALUE_BITS - 6)
+        x.sort()
+        slot = x >> np.uint64(VALUE_BITS)
+        first = np.r_[True, slot[1:] != slot[:-1]]
+        least = np.zeros((b - a) * SLOTS, np.uint64)
+        least[slot[first].astype(np.int64)] = (x[first] & np.uint64((1 << VALUE_BITS) - 1)) + np.uint64(1)
+        filled = least.copy()
+        empty = np.flatnonzero(least == 0)
+        for borrow in BORROW:
+            if not len(empty):
+                break
+            filled[empty] = least[empty - empty % SLOTS + borrow[empty % SLOTS]]
+            empty = empty[filled[empty] == 0]
+        if len(empty):
+            filled[empty] = least.reshape(-1, SLOTS).max(axis=1)[empty // SLOTS]
+        bands = filled.reshape(-1, BANDS, ROWS)
+        joint = bands[:, :, 0] * MIXERS[0] + SALTS
+        for i in range(1, ROWS):
+            joint += bands[:, :, i] * MIXERS[i]
+        keys[:, a:b] = H.mix(joint).T
     return keys
 
 
+def _first_of_each(ids: np.ndarray, check: np.ndarray, doc: np.ndarray, number: np.ndarray):
+    """Positions of the first occurrence of each line, by (doc, number), in order of the lines, and their number of occurrences."""
+    order = np.lexsort((number, doc, check, ids))
+    new = np.flatnonzero(np.r_[True, (ids[order[1:]] != ids[order[:-1]]) | (check[order[1:]] != check[order[:-1]])]) if len(ids) else np.zeros(0, np.int64)
+    return order[new], np.diff(np.r_[new, len(ids)])
+
+
+def _occurrences(b: pa.RecordBatch):
+    """Of the filled lines of (doc_id, text) rows: bytes, start, end, line, check, doc_id, number."""
+    buf, start, end, row, number = line_spans(b.column(1))
+    at = np.flatnonzero(end > start)
+    start, end = start[at], end[at]
+    return buf, start, end, line_ids(buf, start, end), line_ids(buf, start, end, 1), b.column(0).to_numpy()[row[at]], number[at]
+
+
 def _candidates(docs: DataFrame) -> DataFrame:
-    """(kind, a, b): kind 0 pairs of lines that share a band; kind 1 members b of a large bucket a."""
+    """(kind, a, b, doc_id, number): kind 0 pairs of lines that share a band; 1 members b of a large bucket a; 2 lines (line a, check b) that occur more than once, with the first occurrence."""
     n_shards = X.shards(docs)
+    low = np.uint64((1 << 40) - 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in X.slices(batches, 2 << 20):
-            buf, start, end, _, _ = line_spans(b.column(1))
-            start, end = start[end > start], end[end > start]
-            ids = line_ids(buf, start, end)
-            once = np.sort(np.unique(ids, return_index=True)[1])  # in order of the text
-            key = signatures(buf, start[once], end[once]).ravel()
-            ids = np.tile(ids[once], BANDS)
+        for b in X.slices(batches):
+            buf, start, end, ids, check, doc, number = _occurrences(b)
+            at, times = _first_of_each(ids, check, doc, number)
+            own_shard = (ids[at] % n_shards).astype(np.int64)
+            text_order = np.argsort(at)
+            key = signatures(buf, start[at[text_order]], end[at[text_order]]).ravel()
+            band_ids = np.tile(ids[at[text_order]], BANDS)
+            by_key = np.argsort(key // np.uint64(n_shards) & low)
+            key, band_ids = key[by_key], band_ids[by_key]
             order, bounds = X.by_shard((key % np.uint64(n_shards)).astype(np.int64), n_shards)
-            for s in np.flatnonzero(np.diff(bounds)):
-                own = order[bounds[s] : bounds[s + 1]]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "body": pa.array([X.dump(key[own], ids[own])], pa.binary())})
+            order2, bounds2 = X.by_shard(own_shard, n_shards)
+            for s in np.flatnonzero(np.diff(bounds) + np.diff(bounds2)):
+                own, same = order[bounds[s] : bounds[s + 1]], at[order2[bounds2[s] : bounds2[s + 1]]]
+                many = times[order2[bounds2[s] : bounds2[s + 1]]] > 1
+                body = X.dump(X.dump_sorted(key[own] // np.uint64(n_shards) & low), band_ids[own], X.dump_sorted(ids[same].view(np.uint64)), check[same], doc[same], number[same].astype(np.uint32), many)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "body": pa.array([body], pa.binary())})
 
     def meet(table: pa.Table) -> pa.Table:
-        got = [X.load(x, np.uint64, np.int64) for x in table.column("body").to_pylist()]
-        key, ids = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        got = [X.load(x, np.uint8, np.int64, np.uint8, np.int64, np.int64, np.uint32, np.bool_) for x in table.column("body").to_pylist()]
+        key, ids = np.concatenate([X.load_sorted(g[0]) for g in got]), np.concatenate([g[1] for g in got])
         order = np.lexsort((ids, key))
         key, ids = key[order], ids[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
+        new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])][: len(key)]
         key, ids = key[new], ids[new]
-        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         size = np.diff(np.r_[begins, len(key)])
         a, b = [], []
         for g in range(2, GROUP + 1):
@@ -132,124 +189,203 @@ def _candidates(docs: DataFrame) -> DataFrame:
             i, j = np.triu_indices(g, 1)
             a.append(ids[members[:, i].ravel()])
             b.append(ids[members[:, j].ravel()])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+        a, b = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        pairs = np.stack([a[new], b[new]], axis=1)
         large = np.flatnonzero(np.repeat(size, size) > GROUP)
-        columns = [np.r_[np.zeros(len(pairs), np.int32), np.ones(len(large), np.int32)], np.r_[pairs[:, 0], key[large].view(np.int64)], np.r_[pairs[:, 1], ids[large]]]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b"])
-
-    return docs.mapInArrow(ask, "shard int, body binary").groupBy("shard").applyInArrow(meet, "kind int, a long, b long")
-
-
-def _second_bands(large: DataFrame) -> DataFrame:
-    """(part, id): lines by every two large buckets that they are in together; a line is in BANDS of them at most."""
-    mine = large.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("all"))
-    twos = mine.select("id", F.posexplode("all").alias("at", "first"), "all").select("id", "first", F.explode(F.slice("all", F.col("at") + 2, F.lit(BANDS))).alias("second"))
-    parts = twos.select(F.xxhash64("first", "second").alias("part"), "id")
-    shared = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
-    return parts.join(shared, "part", "left_semi")
-
-
-def _similar(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b, similarity, linked) of the pairs of line ids, by the exact intersection of their shingle sets."""
-    pairs = pairs.select("a", "b")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        bucket = H.mix(key[large] * np.uint64(n_shards) + np.uint64(table.column("shard")[0].as_py())).view(np.int64)
+        line, check, doc, number, many = np.concatenate([X.load_sorted(g[2]) for g in got]).view(np.int64), *(np.concatenate([g[i] for g in got]) for i in (3, 4, 5, 6))
+        at, times = _first_of_each(line, check, doc, number)
+        again = np.zeros(len(line), bool)
+        again[at] = times > 1
+        order = np.lexsort((number, doc, check, line))
+        starts = np.repeat(np.cumsum(times) - times, times)
+        again[order[starts[many[order]]]] = True  # also those that occur twice in one slice
+        again = np.flatnonzero(again)
+        zero = np.zeros(len(pairs) + len(large), np.int64)
+        columns = [
+            np.r_[np.zeros(len(pairs), np.int64), np.ones(len(large), np.int64), np.full(len(again), 2)], np.r_[pairs[:, 0], bucket, line[again]],
+            np.r_[pairs[:, 1], ids[large], check[again]], np.r_[zero, doc[again]], np.r_[zero, number[again].astype(np.int64)],
+        ]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "doc_id", "number"])
+
+    return docs.mapInArrow(ask, "shard int, body binary").groupBy("shard").applyInArrow(meet, "kind long, a long, b long, doc_id long, number long")
+
+
+def _lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, check, doc_id, number, line) of the wanted lines: their first occurrence and bytes. Of different lines with one id the one with the smallest check counts."""
     wanted = bloom.build(ids)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in X.slices(batches):
-            buf, start, end, _, _ = line_spans(b.column(1))
-            start, end = start[end > start], end[end > start]
-            own, once = np.unique(line_ids(buf, start, end), return_index=True)
-            at = bloom.passing(wanted, own.view(np.uint64))
+            buf, start, end, own, check, doc, number = _occurrences(b)
+            some = bloom.passing(wanted, own.view(np.uint64))
+            at = some[_first_of_each(own[some], check[some], doc[some], number[some])[0]]
             raw = buf.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array([raw[x:y] for x, y in zip(start[once[at]].tolist(), end[once[at]].tolist(), strict=True)], pa.binary())], ["id", "line"])
-
-    lines = docs.mapInArrow(emit, "id long, line binary").join(ids, "id", "left_semi")
-    lines = written(lines.groupBy("id").agg(F.first("line").alias("line")))
-    left, right = (lines.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "line_a", "line_b")
+            lines = pa.array([raw[x:y] for x, y in zip(start[at].tolist(), end[at].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(check[at]), pa.array(doc[at]), pa.array(number[at].astype(np.int64)), lines], ["id", "check", "doc_id", "number", "line"])
+
+    lines = docs.mapInArrow(emit, "id long, check long, doc_id long, number long, line binary").join(ids, "id", "left_semi")
+    return written(lines.groupBy("id").agg(F.min(F.struct("check", "doc_id", "number", "line")).alias("least")).select("id", "least.*"))
+
+
+def similar(lines_a: pa.Array, lines_b: pa.Array, percent: int = 80) -> np.ndarray:
+    """Whether each pair of lines has 100 * common >= percent * union shingles; at most 65,536 pairs."""
+    m = len(lines_a)
+    texts = pa.concat_arrays([lines_a, lines_b])
+    flat, offsets = np.frombuffer(b"".join(texts.to_pylist()), np.uint8), np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy())]
+    value, bounds = _shingles(flat, offsets[:-1], offsets[1:])
+    key = np.repeat(np.tile(np.arange(m, dtype=np.uint64) << np.uint64(48), 2), np.diff(bounds)) | (H.mix(value) >> np.uint64(16))
+    left, right = H.distinct(key[: bounds[m]]), H.distinct(key[bounds[m] :])
+    both = np.concatenate([left, right])
+    both.sort()
+    count = lambda x: np.bincount((x >> np.uint64(48)).astype(np.int64), minlength=m)
+    common = count(both[1:][both[1:] == both[:-1]])
+    over = 100 * common - percent * (count(both) - common)
+    linked = over >= 0
+    near = np.abs(over) <= 4 * percent  # here the shingles themselves decide, not their hashes
+    at = np.flatnonzero(np.tile(near, 2))
+    n = np.diff(bounds)[at]
+    value = value[np.repeat(bounds[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    pair, side = np.repeat(at % m, n), np.repeat(at >= m, n)
+    order = np.lexsort((side, value, pair))
+    pair, value, side = pair[order], value[order], side[order]
+    same = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
+    new = np.r_[True, ~same][: len(pair)]
+    common = np.bincount(pair[1:][same & (side[1:] != side[:-1])], minlength=m)
+    linked[near] = (100 * common >= percent * np.bincount(pair[new], minlength=m))[near]
+    return linked
+
+
+def _linked(lines: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
+    """Those of the pairs (a, b, block) of line ids that are similar, as (a, b)."""
+    both = with_sides(pairs, lines, ["line"]).select("a", "b", "a_line", "b_line")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                common, union = [], []
-                texts = pa.concat_arrays([b.column(2), b.column(3)])
-                flat, offsets = np.frombuffer(b"".join(texts.to_pylist()), np.uint8), np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy())]
-                value, bounds = _shingles(flat, offsets[:-1], offsets[1:])
-                for i in range(b.num_rows):
-                    x, y = (np.unique(value[bounds[j] : bounds[j + 1]]) for j in (i, i + b.num_rows))
-                    common.append(len(np.intersect1d(x, y, assume_unique=True)))
-                    union.append(len(x) + len(y) - common[-1])
-                common, union = np.array(common, np.int64), np.array(union, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common / np.maximum(union, 1)), pa.array(100 * common >= percent * union)], ["a", "b", "similarity", "linked"])
-
-    return both.mapInArrow(verify, "a long, b long, similarity double, linked boolean")
-
-
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, lines array<struct<number, line>>): the lines to remove from each document that has some."""
-    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            ends = np.cumsum(pc.add(pc.binary_length(whole.column(2)), pc.binary_length(whole.column(3))).to_numpy().astype(np.int64))
+            begin = 0
+            while begin < whole.num_rows:
+                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + VERIFIED, side="right")))
+                b = whole.slice(begin, min(stop, begin + 65_536) - begin)
+                begin += b.num_rows
+                yield b.select(["a", "b"]).filter(pa.array(similar(b.column(2), b.column(3), percent)))
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in X.slices(batches):
-            buf, start, end, row, number = line_spans(b.column(1))
-            at = np.flatnonzero(end > start)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), pa.array(line_ids(buf, start[at], end[at]))], ["doc_id", "number", "line"])
+    return both.mapInArrow(verify, "a long, b long")
 
-    seen = written(keyed.mapInArrow(occurrences, "doc_id long, number int, line long"))
-    lines = written(seen.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("times")))
-    found = written(_candidates(keyed))
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-    members = written(_second_bands(found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id"))))
-    joined = link_groups(pairs.limit(0), pairs, members, lambda p: _similar(keyed, p))
-    lines = written(lines.join(joined, lines["line"] == joined["id"], "left").select("line", "first", "times", "component"))
-    winners = written(lines.where("component is not null").groupBy("component").agg(F.min("first").alias("kept")))
-    grouped = lines.where("component is not null").join(winners, "component").select("line", "kept")
-    alone = lines.where("component is null and times > 1").select("line", F.col("first").alias("kept"))
-    kept = written(grouped.unionByName(alone))
-    gone = seen.join(kept, "line").where("kept.doc_id <> doc_id or kept.number <> number")
-    return gone.groupBy("doc_id").agg(F.collect_list(F.struct("number", "line")).alias("lines"))
-
-
-def remove_lines(docs: DataFrame) -> DataFrame:
-    """docs with the kept lines as text, and n_lines, n_removed and kept_sha256 besides."""
-    drops = dropped_lines(docs).withColumnRenamed("doc_id", "dropped_from").withColumnRenamed("lines", "dropped_lines")
-    both = docs.join(drops, F.col("doc_id").cast("long") == drops["dropped_from"], "left").drop("dropped_from")
-    names = docs.columns
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString() if f.name != 'text' else 'string'}" for f in docs.schema.fields)
-    extra = [c for c in ("n_lines", "n_removed", "kept_sha256")]
-    where = names.index("text")
+
+def _sets(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, component, set) of the lines that are nodes (id, component)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                texts = b.column(where).cast(pa.string())
-                drop = b.column(len(names))
-                some = np.flatnonzero(drop.is_valid().to_numpy(zero_copy_only=False))
-                gone: dict[int, np.ndarray] = {}
-                if len(some):
-                    buf, start, end, row, number = line_spans(texts.take(pa.array(some)))
-                    ids = line_ids(buf, start, end)
-                    bounds = np.searchsorted(row, np.arange(len(some) + 1))
-                    for i, r in enumerate(some):
-                        own = slice(bounds[i], bounds[i + 1])
-                        listed = drop[int(r)].as_py()
-                        bad = {(x["number"], x["line"]) for x in listed}
-                        gone[int(r)] = np.array([p in bad for p in zip(number[own].tolist(), ids[own].tolist(), strict=True)], bool)
-                out, n_lines, n_removed, sha = [], [], [], []
-                for r, text in enumerate(texts.to_pylist()):
-                    lines = [] if text is None else text.split("\n")
-                    n_lines.append(len(lines))
-                    if r in gone and text is not None:
-                        lines = [x for x, g in zip(lines, gone[r], strict=True) if not g]
-                        text = "\n".join(lines)
-                    n_removed.append(n_lines[-1] - len(lines))
-                    out.append(text)
-                    sha.append(hashlib.sha256((text or "").encode()).hexdigest())
-                columns = [b.column(i) for i in range(len(names))]
-                columns[where] = pa.array(out, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha)], [*names, *extra])
-
-    return both.mapInArrow(run, f"{types}, n_lines long, n_removed long, kept_sha256 string")
+            for begin in range(0, whole.num_rows, 2000):
+                b = whole.slice(begin, 2000)
+                raw = b.column(2).to_pylist()
+                ends = np.cumsum([len(x) for x in raw])
+                value, bounds = _shingles(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, ends[:-1]], ends)
+                both = H.distinct(np.repeat(np.arange(len(raw), dtype=np.uint64) << np.uint64(48), np.diff(bounds)) | (H.mix(value) >> np.uint64(16)))
+                n = np.bincount((both >> np.uint64(48)).astype(np.int64), minlength=len(raw))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rarest.narrow(both, n), pa.binary())], ["id", "component", "set"])
+
+    return lines.join(nodes, "id").select("id", "component", "line").mapInArrow(run, "id long, component long, set binary")
+
+
+def kept_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(line, check, doc_id, number): of each line that is repeated or similar to another one, the occurrence that stays for its component."""
+    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = written(_candidates(keyed))
+    pairs = found.where("kind = 0").select("a", "b").distinct()
+    members = found.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("id"))
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
+    lines = _lines(keyed, ids)
+    joined = link_groups(pairs.limit(0), pairs, members, lambda p: _linked(lines, p, percent), lambda rest: rarest.across(_sets(lines, rest), percent))
+    similar_lines = written(lines.drop("line").join(joined, "id"))
+    first = similar_lines.groupBy("component").agg(F.min(F.struct("doc_id", "number")).alias("first"))
+    fuzzy = similar_lines.drop("doc_id", "number").join(first, "component").select(F.col("id").alias("line"), "check", "first.doc_id", "first.number")
+    again = found.where("kind = 2").select(F.col("a").alias("line"), F.col("b").alias("check"), "doc_id", "number")
+    return written(again.join(similar_lines.select(F.col("id").alias("line"), "check"), ["line", "check"], "left_anti").unionByName(fuzzy))
+
+
+def remove_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs with the kept lines as text, and n_lines, n_removed and kept_sha256 besides."""
+    docs = docs.drop("n_lines", "n_removed", "kept_sha256").withColumn("text", F.col("text").cast("string"))
+    n_shards = X.shards(docs)
+    packed = X.pack(docs)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def filled(table: pa.Table):
+        """Of the filled lines in rows with a key: row, number, doc_id; the distinct lines among them, and which one each is."""
+        keys = table.column("doc_id").combine_chunks().cast(pa.int64())
+        at = np.flatnonzero(keys.is_valid().to_numpy(zero_copy_only=False))
+        buf, start, end, row, number = line_spans(table.column("text").take(pa.array(at)))
+        own = np.flatnonzero(end > start)
+        start, end, row, number = start[own], end[own], row[own], number[own]
+        ids, check = line_ids(buf, start, end), line_ids(buf, start, end, 1)
+        order = np.lexsort((check, ids))
+        new = np.r_[True, (ids[order[1:]] != ids[order[:-1]]) | (check[order[1:]] != check[order[:-1]])][: len(order)]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        ids, check = ids[order[new]], check[order[new]]
+        doc = keys.take(pa.array(at)).to_numpy()[row]
+        return at[row], number, doc, ids, check, which, X.by_shard((ids % n_shards).astype(np.int64), n_shards)
+
+    def ask(table: pa.Table):
+        _, _, _, ids, check, _, (order, bounds) = filled(table)
+        for s in np.flatnonzero(np.diff(bounds)):
+            own = order[bounds[s] : bounds[s + 1]]
+            yield int(s), X.dump(X.dump_sorted(ids[own].view(np.uint64)), check[own])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((b.column(0).to_numpy() % n_shards).astype(np.int32)), *b.columns], ["shard", "line", "check", "doc_id", "number"])
+
+    def answer(requests: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("line", "ascending"), ("check", "ascending")])
+        line, check, doc, number = (rows.column(c).to_numpy() for c in ("line", "check", "doc_id", "number"))
+        out = []
+        for batch, shard, body in zip(*(requests.column(c).to_pylist() for c in ("batch", "shard", "body")), strict=True):
+            planes, asked = X.load(body, np.uint8, np.int64)
+            ids = X.load_sorted(planes).view(np.int64)
+            begin, end = np.searchsorted(line, ids), np.searchsorted(line, ids, side="right")
+            at = np.full(len(ids), -1)
+            for step in range(int((end - begin).max(initial=0))):  # more than one only where the ids of different lines are equal
+                there = np.flatnonzero(begin + step < end)
+                hit = there[check[begin[there] + step] == asked[there]]
+                at[hit] = begin[hit] + step
+            some = np.flatnonzero(at >= 0)
+            if len(some):
+                out.append((batch, shard, X.dump(some.astype(np.uint32), doc[at[some]], number[at[some]])))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["batch", "shard", "body"])
+
+    sharded = kept_lines(docs, percent).mapInArrow(dealt, "shard int, line long, check long, doc_id long, number long")
+    replies = X.ask(packed, ask).groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(answer, X.REPLY)
+
+    def settle(table: pa.Table, replies: dict[int, bytes]) -> pa.Table:
+        row, number, doc, ids, _, which, (order, bounds) = filled(table)
+        known, kept_doc, kept_number = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for s, body in replies.items():
+            some, d, n = X.load(body, np.uint32, np.int64, np.int64)
+            at = order[bounds[s] + some]
+            known[at], kept_doc[at], kept_number[at] = True, d, n
+        gone = np.flatnonzero(known[which] & ((kept_doc[which] != doc) | (kept_number[which] != number)))
+        texts = table.column("text").to_pylist()
+        n_lines = [0 if t is None else t.count("\n") + 1 for t in texts]
+        n_removed = np.bincount(row[gone], minlength=len(texts))
+        for r, some in zip(*_grouped(row[gone], number[gone]), strict=True):
+            out = set(some.tolist())
+            texts[r] = "\n".join(x for i, x in enumerate(texts[r].split("\n")) if i not in out)
+        sha = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+        out = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        return out.append_column("n_lines", pa.array(n_lines, pa.int64())).append_column("n_removed", pa.array(n_removed)).append_column("kept_sha256", pa.array(sha, pa.string()))
+
+    return X.settle(packed, replies, settle, f"{types}, n_lines long, n_removed long, kept_sha256 string")
+
+
+def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct keys, and the values of each."""
+    order = np.argsort(keys, kind="stable")
+    every, begin = np.unique(keys[order], return_index=True)
+    return every.tolist(), np.split(values[order], begin[1:]) if len(every) else []
