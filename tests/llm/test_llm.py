@@ -99,6 +99,28 @@ def test_op5_against_the_library(spark, docs, empty):
     assert bpe.encode_decode(empty, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_op5_where_white_space_does_not_split(spark, tmp_path):
+    """A tokenizer whose pre-tokens span white space encodes whole texts."""
+    import json
+
+    with open(tokenizer("word_bpe_49k.json")) as f:
+        own = json.load(f)
+    assert bpe.splits_at_space(own)
+    vocab = {c: i for i, c in enumerate(["a", "b", " ", "x", " b", "a b", " x", "b x"])}
+    model = {"type": "BPE", "vocab": vocab, "merges": [[" ", "b"], ["a", " b"], [" ", "x"], ["b", " x"]], "unk_token": None, "fuse_unk": False}
+    own = {"version": "1.0", "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "truncation": None, "padding": None, "model": model}
+    assert not bpe.splits_at_space(own)
+    path = tmp_path / "toy.json"
+    path.write_text(json.dumps(own))
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(str(path)), random.Random(2)
+    rows = [(i, " ".join(rng.choice("abx") for _ in range(60))) for i in range(20)]
+    got = by_id(bpe.encode_decode(documents(spark, rows), str(path), mean_words=4))
+    for i, x in rows:
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == t.encode(x).ids
+
+
 def test_op5_repairs_a_join():
     class Toy:
         """Merges 'a b' across white space, so chunks don't encode alone as they do together."""

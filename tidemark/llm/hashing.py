@@ -68,15 +68,27 @@ def flat(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.nda
 
 def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
     """Polynomial hash of buf[start:end] for every range; buf holds bytes or mixed hashes."""
-    base = BASES[lane]
-    inverse = pow(base, -1, 1 << 64)
+    return hash_of(prefix_hashes(buf, lane), start, end, lane)
+
+
+def prefix_hashes(buf: np.ndarray, lane: int = 0) -> np.ndarray:
+    """What hash_of needs of buf, for several sets of ranges."""
     n = len(buf)
     h = np.zeros(n + 1, dtype=np.uint64)
     if n:
         # 1 is added so that leading zero symbols count.
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(base, n), out=h[1:])
+        x = buf.astype(np.uint64)
+        x += np.uint64(1)
+        x *= powers(BASES[lane], n)
+        np.cumsum(x, out=h[1:])
+    return h
+
+
+def hash_of(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """range_hash of every range, from prefix_hashes."""
+    inverse = pow(BASES[lane], -1, 1 << 64)
     length = (end - start).astype(np.uint64)
-    return mix((h[end] - h[start]) * powers(inverse, n + 1)[start] + length * np.uint64(0xA24BAED4963EE407))
+    return mix((prefix[end] - prefix[start]) * powers(inverse, len(prefix))[start] + length * np.uint64(0xA24BAED4963EE407))
 
 
 def fixed_hash(buf: np.ndarray, length: int, lane: int = 0) -> np.ndarray:

@@ -40,7 +40,7 @@ from tidemark.llm import exchange as X
 from tidemark.llm import hashing as H
 from tidemark.llm.components import link_groups, with_sides
 from tidemark.llm.filtering import without
-from tidemark.llm.storage import checkpoint, written
+from tidemark.llm.storage import written
 
 #: Members of a part of which all pairs are counted.
 HOT = 16
@@ -281,9 +281,8 @@ def _met(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, sketch, set) of the wanted documents: a parity sketch of SKETCH_BITS, and the sorted hashes, HASH_BYTES each."""
-    ids = checkpoint(ids.distinct())
-    wanted = bloom.build(ids.select(F.xxhash64("id")))
+    """(id, n, sketch, set) of the wanted documents: a parity sketch of SKETCH_BITS, and the sorted hashes, HASH_BYTES each. The few others that the filter lets pass do no harm."""
+    wanted = bloom.build(ids.distinct().select(F.xxhash64("id")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -295,8 +294,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 sketch = np.packbits(bits.reshape(len(n), SKETCH_BITS).astype(np.uint8), axis=1)[some]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(rarest.narrow(h, n[some], HASH_BYTES), pa.binary())], ["id", "n", "sketch", "set"])
 
-    got = docs.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(emit, "id long, n long, sketch binary, set binary")
-    return written(got.join(ids, "id", "left_semi"))
+    return written(docs.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(emit, "id long, n long, sketch binary, set binary"))
 
 
 def _linked(known: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:

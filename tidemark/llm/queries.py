@@ -37,7 +37,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep=False).drop("ids", "decoded")
+    return bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep=False, keep_decoded=False).drop("ids", "decoded")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
