@@ -168,41 +168,37 @@ def test_op6_against_brute_force(spark, docs, empty):
     assert sorted((r.doc_id is None, r.n_removed) for r in rows) == [(False, 0), (False, 0), (True, 60)]
 
 
-def test_op7_against_counts(spark, docs, empty):
+@pytest.mark.parametrize("depth", [3, 1])
+def test_op7_against_counts(spark, docs, empty, depth):
     own = list(enumerate(texts()))
     least = 3
     tokens = {i: WORD.findall(lower(t)) + ["\0"] for i, t in own}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
-    c = Counter(t for i in train for t in tokens[i])
-    c2 = Counter(p for i in train for p in zip(tokens[i], tokens[i][1:], strict=False))
-    c3 = Counter(p for i in train for p in zip(tokens[i], tokens[i][1:], tokens[i][2:], strict=False))
-    n, v = sum(c.values()), len(c)
-    root = lambda x: (c[x] + 0.5) / (n + 0.5 * (v + 1))
-    gain, t1 = defaultdict(float), Counter()
-    for (a, b), k in c2.items():
-        if c[a] >= least:
-            gain[a] += k * math.log(k / c[a] / root(b))
-            t1[a] += 1
-    t1 = {s: t1[s] for s in t1 if gain[s] > 0.5 * t1[s] * math.log(c[s])}
-    one = lambda s, x: (c2[s, x] + t1[s] * root(x)) / (c[s] + t1[s]) if s in t1 else root(x)
-    gain, t2 = defaultdict(float), Counter()
-    for (a, b, x), k in c3.items():
-        if c2[a, b] >= least and c[a] >= least and c[b] >= least:
-            gain[a, b] += k * math.log(k / c2[a, b] / one(b, x))
-            t2[a, b] += 1
-    t2 = {s: t2[s] for s in t2 if gain[s] > 0.5 * t2[s] * math.log(c2[s])}
-    got = by_id(suffix_tree_lm.score(docs, min_count=least))
-    assert t1 and t2
+    count = Counter(tuple(tokens[i][p : p + k]) for i in train for k in range(1, depth + 2) for p in range(len(tokens[i]) - k + 1))
+    words = {x for x, in (g for g in count if len(g) == 1)}
+    n, v, t = sum(count[x,] for x in words), len(words), {}
+    root = lambda x: (count[x,] + 0.5) / (n + 0.5 * (v + 1))
+
+    def p(context, x):
+        """By the longest retained suffix of the context."""
+        if not context:
+            return root(x)
+        below = p(context[1:], x)
+        return (count[(*context, x)] + t[context] * below) / (count[context] + t[context]) if context in t else below
+
+    for k in range(1, depth + 1):
+        gain, kinds = defaultdict(float), Counter()
+        for g, c in count.items():
+            if len(g) == k + 1 and count[g[:-1]] >= least:
+                gain[g[:-1]] += c * math.log(c / count[g[:-1]] / p(g[1:-1], g[-1]))
+                kinds[g[:-1]] += 1
+        t |= {s: kinds[s] for s in kinds if gain[s] > 0.5 * kinds[s] * math.log(count[s])}
+    assert {len(s) for s in t} == set(range(1, depth + 1))
+    got = by_id(suffix_tree_lm.score(docs, min_count=least, depth=depth))
     for i, w in tokens.items():
-        score = 0.0
-        for j, x in enumerate(w):
-            p = one(w[j - 1], x) if j else root(x)
-            if j > 1 and (w[j - 2], w[j - 1]) in t2:
-                s = (w[j - 2], w[j - 1])
-                p = (c3[(*s, x)] + t2[s] * p) / (c2[s] + t2[s])
-            score += math.log10(p)
+        score = sum(math.log10(p(tuple(w[max(0, j - depth) : j]), x)) for j, x in enumerate(w))
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(w), sum(c[x] > 0 for x in w), n)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(w), sum(count[x,] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10(root(x)) for x in w)) and r.score == pytest.approx(score)
     assert suffix_tree_lm.score(empty).count() == 0
     assert len(suffix_tree_lm.score(documents(spark, [(3, "a"), (3, "a"), (None, None)]), min_count=1).collect()) == 3

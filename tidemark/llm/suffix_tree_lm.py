@@ -1,6 +1,6 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-States are contexts of up to two words. A context is a candidate when it occurs
+States are contexts of up to ``depth`` words. A context is a candidate when it occurs
 ``min_count`` times in training, a number that doesn't depend on the size of the corpus,
 so candidates grow with the input; it is retained when its next-word distribution
 diverges from that of its parent (the context without its first word) by more than
@@ -12,16 +12,20 @@ A word is scored by its longest retained context.
 
 All counts cover all training documents. Both the divergence and T(s) are sums over the
 training positions that have the context, so a batch sums its own positions and a
-shard adds up what batches sent: no state's distribution meets in one task.
+shard adds up what batches sent: no state's distribution meets in one task. Shards number
+words, and then the candidates of each length, by falling count. With these numbers a batch
+holds its texts as a compact stream of words, and a context with its next word is
+one exact number, of which a batch sends the steps in order.
 
-Defined results: a null or empty text is one end token; a null doc_id counts as the
-empty text for the split; rows with equal doc_id are counted and scored each;
+Defined results: a null or empty text is one end token; texts may be of any length; a null doc_id counts as the
+empty text for the split; rows with equal doc_id are counted and scored each; an empty table gives no rows;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,177 +37,246 @@ from tidemark.llm import hashing as H
 
 END = np.uint64(0xE7037ED1A0B428DB)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+WORDS, NEXT, GAINS = range(3)
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-class View:
-    """The tokens of a batch and what is known of them so far."""
-
-    def __init__(self, table: pa.Table):
-        buf, offsets = H.flat(table.column("text"), lower=True)
-        start, end, row = H.word_spans(buf, offsets)
-        n_docs = table.num_rows
-        self.n_words = np.bincount(row, minlength=n_docs)
-        self.tok = np.full(len(row) + n_docs, END)
-        self.tok[np.arange(len(row)) + row] = H.range_hash(buf, start, end)
-        self.row = np.repeat(np.arange(n_docs), self.n_words + 1)
-        self.out = np.array([held_out(x) for x in table.column("doc_id").to_pylist()], bool)
-        self.train = ~self.out[self.row]
-        self.words, self.word = np.unique(self.tok, return_inverse=True)
-
-    def counted(self, counts: np.ndarray, total: int, kinds: int, min_count: int) -> None:
-        self.c, self.total = counts.astype(np.float64), total
-        self.root = (self.c + 0.5) / (total + 0.5 * (kinds + 1))
-        # positions with a candidate context of one word
-        i = np.arange(1, len(self.tok))
-        self.at1 = i[(self.row[i] == self.row[i - 1]) & (self.c[self.word[i - 1]] >= min_count)]
-        code = H.mix(self.tok[self.at1 - 1] * np.uint64(0x9E3779B97F4A7C15) + H.mix(self.tok[self.at1]))
-        self.pairs, self.pair = np.unique(code, return_inverse=True)
-
-    def paired(self, counts: np.ndarray, min_count: int) -> None:
-        self.c2 = counts.astype(np.float64)
-        of = np.full(len(self.tok), -1)
-        of[self.at1] = self.pair
-        before = of[self.at1 - 1]  # the pair that ends where the context does
-        ok = (before >= 0) & (self.c2[before] >= min_count)
-        self.two, self.before = np.flatnonzero(ok), before[ok]  # positions among at1, their context's pair
-        code = H.mix(self.pairs[self.before] * np.uint64(0xD6E8FEB86659FD93) + H.mix(self.tok[self.at1[self.two]]))
-        self.triples, self.triple = np.unique(code, return_inverse=True)
-        self.ones, self.one = np.unique(self.word[self.at1 - 1], return_inverse=True)
-        self.firsts, self.first = np.unique(self.before, return_inverse=True)
-
-    def p1(self, spread1: np.ndarray) -> np.ndarray:
-        """Probability at at1 by at most one word of context; spread1: T of each of ones, 0 where not retained."""
-        t, p = spread1[self.one], self.root[self.word[self.at1]]
-        return np.where(t > 0, (self.c2[self.pair] + t * p) / (self.c[self.word[self.at1 - 1]] + t), p)
-
-
-def _sharded(keys: np.ndarray, n_shards: int):
-    """Positions of sorted keys by shard, which their low 16 bits choose."""
-    order, bounds = X.by_shard((H.mix(keys & np.uint64(0xFFFF)) % np.uint64(n_shards)).astype(np.int64), n_shards)
-    return [order[bounds[s] : bounds[s + 1]] for s in range(n_shards)]
-
-
-def _returned(keys: np.ndarray, n_shards: int, replies: dict[int, bytes], first: int, kind) -> np.ndarray:
-    out = np.zeros(len(keys), kind)
-    for s, own in enumerate(_sharded(keys, n_shards)):
-        if len(own):
-            out[own] = X.load(replies[first + s], np.float64, kind)[1]
-    return out
-
-
-def _asked(body: bytes, *types) -> list[np.ndarray]:
-    planes, *values = X.load(body[1:], np.uint8, *types)
-    return [X.load_sorted(planes), *values]
-
-
-def _counts(bodies: list[tuple[np.ndarray, ...]], head: bool) -> list[bytes]:
-    key = np.concatenate([b[1] for b in bodies])
-    n = np.concatenate([b[2] for b in bodies])
-    known, which = np.unique(key, return_inverse=True)
-    total = np.bincount(which, n, len(known))
-    top = np.array([total.sum(), (total > 0).sum()] if head else [])
-    return [X.dump(top, x.astype(np.uint32)) for x in np.split(total[which], np.cumsum([len(b[1]) for b in bodies])[:-1])]
-
-
-def _retained(bodies: list[tuple[np.ndarray, ...]]) -> list[bytes]:
-    """For each context asked for, T where it is retained and 0 elsewhere."""
-    key = np.concatenate([b[1] for b in bodies])
-    gain, spread, n = (np.concatenate([b[i] for b in bodies]) for i in (2, 3, 4))
-    known, which = np.unique(key, return_inverse=True)
-    gain, spread = np.bincount(which, gain, len(known)), np.bincount(which, spread, len(known))
-    count = np.zeros(len(known))
-    count[which] = n
-    keep = gain > 0.5 * spread * np.log(np.maximum(count, 2))
-    t = np.where(keep, spread, 0).astype(np.float32)[which]
-    return [X.dump(np.zeros(0), x) for x in np.split(t, np.cumsum([len(b[1]) for b in bodies])[:-1])]
-
-
-def score(docs: DataFrame, min_count: int = 64) -> DataFrame:
+def tokens(table: pa.Table):
+    """The token hashes of (doc_id, text) rows, the number of words a row, and which rows are held out."""
+    buf, offsets = H.flat(table.column("text"), lower=True)
+    start, end, row = H.word_spans(buf, offsets)
+    n_words = np.bincount(row, minlength=table.num_rows)
+    tok = np.full(len(row) + table.num_rows, END)
+    tok[np.arange(len(row)) + row] = H.range_hash(buf, start, end)
+    return tok, n_words, np.array([held_out(x) for x in table.column("doc_id").to_pylist()], bool)
+
+
+@dataclass
+class Level:
+    """The positions of a batch that have a candidate context of one length."""
+
+    at: np.ndarray  #: positions of the next words
+    count: np.ndarray  #: how often the context of each occurs in training
+    context: np.ndarray  #: which of contexts it is
+    contexts: np.ndarray  #: the numbers of the different contexts
+    which: np.ndarray  #: the key (context and next word) of each position; -1 where the word isn't in training
+    keys: np.ndarray
+    order: np.ndarray  #: of the keys by shard, and the shards' bounds in it
+    bounds: np.ndarray
+
+
+class Stream:
+    """The words of a batch as numbers of the whole corpus, and what is known of its contexts so far."""
+
+    def __init__(self, table: pa.Table, n_shards: int, min_count: int):
+        ids, null, n_words, out, word, c, number, heads = (np.frombuffer(table.column(i)[0].as_py(), t) for i, t in enumerate((np.int64, np.bool_, np.int64, np.bool_, np.uint8, np.uint32, np.uint64, np.float64)))
+        self.ids, self.n_words, self.out, self.n_shards, self.min_count = pa.array(ids, mask=null), n_words, out, n_shards, min_count
+        self.word = _from_planes(word)
+        self.c, self.number = c.astype(np.float64), number
+        self.total, kinds, width = heads
+        self.width = np.uint64(width)
+        self.row = np.repeat(np.arange(len(n_words)), n_words + 1)
+        self.train = ~out[self.row]
+        self.root = (self.c + 0.5) / (self.total + 0.5 * (kinds + 1))
+        self.p = self.root[self.word]
+        self.levels: list[Level] = []
+        i = np.arange(1, len(self.word))
+        at = i[(self.row[i] == self.row[i - 1]) & (self.c[self.word[i - 1]] >= min_count)]
+        self._add(at, self.c[self.word[at - 1]], self.number[self.word[at - 1]])
+
+    def _add(self, at: np.ndarray, count: np.ndarray, context: np.ndarray) -> None:
+        x, n = self.number[self.word[at]], np.uint64(self.n_shards)
+        known = np.flatnonzero(self.c[self.word[at]] > 0)
+        # Of a context and a shard, the words that belong there differ by multiples of the number of shards.
+        shard, code = (context + x)[known] % n, (context * self.width + x // n)[known]
+        if not len(code) or int(code.max()) < (1 << 64) // self.n_shards - 1:
+            both, inverse = np.unique(code * n + shard, return_inverse=True)
+            shard, code = both % n, both // n
+        else:
+            order = np.lexsort((shard, code))
+            new = np.r_[True, (code[order[1:]] != code[order[:-1]]) | (shard[order[1:]] != shard[order[:-1]])]
+            inverse = np.empty(len(order), np.int64)
+            inverse[order] = np.cumsum(new) - 1
+            shard, code = shard[order[new]], code[order[new]]
+        which = np.full(len(at), -1)
+        which[known] = inverse
+        contexts, mine = np.unique(context, return_inverse=True)
+        self.levels.append(Level(at, count, mine, contexts, which, code, *X.by_shard(shard.astype(np.int64), self.n_shards)))
+
+    def counted(self, counts: np.ndarray, ranks: np.ndarray) -> None:
+        """Takes in the counts of the last level's keys, and the numbers of those that are candidates; goes a word deeper."""
+        level = self.levels[-1]
+        level.next = np.where(level.which >= 0, counts[level.which] if len(counts) else 0, 0).astype(np.float64)
+        shard = np.zeros(len(counts), np.uint64)
+        shard[level.order] = np.repeat(np.arange(self.n_shards, dtype=np.uint64), np.diff(level.bounds))
+        number = ranks.astype(np.uint64) * np.uint64(self.n_shards) + shard
+        at = level.at
+        deeper = np.flatnonzero((level.next >= self.min_count) & (at + 1 < len(self.row)) & (self.row[np.minimum(at + 1, len(self.row) - 1)] == self.row[at]))
+        self._add(at[deeper] + 1, level.next[deeper], number[level.which[deeper]])
+
+    def gains(self, d: int):
+        """For each context of a level: its divergence from the shorter one, T, and its count."""
+        level = self.levels[d]
+        own = np.flatnonzero(self.train[level.at])
+        n, mine, following = len(level.contexts), level.context[own], level.next[own]
+        gain = np.log(following / level.count[own] / self.p[level.at[own]])
+        count = np.zeros(n, np.uint32)
+        count[level.context] = level.count
+        return np.bincount(mine, gain, n).astype(np.float32), np.bincount(mine, 1 / following, n).astype(np.float32), count
+
+    def retained(self, d: int, spread: np.ndarray) -> None:
+        """Takes in T of each context of a level, 0 where it isn't retained: the level's probabilities."""
+        level = self.levels[d]
+        t, p = spread.astype(np.float64)[level.context], self.p[level.at]
+        self.p[level.at] = np.where(t > 0, (level.next + t * p) / (level.count + t), p)
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers as byte planes."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _summed(key: list[np.ndarray], *values: list[np.ndarray]):
+    """The distinct keys, where each key is among them, and the sums of the values."""
+    known, which = np.unique(np.concatenate(key), return_inverse=True)
+    return known, which, *(np.bincount(which, np.concatenate(v), len(known)) for v in values)
+
+
+def _ranks(count: np.ndarray) -> np.ndarray:
+    """0 for the largest count, and so on; ties in order."""
+    rank = np.empty(len(count), np.uint32)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.uint32)
+    return rank
+
+
+def score(docs: DataFrame, min_count: int = 64, depth: int = 3) -> DataFrame:
     n_shards = X.shards(docs)
     packed = X.pack(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batch_bytes=4 << 20)
 
-    def asked(kind: int, first: int, keys: np.ndarray, *values: np.ndarray, every: bool = False):
-        for s, own in enumerate(_sharded(keys, n_shards)):
-            if len(own) or every:
-                # Of a code of several words the 48 bits that don't choose the shard are sent.
-                sent = keys[own] >> np.uint64(16) if kind == 2 else keys[own]
-                yield first + s, bytes([kind]) + X.dump(X.dump_sorted(sent), *(v[own] for v in values))
-
     def answer(bodies: list[bytes]) -> list[bytes]:
         kind = bodies[0][0]
-        if kind == 3:
-            return _retained([(None, *_asked(b, np.float64, np.float64, np.float32)) for b in bodies])
-        return _counts([(None, *_asked(b, np.uint32)) for b in bodies], head=kind == 1)
-
-    def train_counts(which: np.ndarray, train: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(which[train], minlength=n).astype(np.uint32)
-
-    # 1: words. Every batch asks every shard, so it also learns N and V.
+        got = [X.load(b[1:], np.uint8, *((np.float32, np.float32, np.uint32) if kind == GAINS else (np.uint32,))) for b in bodies]
+        key = [X.load_sorted(g[0]) for g in got]
+        parts = np.cumsum([len(k) for k in key])[:-1]
+        if kind == GAINS:
+            _, which, gain, spread = _summed(key, [g[1] for g in got], [g[2] for g in got])
+            count = np.zeros(len(gain))
+            count[which] = np.concatenate([g[3] for g in got])
+            spread = np.rint(spread)  # a number of different words
+            t = np.where(gain > 0.5 * spread * np.log(np.maximum(count, 2)), spread, 0).astype(np.uint32)[which]
+            return [X.dump(x) for x in np.split(t, parts)]
+        _, which, total = _summed(key, [g[1] for g in got])
+        if kind == NEXT:
+            total_of, rank = total[which], np.zeros(len(total), np.uint32)
+            rank[total >= min_count] = _ranks(total[total >= min_count])
+            return [X.dump(c.astype(np.uint32), r) for c, r in zip(np.split(total_of, parts), np.split(rank[which], parts), strict=True)]
+        head = np.array([total.sum(), (total > 0).sum()])
+        return [X.dump(head, c.astype(np.uint32), r) for c, r in zip(np.split(total[which], parts), np.split(_ranks(total)[which], parts), strict=True)]
+
+    # Every batch asks every shard about words, so it also learns N and V.
     def words(table: pa.Table):
-        v = View(table)
-        yield from asked(1, 0, v.words, train_counts(v.word, v.train, len(v.words)), every=True)
-
-    # 2: words after a frequent word
-    def pairs(table: pa.Table, replies: dict[int, bytes]):
-        v = View(table)
-        heads = np.sum([X.load(replies[s], np.float64, np.uint32)[0] for s in range(n_shards)], axis=0)
-        c = _returned(v.words, n_shards, replies, 0, np.uint32)
-        v.counted(c, heads[0], heads[1], min_count)
-        yield X.KEPT, X.dump(heads, c)
-        yield from asked(2, 0, v.pairs, train_counts(v.pair, v.train[v.at1], len(v.pairs)))
-
-    # 3: the sums of one-word contexts, and words after a frequent pair
-    def contexts(table: pa.Table, replies: dict[int, bytes]):
-        v = View(table)
-        heads, c = X.load(replies[X.KEPT], np.float64, np.uint32)
-        v.counted(c, heads[0], heads[1], min_count)
-        c2 = _returned(v.pairs, n_shards, replies, 0, np.uint32)
-        v.paired(c2, min_count)
-        yield X.KEPT, X.dump(heads, c, c2)
-        own, count = v.train[v.at1], v.c[v.word[v.at1 - 1]]
-        with np.errstate(divide="ignore"):
-            gain = np.log(v.c2[v.pair] / count / v.root[v.word[v.at1]])
-            spread = 1 / v.c2[v.pair]
-        n = len(v.ones)
-        yield from asked(3, 0, v.words[v.ones], np.bincount(v.one[own], gain[own], n), np.bincount(v.one[own], spread[own], n), v.c[v.ones].astype(np.float32))
-        yield from asked(2, n_shards, v.triples, train_counts(v.triple, v.train[v.at1[v.two]], len(v.triples)))
-
-    # 4: the sums of two-word contexts
-    def longer(table: pa.Table, replies: dict[int, bytes]):
-        v = View(table)
-        heads, c, c2 = X.load(replies[X.KEPT], np.float64, np.uint32, np.uint32)
-        v.counted(c, heads[0], heads[1], min_count)
-        v.paired(c2, min_count)
-        t1 = _returned(v.words[v.ones], n_shards, replies, 0, np.float32)
-        c3 = _returned(v.triples, n_shards, replies, n_shards, np.uint32)
-        yield X.KEPT, X.dump(heads, c, c2, t1, c3)
-        own, count = v.train[v.at1[v.two]], v.c2[v.before]
-        with np.errstate(divide="ignore"):
-            gain = np.log(c3[v.triple] / count / v.p1(t1.astype(np.float64))[v.two])
-            spread = 1 / c3[v.triple].astype(np.float64)
-        n = len(v.firsts)
-        yield from asked(3, 0, v.pairs[v.firsts], np.bincount(v.first[own], gain[own], n), np.bincount(v.first[own], spread[own], n), v.c2[v.firsts].astype(np.float32))
+        tok, n_words, out = tokens(table)
+        known, which = np.unique(tok, return_inverse=True)
+        n = np.bincount(which[~np.repeat(out, n_words + 1)], minlength=len(known)).astype(np.uint32)
+        order, bounds = X.by_shard((known % np.uint64(n_shards)).astype(np.int64), n_shards)
+        for s in range(n_shards):
+            own = order[bounds[s] : bounds[s + 1]]
+            yield s, bytes([WORDS]) + X.dump(X.dump_sorted(known[own]), n[own])
+
+    def repacked(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A batch as a stream of words by falling count."""
+        table = X.unpack(left.column("body")[0].as_py())
+        tok, n_words, out = tokens(table)
+        known, which = np.unique(tok, return_inverse=True)
+        order, bounds = X.by_shard((known % np.uint64(n_shards)).astype(np.int64), n_shards)
+        c, number, heads = np.zeros(len(known), np.uint32), np.zeros(len(known), np.uint64), []
+        for s, body in zip(right.column("shard").to_pylist(), right.column("body").to_pylist(), strict=True):
+            own = order[bounds[s] : bounds[s + 1]]
+            head, c[own], rank = X.load(body, np.float64, np.uint32, np.uint32)
+            number[own] = rank.astype(np.uint64) * np.uint64(n_shards) + np.uint64(s)
+            heads.append(head)
+        total, kinds = np.sum(heads, axis=0)
+        by_number = np.argsort(number)
+        place = np.empty(len(known), np.int64)
+        place[by_number] = np.arange(len(known))
+        ids = table.column("doc_id").combine_chunks()
+        head = np.array([total, kinds, max(1, np.max(heads, axis=0)[1])])
+        body = X.dump(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), n_words, out, _planes(place[which]), c[by_number], number[by_number], head)
+        return pa.Table.from_pydict({"batch": left.column("batch"), "body": pa.array([body], pa.binary())})
+
+    def stream(table: pa.Table, replies: dict[int, bytes], rounds: int) -> tuple[Stream, list[np.ndarray]]:
+        """A batch after so many rounds, and all it has been told: for each round counts and numbers of keys, and T of the contexts of the round before."""
+        v = Stream(table, n_shards, min_count)
+        told = X.load(replies[X.KEPT], *[t for i in range(rounds - 1) for t in ((np.uint32,) * (2 + (i > 0)))]) if rounds > 1 else []
+        told, used = list(told), 0
+        for i in range(rounds):
+            last = i == rounds - 1
+            if i > 0:  # T of the level before
+                if last:
+                    told.append(_returned(replies, n_shards, len(v.levels[i - 1].contexts), *_context_shards(v.levels[i - 1], n_shards), 0))
+                v.retained(i - 1, told[used])
+                used += 1
+            if i < depth:
+                if last:
+                    level = v.levels[i]
+                    for place in (0, 1):
+                        told.append(_returned(replies, 0, len(level.keys), level.order, level.bounds, place, 2))
+                v.counted(told[used], told[used + 1])
+                used += 2
+        return v, told
+
+    def turn(rounds: int):
+        """Round number rounds + 1: the keys of the next level, and the sums of the one before."""
+
+        def ask(table: pa.Table, replies: dict[int, bytes]):
+            v, told = stream(table, replies, rounds)
+            if rounds:
+                yield X.KEPT, X.dump(*told)
+                level = v.levels[rounds - 1]
+                gain, spread, count = v.gains(rounds - 1)
+                order, bounds = _context_shards(level, n_shards)
+                for s in np.flatnonzero(np.diff(bounds)):
+                    own = order[bounds[s] : bounds[s + 1]]
+                    yield n_shards + int(s), bytes([GAINS]) + X.dump(X.dump_sorted(level.contexts[own]), gain[own], spread[own], count[own])
+            if rounds < depth:
+                level = v.levels[rounds]
+                own = v.train[level.at] & (level.which >= 0)
+                n = np.bincount(level.which[own], minlength=len(level.keys)).astype(np.uint32)
+                for s in np.flatnonzero(np.diff(level.bounds)):
+                    keys = level.order[level.bounds[s] : level.bounds[s + 1]]
+                    yield int(s), bytes([NEXT]) + X.dump(X.dump_sorted(level.keys[keys]), n[keys])
+
+        return ask
 
     def settle(table: pa.Table, replies: dict[int, bytes]) -> pa.Table:
-        v = View(table)
-        heads, c, c2, t1, c3 = X.load(replies[X.KEPT], np.float64, np.uint32, np.uint32, np.float32, np.uint32)
-        v.counted(c, heads[0], heads[1], min_count)
-        v.paired(c2, min_count)
-        t2 = _returned(v.pairs[v.firsts], n_shards, replies, 0, np.float32).astype(np.float64)[v.first]
-        p1 = v.p1(t1.astype(np.float64))
-        p = v.root[v.word]
-        base = np.log10(p)
-        p[v.at1] = p1
-        p[v.at1[v.two]] = np.where(t2 > 0, (c3[v.triple] + t2 * p1[v.two]) / (v.c2[v.before] + t2), p1[v.two])
-        n = table.num_rows
-        columns = [table.column("doc_id"), pa.array(v.out), pa.array(v.n_words + 1), pa.array(np.bincount(v.row, v.c[v.word] > 0, n).astype(np.int64)), pa.array(np.full(n, int(heads[0]))), pa.array(np.bincount(v.row, base, n)), pa.array(np.bincount(v.row, np.log10(p), n))]
+        v, _ = stream(table, replies, depth + 1)
+        n = len(v.n_words)
+        columns = [v.ids, pa.array(v.out), pa.array(v.n_words + 1), pa.array(np.bincount(v.row, v.c[v.word] > 0, n).astype(np.int64)), pa.array(np.full(n, int(v.total))), pa.array(np.bincount(v.row, np.log10(v.root[v.word]), n)), pa.array(np.bincount(v.row, np.log10(v.p), n))]
         return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    mail = X.answer(X.ask(packed, words), answer)
-    for fn in (pairs, contexts, longer):
-        mail = X.answer(X.ask_again(packed, mail, fn), answer)
-    return X.settle(packed, mail, settle, SCHEMA)
+    counts = X.answer(X.ask(packed, words), answer)
+    streams = packed.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(repacked, X.PACKED).repartition("batch")
+    first = turn(0)
+    mail = X.answer(X.ask(streams, lambda table: first(table, {})), answer)
+    for rounds in range(1, depth + 1):
+        mail = X.answer(X.ask_again(streams, mail, turn(rounds)), answer)
+    return X.settle(streams, mail, settle, SCHEMA)
+
+
+def _context_shards(level: Level, n_shards: int):
+    return X.by_shard((level.contexts % np.uint64(n_shards)).astype(np.int64), n_shards)
+
+
+def _returned(replies: dict[int, bytes], first: int, n: int, order: np.ndarray, bounds: np.ndarray, place: int, columns: int = 1) -> np.ndarray:
+    """One column of the replies of the shards from first on, in the order of what was asked."""
+    out = np.zeros(n, np.uint32)
+    for s in np.flatnonzero(np.diff(bounds)):
+        out[order[bounds[s] : bounds[s + 1]]] = X.load(replies[first + int(s)], *(np.uint32,) * columns)[place]
+    return out
