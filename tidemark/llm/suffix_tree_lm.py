@@ -38,6 +38,10 @@ from tidemark.llm import hashing as H
 END = np.uint64(0xE7037ED1A0B428DB)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 WORDS, NEXT, GAINS = range(3)
+#: Text in a batch; the larger it is, the fewer batches ask about the same words and contexts.
+BATCH_BYTES = 8 << 20
+#: Bits of a word's hash that are sent; others choose its shard.
+WORD_BITS = np.uint64(16)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -46,12 +50,15 @@ def held_out(doc_id: int | None) -> bool:
 
 def tokens(table: pa.Table):
     """The token hashes of (doc_id, text) rows, the number of words a row, and which rows are held out."""
-    buf, offsets = H.flat(table.column("text"), lower=True)
-    start, end, row = H.word_spans(buf, offsets)
-    n_words = np.bincount(row, minlength=table.num_rows)
-    tok = np.full(len(row) + table.num_rows, END)
-    tok[np.arange(len(row)) + row] = H.range_hash(buf, start, end)
-    return tok, n_words, np.array([held_out(x) for x in table.column("doc_id").to_pylist()], bool)
+    tok, n_words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b in X.slices(table.select(["doc_id", "text"]).to_batches(), 1 << 20):
+        buf, offsets = H.flat(b.column(1), lower=True)
+        start, end, row = H.word_spans(buf, offsets)
+        n_words.append(np.bincount(row, minlength=b.num_rows))
+        own = np.full(len(row) + b.num_rows, END)
+        own[np.arange(len(row)) + row] = H.range_hash(buf, start, end)
+        tok.append(own)
+    return np.concatenate(tok), np.concatenate(n_words), np.array([held_out(x) for x in table.column("doc_id").to_pylist()], bool)
 
 
 @dataclass
@@ -72,10 +79,10 @@ class Stream:
     """The words of a batch as numbers of the whole corpus, and what is known of its contexts so far."""
 
     def __init__(self, table: pa.Table, n_shards: int, min_count: int):
-        ids, null, n_words, out, word, c, number, heads = (np.frombuffer(table.column(i)[0].as_py(), t) for i, t in enumerate((np.int64, np.bool_, np.int64, np.bool_, np.uint8, np.uint32, np.uint64, np.float64)))
+        ids, null, n_words, out, word, c, number, heads = (np.frombuffer(table.column(i)[0].as_py(), t) for i, t in enumerate((np.int64, np.bool_, np.int64, np.bool_, np.uint8, np.uint8, np.uint8, np.float64)))
         self.ids, self.n_words, self.out, self.n_shards, self.min_count = pa.array(ids, mask=null), n_words, out, n_shards, min_count
         self.word = _from_planes(word)
-        self.c, self.number = c.astype(np.float64), number
+        self.c, self.number = _from_planes(c).astype(np.float64), X.load_sorted(number)
         self.total, kinds, width = heads
         self.width = np.uint64(width)
         self.row = np.repeat(np.arange(len(n_words)), n_words + 1)
@@ -106,26 +113,32 @@ class Stream:
         contexts, mine = np.unique(context, return_inverse=True)
         self.levels.append(Level(at, count, mine, contexts, which, code, *X.by_shard(shard.astype(np.int64), self.n_shards)))
 
-    def counted(self, counts: np.ndarray, ranks: np.ndarray) -> None:
+    def counted(self, counts: np.ndarray, numbers: np.ndarray) -> None:
         """Takes in the counts of the last level's keys, and the numbers of those that are candidates; goes a word deeper."""
         level = self.levels[-1]
         level.next = np.where(level.which >= 0, counts[level.which] if len(counts) else 0, 0).astype(np.float64)
-        shard = np.zeros(len(counts), np.uint64)
-        shard[level.order] = np.repeat(np.arange(self.n_shards, dtype=np.uint64), np.diff(level.bounds))
-        number = ranks.astype(np.uint64) * np.uint64(self.n_shards) + shard
+        number = np.zeros(len(counts), np.uint64)
+        number[counts >= self.min_count] = numbers
         at = level.at
         deeper = np.flatnonzero((level.next >= self.min_count) & (at + 1 < len(self.row)) & (self.row[np.minimum(at + 1, len(self.row) - 1)] == self.row[at]))
         self._add(at[deeper] + 1, level.next[deeper], number[level.which[deeper]])
 
+    def still_needed(self, d: int, counts: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """Counts of a level's keys, 0 for those whose context isn't retained and which are no candidates."""
+        level = self.levels[d]
+        use = counts >= self.min_count
+        kept = np.flatnonzero((spread[level.context] > 0) & (level.which >= 0))
+        use[level.which[kept]] = True
+        return np.where(use, counts, 0)
+
     def gains(self, d: int):
-        """For each context of a level: its divergence from the shorter one, T, and its count."""
+        """For each context of a level: its divergence from the shorter one beyond what it costs, and T."""
         level = self.levels[d]
         own = np.flatnonzero(self.train[level.at])
-        n, mine, following = len(level.contexts), level.context[own], level.next[own]
-        gain = np.log(following / level.count[own] / self.p[level.at[own]])
-        count = np.zeros(n, np.uint32)
-        count[level.context] = level.count
-        return np.bincount(mine, gain, n).astype(np.float32), np.bincount(mine, 1 / following, n).astype(np.float32), count
+        n, mine, following, count = len(level.contexts), level.context[own], level.next[own], level.count[own]
+        spread = 1 / following
+        gain = np.log(following / count / self.p[level.at[own]]) - 0.5 * spread * np.log(np.maximum(count, 2))
+        return np.bincount(mine, gain, n).astype(np.float32), np.bincount(mine, spread, n).astype(np.float32)
 
     def retained(self, d: int, spread: np.ndarray) -> None:
         """Takes in T of each context of a level, 0 where it isn't retained: the level's probabilities."""
@@ -149,6 +162,17 @@ def _summed(key: list[np.ndarray], *values: list[np.ndarray]):
     return known, which, *(np.bincount(which, np.concatenate(v), len(known)) for v in values)
 
 
+def _dump_ranks(count: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Ranks of keys in order: by falling count, then key, they rise."""
+    return X.dump_sorted(rank[np.argsort(-count.astype(np.int64), kind="stable")].astype(np.uint64))
+
+
+def _load_ranks(count: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    rank = np.empty(len(count), np.uint64)
+    rank[np.argsort(-count.astype(np.int64), kind="stable")] = X.load_sorted(planes)
+    return rank
+
+
 def _ranks(count: np.ndarray) -> np.ndarray:
     """0 for the largest count, and so on; ties in order."""
     rank = np.empty(len(count), np.uint32)
@@ -158,49 +182,50 @@ def _ranks(count: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, min_count: int = 64, depth: int = 3) -> DataFrame:
     n_shards = X.shards(docs)
-    packed = X.pack(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batch_bytes=4 << 20)
+    packed = X.pack(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batch_bytes=BATCH_BYTES)
 
     def answer(bodies: list[bytes]) -> list[bytes]:
         kind = bodies[0][0]
-        got = [X.load(b[1:], np.uint8, *((np.float32, np.float32, np.uint32) if kind == GAINS else (np.uint32,))) for b in bodies]
+        got = [X.load(b[1:], np.uint8, *((np.float32, np.float32) if kind == GAINS else (np.uint8,))) for b in bodies]
         key = [X.load_sorted(g[0]) for g in got]
         parts = np.cumsum([len(k) for k in key])[:-1]
         if kind == GAINS:
             _, which, gain, spread = _summed(key, [g[1] for g in got], [g[2] for g in got])
-            count = np.zeros(len(gain))
-            count[which] = np.concatenate([g[3] for g in got])
-            spread = np.rint(spread)  # a number of different words
-            t = np.where(gain > 0.5 * spread * np.log(np.maximum(count, 2)), spread, 0).astype(np.uint32)[which]
-            return [X.dump(x) for x in np.split(t, parts)]
-        _, which, total = _summed(key, [g[1] for g in got])
-        if kind == NEXT:
-            total_of, rank = total[which], np.zeros(len(total), np.uint32)
-            rank[total >= min_count] = _ranks(total[total >= min_count])
-            return [X.dump(c.astype(np.uint32), r) for c, r in zip(np.split(total_of, parts), np.split(rank[which], parts), strict=True)]
-        head = np.array([total.sum(), (total > 0).sum()])
-        return [X.dump(head, c.astype(np.uint32), r) for c, r in zip(np.split(total[which], parts), np.split(_ranks(total)[which], parts), strict=True)]
+            t = np.where(gain > 0, np.rint(spread), 0)[which]  # T is a number of different words
+            return [X.dump(_planes(x)) for x in np.split(t, parts)]
+        _, which, total = _summed(key, [_from_planes(g[1]) for g in got])
+        rank = np.zeros(len(total), np.uint32)
+        numbered = total >= (min_count if kind == NEXT else 0)
+        rank[numbered] = _ranks(total[numbered])
+        head = [np.array([total.sum(), (total > 0).sum()])] if kind == WORDS else []
+        out = []
+        for own in np.split(which, parts):
+            some = numbered[own]
+            out.append(X.dump(*head, _planes(total[own]), _dump_ranks(total[own][some], rank[own][some])))
+        return out
 
     # Every batch asks every shard about words, so it also learns N and V.
     def words(table: pa.Table):
         tok, n_words, out = tokens(table)
         known, which = np.unique(tok, return_inverse=True)
         n = np.bincount(which[~np.repeat(out, n_words + 1)], minlength=len(known)).astype(np.uint32)
-        order, bounds = X.by_shard((known % np.uint64(n_shards)).astype(np.int64), n_shards)
+        order, bounds = X.by_shard((H.mix(known & np.uint64((1 << int(WORD_BITS)) - 1)) % np.uint64(n_shards)).astype(np.int64), n_shards)
         for s in range(n_shards):
             own = order[bounds[s] : bounds[s + 1]]
-            yield s, bytes([WORDS]) + X.dump(X.dump_sorted(known[own]), n[own])
+            yield s, bytes([WORDS]) + X.dump(X.dump_sorted(known[own] >> WORD_BITS), _planes(n[own]))
 
     def repacked(left: pa.Table, right: pa.Table) -> pa.Table:
         """A batch as a stream of words by falling count."""
         table = X.unpack(left.column("body")[0].as_py())
         tok, n_words, out = tokens(table)
         known, which = np.unique(tok, return_inverse=True)
-        order, bounds = X.by_shard((known % np.uint64(n_shards)).astype(np.int64), n_shards)
+        order, bounds = X.by_shard((H.mix(known & np.uint64((1 << int(WORD_BITS)) - 1)) % np.uint64(n_shards)).astype(np.int64), n_shards)
         c, number, heads = np.zeros(len(known), np.uint32), np.zeros(len(known), np.uint64), []
         for s, body in zip(right.column("shard").to_pylist(), right.column("body").to_pylist(), strict=True):
             own = order[bounds[s] : bounds[s + 1]]
-            head, c[own], rank = X.load(body, np.float64, np.uint32, np.uint32)
-            number[own] = rank.astype(np.uint64) * np.uint64(n_shards) + np.uint64(s)
+            head, counts, ranks = X.load(body, np.float64, np.uint8, np.uint8)
+            c[own] = _from_planes(counts)
+            number[own] = _load_ranks(c[own], ranks) * np.uint64(n_shards) + np.uint64(s)
             heads.append(head)
         total, kinds = np.sum(heads, axis=0)
         by_number = np.argsort(number)
@@ -208,50 +233,52 @@ def score(docs: DataFrame, min_count: int = 64, depth: int = 3) -> DataFrame:
         place[by_number] = np.arange(len(known))
         ids = table.column("doc_id").combine_chunks()
         head = np.array([total, kinds, max(1, np.max(heads, axis=0)[1])])
-        body = X.dump(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), n_words, out, _planes(place[which]), c[by_number], number[by_number], head)
+        body = X.dump(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), n_words, out, _planes(place[which]), _planes(c[by_number]), X.dump_sorted(number[by_number]), head)
         return pa.Table.from_pydict({"batch": left.column("batch"), "body": pa.array([body], pa.binary())})
 
     def stream(table: pa.Table, replies: dict[int, bytes], rounds: int) -> tuple[Stream, list[np.ndarray]]:
-        """A batch after so many rounds, and all it has been told: for each round counts and numbers of keys, and T of the contexts of the round before."""
-        v = Stream(table, n_shards, min_count)
-        told = X.load(replies[X.KEPT], *[t for i in range(rounds - 1) for t in ((np.uint32,) * (2 + (i > 0)))]) if rounds > 1 else []
-        told, used = list(told), 0
+        """A batch after so many rounds, and all that it has been told: for each round T of the contexts of the round before, counts of keys, and the numbers of candidates."""
+        v, told = Stream(table, n_shards, min_count), []
+        if X.KEPT in replies:
+            told = [X.load_sorted(x) if i % 3 == 2 else _from_planes(x) for i, x in enumerate(X.load(replies[X.KEPT], *[np.uint8] * (3 * ((rounds - 1) // 2 * 2))))]
         for i in range(rounds):
-            last = i == rounds - 1
-            if i > 0:  # T of the level before
-                if last:
-                    told.append(_returned(replies, n_shards, len(v.levels[i - 1].contexts), *_context_shards(v.levels[i - 1], n_shards), 0))
-                v.retained(i - 1, told[used])
-                used += 1
+            new = len(told) <= 3 * i
+            if new:
+                told.append(_spreads(replies, (2 * i + 1) * n_shards, n_shards, v.levels[i - 1]) if i else np.zeros(0, np.int64))
+                told += _counts(replies, 2 * i * n_shards, n_shards, v.levels[i], min_count) if i < depth else []
+            if i:
+                v.retained(i - 1, told[3 * i])
+                if new:
+                    told[3 * i - 2] = v.still_needed(i - 1, told[3 * i - 2], told[3 * i])
             if i < depth:
-                if last:
-                    level = v.levels[i]
-                    for place in (0, 1):
-                        told.append(_returned(replies, 0, len(level.keys), level.order, level.bounds, place, 2))
-                v.counted(told[used], told[used + 1])
-                used += 2
+                v.counted(told[3 * i + 1], told[3 * i + 2])
         return v, told
 
+    def keeps(rounds: int) -> bool:
+        """Every other round a batch sends itself what it still needs; between, older replies come again."""
+        return rounds > 0 and rounds % 2 == 0
+
     def turn(rounds: int):
         """Round number rounds + 1: the keys of the next level, and the sums of the one before."""
 
         def ask(table: pa.Table, replies: dict[int, bytes]):
             v, told = stream(table, replies, rounds)
+            if keeps(rounds):
+                yield X.KEPT, X.dump(*[X.dump_sorted(x) if i % 3 == 2 else _planes(x) for i, x in enumerate(told)])
             if rounds:
-                yield X.KEPT, X.dump(*told)
                 level = v.levels[rounds - 1]
-                gain, spread, count = v.gains(rounds - 1)
+                gain, spread = v.gains(rounds - 1)
                 order, bounds = _context_shards(level, n_shards)
                 for s in np.flatnonzero(np.diff(bounds)):
                     own = order[bounds[s] : bounds[s + 1]]
-                    yield n_shards + int(s), bytes([GAINS]) + X.dump(X.dump_sorted(level.contexts[own]), gain[own], spread[own], count[own])
+                    yield (2 * rounds + 1) * n_shards + int(s), bytes([GAINS]) + X.dump(X.dump_sorted(level.contexts[own]), gain[own], spread[own])
             if rounds < depth:
                 level = v.levels[rounds]
                 own = v.train[level.at] & (level.which >= 0)
                 n = np.bincount(level.which[own], minlength=len(level.keys)).astype(np.uint32)
                 for s in np.flatnonzero(np.diff(level.bounds)):
                     keys = level.order[level.bounds[s] : level.bounds[s + 1]]
-                    yield int(s), bytes([NEXT]) + X.dump(X.dump_sorted(level.keys[keys]), n[keys])
+                    yield 2 * rounds * n_shards + int(s), bytes([NEXT]) + X.dump(X.dump_sorted(level.keys[keys]), _planes(n[keys]))
 
         return ask
 
@@ -264,19 +291,33 @@ def score(docs: DataFrame, min_count: int = 64, depth: int = 3) -> DataFrame:
     counts = X.answer(X.ask(packed, words), answer)
     streams = packed.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(repacked, X.PACKED).repartition("batch")
     first = turn(0)
-    mail = X.answer(X.ask(streams, lambda table: first(table, {})), answer)
+    inbox = X.answer(X.ask(streams, lambda table: first(table, {})), answer)
     for rounds in range(1, depth + 1):
-        mail = X.answer(X.ask_again(streams, mail, turn(rounds)), answer)
-    return X.settle(streams, mail, settle, SCHEMA)
+        mail = X.answer(X.ask_again(streams, inbox, turn(rounds)), answer)
+        inbox = mail if keeps(rounds) else inbox.unionByName(mail)
+    return X.settle(streams, inbox, settle, SCHEMA)
 
 
 def _context_shards(level: Level, n_shards: int):
     return X.by_shard((level.contexts % np.uint64(n_shards)).astype(np.int64), n_shards)
 
 
-def _returned(replies: dict[int, bytes], first: int, n: int, order: np.ndarray, bounds: np.ndarray, place: int, columns: int = 1) -> np.ndarray:
-    """One column of the replies of the shards from first on, in the order of what was asked."""
-    out = np.zeros(n, np.uint32)
+def _spreads(replies: dict[int, bytes], first: int, n_shards: int, level: Level) -> np.ndarray:
+    """T of each context of a level, 0 where it isn't retained."""
+    order, bounds = _context_shards(level, n_shards)
+    out = np.zeros(len(level.contexts), np.int64)
     for s in np.flatnonzero(np.diff(bounds)):
-        out[order[bounds[s] : bounds[s + 1]]] = X.load(replies[first + int(s)], *(np.uint32,) * columns)[place]
+        out[order[bounds[s] : bounds[s + 1]]] = _from_planes(X.load(replies[first + int(s)], np.uint8)[0])
     return out
+
+
+def _counts(replies: dict[int, bytes], first: int, n_shards: int, level: Level, min_count: int) -> list[np.ndarray]:
+    """The count of each key of a level, and the numbers of those that are candidates."""
+    counts, numbers = np.zeros(len(level.keys), np.int64), np.zeros(len(level.keys), np.uint64)
+    for s in np.flatnonzero(np.diff(level.bounds)):
+        own = level.order[level.bounds[s] : level.bounds[s + 1]]
+        body, ranks = X.load(replies[first + int(s)], np.uint8, np.uint8)
+        counts[own] = _from_planes(body)
+        some = own[counts[own] >= min_count]
+        numbers[some] = _load_ranks(counts[some], ranks) * np.uint64(n_shards) + np.uint64(s)
+    return [counts, numbers[counts >= min_count]]
