@@ -70,6 +70,34 @@ def test_chunk_edges(spark):
     assert [r.chunk for r in C.after(spark.createDataFrame(rows, cols)).orderBy("idx").collect()] == [0, None, 0]
 
 
+def test_chunk_bounds_and_characters(spark):
+    """A bound half-way is rounded to even; 2,000 characters fill a chunk, the segment that does so stays in it."""
+    cols = "video_id long, idx long, start_s double, end_s double, text string"
+    rows = [(1, 1, 0.125, 1.0, "x" * 2000), (1, 2, 1.0, 2.375, "y"), (1, 3, 2.375, 3.0, "z")]
+    got = C.gather(C.after(spark.createDataFrame(rows, cols))).orderBy("chunk").collect()
+    assert [(r.start_s, r.end_s, r.text) for r in got] == [(0.12, 2.38, "x" * 2000 + " y"), (2.38, 3.0, "z")]
+    assert C.gather(C.after(spark.createDataFrame(rows, cols)), None, "chunk").orderBy("chunk").first().start_s == 0.125
+    assert C.gather(C.after(spark.createDataFrame([], cols))).count() == 0
+
+
+def test_transcripts_worked_by_hand(spark):
+    """Issues, severities and scores of rows worked out by hand from the rules."""
+    inf = float("inf")
+    cols = "video_id long, idx long, start_s double, end_s double, text string"
+    rows = [(1, 1, 0.0, 50.0, "a"), (1, 2, 50.0, 99.0, " "), (1, 3, 40.0, 99.0, "b"), (2, 1, inf, 2.0, "a"), (2, 2, 0.0, inf, "a"), (2, 3, 0.0, 60.0, "A"), (2, 4, 0.0005, 60.0, "a"), (3, 1, -1.0, 5.0, "x"), (4, 1, 0.0, 100.0, "a"), (5, 1, 0.0, 1.0, "a"), (5, 2, 0.001, 1.001, "a")]
+    media = spark.createDataFrame([(1, 100.0, "en", "en", "manual_caption"), (2, 60.0, "en_US", "EN-us", "stt"), (3, 10.0, "en", "en", "stt"), (4, 100.0, "en", "de", "translated_caption"), (5, None, None, "en", "manual_caption")], "video_id long, media_s double, requested string, actual string, source_type string")
+    segments = spark.createDataFrame(rows, cols)
+    found = sorted((r.video_id, r.idx, r.code, r.severity) for r in TR.issues(TR.validate(segments, media)).collect())
+    w, e = "warning", "error"
+    assert found == [(1, 2, "EMPTY_SEGMENT", w), (1, 3, "OVERLAP", w), (2, 1, "INVALID_START", e), (2, 2, "INVALID_END", e), (2, 4, "EXACT_DUPLICATE", w), (2, 4, "OVERLAP", w), (3, 1, "NEGATIVE_START", e), (5, 2, "OVERLAP", w)]
+    got = {r.video_id: (r.score, r.level, r.status) for r in TR.quality(segments, media).collect()}
+    assert got[1] == (0.96, "HIGH", "SUCCESS")  # two warnings
+    assert got[2] == (0.48, "LOW", "QUALITY_REVIEW")  # two errors, two warnings, recognised speech, half of the texts repeated
+    assert got[3] == (0.0, "LOW", "QUALITY_REVIEW")  # nothing accepted
+    assert got[4] == (0.75, "MEDIUM", "SUCCESS")  # translated, other language
+    assert got[5] == (0.83, "MEDIUM", "SUCCESS")  # a warning, half repeated; 0.001 s apart is no exact duplicate
+
+
 def test_gap_of_exactly_ten_seconds_is_no_section(spark):
     cols = "video_id long, idx long, start_s double, end_s double, text string"
     for gap, want in ((9.9375, 1), (10.0, 1), (10.0625, 2)):
@@ -173,7 +201,7 @@ def test_frames_and_parts_have_their_whole_text(spark, data):
     inside = rows("chunk_frames_all")
     assert inside and all(r.clean_text == own[r.video_id, r.idx] for r in inside)
     pages = {r.video_id: r.markdown for r in rows("unified_markdown_all")}
-    assert all(f"] {r.clean_text}" in pages[r.video_id] for r in inside[:200] if len(r.clean_text) > 200)
+    assert all(f"> {r.clean_text.strip()}" in pages[r.video_id] for r in inside[:200] if len(r.clean_text) > 200)
     detail = {(r.video_id, r.idx): r.clean_text for r in rows("frame_detail_all")}
     assert all(t == (own[k] if k[1] % 5 else None) for k, t in detail.items())
     # a match is the ratio of the whole texts
@@ -196,6 +224,11 @@ def test_text_edges(spark):
     assert one(X.number, "1.5") == 1.5 and one(X.number, "NaN") is None and one(X.number, "-1") is None
     assert one(lambda c: X.clock(c.cast("double")), "3661.5") == "01:01:01,500"
     assert one(W.video_id, "https://youtu.be/abcdefghij") == (None, "INVALID_URL")
+    assert one(W.video_id, " https://youtu.be/abcdefghijk/ ") == ("abcdefghijk", None) and one(W.video_id, "https://youtu.be/a/abcdefghijk") == (None, "INVALID_URL")
+    assert one(W.video_id, "https://www.youtube.com/watch?v=abcdefghijk&v=abcdefghijk") == (None, "INVALID_URL") and one(W.video_id, "https://www.youtu.be/abcdefghijk") == (None, "UNSUPPORTED_SOURCE")
+    assert one(W.error_code, "Sign In please") == ("AUTH_REQUIRED", False) and one(W.error_code, "private") == ("METADATA_FAILED", True) and one(W.error_code, "it TIMED out") == ("NETWORK_TIMEOUT", True)
+    assert one(X.fenced, "x ```json\n{}\n``` y") == "{}" and one(X.fenced, "plain") == "plain"
+    assert one(X.plain_text, "<p>a&amp;b <script>x<y</script><b>e\u0301&nbsp;c</b><!-- z --></p>") == "a&b \u00e9 c"
 
 
 def test_files_round_trip(spark, tmp_path):

@@ -1,67 +1,78 @@
 """Order-dependent chunks and scenes: folds within a lecture, sections, ranges of frames.
 
-A fold returns only a group number per row; texts and bounds are aggregated by
-Spark. A lecture is at most some hours, so its rows fit a task.
+A fold sees only numbers (times, lengths, whether a sentence ends) and returns a group
+number for each row; texts stay with Spark, which groups them by the partitioning that they already
+have. A lecture is at most some hours, so its rows fit a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 
-SENTENCE_END = (".", "?", "!", "\n")
+#: What ends a sentence.
+SENTENCE_END = r"[.?!\n]\s*$"
 
 
 def _fold(segments: DataFrame, closes_before, closes_after, skip_blank: bool) -> DataFrame:
-    """(video_id, idx, chunk): closes_before(seconds, characters, last text, gap) ends a chunk before a segment, closes_after(seconds) after one."""
+    """segments with their chunk: closes_before(seconds, characters, whether a sentence ended, gap) ends a chunk before a segment, closes_after(seconds, characters) behind one. Of skipped blank segments the chunk is null."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        chunk, begin, end, chars, last, out = 0, None, 0.0, 0, "", []
-        for start, stop, text in zip(pdf["start_s"], pdf["end_s"], pdf["text"], strict=True):
-            text = text or ""
-            if skip_blank and not text.strip():
+    def numbers(start: list, stop: list, size: list, ended: list) -> list:
+        chunk, begin, end, chars, last, out = 0, None, 0.0, 0, False, []
+        for a, z, n, e in zip(start, stop, size, ended, strict=True):
+            if n < 0:
                 out.append(None)
                 continue
-            if begin is not None and closes_before and closes_before(end - begin, chars, last, start - end):
+            if begin is not None and closes_before and closes_before(end - begin, chars, last, a - end):
                 chunk, begin = chunk + 1, None
             if begin is None:
-                begin, chars = start, 0
-            chars, last = chars + len(text), text
-            end = start if pd.isna(stop) else stop
+                begin, chars = a, 0
+            chars, last, end = chars + n, e, z
             out.append(chunk)
-            if closes_after and closes_after(end - begin):
+            if closes_after and closes_after(end - begin, chars):
                 chunk, begin = chunk + 1, None
-        return pd.DataFrame({"video_id": pdf["video_id"], "idx": pdf["idx"], "chunk": pd.array(out, dtype="Int64")})
+        return out
+
+    @F.pandas_udf("array<long>")
+    def number(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in parts:
+            yield pd.Series([numbers(*(x.tolist() for x in row)) for row in zip(*columns, strict=True)], dtype=object)
 
-    return segments.select("video_id", "idx", "start_s", "end_s", "text").groupBy("video_id").applyInPandas(run, "video_id long, idx long, chunk long")
+    text = F.coalesce("text", F.lit(""))
+    size = F.when(F.lit(skip_blank) & (F.trim(text) == ""), -1).otherwise(F.length(F.trim(text) if skip_blank else text))
+    one = F.struct("idx", "start_s", "end_s", (F.trim(text) if skip_blank else text).alias("text"), F.coalesce("end_s", "start_s").alias("stop"), size.alias("size"), text.rlike(SENTENCE_END).alias("ended"))
+    lectures = segments.groupBy("video_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    lectures = lectures.withColumn("chunk", number("s.start_s", "s.stop", "s.size", "s.ended"))
+    return lectures.select("video_id", F.explode(F.arrays_zip("s", "chunk")).alias("x")).select("video_id", "x.s.idx", "x.s.start_s", "x.s.end_s", "x.s.text", "x.chunk")
 
 
 def fixed(segments: DataFrame, seconds: float = 180.0, characters: int = 2000) -> DataFrame:
-    return _fold(segments, lambda s, n, _last, _gap: s >= seconds or n > characters, None, False)
+    return _fold(segments, lambda s, n, _ended, _gap: s >= seconds or n > characters, None, False)
 
 
 def semantic(segments: DataFrame) -> DataFrame:
     """Soft end after 90 s at a sentence end or pause of 2 s, hard end after 240 s or 3000 characters."""
-    return _fold(segments, lambda s, n, last, gap: (s >= 90 and (last.strip().endswith(SENTENCE_END) or gap >= 2)) or s >= 240 or n > 3000, None, False)
+    return _fold(segments, lambda s, n, ended, gap: (s >= 90 and (ended or gap >= 2)) or s >= 240 or n > 3000, None, False)
 
 
-def after(segments: DataFrame, seconds: float = 180.0, skip_blank: bool = True) -> DataFrame:
-    """A chunk ends with the segment that fills it."""
-    return _fold(segments, None, lambda s: s >= seconds, skip_blank)
+def after(segments: DataFrame, seconds: float = 180.0, characters: int = 2000, skip_blank: bool = True) -> DataFrame:
+    """A chunk ends with the segment that fills it, by time or by characters; blank segments may be skipped, and texts trimmed."""
+    return _fold(segments, None, lambda s, n: s >= seconds or n > characters, skip_blank)
 
 
-def gather(segments: DataFrame, numbers: DataFrame, places: int | None = 2) -> DataFrame:
-    """Chunks with bounds and text; ids count from 0 in a lecture."""
-    rows = segments.join(numbers.where("chunk is not null"), ["video_id", "idx"])
+def gather(numbered: DataFrame, places: int | None = 2, name: str = "range") -> DataFrame:
+    """Chunks with bounds (rounded half to even) and text; ids count from 0 in a lecture."""
+    rows = numbered.where("chunk is not null")
     end = F.coalesce("end_s", "start_s")
-    near = (lambda c: F.round(c, places)) if places is not None else (lambda c: c)
+    near = (lambda c: F.bround(c, places)) if places is not None else (lambda c: c)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ")
     out = rows.groupBy("video_id", "chunk").agg(near(F.min_by("start_s", "idx")).alias("start_s"), near(F.max_by(end, "idx")).alias("end_s"), text.alias("text"))
-    return out.select(F.concat_ws("", F.col("video_id").cast("string"), F.lit("_range_"), F.col("chunk").cast("string")).alias("chunk_id"), "video_id", "chunk", "start_s", "end_s", "text")
+    return out.select(F.concat_ws("", F.col("video_id").cast("string"), F.lit(f"_{name}_"), F.col("chunk").cast("string")).alias("chunk_id"), "video_id", "chunk", "start_s", "end_s", "text")
 
 
 def merge_scenes(scenes: DataFrame, least_ms: int = 2000) -> DataFrame:
@@ -114,14 +125,14 @@ def first_chunk(chunks: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def markdown(chunks: DataFrame, inside: DataFrame) -> DataFrame:
-    """A unified document for each lecture: headings, speech, recognised text."""
-    quote = F.concat(F.lit("> ["), X.short_clock(F.col("timestamp_ms") / 1000), F.lit("] "), F.replace("clean_text", F.lit("\n"), F.lit(" ")))
-    seen = inside.withColumn("quote", quote).groupBy("video_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("timestamp_ms", "idx", "quote"))), lambda x: x["quote"]), "\n").alias("quotes"))
-    heading = F.concat(F.lit("## ["), X.short_clock(F.col("start_s")), F.lit(" - "), X.short_clock(F.col("end_s")), F.lit("]"))
-    part = F.concat_ws("\n\n", heading, F.col("text"), F.col("quotes"))
-    parts = chunks.join(seen, ["video_id", "chunk"], "left").withColumn("part", part)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "\n\n")
-    return parts.groupBy("video_id").agg(F.concat(F.format_string("# Lecture %d\n\n", "video_id"), body, F.lit("\n")).alias("markdown"))
+    """A unified document for each lecture: title, chunk headings, speech, recognised text of the frames inside."""
+    seen = F.concat(F.lit("**["), X.short_clock(F.col("timestamp_ms") / 1000), F.lit(" | Scene "), F.coalesce(F.col("scene_number").cast("string"), F.lit("?")), F.lit("]**\n\n> "), F.trim("clean_text"), F.lit("\n\n"))
+    quotes = inside.withColumn("seen", seen).groupBy("video_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("timestamp_ms", "idx", "seen"))), lambda x: x["seen"]), "").alias("quotes"))
+    heading = F.concat(F.lit("## Chunk `"), F.col("chunk_id"), F.lit("` — "), X.short_clock(F.col("start_s")), F.lit(" to "), X.short_clock(F.col("end_s")), F.lit("\n\n### Transcript\n\n"))
+    visual = F.coalesce(F.concat(F.lit("### Visual Content (OCR from Slides/Frames)\n\n"), F.col("quotes")), F.lit(""))
+    parts = chunks.join(quotes, ["video_id", "chunk"], "left").withColumn("part", F.concat(heading, F.col("text"), F.lit("\n\n"), visual, F.lit("---\n")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "\n")
+    return parts.groupBy("video_id").agg(F.concat(F.format_string("# Lecture %d\n\n> **Video ID:** `%d`\n\n", "video_id", "video_id"), body).alias("markdown"))
 
 
 def overlapping(text: Column, size: int, overlap: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,18 +21,38 @@ def required(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in REQUIRED.items()], "kind string, required array<string>")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision; 0 when a vector has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+#: Topics of a lecture in a block, of which a task compares two; and topics in one matrix product.
+BLOCK, STEP = 4096, 512
 
 
 def topic_pairs(topics: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Pairs i < j of a lecture's topics that are more alike than threshold."""
-    a = topics.select("video_id", F.col("topic_id").alias("i"), F.col("vector").alias("a"))
-    b = topics.select("video_id", F.col("topic_id").alias("j"), F.col("vector").alias("b"))
-    return a.join(b, "video_id").where("i < j").withColumn("similarity", cosine(F.col("a"), F.col("b"))).where(F.col("similarity") > threshold).select("video_id", "i", "j", F.round("similarity", 6).alias("similarity"))
+    """Pairs i < j of a lecture's topics that are more alike than threshold, by cosine in double precision; a vector without length is like none.
+
+    A lecture's topics are dealt out to blocks by their number, and each task compares two
+    blocks, so a large lecture is spread over many tasks of one size.
+    """
+    n = topics.groupBy("video_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = topics.select("video_id", "topic_id", "vector").join(n, "video_id").withColumn("own", F.pmod(F.xxhash64("topic_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = dealt.withColumn("other", other).select("video_id", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "topic_id", "vector")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        video, a, b = key
+        v = np.array([np.asarray(x, np.float64) for x in pdf["vector"]])
+        norm = np.sqrt((v * v).sum(axis=1))
+        v /= np.where(norm > 0, norm, 1)[:, None]
+        ids, own = pdf["topic_id"].to_numpy(), pdf["own"].to_numpy()
+        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+        out = []
+        for k in range(0, len(left), STEP):
+            s = v[left[k : k + STEP]] @ v[right].T
+            x, y = np.nonzero(s > threshold)
+            i, j, s = ids[left[k + x]], ids[right[y]], s[x, y]
+            keep = (i < j) if a == b else np.ones(len(i), bool)
+            out.append(pd.DataFrame({"video_id": video, "i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "similarity": np.round(s[keep], 6)}))
+        return pd.concat(out) if out else pd.DataFrame({"video_id": [], "i": [], "j": [], "similarity": []})
+
+    return rows.groupBy("video_id", "a", "b").applyInPandas(run, "video_id long, i long, j long, similarity double")
 
 
 def absorb(topics: DataFrame, pairs: DataFrame) -> DataFrame:

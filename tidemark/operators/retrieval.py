@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -14,45 +14,63 @@ K1, B = 1.2, 0.75
 
 def index(chunks: DataFrame) -> DataFrame:
     """(video_id, chunk, term, tf, length): words of each chunk."""
-    words = chunks.select("video_id", "chunk", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("term"))
-    tf = words.groupBy("video_id", "chunk", "term").agg(F.count("*").alias("tf"))
-    return tf.withColumn("length", F.sum("tf").over(Window.partitionBy("video_id", "chunk")))
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = chunks.select("video_id", "chunk", words.alias("words")).select("video_id", "chunk", F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
+    return rows.groupBy("video_id", "chunk", "length", "term").agg(F.count("*").alias("tf")).select("video_id", "chunk", "term", "tf", "length")
 
 
-def bm25(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """Score of each query (query_id, video_id, term) against the chunks of its lecture."""
-    sizes = postings.select("video_id", "chunk", "length").distinct().groupBy("video_id").agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("mean"))
-    df = postings.groupBy("video_id", "term").agg(F.count("*").alias("df"))
-    hits = queries.distinct().join(postings, ["video_id", "term"]).join(df, ["video_id", "term"]).join(sizes, "video_id")
+def sizes(chunks: DataFrame) -> DataFrame:
+    """(video_id, n, mean): chunks with words and their mean number of words, without an index."""
+    length = F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return chunks.select("video_id", length.alias("length")).where("length > 0").groupBy("video_id").agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("mean"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Score of each query (query_id, video_id, term) against the chunks (video_id, chunk, text) of its lecture.
+
+    Only terms that are asked for in a lecture are indexed: the words of a chunk meet the lecture's asked ones before they are counted.
+    """
+    asked = queries.groupBy("video_id").agg(F.collect_set("term").alias("asked"))
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = chunks.select("video_id", "chunk", words.alias("words")).join(asked, "video_id").select("video_id", "chunk", F.size("words").alias("length"), F.explode(F.filter("words", lambda w: F.array_contains("asked", w))).alias("term"))
+    hits = rows.groupBy("video_id", "chunk", "length", "term").agg(F.count("*").alias("tf"))
+    hits = hits.withColumn("df", F.count("*").over(Window.partitionBy("video_id", "term"))).join(sizes(chunks), "video_id").join(queries.distinct(), ["video_id", "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return hits.withColumn("part", part).groupBy("query_id", "video_id", "chunk").agg(F.sum("part").alias("score"))
 
 
+#: Vectors in a part and queries in a block, which a task holds; and queries in one matrix product.
+PART, BLOCK, STEP = 20_000, 8192, 256
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest vectors of each query by cosine, over all vectors.
 
-    Queries come in blocks: each block meets each partition of vectors once, as a matrix
-    product, and leaves only its k best; ranks are made over those.
+    Blocks of queries meet parts of vectors once each, as a matrix product, and leave only
+    their k best; ranks are made over those. The numbers of blocks and parts follow the numbers of rows.
     """
-    blocks = queries.select("query_id", "vector").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(16)).cast("int"))
-    packed = blocks.groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
-    sides = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int"))
-    dealt = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    n_blocks, n_parts = (max(1, -(-x.count() // size)) for x, size in ((queries, BLOCK), (vectors, PART)))
+    blocks = queries.select("query_id", F.col("vector").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"))
+    dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    sides = vectors.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).alias("part"))
+    sides = sides.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))) if n_blocks > 1 else sides.withColumn("block", F.lit(0))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            v = _unit(right["vector"])
-            ids = right["vec_id"].to_numpy()
-            for q in left["q"]:
-                s = _unit([r["vector"] for r in q]) @ v.T
-                top = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
-                for i, r in enumerate(q):
-                    out += [(r["query_id"], int(ids[j]), float(s[i, j])) for j in top[i] if ids[j] != r["query_id"]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "similarity"]).astype({"query_id": "int64", "vec_id": "int64", "similarity": "float64"})
-
-    near = dealt.groupBy("part").cogroup(sides.groupBy("part")).applyInPandas(run, "query_id long, vec_id long, similarity double")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        ids, asked = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")  # ties go to the smaller id
+        ids, v, q, out = ids[order], _unit(right["vector"])[order].T, _unit(left["q"]), []
+        for a in range(0, len(asked), STEP):
+            s = q[a : a + STEP] @ v
+            s[asked[a : a + STEP, None] == ids[None, :]] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(asked[a : a + STEP], top.shape[1]), "vec_id": ids[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()}))
+        found = pd.concat(out)
+        return found[np.isfinite(found["similarity"])]
+
+    near = dealt.groupBy("part", "block").cogroup(sides.groupBy("part", "block")).applyInPandas(run, "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
@@ -62,6 +80,13 @@ def _unit(rows) -> np.ndarray:
     return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """In double precision; 0 when a vector has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+
+
 def hybrid(lexical: DataFrame, semantic: DataFrame, alpha: float = 0.5) -> DataFrame:
     """Both scores scaled to 0..1 within a query and mixed; a missing one counts as 0."""
     w = Window.partitionBy("query_id")

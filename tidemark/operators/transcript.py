@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 
+#: Codes of issues that make a transcript invalid; the others are warnings.
+ERRORS = ("INVALID_START", "INVALID_END", "NEGATIVE_START", "INVALID_INTERVAL", "START_AFTER_MEDIA")
 TOLERANCE_S = 0.001
 SLACK_S = 2.0
 #: What a transcript loses for its source.
@@ -24,16 +26,39 @@ def canonical(cues: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, checked.where("reason is not null").select("video_id", "idx", "reason")
 
 
+def _finite(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+def speech(cues: DataFrame) -> DataFrame:
+    """Recognised speech as segments, numbered from 1: rows that end before they start or are blank go, the recogniser's mean
+    log-probability stays and isn't taken for a confidence. Times that are no number of at least 0 are INVALID in reason."""
+    start, end = X.number(F.col("start_s").cast("string")), X.number(F.col("end_s").cast("string"))
+    checked = cues.withColumn("text", X.normalise(F.col("text"))).withColumn("start_s", start).withColumn("end_s", end)
+    checked = checked.withColumn("reason", F.when(F.col("start_s").isNull() | F.col("end_s").isNull(), "INVALID"))
+    good = checked.where("reason is not null or (end_s > start_s and text <> '')")
+    number = F.when(F.col("reason").isNull(), F.count_if(F.col("reason").isNull()).over(Window.partitionBy("video_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
+    return good.select("video_id", "idx", number.alias("segment_index"), "start_s", "end_s", "text", "lang", F.lit(None).cast("double").alias("confidence"), "avg_logprob", F.lit("whisper_stt").alias("source"), "reason")
+
+
+def flattened(snippets: DataFrame) -> DataFrame:
+    """Caption snippets (video_id, snippets array<struct<text, start, duration>>) as rows; what is missing is '' or 0.0."""
+    rows = snippets.select("video_id", F.posexplode("snippets").alias("pos", "s"))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    return rows.select("video_id", (F.col("pos") + 1).cast("long").alias("idx"), F.coalesce("s.text", F.lit("")).alias("text"), number("s.start").alias("start_s"), number("s.duration").alias("duration_s"))
+
+
 def validate(segments: DataFrame, media: DataFrame) -> DataFrame:
     """Each segment with its reject code (null: accepted) and the flags against accepted neighbours."""
     s = segments.join(media.select("video_id", "media_s"), "video_id", "left")
+    known = _finite("media_s") & (F.col("media_s") >= 0)
     code = (
-        F.when(F.col("start_s").isNull() | F.isnan("start_s"), "INVALID_START")
-        .when(F.col("end_s").isNull() | F.isnan("end_s"), "INVALID_END")
+        F.when(~_finite("start_s"), "INVALID_START")
+        .when(~_finite("end_s"), "INVALID_END")
         .when(F.col("start_s") < 0, "NEGATIVE_START")
         .when(F.col("end_s") <= F.col("start_s"), "INVALID_INTERVAL")
         .when(F.trim(F.coalesce("text", F.lit(""))) == "", "EMPTY_SEGMENT")
-        .when(F.col("start_s") > F.col("media_s"), "START_AFTER_MEDIA")
+        .when(known & (F.col("start_s") > F.col("media_s")), "START_AFTER_MEDIA")
     )
     s = s.withColumn("reject_code", code)
     before = Window.partitionBy("video_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,22 +67,19 @@ def validate(segments: DataFrame, media: DataFrame) -> DataFrame:
     # START_AFTER_MEDIA is tested after the order, so such a row may be reported as out of order too
     placed = F.col("reject_code").isNull() | (F.col("reject_code") == "START_AFTER_MEDIA")
     accepted = F.col("reject_code").isNull()
-    same = (F.lower(F.trim("text")) == F.col("last.folded")) & (F.abs(F.col("start_s") - F.col("last.start_s")) <= TOLERANCE_S) & (F.abs(F.col("end_s") - F.col("last.end_s")) <= TOLERANCE_S)
+    same = (F.lower(F.trim("text")) == F.col("last.folded")) & (F.abs(F.col("start_s") - F.col("last.start_s")) < TOLERANCE_S) & (F.abs(F.col("end_s") - F.col("last.end_s")) < TOLERANCE_S)
     flag = lambda c: F.coalesce(c, F.lit(False))
     return s.select(
         "video_id", "idx", "start_s", "end_s", "text", "reject_code", flag(placed & (F.col("start_s") < F.col("last.start_s"))).alias("out_of_order"), flag(accepted & same).alias("exact_duplicate"),
-        flag(accepted & (F.col("start_s") < F.col("last.end_s"))).alias("overlap"), flag(accepted & (F.col("end_s") > F.col("media_s") + SLACK_S)).alias("end_after_media"),
+        flag(accepted & (F.col("start_s") < F.col("last.end_s"))).alias("overlap"), flag(accepted & known & (F.col("end_s") > F.col("media_s") + SLACK_S)).alias("end_after_media"),
     )
 
 
 def issues(validated: DataFrame) -> DataFrame:
-    """A row for each issue: rejects and disorder are errors, the rest warnings."""
-    one = lambda cond, code, severity: F.when(cond, F.struct(code.alias("code"), F.lit(severity).alias("severity")))
-    found = F.array(
-        one(F.col("reject_code").isNotNull(), F.col("reject_code"), "error"), one(F.col("out_of_order"), F.lit("OUT_OF_ORDER"), "error"), one(F.col("exact_duplicate"), F.lit("EXACT_DUPLICATE"), "warning"),
-        one(F.col("overlap"), F.lit("OVERLAP"), "warning"), one(F.col("end_after_media"), F.lit("END_AFTER_MEDIA"), "warning"),
-    )
-    return validated.select("video_id", "idx", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("issue")).select("video_id", "idx", "issue.code", "issue.severity")
+    """A row for each issue, an error or a warning."""
+    found = F.array(F.col("reject_code"), *[F.when(F.col(c), c.upper()) for c in ("out_of_order", "exact_duplicate", "overlap", "end_after_media")])
+    rows = validated.select("video_id", "idx", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("code"))
+    return rows.withColumn("severity", F.when(F.col("code").isin(*ERRORS), "error").otherwise("warning"))
 
 
 def issue_counts(found: DataFrame) -> DataFrame:
@@ -86,23 +108,27 @@ def coverage(segments: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def quality(segments: DataFrame, media: DataFrame) -> DataFrame:
-    """Score, level and export decision of each transcript."""
-    counts = issue_counts(issues(validate(segments, media)))
-    n = segments.groupBy("video_id").agg(F.count("*").alias("n"))
-    v = media.join(n, "video_id", "left").join(counts, "video_id", "left").join(coverage(segments, media), "video_id", "left").join(duplicate_ratio(segments), "video_id", "left")
+    """Score, level and export decision of each transcript, by its accepted segments and the issues of all."""
+    validated = validate(segments, media)
+    counts, accepted = issue_counts(issues(validated)), validated.where("reject_code is null")
+    n = accepted.groupBy("video_id").agg(F.count("*").alias("n"))
+    v = media.join(n, "video_id", "left").join(counts, "video_id", "left").join(coverage(accepted, media), "video_id", "left").join(duplicate_ratio(accepted), "video_id", "left")
     errors, warnings, c, dup = F.coalesce("errors", F.lit(0)), F.coalesce("warnings", F.lit(0)), F.col("coverage"), F.coalesce("duplicate_ratio", F.lit(0.0))
     source = F.lit(0.0)
     for name, penalty in SOURCE_PENALTY.items():
         source = F.when(F.col("source_type") == name, penalty).otherwise(source)
-    lost = (
-        F.least(F.lit(0.45), errors * 0.15) + F.least(F.lit(0.20), warnings * 0.02)
-        + F.when(c < 0.01, 0.45).when(c < 0.20, 0.25).when(c < 0.80, 0.08).otherwise(0.0) + source
-        + F.when(F.col("requested") != F.col("actual"), 0.20).otherwise(0.0) + F.when(dup > 0.20, 0.15).when(dup > 0.05, 0.05).otherwise(0.0)
-    )
-    score = F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - lost)), 4))
-    v = v.withColumn("score", score).withColumn("level", F.when(score >= 0.90, "HIGH").when(score >= 0.70, "MEDIUM").otherwise("LOW"))
+    requested, actual = X.language(F.col("requested")), X.language(F.col("actual"))
+    lost = [
+        F.least(F.lit(0.45), errors * 0.15), F.least(F.lit(0.20), warnings * 0.02), F.when(c < 0.01, 0.45).when(c < 0.20, 0.25).when(c < 0.80, 0.08).otherwise(0.0), source,
+        F.when((requested != "") & (actual != "") & (requested != actual), 0.20).otherwise(0.0), F.when(dup > 0.20, 0.15).when(dup > 0.05, 0.05).otherwise(0.0),
+    ]
+    score = F.lit(1.0)
+    for x in lost:  # one after the other, as the levels' bounds are met by rounding
+        score = score - x
+    v = v.withColumn("exact", F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))))
+    v = v.withColumn("level", F.when(F.col("exact") >= 0.90, "HIGH").when(F.col("exact") >= 0.70, "MEDIUM").otherwise("LOW"))
     decision = F.when(F.col("level") == "HIGH", "EXPORT").when(F.col("level") == "MEDIUM", "EXPORT_WITH_WARNINGS").otherwise("REVIEW")
-    return v.select("video_id", "score", "level", F.when(errors == 0, "SUCCESS").otherwise("QUALITY_REVIEW").alias("status"), decision.alias("decision"))
+    return v.select("video_id", F.round("exact", 4).alias("score"), "level", F.when(errors == 0, "SUCCESS").otherwise("QUALITY_REVIEW").alias("status"), decision.alias("decision"))
 
 
 def exportable(segments: DataFrame) -> Column:

@@ -53,25 +53,21 @@ def required_keys(spark: SparkSession, d: str) -> DataFrame:
     return K.missing_keys(_artifacts(spark, d), spark).select("video_id", "kind", "valid")
 
 
-NOUNS = """notes AS (SELECT video_id, text FROM segments WHERE idx = 1 AND video_id % 3 = 0),
+NOUNS = """notes AS (SELECT video_id, text FROM segments WHERE idx = 1),
 said AS (SELECT video_id, lower(string_agg(text, ' ' ORDER BY idx)) AS said FROM segments WHERE idx > 1 GROUP BY 1),
 tokens AS (SELECT video_id, text, unnest(range(1, length(text) + 1)) AS p FROM notes),
-words AS (SELECT DISTINCT video_id, lower(regexp_extract(substr(text, p), '^([A-Z][a-z]{2,})\\b', 1)) AS term FROM tokens WHERE p > 1 AND NOT regexp_matches(substr(text, p - 1, 1), '^[A-Za-z0-9_]') AND NOT regexp_matches(substr(text, greatest(p - 2, 1), 2), '^[.!?]\\s') AND regexp_matches(substr(text, p), '^[A-Z][a-z]{2,}\\b')),
+words AS (SELECT DISTINCT video_id, lower(term) AS term FROM (SELECT *, regexp_extract(substr(text, p), '^[A-Z][a-z]{2,}') AS term FROM tokens WHERE p > 1 AND substr(text, p, 1) BETWEEN 'A' AND 'Z' AND NOT regexp_matches(substr(text, p - 1, 1), '[\\p{L}\\p{N}_]') AND NOT regexp_matches(substr(text, greatest(p - 2, 1), 2), '^[.!?]\\s')) WHERE term <> '' AND NOT regexp_matches(substr(text, p + length(term), 1), '[\\p{L}\\p{N}_]')),
 novel AS (SELECT w.video_id, count(*) AS novel FROM words w LEFT JOIN said s USING (video_id) WHERE NOT coalesce(contains(said, term), false) AND term <> 'the' GROUP BY 1),
 risks AS (SELECT video_id, coalesce(terms, 0) AS terms, coalesce(novel, 0) AS novel, coalesce(round(novel / terms, 4), 0) AS risk FROM notes LEFT JOIN (SELECT video_id, count(*) AS terms FROM words GROUP BY 1) USING (video_id) LEFT JOIN novel USING (video_id))"""
 
 
-def _risks(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Of all lectures, or of the slice that the SQL takes."""
-    s = P.segments(spark, d).where("true" if whole else "lang = 'en'")
-    notes = s.where("idx = 1" if whole else "idx = 1 and video_id % 3 = 0").select("video_id", "text")
+def _risks(spark: SparkSession, d: str) -> DataFrame:
+    s = P.segments(spark, d)
+    notes = s.where("idx = 1").select("video_id", "text")
     return K.hallucination_risk(notes, M.full_text(s.where("idx > 1"), "video_id"), notes.select("video_id", F.lit("The").alias("name")))
 
 
-ENGLISH = "english AS (SELECT * FROM segments WHERE lang = 'en')"
-
-
-@query(P.sql("segments", "SELECT * FROM risks", ENGLISH, NOUNS.replace("FROM segments", "FROM english")))
+@query(P.sql("segments", "SELECT * FROM risks", NOUNS))
 def hallucination_risk(spark: SparkSession, d: str) -> DataFrame:
     """J12, F14, U2, U3."""
     return _risks(spark, d)
@@ -80,10 +76,10 @@ def hallucination_risk(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hallucination_risk_all(spark: SparkSession, d: str) -> DataFrame:
     """J12, F14, U2, U3 of all lectures in every language; tested against a loop."""
-    return _risks(spark, d, whole=True)
+    return _risks(spark, d)
 
 
-@query(P.sql("segments", "SELECT video_id, kind, valid, risk, round(greatest(0.0::DOUBLE, CASE WHEN valid THEN 1.0::DOUBLE ELSE 0.5 END - risk * 0.5), 4) AS score, (NOT valid)::INT + (risk > 0.3)::INT AS n_warnings FROM checked JOIN risks USING (video_id)", ARTIFACTS, ENGLISH, NOUNS.replace("FROM segments", "FROM english")))
+@query(P.sql("segments", "SELECT video_id, kind, valid, risk, round(greatest(0.0::DOUBLE, CASE WHEN valid THEN 1.0::DOUBLE ELSE 0.5 END - risk * 0.5), 4) AS score, (NOT valid)::INT + (risk > 0.3)::INT AS n_warnings FROM checked JOIN risks USING (video_id)", ARTIFACTS, NOUNS))
 def artifact_quality(spark: SparkSession, d: str) -> DataFrame:
     """Q2."""
     return K.artifact_quality(K.missing_keys(_artifacts(spark, d), spark), _risks(spark, d))
@@ -92,7 +88,7 @@ def artifact_quality(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def artifact_quality_all(spark: SparkSession, d: str) -> DataFrame:
     """Q2 of all lectures; tested against a loop."""
-    return K.artifact_quality(K.missing_keys(_artifacts(spark, d), spark), _risks(spark, d, whole=True))
+    return K.artifact_quality(K.missing_keys(_artifacts(spark, d), spark), _risks(spark, d))
 
 
 @query(P.sql("segments", "SELECT s.video_id, s.idx FROM segments s LEFT JOIN labels l ON l.doc_id = s.video_id WHERE coalesce(CASE WHEN l.quality = 0 THEN 'chatter' ELSE 'technical' END, 'technical') = 'technical'"))
@@ -102,12 +98,11 @@ def technical_chunks(spark: SparkSession, d: str) -> DataFrame:
     return P.segments(spark, d).join(labels, "video_id", "left").where(F.coalesce("label", F.lit("technical")) == "technical").select("video_id", "idx")
 
 
-CHUNKS = "chunks AS (SELECT video_id || '_range_' || (idx - 1) AS chunk_id, video_id, idx - 1 AS chunk, start_s, end_s, text FROM segments WHERE video_id % 5 = 0)"
+CHUNKS = "chunks AS (SELECT video_id || '_range_' || (idx - 1) AS chunk_id, video_id, idx - 1 AS chunk, start_s, end_s, text FROM segments)"
 
 
-def _chunks(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Of all lectures, or of the slice that the SQL takes."""
-    return P.segments(spark, d).where("true" if whole else "video_id % 5 = 0").select(F.concat_ws("", F.col("video_id").cast("string"), F.lit("_range_"), (F.col("idx") - 1).cast("string")).alias("chunk_id"), "video_id", (F.col("idx") - 1).alias("chunk"), "start_s", "end_s", "text")
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return P.segments(spark, d).select(F.concat_ws("", F.col("video_id").cast("string"), F.lit("_range_"), (F.col("idx") - 1).cast("string")).alias("chunk_id"), "video_id", (F.col("idx") - 1).alias("chunk"), "start_s", "end_s", "text")
 
 
 @query(P.sql("segments", """SELECT item, pos, r.chunk_id, coalesce(c.start_s, r.s) AS start_s, coalesce(c.end_s, r.e) AS end_s FROM (SELECT chunk_id AS item, 0 AS pos, CASE WHEN chunk % 3 = 0 THEN chunk_id WHEN chunk % 3 = 1 THEN 'unknown' ELSE video_id || '_range_0' END AS chunk_id, CASE WHEN chunk % 3 <> 0 THEN 1.5::DOUBLE END AS s, CASE WHEN chunk % 3 <> 0 THEN 2.5::DOUBLE END AS e FROM chunks) r LEFT JOIN chunks c USING (chunk_id)""", CHUNKS))
@@ -119,7 +114,7 @@ def source_times(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def source_times_all(spark: SparkSession, d: str) -> DataFrame:
     """J10, J17 of all lectures; tested against a loop."""
-    return _source_times(_chunks(spark, d, whole=True))
+    return _source_times(_chunks(spark, d))
 
 
 def _source_times(c: DataFrame) -> DataFrame:
@@ -138,7 +133,7 @@ def notation_merge(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def notation_merge_all(spark: SparkSession, d: str) -> DataFrame:
     """A15 of all lectures; tested against a loop."""
-    return _notation(_chunks(spark, d, whole=True))
+    return _notation(_chunks(spark, d))
 
 
 def _notation(c: DataFrame) -> DataFrame:
@@ -155,7 +150,7 @@ def topic_groups(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def topic_groups_all(spark: SparkSession, d: str) -> DataFrame:
     """A16, U3 of all lectures; tested against a loop."""
-    return _groups(_chunks(spark, d, whole=True))
+    return _groups(_chunks(spark, d))
 
 
 def _groups(c: DataFrame) -> DataFrame:
@@ -166,16 +161,16 @@ def _groups(c: DataFrame) -> DataFrame:
 
 
 @query(P.sql("segments frames", """SELECT w.video_id, w.topic_id, s.packet, coalesce(s.n, 0) AS n_segments, coalesce(f.n, 0) AS n_frames FROM w LEFT JOIN (SELECT w.video_id, topic_id, string_agg(text, ' ' ORDER BY idx) AS packet, count(*) AS n FROM segments s JOIN w ON w.video_id = s.video_id AND s.start_s BETWEEN w.a AND w.b GROUP BY 1, 2) s USING (video_id, topic_id)
-LEFT JOIN (SELECT w.video_id, topic_id, count(*) AS n FROM frames f JOIN w ON w.video_id = f.video_id AND f.timestamp_ms / 1000 BETWEEN w.a AND w.b GROUP BY 1, 2) f USING (video_id, topic_id)""", CHUNKS, "w AS (SELECT video_id, chunk AS topic_id, start_s AS a, end_s + 20 AS b FROM chunks WHERE chunk % 2 = 0 AND end_s + 20 > start_s)"))
+LEFT JOIN (SELECT w.video_id, topic_id, count(*) AS n FROM frames f JOIN w ON w.video_id = f.video_id AND f.timestamp_ms / 1000 BETWEEN w.a AND w.b GROUP BY 1, 2) f USING (video_id, topic_id)""", CHUNKS, "w AS (SELECT video_id, chunk AS topic_id, start_s AS a, end_s + 20 AS b FROM chunks WHERE end_s + 20 > start_s)"))
 def context_packets(spark: SparkSession, d: str) -> DataFrame:
     """J11."""
-    return K.context_packet(_windows(_chunks(spark, d).where("chunk % 2 = 0")), P.segments(spark, d), P.frames(spark, d))
+    return K.context_packet(_windows(_chunks(spark, d)), P.segments(spark, d), P.frames(spark, d))
 
 
 @query()
 def context_packets_all(spark: SparkSession, d: str) -> DataFrame:
     """J11 of all chunks of all lectures; tested against a loop."""
-    return K.context_packet(_windows(_chunks(spark, d, whole=True)), P.segments(spark, d), P.frames(spark, d))
+    return K.context_packet(_windows(_chunks(spark, d)), P.segments(spark, d), P.frames(spark, d))
 
 
 def _windows(c: DataFrame) -> DataFrame:
@@ -199,10 +194,10 @@ def chunk_totals(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.sum(F.col("event_id") % 997).alias("tokens"), F.round(F.sum((F.col("value") * 100).cast("decimal(18,2)")).cast("double"), 2).alias("latency_ms"), F.coalesce(last, F.lit("unknown")).alias("provider"))
 
 
-@query(P.sql("segments", "SELECT video_id, coalesce(string_agg(CASE WHEN idx % 4 = 0 THEN left(text, 30) END, chr(10) || chr(10) ORDER BY idx), 'No summary available.') AS summary FROM segments GROUP BY video_id"))
+@query(P.sql("segments", "SELECT video_id, coalesce(string_agg(CASE WHEN idx % 4 = 0 THEN text END, chr(10) || chr(10) ORDER BY idx), 'No summary available.') AS summary FROM segments GROUP BY video_id"))
 def summaries(spark: SparkSession, d: str) -> DataFrame:
     """A23."""
-    return _summaries(P.segments(spark, d).withColumn("text", F.substring("text", 1, 30)))
+    return _summaries(P.segments(spark, d))
 
 
 @query()
@@ -217,10 +212,10 @@ def _summaries(segments: DataFrame) -> DataFrame:
     return s.groupBy("video_id").agg(F.when(F.size(listed) > 0, F.array_join(listed, "\n\n")).otherwise("No summary available.").alias("summary"))
 
 
-@query(P.sql("segments", "SELECT video_id, string_agg(left(text, 12), ', ' ORDER BY idx) AS context FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS r FROM segments) WHERE r <= 20 GROUP BY 1"))
+@query(P.sql("segments", "SELECT video_id, string_agg(text, ', ' ORDER BY idx) AS context FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS r FROM segments) WHERE r <= 20 GROUP BY 1"))
 def first_concepts(spark: SparkSession, d: str) -> DataFrame:
     """O8."""
-    return _concepts(P.segments(spark, d).withColumn("text", F.substring("text", 1, 12)))
+    return _concepts(P.segments(spark, d))
 
 
 @query()
@@ -285,7 +280,7 @@ def clock_seconds(spark: SparkSession, d: str) -> DataFrame:
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     """a prompt for each lecture and its fingerprint."""
     s = P.segments(spark, d)
-    c = C.gather(s, C.fixed(s))
+    c = C.gather(C.fixed(s))
     line = F.format_string("[%s | %s - %s] %s", "chunk_id", X.short_clock(F.col("start_s")), X.short_clock(F.col("end_s")), "text")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", line.alias("line")))), lambda x: x["line"]), "\n")
     rows = c.groupBy("video_id").agg(body.alias("chunks"))
@@ -306,8 +301,14 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     return R.index(P.segments(spark, d).withColumnRenamed("idx", "chunk"))
 
 
-def _asked(postings: DataFrame) -> DataFrame:
-    return postings.where("chunk = 1 and length(term) > 4").select(F.col("video_id").alias("query_id"), "video_id", "term").distinct()
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return P.segments(spark, d).withColumnRenamed("idx", "chunk")
+
+
+def _asked(parts: DataFrame) -> DataFrame:
+    """Each lecture is searched for the long words of its first part."""
+    words = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term")
+    return parts.where("chunk = 1").select(F.col("video_id").alias("query_id"), "video_id", words).where("length(term) > 4").distinct()
 
 
 @query(P.sql("segments", "SELECT * FROM postings", WORDS))
@@ -319,18 +320,28 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
 @query(P.sql("segments", "SELECT query_id, video_id, chunk, round(score, 6) AS score FROM bm25", WORDS, ASKED, BM25))
 def bm25(spark: SparkSession, d: str) -> DataFrame:
     """R4."""
-    p = _postings(spark, d)
+    p = _parts(spark, d)
     return R.bm25(p, _asked(p)).withColumn("score", F.round("score", 6))
 
 
-SEMANTIC = "semantic AS (SELECT video_id AS query_id, idx AS chunk, (idx * 37 + video_id * 11) % 101 / 101 AS score FROM segments WHERE idx % 3 <> 0)"
+SEMANTIC = """vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), held AS (SELECT count(*) AS n FROM embeddings),
+semantic AS (SELECT video_id AS query_id, idx AS chunk, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score FROM segments, held JOIN vectors q ON q.vec_id = video_id % n JOIN vectors c ON c.vec_id = (video_id * 13 + idx) % n WHERE idx % 3 <> 0)"""
 HYBRID = """both_scores AS (SELECT query_id, chunk, b.score AS l, s.score AS s FROM bm25 b FULL JOIN semantic s USING (query_id, chunk)),
 hybrid AS (SELECT query_id, chunk, 0.5 * coalesce(CASE WHEN max(l) OVER w > min(l) OVER w THEN (l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w) WHEN l IS NOT NULL THEN 1 END, 0) + 0.5 * coalesce(CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) WHEN s IS NOT NULL THEN 1 END, 0) AS score FROM both_scores WINDOW w AS (PARTITION BY query_id))"""
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, chunk, asked, vector): each lecture asks with one vector of the table, and each part has one."""
+    v = P.read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    n = v.count()
+    s = P.segments(spark, d).select(F.col("video_id").alias("query_id"), F.col("idx").alias("chunk"))
+    s = s.withColumn("vec_id", (F.col("query_id") * 13 + F.col("chunk")) % n).join(v, "vec_id").drop("vec_id")
+    return s.withColumn("vec_id", F.col("query_id") % n).join(v.withColumnRenamed("vector", "asked"), "vec_id").drop("vec_id")
+
+
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    p = _postings(spark, d)
-    semantic = P.segments(spark, d).where("idx % 3 <> 0").select(F.col("video_id").alias("query_id"), F.col("idx").alias("chunk"), (((F.col("idx") * 37 + F.col("video_id") * 11) % 101) / 101).alias("score"))
+    p = _parts(spark, d)
+    semantic = _vectors(spark, d).where("chunk % 3 <> 0").select("query_id", "chunk", R.cosine(F.col("asked"), F.col("vector")).alias("score"))
     return R.hybrid(R.bm25(p, _asked(p)), semantic)
 
 
@@ -352,7 +363,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 def search_results(spark: SparkSession, d: str) -> DataFrame:
     """Diverse results with their text and time."""
     s = P.segments(spark, d)
-    candidates = _hybrid(spark, d).join(s.select(F.col("video_id").alias("query_id"), F.col("idx").alias("chunk"), F.array((F.col("idx") % 3).cast("double"), (F.length("text") % 7).cast("double"), F.lit(1.0)).alias("vector")), ["query_id", "chunk"])
+    candidates = _hybrid(spark, d).join(_vectors(spark, d).drop("asked"), ["query_id", "chunk"])
     return R.diverse(candidates).join(s.select(F.col("video_id").alias("query_id"), F.col("idx").alias("chunk"), F.col("text").alias("chunk_text"), F.col("start_s").alias("timestamp")), ["query_id", "chunk"]).select("query_id", "rank", "chunk", "chunk_text", "timestamp")
 
 

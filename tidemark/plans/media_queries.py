@@ -16,17 +16,17 @@ from tidemark.sources import projections as P
 def _chunk_sql(close: str, state: str = "cs", after: str | None = None) -> str:
     """A recursive fold over the segments of each lecture, in order; close ends a chunk before a segment, after ends one behind it."""
     if after:
-        grow = f"CASE WHEN {after} THEN s.start_s ELSE f.cs END AS cs, s.end_s AS ce, length(s.text) AS n, s.text AS last, f.chunk + CASE WHEN {after} THEN 1 ELSE 0 END AS chunk"
+        grow = f"CASE WHEN {after} THEN s.start_s ELSE f.cs END AS cs, s.end_s AS ce, CASE WHEN {after} THEN 0 ELSE f.n END + length(s.text) AS n, s.text AS last, f.chunk + CASE WHEN {after} THEN 1 ELSE 0 END AS chunk"
     else:
         grow = f"CASE WHEN {close} THEN s.start_s ELSE f.cs END AS cs, s.end_s AS ce, CASE WHEN {close} THEN 0 ELSE f.n END + length(s.text) AS n, s.text AS last, f.chunk + CASE WHEN {close} THEN 1 ELSE 0 END AS chunk"
     return f"""fold AS (SELECT video_id, idx, start_s AS cs, end_s AS ce, length(text) AS n, text AS last, 0 AS chunk FROM segments WHERE idx = 1
 UNION ALL SELECT s.video_id, s.idx, {grow} FROM fold f JOIN segments s ON s.video_id = f.video_id AND s.idx = f.idx + 1),
-gathered AS (SELECT video_id, chunk, round(arg_min(start_s, idx), 2) AS start_s, round(arg_max(end_s, idx), 2) AS end_s, string_agg(text, ' ' ORDER BY idx) AS text FROM fold JOIN segments USING (video_id, idx) GROUP BY 1, 2)"""
+gathered AS (SELECT video_id, chunk, round_even(arg_min(start_s, idx), 2) AS start_s, round_even(arg_max(end_s, idx), 2) AS end_s, string_agg(text, ' ' ORDER BY idx) AS text FROM fold JOIN segments USING (video_id, idx) GROUP BY 1, 2)"""
 
 
 FIXED = _chunk_sql("(f.ce - f.cs >= 180 OR f.n > 2000)")
 SEMANTIC = _chunk_sql("((f.ce - f.cs >= 90 AND (suffix(trim(f.last), '.') OR suffix(trim(f.last), '?') OR suffix(trim(f.last), '!') OR s.start_s - f.ce >= 2)) OR f.ce - f.cs >= 240 OR f.n > 3000)")
-AFTER = _chunk_sql("", after="f.ce - f.cs >= 180")
+AFTER = _chunk_sql("", after="(f.ce - f.cs >= 180 OR f.n > 2000)")
 ROWS = "SELECT video_id || '_range_' || chunk AS chunk_id, video_id, chunk, start_s, end_s, text FROM gathered"
 
 
@@ -34,21 +34,21 @@ ROWS = "SELECT video_id || '_range_' || chunk AS chunk_id, video_id, chunk, star
 def chunks_fixed(spark: SparkSession, d: str) -> DataFrame:
     """G1."""
     s = P.segments(spark, d)
-    return C.gather(s, C.fixed(s))
+    return C.gather(C.fixed(s))
 
 
 @query(P.sql("segments", ROWS, SEMANTIC))
 def chunks_semantic(spark: SparkSession, d: str) -> DataFrame:
     """G2."""
     s = P.segments(spark, d)
-    return C.gather(s, C.semantic(s))
+    return C.gather(C.semantic(s))
 
 
 @query(P.sql("segments", ROWS, AFTER))
 def chunks_after(spark: SparkSession, d: str) -> DataFrame:
-    """G3, G4."""
+    """G4."""
     s = P.segments(spark, d)
-    return C.gather(s, C.after(s, skip_blank=False))
+    return C.gather(C.after(s, skip_blank=False))
 
 
 SCENE_FOLD = """numbered AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY scene_number) AS k FROM scenes),
@@ -84,33 +84,35 @@ INSIDE = "inside AS (SELECT g.video_id, g.chunk, f.idx, f.timestamp_ms, f.scene_
 def chunk_frames(spark: SparkSession, d: str) -> DataFrame:
     """J7."""
     s = P.segments(spark, d)
-    return C.frames_in(C.gather(s, C.fixed(s)), P.frames(spark, d))
+    return C.frames_in(C.gather(C.fixed(s)), P.frames(spark, d))
 
 
 @query()
 def chunk_frames_all(spark: SparkSession, d: str) -> DataFrame:
     """J7 with the whole text of frames."""
     s = P.segments(spark, d)
-    return C.frames_in(C.gather(s, C.fixed(s)), P.frames(spark, d, whole=True))
+    return C.frames_in(C.gather(C.fixed(s)), P.frames(spark, d))
 
 
 @query(P.sql("segments frames", "SELECT f.video_id, f.idx, coalesce(min(g.chunk), 0)::BIGINT AS chunk FROM frames f LEFT JOIN gathered g ON f.video_id = g.video_id AND f.timestamp_ms / 1000 BETWEEN g.start_s AND g.end_s GROUP BY 1, 2", FIXED))
 def formula_chunk(spark: SparkSession, d: str) -> DataFrame:
     """J8."""
     s = P.segments(spark, d)
-    return C.first_chunk(C.gather(s, C.fixed(s)), P.frames(spark, d))
+    return C.first_chunk(C.gather(C.fixed(s)), P.frames(spark, d))
 
 
 SHORT = "printf('%02d:%02d:%02d', floor({x})::BIGINT // 3600, floor({x})::BIGINT // 60 % 60, floor({x})::BIGINT % 60)"
-MARKDOWN = f"""quoted AS (SELECT video_id, chunk, string_agg('> [' || {SHORT.format(x="timestamp_ms / 1000")} || '] ' || replace(clean_text, chr(10), ' '), chr(10) ORDER BY timestamp_ms, idx) AS quotes FROM inside GROUP BY 1, 2),
-parts AS (SELECT g.video_id, g.chunk, concat_ws(chr(10) || chr(10), '## [' || {SHORT.format(x="start_s")} || ' - ' || {SHORT.format(x="end_s")} || ']', text, quotes) AS part FROM gathered g LEFT JOIN quoted USING (video_id, chunk))"""
+SPOKEN = """spoken AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS idx, start_s, end_s, trim(text) AS text FROM segments WHERE trim(text) <> '')"""
+PARTED = AFTER.replace("FROM segments", "FROM spoken").replace("JOIN segments", "JOIN spoken").replace("round_even(arg_min(start_s, idx), 2)", "arg_min(start_s, idx)").replace("round_even(arg_max(end_s, idx), 2)", "arg_max(end_s, idx)")
+MARKDOWN = f"""quoted AS (SELECT video_id, chunk, string_agg('**[' || {SHORT.format(x="timestamp_ms / 1000")} || ' | Scene ' || scene_number || ']**' || chr(10) || chr(10) || '> ' || trim(clean_text) || chr(10) || chr(10), '' ORDER BY timestamp_ms, idx) AS quotes FROM inside GROUP BY 1, 2),
+parts AS (SELECT g.video_id, g.chunk, '## Chunk `' || g.video_id || '_chunk_' || g.chunk || '` — ' || {SHORT.format(x="start_s")} || ' to ' || {SHORT.format(x="end_s")} || chr(10) || chr(10) || '### Transcript' || chr(10) || chr(10) || text || chr(10) || chr(10) || coalesce('### Visual Content (OCR from Slides/Frames)' || chr(10) || chr(10) || quotes, '') || '---' || chr(10) AS part FROM gathered g LEFT JOIN quoted USING (video_id, chunk))"""
 
 
-@query(P.sql("segments frames", "SELECT video_id, '# Lecture ' || video_id || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY chunk) || chr(10) AS markdown FROM parts GROUP BY 1", AFTER, INSIDE, MARKDOWN))
+@query(P.sql("segments frames", "SELECT video_id, '# Lecture ' || video_id || chr(10) || chr(10) || '> **Video ID:** `' || video_id || '`' || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY chunk) AS markdown FROM parts GROUP BY 1", SPOKEN, PARTED, INSIDE, MARKDOWN))
 def unified_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """F28."""
+    """F28, G3."""
     s = P.segments(spark, d)
-    chunks = C.gather(s, C.after(s))
+    chunks = C.gather(C.after(s), None, "chunk")
     return C.markdown(chunks, C.frames_in(chunks, P.frames(spark, d)))
 
 
@@ -118,8 +120,8 @@ def unified_markdown(spark: SparkSession, d: str) -> DataFrame:
 def unified_markdown_all(spark: SparkSession, d: str) -> DataFrame:
     """F28 with the whole text of frames."""
     s = P.segments(spark, d)
-    chunks = C.gather(s, C.after(s))
-    return C.markdown(chunks, C.frames_in(chunks, P.frames(spark, d, whole=True)))
+    chunks = C.gather(C.after(s), None, "chunk")
+    return C.markdown(chunks, C.frames_in(chunks, P.frames(spark, d)))
 
 
 # Frames
@@ -162,7 +164,7 @@ def asof_context(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def frame_match(spark: SparkSession, d: str) -> DataFrame:
     """Q6, F4, F5, U5; tested against hand-computed ratios."""
-    return V.match(P.frames(spark, d, whole=True), P.segments(spark, d))
+    return V.match(P.frames(spark, d), P.segments(spark, d))
 
 
 CLEAN = "array_to_string(list_transform(list_filter(list_transform(string_split(clean_text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 1 OR regexp_matches(x, '^\\d$')), lambda x: regexp_replace(x, '\\s{2,}', ' ', 'g')), chr(10))"
@@ -179,7 +181,7 @@ def ocr_features(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ocr_features_all(spark: SparkSession, d: str) -> DataFrame:
     """F11, F12, A14 of the whole text."""
-    return V.features(P.frames(spark, d, whole=True)).select("video_id", "idx", "ocr", "words", "characters", "has_code", "has_equation", "has_bullets")
+    return V.features(P.frames(spark, d)).select("video_id", "idx", "ocr", "words", "characters", "has_code", "has_equation", "has_bullets")
 
 
 SCORED = """scored AS (SELECT *, round(least(greatest(0 * 0.35 + least(length(trim(clean_text)) / 800, 1.0) * 0.25::DOUBLE + least(CASE WHEN has_code THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN has_equation THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN has_bullets THEN 0.3::DOUBLE ELSE 0 END, 1.0) * 0.2::DOUBLE
@@ -187,8 +189,8 @@ SCORED = """scored AS (SELECT *, round(least(greatest(0 * 0.35 + least(length(tr
 ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id, scene_number ORDER BY importance DESC, idx) <= 1 AS is_selected FROM scored)"""
 
 
-def _scored(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return V.select_top(V.importance(V.features(P.frames(spark, d, whole)).withColumn("transcript_similarity", F.lit(0.0))))
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return V.select_top(V.importance(V.features(P.frames(spark, d)).withColumn("transcript_similarity", F.lit(0.0))))
 
 
 @query(P.sql("frames", "SELECT video_id, idx, importance FROM scored", FEATURES, SCORED))
@@ -200,7 +202,7 @@ def frame_score(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def frame_score_all(spark: SparkSession, d: str) -> DataFrame:
     """F19, F21 by the whole text."""
-    return _scored(spark, d, whole=True).select("video_id", "idx", "importance")
+    return _scored(spark, d).select("video_id", "idx", "importance")
 
 
 @query(P.sql("frames", "SELECT video_id, scene_number, idx, is_selected FROM ranked", FEATURES, SCORED))
@@ -212,7 +214,7 @@ def top_frames(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def top_frames_all(spark: SparkSession, d: str) -> DataFrame:
     """W8, P13 by the whole text; the selected frames are P12, the others U1."""
-    return _scored(spark, d, whole=True).select("video_id", "scene_number", "idx", "is_selected")
+    return _scored(spark, d).select("video_id", "scene_number", "idx", "is_selected")
 
 
 @query(P.sql("frames", "SELECT f.video_id, f.idx, f.scene_number, CASE WHEN f.idx % 3 <> 0 THEN f.blur_score END AS blur_score, CASE WHEN f.idx % 5 <> 0 THEN f.clean_text END AS clean_text, CASE WHEN f.idx % 7 <> 0 THEN importance END AS importance, f.idx % 7 <> 0 AND is_selected AS is_selected FROM frames f JOIN ranked USING (video_id, idx)", FEATURES, SCORED))
@@ -224,7 +226,7 @@ def frame_detail(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def frame_detail_all(spark: SparkSession, d: str) -> DataFrame:
     """J3, O5 with the whole text."""
-    return _details(P.frames(spark, d, whole=True), _scored(spark, d, whole=True))
+    return _details(P.frames(spark, d), _scored(spark, d))
 
 
 def _details(f: DataFrame, s: DataFrame) -> DataFrame:
@@ -252,13 +254,13 @@ def stage_funnel(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def vision_run(spark: SparkSession, d: str) -> DataFrame:
     """Q7: unique, sharp, matched, scored and selected frames."""
-    return V.pipeline(P.frames(spark, d, whole=True), P.segments(spark, d)).select("video_id", "idx", "scene_number", "transcript_similarity", "importance", "is_selected")
+    return V.pipeline(P.frames(spark, d), P.segments(spark, d)).select("video_id", "idx", "scene_number", "transcript_similarity", "importance", "is_selected")
 
 
 @query()
 def frame_tables(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the four tables with their shared key."""
-    t = V.tables(_scored(spark, d, whole=True))
+    t = V.tables(_scored(spark, d))
     return t["video_frames"].join(t["frame_scores"], ["frame_id", "video_id"]).select("frame_id", "video_id", "scene_number", "is_selected")
 
 
@@ -341,14 +343,14 @@ def full_text(spark: SparkSession, d: str) -> DataFrame:
 def lecture_markdown(spark: SparkSession, d: str) -> DataFrame:
     """F29."""
     scenes = P.scenes(spark, d)
-    return M.lecture_markdown(M.sections(P.segments(spark, d), scenes), P.segments(spark, d), M.scene_windows(scenes), P.frames(spark, d, whole=True))
+    return M.lecture_markdown(M.sections(P.segments(spark, d), scenes), P.segments(spark, d), M.scene_windows(scenes), P.frames(spark, d))
 
 
 @query()
 def merged_lectures(spark: SparkSession, d: str) -> DataFrame:
     """Nested records, counted."""
     built = M.sections(P.segments(spark, d), P.scenes(spark, d))
-    return M.lectures(P.segments(spark, d), P.frames(spark, d, whole=True), built).select("video_id", F.size("sections").alias("n_sections"), F.size("segments").alias("n_segments"), F.coalesce(F.size("frames"), F.lit(0)).alias("n_frames"))
+    return M.lectures(P.segments(spark, d), P.frames(spark, d), built).select("video_id", F.size("sections").alias("n_sections"), F.size("segments").alias("n_segments"), F.coalesce(F.size("frames"), F.lit(0)).alias("n_frames"))
 
 
 @query(P.sql("segments", "SELECT video_id, idx, CASE WHEN formula THEN 'equation' WHEN regexp_matches(text, '(?m)(def |class |import |#include|<[a-z]|\\{|\\}|;$|\\(\\))') THEN 'code' WHEN regexp_matches(lower(text), '\\b(is|are) (a|an|the)\\b|means|defined as') THEN 'definition' ELSE 'narrative' END AS structure FROM (SELECT *, regexp_matches(text, '[∑∫√²³∂≤≥≈≠]') OR (contains(text, '=') AND (regexp_matches(text, '[+\\-*/^]') OR regexp_matches(text, '\\b[A-Za-z]+\\s*=\\s*[A-Za-z0-9]'))) OR (regexp_matches(text, '\\b[A-Za-z0-9]+\\s*[+\\-*/]\\s*[A-Za-z0-9]+\\b') AND NOT regexp_matches(text, '^[A-Za-z\\s\\-]+$')) AS formula FROM segments)"))

@@ -16,12 +16,12 @@ CHECKED = f"checked AS (SELECT video_id, idx, lang, {NORMAL} AS text, start_s, s
 CANON = "canon AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS idx, start_s, end_s, text, replace(lower(trim(lang)), '_', '-') AS lang FROM checked WHERE reason IS NULL)"
 #: Cues as segments, made to overlap, repeat and run backwards at fixed places.
 ROUGH = """rough AS (SELECT video_id, idx, CASE WHEN idx % 9 = 4 THEN start_s - 30 ELSE start_s END AS start_s, CASE WHEN idx % 11 = 5 THEN end_s + 20 ELSE start_s + duration_s END AS end_s, text FROM (SELECT *, start_s + duration_s AS end_s FROM raw_cues))"""
-VALID = """coded AS (SELECT r.*, media_s, CASE WHEN start_s < 0 THEN 'NEGATIVE_START' WHEN end_s <= start_s THEN 'INVALID_INTERVAL' WHEN trim(coalesce(text, '')) = '' THEN 'EMPTY_SEGMENT' WHEN start_s > media_s THEN 'START_AFTER_MEDIA' END AS reject_code FROM rough r LEFT JOIN media USING (video_id)),
+VALID = """coded AS (SELECT r.*, media_s, CASE WHEN start_s IS NULL OR NOT isfinite(start_s) THEN 'INVALID_START' WHEN end_s IS NULL OR NOT isfinite(end_s) THEN 'INVALID_END' WHEN start_s < 0 THEN 'NEGATIVE_START' WHEN end_s <= start_s THEN 'INVALID_INTERVAL' WHEN trim(coalesce(text, '')) = '' THEN 'EMPTY_SEGMENT' WHEN start_s > media_s THEN 'START_AFTER_MEDIA' END AS reject_code FROM rough r LEFT JOIN media USING (video_id)),
 prior AS (SELECT *, last_value(CASE WHEN reject_code IS NULL THEN {'s': start_s, 'e': end_s, 't': lower(trim(text))} END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM coded),
 valid AS (SELECT video_id, idx, start_s, end_s, text, reject_code, coalesce((reject_code IS NULL OR reject_code = 'START_AFTER_MEDIA') AND start_s < last.s, false) AS out_of_order,
-  coalesce(reject_code IS NULL AND lower(trim(text)) = last.t AND abs(start_s - last.s) <= 0.001 AND abs(end_s - last.e) <= 0.001, false) AS exact_duplicate,
+  coalesce(reject_code IS NULL AND lower(trim(text)) = last.t AND abs(start_s - last.s) < 0.001 AND abs(end_s - last.e) < 0.001, false) AS exact_duplicate,
   coalesce(reject_code IS NULL AND start_s < last.e, false) AS overlap, coalesce(reject_code IS NULL AND end_s > media_s + 2, false) AS end_after_media FROM prior)"""
-ISSUES = """issues AS (SELECT video_id, idx, reject_code AS code, 'error' AS severity FROM valid WHERE reject_code IS NOT NULL UNION ALL SELECT video_id, idx, 'OUT_OF_ORDER', 'error' FROM valid WHERE out_of_order
+ISSUES = """issues AS (SELECT video_id, idx, reject_code AS code, CASE reject_code WHEN 'EMPTY_SEGMENT' THEN 'warning' ELSE 'error' END AS severity FROM valid WHERE reject_code IS NOT NULL UNION ALL SELECT video_id, idx, 'OUT_OF_ORDER', 'warning' FROM valid WHERE out_of_order
 UNION ALL SELECT video_id, idx, 'EXACT_DUPLICATE', 'warning' FROM valid WHERE exact_duplicate UNION ALL SELECT video_id, idx, 'OVERLAP', 'warning' FROM valid WHERE overlap UNION ALL SELECT video_id, idx, 'END_AFTER_MEDIA', 'warning' FROM valid WHERE end_after_media)"""
 COUNTS = "counts AS (SELECT video_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM issues GROUP BY 1)"
 COVER = """clamped AS (SELECT video_id, greatest(start_s, 0) AS a, least(end_s, media_s) AS b FROM rough JOIN media USING (video_id) WHERE media_s > 0 AND least(end_s, media_s) > greatest(start_s, 0)),
@@ -30,11 +30,12 @@ islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END
 sums AS (SELECT video_id, sum(n) AS s FROM (SELECT video_id, island, max(b) - min(a) AS n FROM islands GROUP BY 1, 2) GROUP BY 1),
 cover AS (SELECT video_id, CASE WHEN media_s > 0 THEN least(1.0::DOUBLE, coalesce(s, 0) / media_s) END AS coverage FROM media LEFT JOIN sums USING (video_id))"""
 DUPES = "dupes AS (SELECT video_id, 1 - count(DISTINCT lower(trim(text))) / count(*) AS duplicate_ratio FROM rough GROUP BY 1)"
-SCORED = """parts AS (SELECT m.video_id, n, coalesce(errors, 0) AS errors, least(0.45::DOUBLE, coalesce(errors, 0) * 0.15::DOUBLE) + least(0.2::DOUBLE, coalesce(warnings, 0) * 0.02::DOUBLE)
- + CASE WHEN coverage < 0.01 THEN 0.45::DOUBLE WHEN coverage < 0.2 THEN 0.25 WHEN coverage < 0.8 THEN 0.08 ELSE 0 END + CASE source_type WHEN 'generated_caption' THEN 0.03::DOUBLE WHEN 'translated_caption' THEN 0.05 WHEN 'stt' THEN 0.03 ELSE 0 END
- + CASE WHEN requested <> actual THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN duplicate_ratio > 0.2 THEN 0.15::DOUBLE WHEN duplicate_ratio > 0.05 THEN 0.05 ELSE 0 END AS lost
- FROM media m LEFT JOIN (SELECT video_id, count(*) AS n FROM rough GROUP BY 1) USING (video_id) LEFT JOIN counts USING (video_id) LEFT JOIN cover USING (video_id) LEFT JOIN dupes USING (video_id)),
-scored AS (SELECT video_id, errors, CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - lost)), 4) END AS score FROM parts)"""
+ACCEPTED = "accepted AS (SELECT * FROM valid WHERE reject_code IS NULL)"
+SCORED = """parts AS (SELECT m.video_id, n, coalesce(errors, 0) AS errors, 1.0::DOUBLE - least(0.45::DOUBLE, coalesce(errors, 0) * 0.15::DOUBLE) - least(0.2::DOUBLE, coalesce(warnings, 0) * 0.02::DOUBLE)
+ - CASE WHEN coverage < 0.01 THEN 0.45::DOUBLE WHEN coverage < 0.2 THEN 0.25 WHEN coverage < 0.8 THEN 0.08 ELSE 0 END - CASE source_type WHEN 'generated_caption' THEN 0.03::DOUBLE WHEN 'translated_caption' THEN 0.05 WHEN 'stt' THEN 0.03 ELSE 0 END
+ - CASE WHEN replace(lower(trim(requested)), '_', '-') <> replace(lower(trim(actual)), '_', '-') THEN 0.2::DOUBLE ELSE 0 END - CASE WHEN duplicate_ratio > 0.2 THEN 0.15::DOUBLE WHEN duplicate_ratio > 0.05 THEN 0.05 ELSE 0 END AS left_over
+ FROM media m LEFT JOIN (SELECT video_id, count(*) AS n FROM accepted GROUP BY 1) USING (video_id) LEFT JOIN counts USING (video_id) LEFT JOIN cover USING (video_id) LEFT JOIN dupes USING (video_id)),
+scored AS (SELECT video_id, errors, CASE WHEN coalesce(n, 0) = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, left_over)) END AS score FROM parts)"""
 
 
 def rough(spark: SparkSession, d: str) -> DataFrame:
@@ -45,10 +46,30 @@ def rough(spark: SparkSession, d: str) -> DataFrame:
 
 @query(P.sql("raw_cues", "SELECT video_id, idx AS segment_index, start_s, end_s, text, lang FROM canon", CHECKED, CANON))
 def canonical_segments(spark: SparkSession, d: str) -> DataFrame:
-    """P14, P15, P7, W1, F1, F2, F3, S15."""
+    """P14, P7, W1, F1, F3."""
     return T.canonical(P.raw_cues(spark, d))[0]
 
 
+SPEECH = "speech AS (SELECT video_id, idx, lang, CASE WHEN idx % 17 = 3 THEN 'NaN' WHEN idx % 17 = 5 THEN '-0.5' ELSE start_s::VARCHAR END AS start_s, CASE WHEN idx % 19 = 4 THEN 'inf' WHEN idx % 19 = 6 THEN '0' ELSE end_s::VARCHAR END AS end_s, CASE WHEN idx % 23 = 2 THEN '  ' ELSE text END AS text, -(idx % 40) / 16.0::DOUBLE AS avg_logprob FROM segments)"
+
+
+@query(P.sql("segments", f"""SELECT video_id, idx, CASE WHEN reason IS NULL THEN count(*) FILTER (reason IS NULL) OVER (PARTITION BY video_id ORDER BY idx) END AS segment_index, start_s, end_s, text, lang, NULL::DOUBLE AS confidence, avg_logprob, 'whisper_stt' AS source, reason
+FROM (SELECT *, CASE WHEN start_s IS NULL OR end_s IS NULL THEN 'INVALID' END AS reason FROM (SELECT video_id, idx, lang, avg_logprob, {NORMAL} AS text, CASE WHEN idx % 17 NOT IN (3, 5) THEN start_s::DOUBLE END AS start_s, CASE WHEN idx % 19 <> 4 THEN end_s::DOUBLE END AS end_s FROM speech)) WHERE reason IS NOT NULL OR (end_s > start_s AND text <> '')""", SPEECH))
+def speech_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Recognised speech with times that are no numbers, negative or infinite at fixed places."""
+    i = F.col("idx")
+    s = P.segments(spark, d).withColumn("start_s", F.when(i % 17 == 3, "NaN").when(i % 17 == 5, "-0.5").otherwise(F.col("start_s").cast("string"))).withColumn("end_s", F.when(i % 19 == 4, "Infinity").when(i % 19 == 6, "0").otherwise(F.col("end_s").cast("string")))
+    return T.speech(s.withColumn("text", F.when(i % 23 == 2, "  ").otherwise(F.col("text"))).withColumn("avg_logprob", -(i % 40) / 16.0))
+
+
+@query(P.sql("segments", "SELECT video_id, idx, CASE WHEN idx % 7 = 1 THEN '' ELSE text END AS text, CASE WHEN idx % 5 = 2 THEN 0.0::DOUBLE ELSE start_s END AS start_s, CASE WHEN idx % 6 = 3 THEN 0.0::DOUBLE ELSE end_s - start_s END AS duration_s FROM segments"))
+def caption_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Snippets of each lecture as rows, with text, start or duration missing at fixed places."""
+    i = F.col("idx")
+    one = F.struct(i, F.when(i % 7 != 1, F.col("text")).alias("text"), F.when(i % 5 != 2, F.col("start_s")).alias("start"), F.when(i % 6 != 3, F.col("end_s") - F.col("start_s")).alias("duration"))
+    return T.flattened(P.segments(spark, d).groupBy("video_id").agg(F.array_sort(F.collect_list(one)).alias("snippets")))
+
+
 @query(P.sql("raw_cues", "SELECT video_id, idx, reason FROM checked WHERE reason IS NOT NULL", CHECKED))
 def rejected_cues(spark: SparkSession, d: str) -> DataFrame:
     """What the canonical form leaves out, with the reason."""
@@ -85,7 +106,7 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return T.coverage(rough(spark, d), P.media(spark, d))
 
 
-@query(P.sql("raw_cues media", "SELECT video_id, score, CASE WHEN score >= 0.9 THEN 'HIGH' WHEN score >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE WHEN errors = 0 THEN 'SUCCESS' ELSE 'QUALITY_REVIEW' END AS status, CASE WHEN score >= 0.9 THEN 'EXPORT' WHEN score >= 0.7 THEN 'EXPORT_WITH_WARNINGS' ELSE 'REVIEW' END AS decision FROM scored", ROUGH, VALID, ISSUES, COUNTS, COVER, DUPES, SCORED))
+@query(P.sql("raw_cues media", "SELECT video_id, round(score, 4) AS score, CASE WHEN score >= 0.9 THEN 'HIGH' WHEN score >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE WHEN errors = 0 THEN 'SUCCESS' ELSE 'QUALITY_REVIEW' END AS status, CASE WHEN score >= 0.9 THEN 'EXPORT' WHEN score >= 0.7 THEN 'EXPORT_WITH_WARNINGS' ELSE 'REVIEW' END AS decision FROM scored", ROUGH, VALID, ISSUES, COUNTS, ACCEPTED, COVER.replace("rough", "accepted"), DUPES.replace("rough", "accepted"), SCORED))
 def transcript_quality(spark: SparkSession, d: str) -> DataFrame:
     """Q1, Q3, N9, F32."""
     return T.quality(rough(spark, d), P.media(spark, d))
@@ -198,33 +219,42 @@ def page_addresses(spark: SparkSession, d: str) -> DataFrame:
     return P.read(spark, d, "pages").select("page_id", W.plain_address(F.col("url")).alias("address"))
 
 
-YT = "CASE page_id % 7 WHEN 0 THEN 'https://www.youtube.com/watch?v=abc_DEF-' || lpad(page_id::VARCHAR, 3, '0') WHEN 1 THEN 'https://youtu.be/abc_DEF-' || lpad(page_id::VARCHAR, 3, '0') WHEN 2 THEN 'http://m.youtube.com/shorts/abc_DEF-' || lpad(page_id::VARCHAR, 3, '0') WHEN 3 THEN 'https://www.youtube.com./embed/abc_DEF-' || lpad(page_id::VARCHAR, 3, '0') WHEN 4 THEN 'https://youtube.com/live/short' WHEN 5 THEN url ELSE 'not a url' END"
+FORMS = ["  https://www.youtube.com/watch?v={}  ", "https://youtu.be/{}", "http://m.youtube.com/shorts/{}/", "https://www.youtube.com./embed/{}?t=1", "https://youtube.com/live/short", "", "not a url", "https://www.youtu.be/{}", "https://youtu.be/{}/more", "https://www.youtube.com/watch?v={}&v={}", "https://www.youtube.com/live/{}/x", "ftp://youtube.com/watch?v={}", "https://music.youtube.com/watch?t=3&v={}"]
+GOOD_FORMS, OTHER_HOSTS = (0, 1, 2, 3, 12), (5, 7)
 
 
-@query(P.sql("", """SELECT page_id, CASE WHEN page_id % 7 < 4 AND page_id < 1000 THEN 'abc_DEF-' || lpad(page_id::VARCHAR, 3, '0') END AS id, CASE WHEN page_id % 7 < 4 AND page_id < 1000 THEN NULL WHEN page_id % 7 = 5 THEN 'UNSUPPORTED_SOURCE' ELSE 'INVALID_URL' END AS error FROM pages"""))
+@query(P.sql("", f"""SELECT page_id, CASE WHEN good THEN tail END AS id, error, false AND error IS NOT NULL AS retryable FROM (SELECT *, CASE WHEN good THEN NULL WHEN form IN {OTHER_HOSTS} THEN 'UNSUPPORTED_SOURCE' ELSE 'INVALID_URL' END AS error
+FROM (SELECT page_id, page_id % {len(FORMS)} AS form, 'abc_DEF-' || lpad(page_id::VARCHAR, greatest(3, length(page_id::VARCHAR))::INTEGER, '0') AS tail, page_id % {len(FORMS)} IN {GOOD_FORMS} AND page_id < 1000 AS good FROM pages))"""))
 def video_ids(spark: SparkSession, d: str) -> DataFrame:
-    """The five address forms, a short id, another host, and junk."""
+    """The address forms, ids of a wrong length, several ids or path parts, other schemes and hosts, and junk; whether to try again."""
     tail = F.concat(F.lit("abc_DEF-"), F.when(F.col("page_id") < 1000, F.lpad(F.col("page_id").cast("string"), 3, "0")).otherwise(F.col("page_id").cast("string")))
-    forms = ["https://www.youtube.com/watch?v=", "https://youtu.be/", "http://m.youtube.com/shorts/", "https://www.youtube.com./embed/"]
-    url = F.when(F.col("page_id") % 7 == 5, F.col("url")).when(F.col("page_id") % 7 == 4, "https://youtube.com/live/short").otherwise("not a url")
-    for i, form in enumerate(forms):
-        url = F.when(F.col("page_id") % 7 == i, F.concat(F.lit(form), tail)).otherwise(url)
-    return P.read(spark, d, "pages").select("page_id", W.video_id(url).alias("v")).select("page_id", "v.*")
+    url = F.col("url")
+    for i, form in enumerate(FORMS):
+        if i != 5:
+            url = F.when(F.col("page_id") % len(FORMS) == i, F.replace(F.lit(form), F.lit("{}"), tail)).otherwise(url)
+    found = P.read(spark, d, "pages").select("page_id", W.video_id(url).alias("v")).select("page_id", "v.*")
+    return found.join(F.broadcast(W.retry_table(spark)), "error", "left").select("page_id", "id", "error", F.coalesce("retryable", F.lit(False)).alias("retryable"))
 
 
-ERR = "CASE event_id % 6 WHEN 0 THEN 'This video is Private' WHEN 1 THEN 'Please sign in to confirm' WHEN 2 THEN 'Video unavailable' WHEN 3 THEN 'HTTP 429 too many' WHEN 4 THEN 'Read timeout' ELSE props END"
+MESSAGES = ["This is a Private Video", "Please sign in to confirm", "LOGIN needed", "Video unavailable", "The clip is not available", "HTTP 429", "Too many requests", "Read timeout", "It timed out", "private"]
+CODE_OF = ["ACCESS_DENIED", "AUTH_REQUIRED", "AUTH_REQUIRED", "VIDEO_NOT_FOUND", "VIDEO_NOT_FOUND", "RATE_LIMITED", "RATE_LIMITED", "NETWORK_TIMEOUT", "NETWORK_TIMEOUT", "METADATA_FAILED", "METADATA_FAILED"]
 
 
-@query(P.sql("", f"SELECT event_id, CASE WHEN m LIKE '%private%' THEN 'PRIVATE_VIDEO' WHEN m LIKE '%sign in%' THEN 'SIGN_IN_REQUIRED' WHEN m LIKE '%unavailable%' THEN 'VIDEO_UNAVAILABLE' WHEN m LIKE '%429%' THEN 'RATE_LIMITED' WHEN m LIKE '%timeout%' THEN 'TIMEOUT' ELSE 'UNKNOWN_ERROR' END AS code, NOT (m LIKE '%private%' OR m LIKE '%sign in%' OR m LIKE '%unavailable%') AS retryable FROM (SELECT event_id, lower({ERR}) AS m FROM events WHERE event_type = 'error')"))
+@query(P.sql("", f"SELECT event_id, code, code NOT IN ('ACCESS_DENIED', 'AUTH_REQUIRED', 'VIDEO_NOT_FOUND') AS retryable FROM (SELECT event_id, {CODE_OF}[event_id % {len(CODE_OF)} + 1] AS code FROM events WHERE event_type = 'error')"))
 def error_codes(spark: SparkSession, d: str) -> DataFrame:
     """F10."""
-    texts = ["This video is Private", "Please sign in to confirm", "Video unavailable", "HTTP 429 too many", "Read timeout"]
-    message = F.col("props")
-    for i, t in enumerate(texts):
-        message = F.when(F.col("event_id") % 6 == i, t).otherwise(message)
+    message = F.lit("something else")
+    for i, t in enumerate(MESSAGES):
+        message = F.when(F.col("event_id") % len(CODE_OF) == i, t).otherwise(message)
     return P.read(spark, d, "events").where("event_type = 'error'").select("event_id", W.error_code(message).alias("e")).select("event_id", "e.*")
 
 
+@query()
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    """N2 over whole pages; tested against a loop."""
+    return P.read(spark, d, "pages").select("page_id", X.plain_text(F.col("html")).alias("text"))
+
+
 @query(P.sql("segments", "SELECT sum(len(regexp_extract_all(text, '\\b\\d+(?:[.,]\\d+)*\\b')))::BIGINT AS numbers, sum(len(regexp_extract_all(text, '\\b\\d+\\s?(?:kg|km|cm|mm|ms|Hz|GB|MB|%)')))::BIGINT AS units, sum(len(regexp_extract_all(text, 'https?://[^\\s]+')))::BIGINT AS urls, lang FROM segments GROUP BY lang"))
 def risk_terms(spark: SparkSession, d: str) -> DataFrame:
     """N5."""

@@ -46,16 +46,13 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select("video_id", length.alias("media_s"), F.lit("en").alias("requested"), F.col("lang").alias("actual"), source.alias("source_type"))
 
 
-def frames(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Key frames: one for each odd segment, with recognised text, blur score and perceptual hash.
-
-    The text is the whole line, or the first 200 characters of it that the SQL takes.
-    """
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key frames: one for each odd segment, with recognised text, blur score and perceptual hash."""
     s = segments(spark, sf_dir).where("idx % 2 = 1")
     v, i = F.col("video_id"), F.col("idx")
     return s.select(
         "video_id", "idx", (F.floor((i - 1) / 4) + 1).alias("scene_number"), (F.col("start_s") * 1000 + 500).cast("long").alias("timestamp_ms"),
-        ((F.col("end_s") - F.col("start_s")) * 1000).cast("long").alias("duration_ms"), (F.col("text") if whole else F.substring("text", 1, 200)).alias("clean_text"),
+        ((F.col("end_s") - F.col("start_s")) * 1000).cast("long").alias("duration_ms"), F.col("text").alias("clean_text"),
         (((v * 7919 + i * 104729) % 1000) / 8).alias("blur_score"), F.substring(F.md5(F.concat_ws("-", v.cast("string"), F.floor(i / 3).cast("string"))), 1, 16).alias("phash"),
         (((v * 31 + i * 17) % 100) / 100).alias("average_confidence"),
     )
@@ -99,7 +96,7 @@ VIEWS = {
     "raw_cues": "raw_cues AS (SELECT video_id, idx, lang, CASE WHEN idx % 50 = 7 THEN '  ' ELSE text END AS text, CASE WHEN idx % 50 = 13 THEN -1.0::DOUBLE ELSE start_s END AS start_s, CASE WHEN idx % 50 = 21 THEN 0.0::DOUBLE ELSE end_s - start_s END AS duration_s FROM segments)",
     "media": """media AS (SELECT video_id, CASE WHEN video_id % 11 = 0 THEN NULL WHEN video_id % 3 = 0 THEN max(end_s) * 2 WHEN video_id % 2 = 0 THEN max(end_s) + 8 ELSE max(end_s) END AS media_s, 'en' AS requested, lang AS actual,
         ['manual_caption', 'generated_caption', 'translated_caption', 'stt'][video_id % 4 + 1] AS source_type FROM segments GROUP BY video_id, lang)""",
-    "frames": """frames AS (SELECT video_id, idx, (idx - 1) // 4 + 1 AS scene_number, CAST(floor(start_s * 1000 + 500) AS BIGINT) AS timestamp_ms, CAST(floor((end_s - start_s) * 1000) AS BIGINT) AS duration_ms, substr(text, 1, 200) AS clean_text,
+    "frames": """frames AS (SELECT video_id, idx, (idx - 1) // 4 + 1 AS scene_number, CAST(floor(start_s * 1000 + 500) AS BIGINT) AS timestamp_ms, CAST(floor((end_s - start_s) * 1000) AS BIGINT) AS duration_ms, text AS clean_text,
         ((video_id * 7919 + idx * 104729) % 1000)::DOUBLE / 8 AS blur_score, substr(md5(video_id || '-' || (idx // 3)), 1, 16) AS phash, ((video_id * 31 + idx * 17) % 100)::DOUBLE / 100 AS average_confidence FROM segments WHERE idx % 2 = 1)""",
     "scenes": "scenes AS (SELECT video_id, scene_number, min(timestamp_ms) AS start_ms, max(timestamp_ms) AS end_ms, count(*) AS frame_count FROM frames GROUP BY 1, 2)",
     "videos": """videos AS (SELECT o_orderkey AS video_id, o_custkey AS user_id, o_orderdate AS created_at, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PROCESSING' ELSE 'FAILED' END AS status, floor(o_totalprice)::BIGINT AS price, floor(o_totalprice)::BIGINT % 7200 AS duration_s,
