@@ -192,3 +192,38 @@ def violations(answers: DataFrame) -> DataFrame:
     rule = lambda bad, name: F.when(F.coalesce(bad, F.lit(False)), F.lit(name))
     found = F.array(rule(~F.col("difficulty").between(1, 5), "difficulty"), rule(~F.col("confidence").between(0.0, 1.0), "confidence"), rule(F.col("study_minutes") < 0, "study_minutes"), rule(F.length("summary") < 20, "summary"), rule(F.length("title") < 1, "title"), rule(~F.col("at").rlike(r"^\d{2}:\d{2}:\d{2}$"), "at"))
     return answers.select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("field"))
+
+
+#: Headings of a topic note, in order, and how an entry is written; %s is the entry.
+NOTE_LISTS = [("steps", "### How It Works (Steps)", "%d. %s"), ("relationships", "### Relationships With Other Concepts", "- %s"), ("misconceptions", "### Common Misconceptions", "- %s"), ("key_takeaways", "### Key Takeaways / Exam Perspective", "- %s")]
+NOTE_TEXTS = [("overview", "### Overview"), ("core_idea", "### Core Idea")]
+NOTE_TERMS = "### Important Terms\n| Term | Meaning |\n|---|---|"
+
+
+def topic_note(topics: DataFrame) -> Column:
+    """A topic's note in Markdown; sections whose column is missing, null or empty are left out. A ready notes_markdown stands for the whole."""
+    have = set(topics.columns)
+    pieces = [F.concat(F.lit("## "), F.coalesce("title", F.lit("Untitled Topic")), F.lit("\n\n"))]
+
+    def section(heading: str, body: Column, filled: Column) -> None:
+        pieces.append(F.when(filled, F.concat(F.lit(heading + "\n"), body, F.lit("\n\n"))))
+
+    for name, heading in NOTE_TEXTS:
+        if name in have:
+            section(heading, F.col(name), F.col(name) != "")
+    for name, heading, form in NOTE_LISTS:
+        if name == "relationships" and "important_terms" in have:  # terms stand behind the steps
+            rows = F.transform("important_terms", lambda x: F.concat(F.lit("| **"), F.coalesce(x["term"], F.lit("")), F.lit("** | "), F.coalesce(x["meaning"], F.lit("")), F.lit(" |")))
+            section(NOTE_TERMS, F.array_join(rows, "\n"), F.size("important_terms") > 0)
+        if name in have:
+            entry = (lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)) if form.startswith("%d") else (lambda x, i: F.concat(F.lit("- "), x))
+            section(heading, F.array_join(F.transform(name, entry), "\n"), F.size(name) > 0)
+    note = F.concat(*[F.coalesce(p, F.lit("")) for p in pieces])
+    return F.coalesce("notes_markdown", note) if "notes_markdown" in have else note
+
+
+def compiled_notes(topics: DataFrame, title: Column) -> DataFrame:
+    """(video_id, notes): the notes of a lecture's topics under its title, in order of topic_id."""
+    rows = topics.select("video_id", "topic_id", title.alias("lecture"), F.concat(topic_note(topics), F.lit("---\n")).alias("note"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("topic_id", "note"))), lambda x: x["note"]), "\n")
+    return rows.groupBy("video_id").agg(F.concat(F.lit("# "), F.min("lecture"), F.lit("\n\n## Detailed Notes\n\n"), body).alias("notes"))

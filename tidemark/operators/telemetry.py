@@ -121,6 +121,11 @@ def provider_stats(log: DataFrame, n: int = 100) -> DataFrame:
     return calls.select("provider", "model", F.round("rate", 4).alias("success_rate"), F.round("latency", 2).alias("mean_latency_ms"), "samples", score(F.col("rate"), F.col("latency") / 1000).alias("score"))
 
 
+def stats_of(asked: DataFrame, stats: DataFrame) -> DataFrame:
+    """Statistics of each asked (provider, model); without calls the success rate is 1 and the rest 0."""
+    return asked.join(stats.drop("score"), ["provider", "model"], "left").na.fill({"success_rate": 1.0, "mean_latency_ms": 0.0, "samples": 0})
+
+
 def score(rate: Column, latency_s: Column) -> Column:
     """70 % success, 30 % speed; 50 when nothing is known."""
     return F.coalesce(F.round(0.7 * rate * 100 + 0.3 * F.greatest(F.lit(0.0), 100 - 10 * latency_s), 2), F.lit(50.0))
@@ -159,6 +164,28 @@ def health(log: DataFrame, *by: str, threshold: int = 3) -> DataFrame:
     ).withColumn("is_open", F.col("consecutive_failures") >= threshold)
 
 
+#: Seconds that a provider rests after its breaker opens, and after it was told that it asks too often.
+COOLDOWN_S, RATE_LIMIT_COOLDOWN_S = 120, 60
+
+
+def cooldowns(log: DataFrame, threshold: int = 3) -> DataFrame:
+    """(provider, failures, is_open, cooldown_until) by a log with ts, success and rate_limited.
+
+    A success closes the breaker; a rate limit rests the provider without counting as a failure; other failures
+    count since the last success, and from the third on each rests it. The latest rest since that success holds.
+    """
+    newest = Window.partitionBy("provider").orderBy(F.desc("ts"), F.desc("request_id")).rowsBetween(Window.unboundedPreceding, 0)
+    since = log.withColumn("good_after", F.sum(F.col("success").cast("int")).over(newest)).where("good_after = 0")
+    counted = ~F.col("success") & ~F.col("rate_limited")
+    nth = F.count_if(counted).over(Window.partitionBy("provider").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0))
+    rests = F.when(F.col("rate_limited"), RATE_LIMIT_COOLDOWN_S).when(nth >= threshold, COOLDOWN_S)
+    rows = since.withColumn("until", F.unix_micros(F.col("ts").cast("timestamp")) + rests * 1_000_000)
+    last = F.max_by("until", F.when(F.col("until").isNotNull(), F.struct("ts", "request_id")))
+    found = rows.groupBy("provider").agg(F.count_if(counted).alias("failures"), last.alias("until"))
+    out = log.select("provider").distinct().join(found, "provider", "left")
+    return out.select("provider", F.coalesce("failures", F.lit(0)).alias("failures"), (F.coalesce("failures", F.lit(0)) >= threshold).alias("is_open"), F.col("until").alias("cooldown_until_us"))
+
+
 def provider_of(model: Column) -> Column:
     """The provider that a model's name stands for."""
     return F.when(model.startswith("m0"), "alpha").when(model.startswith("m1"), "beta").otherwise("other")

@@ -258,7 +258,7 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
 
 @query(P.sql("", "SELECT event_id AS request_id, event_id % 5 <> 2 AS ok, CASE WHEN event_id % 5 <> 2 THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events"))
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
-    """F15, F16, S16."""
+    """F15."""
     return K.parsed(_responses(spark, d)).select("request_id", "ok", F.get_json_object("object", "$.k").cast("long").alias("k"))
 
 
@@ -278,14 +278,14 @@ def clock_seconds(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """a prompt for each lecture and its fingerprint."""
+    """a prompt for each lecture and the fingerprint of its request: task, messages, temperature and token limit."""
     s = P.segments(spark, d)
     c = C.gather(C.fixed(s))
     line = F.format_string("[%s | %s - %s] %s", "chunk_id", X.short_clock(F.col("start_s")), X.short_clock(F.col("end_s")), "text")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", line.alias("line")))), lambda x: x["line"]), "\n")
     rows = c.groupBy("video_id").agg(body.alias("chunks"))
     prompt = F.replace(F.replace(F.lit("Extract the topics of lecture {video}.\n\n{chunks}"), F.lit("{video}"), F.col("video_id").cast("string")), F.lit("{chunks}"), F.col("chunks"))
-    return rows.select("video_id", prompt.alias("prompt")).withColumn("fingerprint", F.sha2(F.to_json(F.struct(F.lit("topics").alias("task"), "prompt", F.lit(0.2).alias("temperature"))), 256))
+    return rows.select("video_id", prompt.alias("prompt")).withColumn("fingerprint", F.sha2(F.to_json(F.struct(F.lit("topics").alias("task"), F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("messages"), F.lit(0.2).alias("temperature"), F.lit(4096).alias("max_tokens"))), 256))
 
 
 # Search

@@ -109,6 +109,26 @@ def provider_rolling(spark: SparkSession, d: str) -> DataFrame:
     return T.provider_stats(P.llm_requests(spark, d))
 
 
+@query(P.sql("llm_requests", "SELECT m.provider, m.model, coalesce(round(rate, 4), 1.0) AS success_rate, coalesce(round(latency, 2), 0.0) AS mean_latency_ms, coalesce(samples, 0) AS samples FROM models m LEFT JOIN stats USING (provider, model)", ROLLING, MODEL_SQL))
+def model_stats(spark: SparkSession, d: str) -> DataFrame:
+    """A25 of every model, tested or not."""
+    return T.stats_of(T.fallbacks(spark).select("provider", "model"), T.provider_stats(P.llm_requests(spark, d)))
+
+
+COOL = """marked AS (SELECT *, NOT success AND request_id % 4 = 0 AS limited FROM llm_requests),
+back AS (SELECT *, sum(success::INT) OVER (PARTITION BY provider ORDER BY ts DESC, request_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS good_after FROM marked),
+nth AS (SELECT *, count(*) FILTER (NOT success AND NOT limited) OVER (PARTITION BY provider ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM back WHERE good_after = 0),
+rests AS (SELECT *, epoch_us(ts) + CASE WHEN limited THEN 60000000 WHEN k >= 3 THEN 120000000 END AS until FROM nth),
+ends AS (SELECT provider, count(*) FILTER (NOT limited) AS failures, arg_max(until, (ts, request_id)) FILTER (until IS NOT NULL) AS until FROM rests GROUP BY 1)"""
+
+
+@query(P.sql("llm_requests", "SELECT provider, coalesce(failures, 0) AS failures, coalesce(failures, 0) >= 3 AS is_open, until AS cooldown_until_us FROM (SELECT DISTINCT provider FROM llm_requests) LEFT JOIN ends USING (provider)", COOL))
+def provider_cooldowns(spark: SparkSession, d: str) -> DataFrame:
+    """Rests of 120 s after an opened breaker, of 60 s after a rate limit (every fourth failure is taken for one)."""
+    log = P.llm_requests(spark, d)
+    return T.cooldowns(log.withColumn("rate_limited", ~F.col("success") & (F.col("request_id") % 4 == 0)))
+
+
 @query(P.sql("llm_requests", "SELECT m.provider, m.model, tier, vision, context_window, coalesce(score, 50.0) AS score, row_number() OVER (ORDER BY tier, coalesce(score, 50.0) DESC, m.provider, m.model) AS rank FROM models m LEFT JOIN scored USING (provider, model)", ROLLING, MODEL_SQL))
 def fallback_order(spark: SparkSession, d: str) -> DataFrame:
     """O3."""

@@ -24,9 +24,9 @@ def append_log(requests: DataFrame, path: str) -> None:
     log_records(requests).write.mode("append").json(path)
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript files of either shape, a list of segments or an object with metadata and segments: a row a segment, keyed by file name."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^.]+$", 1))
+def read_transcripts(spark: SparkSession, path: str, name: str = r"([^/]+)\.[^.]+$") -> DataFrame:
+    """Transcript files of either shape, a list of segments or an object with metadata and segments: a row a segment, keyed by what name finds in the path, by default the file name."""
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), name, 1))
     listed = F.from_json("value", SEGMENTS)
     held = F.from_json("value", f"struct<segments: {SEGMENTS}>")["segments"]
     rows = whole.select("file", F.posexplode(F.when(F.ltrim("value").startswith("["), listed).otherwise(held)).alias("pos", "s"))
@@ -40,9 +40,9 @@ def write_exports(bodies: DataFrame, path: str) -> None:
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Captured responses, a file for each provider and key (provider__key.json)."""
-    name = F.col("_metadata.file_name")
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract(name, r"^(.+?)__", 1).alias("provider"), F.regexp_extract(name, r"__(.+)\.[^.]+$", 1).alias("key"), F.col("value").alias("content"))
+    """Captured responses by provider and key, which a file (provider__key.json) or a folder (name=provider__key) names; a row a line of the latter."""
+    place = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+?__[^/.]+)(?:/[^/]*|\.[^/.]+)$", 1)
+    return spark.read.text(path).select(F.split_part(place, F.lit("__"), F.lit(1)).alias("provider"), F.split_part(place, F.lit("__"), F.lit(2)).alias("key"), F.col("value").alias("content"))
 
 
 def write_lectures(lectures: DataFrame, path: str) -> None:
