@@ -445,6 +445,21 @@ def test_helpers(spark):
     assert len({r.batch for r in packed}) == len(packed) and sum(exchange.unpack(r.body).num_rows for r in packed) == len(texts())
 
 
+@pytest.mark.parametrize("name", ["op2_embedding_dedup", "op4_substring_dedup", "op6_suffix_dedup", "op9_jaccard_join"])
+def test_queries_give_the_rows_of_their_sql(spark, data, name):
+    import duckdb
+
+    from tidemark.llm import queries
+
+    c = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{data}/{table}.parquet')")
+    got = queries.QUERIES[name](spark, data)
+    want = c.sql(queries.ORACLE[name])
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_pipeline(spark, data):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs, seen = spark.read.parquet(f"{data}/documents.parquet"), []

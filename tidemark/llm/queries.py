@@ -73,4 +73,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+#: The same rows by comparing everything with everything, where SQL can say it. Words are runs of other signs than white space.
+WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+SQL2 = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS least FROM reach GROUP BY 1), degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(vec_id, least), vec_id) AS component_id, vec_id = coalesce(least(vec_id, least), vec_id) AS kept FROM v LEFT JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)"""
+
+SQL4 = f"""WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+windows AS (SELECT doc_id, p, array_to_string(ws[p : p + 12], ' ') AS piece FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM d WHERE len(ws) >= 13)),
+firsts AS (SELECT piece, min(doc_id) AS first FROM windows GROUP BY 1), gone AS (SELECT DISTINCT doc_id, p + k AS p, true AS gone FROM (SELECT doc_id, p, unnest(range(0, 13)) AS k FROM windows JOIN firsts USING (piece) WHERE first < doc_id)),
+kept AS (SELECT doc_id, count(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (gone IS NULL), '') AS kept FROM w LEFT JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+SQL6 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), b AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS byte, CASE WHEN 2 * p + 100 <= length(h) THEN substr(h, 2 * p + 1, 100) END AS piece FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)),
+firsts AS (SELECT piece, min(doc_id) AS first FROM b WHERE piece IS NOT NULL GROUP BY 1),
+reached AS (SELECT doc_id, p, byte, max(CASE WHEN first < doc_id THEN p END) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM b LEFT JOIN firsts USING (piece)),
+marked AS (SELECT doc_id, p, byte, coalesce(p < last + 50, false) AS gone FROM reached),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM marked),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM runs GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+SQL9 = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce({WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + 4], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), least AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, least), doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)"""
+
+ORACLE: dict[str, str] = {"op2_embedding_dedup": SQL2, "op4_substring_dedup": SQL4, "op6_suffix_dedup": SQL6, "op9_jaccard_join": SQL9}
