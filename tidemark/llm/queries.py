@@ -89,7 +89,11 @@ firsts AS (SELECT piece, min(doc_id) AS first FROM windows GROUP BY 1), gone AS
 kept AS (SELECT doc_id, count(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (gone IS NULL), '') AS kept FROM w LEFT JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
-SQL6 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), b AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS byte, CASE WHEN 2 * p + 100 <= length(h) THEN substr(h, 2 * p + 1, 100) END AS piece FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)),
+SQL6 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), x1 AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS p, unnest(regexp_extract_all(h, '..')) AS s1 FROM d),
+x2 AS (SELECT *, s1 || lead(s1, 1) OVER w AS s2 FROM x1 WINDOW w AS (PARTITION BY doc_id ORDER BY p)), x4 AS (SELECT *, s2 || lead(s2, 2) OVER w AS s4 FROM x2 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+x8 AS (SELECT *, s4 || lead(s4, 4) OVER w AS s8 FROM x4 WINDOW w AS (PARTITION BY doc_id ORDER BY p)), x16 AS (SELECT *, s8 || lead(s8, 8) OVER w AS s16 FROM x8 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+x32 AS (SELECT *, s16 || lead(s16, 16) OVER w AS s32 FROM x16 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+b AS (SELECT doc_id, p, s1 AS byte, s32 || lead(s16, 32) OVER w || lead(s2, 48) OVER w AS piece FROM x32 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
 firsts AS (SELECT piece, min(doc_id) AS first FROM b WHERE piece IS NOT NULL GROUP BY 1),
 reached AS (SELECT doc_id, p, byte, max(CASE WHEN first < doc_id THEN p END) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM b LEFT JOIN firsts USING (piece)),
 marked AS (SELECT doc_id, p, byte, coalesce(p < last + 50, false) AS gone FROM reached),
