@@ -58,31 +58,52 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new[root]
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) when links (a, b) join labels (id, component); only the links between components are followed."""
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    step = components(between)
+    to = step.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    moved = labels.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return written(moved.unionByName(step.join(labels, "id", "left_anti")))
+
+
 def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest_pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (id, component) over known links (a, b), candidate pairs (a, b), and groups (part, id) in which any two may be linked.
 
     verify gives the linked ones (a, b) of pairs (a, b, block). A group is first checked against
-    its smallest member, so a large group of copies stays linear; such a centre meets its
+    its smallest member, so a large group of copies stays linear. Where several components are
+    left in it, some member of the largest one, chosen by a hash, then meets the members of all others, which joins
+    large components that few links hold together. Such centres meet their
     members in blocks of at most BLOCK a group, so no task has all of them. rest_pairs makes
-    the candidate pairs (a, b) of members (id, component) of groups that hold several components.
+    the candidate pairs (a, b) of members (id, component) of groups that still hold several components.
     """
     members = written(members.distinct())
-    centre = checkpoint(members.groupBy("part").agg(F.min("id").alias("a"), F.count("*").alias("n")))
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    centre = checkpoint(members.groupBy("part").agg(F.min("id").alias("a"), F.count("*").alias("n")))
     stars = members.join(centre, "part").where("a <> id").select("a", F.col("id").alias("b"), block.alias("block"))
     pairs = pairs.select("a", "b", F.lit(0).alias("block")).unionByName(stars).groupBy("a", "b").agg(F.min("block").alias("block"))
-    links = written(links.unionByName(verify(written(pairs))))
-    joined = components(links)
+    joined = components(written(links.unionByName(verify(written(pairs)))))
     if members.isEmpty():
         return joined
-    labels = joined.select(F.col("id").alias("node"), "component")
-    labelled = written(members.join(labels, members["id"] == labels["node"], "left").select("part", "id", F.coalesce("component", "id").alias("component")))
-    mixed = labelled.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("part")
-    rest = written(labelled.join(mixed, "part", "left_semi").select("id", "component").distinct())
+
+    def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """(part, id, component, n) of the groups of n members that hold several components."""
+        own = members.select("part", "id").join(labels, "id", "left").select("part", "id", F.coalesce("component", "id").alias("component"))
+        several = own.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+        return written(own.join(several.drop("low", "high"), "part"))
+
+    left = mixed(members, joined)
+    if left.isEmpty():
+        return joined
+    most = left.groupBy("part", "component").agg(F.count("*").alias("times"), F.min(F.struct(F.xxhash64("id"), "id")).alias("any"))
+    most = most.groupBy("part").agg(F.max(F.struct("times", "component", "any.id")).alias("most"))
+    stars = left.join(most, "part").where("component <> most.component").select(F.col("most.id").alias("a"), F.col("id").alias("b"), block.alias("block"))
+    joined = merged(joined, verify(written(stars.groupBy("a", "b").agg(F.min("block").alias("block")))))
+    rest = written(mixed(left, joined).select("id", "component").distinct())
     if rest.isEmpty():
         return joined
-    found = verify(written(rest_pairs(rest).withColumn("block", F.lit(0))))
-    return components(written(links.unionByName(found)))
+    return merged(joined, verify(written(rest_pairs(rest).withColumn("block", F.lit(0)))))
 
 
 def with_sides(pairs: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
