@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontamination, embedding_dedup, jaccard_join, line_dedup, quality, substring_dedup, suffix_dedup, suffix_tree_lm, token_counts
+from tidemark.llm import bpe, decontamination, embedding_dedup, jaccard_join, lexical, line_dedup, quality, substring_dedup, suffix_dedup, suffix_tree_lm, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: The same rows by comparing everything with everything, where SQL can say it. Words are runs of other signs than white space.
@@ -108,4 +113,14 @@ links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS com
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), least AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, least), doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op2_embedding_dedup": SQL2, "op4_substring_dedup": SQL4, "op6_suffix_dedup": SQL6, "op9_jaccard_join": SQL9}
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL13 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS doc, {TERMS} AS ts FROM documents WHERE text IS NOT NULL), h AS (SELECT * FROM d WHERE len(ts) > 0),
+tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(ts) AS term FROM h) GROUP BY 1, 2), totals AS (SELECT count(*)::BIGINT AS n, sum(len(ts))::BIGINT AS l FROM h),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, n),
+asked AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+sizes AS (SELECT doc, doc_id, 100 - 50 + (50 * len(ts) * n) // l AS m FROM h, totals),
+scores AS (SELECT item_id, doc, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN sizes USING (doc) GROUP BY 1, 2)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50"""
+
+ORACLE: dict[str, str] = {"op2_embedding_dedup": SQL2, "op4_substring_dedup": SQL4, "op6_suffix_dedup": SQL6, "op9_jaccard_join": SQL9, "op13_lexical_search": SQL13}

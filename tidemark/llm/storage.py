@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A small table, cut off from its lineage: a lost executor costs nothing. Files go when the table does."""
     shared_folder(df.sparkSession)
@@ -27,6 +38,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """As checkpoint, for large tables: compressed Parquet in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    return _store(df, new_folder(df.sparkSession))
+
+
+def _store(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """As written, for tables that nothing reads after the block."""
+    base = new_folder(spark)
+    n = iter(range(1_000_000))
+    try:
+        yield lambda df: _store(df, f"{base}/{next(n)}")
+    finally:
+        remove(spark, base)
