@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, embedding_dedup, jaccard_join, lexical, line_dedup, quality, substring_dedup, suffix_dedup, suffix_tree_lm, token_counts
+from tidemark.llm import bpe, decontamination, embedding_dedup, jaccard_join, lexical, line_dedup, quality, substring_dedup, suffix_dedup, suffix_tree_lm, token_counts, warc
+from tidemark.llm.storage import new_folder, remove, scratch, written
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +62,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.encode("html", "UTF-8").alias("payload"))
+    with scratch(spark) as stored:
+        path = new_folder(spark)
+        warc.write_archives(pages, path)
+        records = warc.resolved(stored(warc.read_archives(spark, path, keep_payloads=False)))
+        remove(spark, path)
+        found = records.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("of_id").cast("long").alias("refers_to"), "status")
+        return written(found)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -75,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op12_warc": op12_warc,
     "op13_lexical_search": op13_lexical_search,
 }
 
@@ -113,6 +127,11 @@ links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS com
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), least AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, least), doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)"""
 
+SQL12 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+digits AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS a)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: a[((('0x' || h[i // 4 * 5 + 1 : i // 4 * 5 + 5])::BIGINT >> (15 - i % 4 * 5)) & 31) + 1]), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, 'ok' AS status FROM d, digits"""
+
 TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 SQL13 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS doc, {TERMS} AS ts FROM documents WHERE text IS NOT NULL), h AS (SELECT * FROM d WHERE len(ts) > 0),
@@ -123,4 +142,4 @@ sizes AS (SELECT doc, doc_id, 100 - 50 + (50 * len(ts) * n) // l AS m FROM h, to
 scores AS (SELECT item_id, doc, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN sizes USING (doc) GROUP BY 1, 2)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50"""
 
-ORACLE: dict[str, str] = {"op2_embedding_dedup": SQL2, "op4_substring_dedup": SQL4, "op6_suffix_dedup": SQL6, "op9_jaccard_join": SQL9, "op13_lexical_search": SQL13}
+ORACLE: dict[str, str] = {"op2_embedding_dedup": SQL2, "op4_substring_dedup": SQL4, "op6_suffix_dedup": SQL6, "op9_jaccard_join": SQL9, "op12_warc": SQL12, "op13_lexical_search": SQL13}
