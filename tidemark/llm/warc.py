@@ -2,8 +2,8 @@
 
 Writing (``write_archives``): every row becomes a record of HTTP headers and a body in chunked transfer
 framing. A block longer than ``segment_bytes`` is cut into a first record and *continuation* records that
-name it by WARC-Segment-Origin-ID and are numbered; the last one tells the total length. Of rows with equal payloads, the first by id (then by
-place in the input) is a response and the others are revisits that refer to it and hold no body.
+name it by WARC-Segment-Origin-ID and are numbered; the last one tells the total length. Of rows with equal payloads, the first by id (of equal ids the
+one with the least hash) is a response and the others are revisits that refer to it and hold no body.
 Records are rows of Spark's text writer whose line separator is the end of a WARC record, so files are committed like
 any other output and a lost executor leaves none behind.
 
@@ -20,7 +20,7 @@ of one number that differ; equal ones count once), "total length", "framing" (HT
 "unresolved" (a revisit of what isn't there). Faulty records keep their row, with a null payload and size.
 
 Defined results: a null payload is empty; an empty one has length 0 and a digest like any other; rows with equal ids are records of
-their own, of equal ones the first in the input is the response; null ids come after all others; very long payloads are
+their own, equal rows too, of which one is the response at most; null ids come after all others; very long payloads are
 cut into segments and have to fit in a row once they are put together again; an empty table writes
 archives without records; other columns are ignored.
 """
@@ -50,9 +50,9 @@ def base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def record_id(row: int, key: str | None) -> str:
+def record_id(mark: str, copy: int, key: str | None) -> str:
     """A name that no two rows share and that tells the row's id."""
-    return f"<urn:row:{row}:{'' if key is None else 'k' + quote(key, safe='')}>"
+    return f"<urn:row:{mark}.{copy}:{'' if key is None else 'k' + quote(key, safe='')}>"
 
 
 def id_of(name: str | None) -> str | None:
@@ -122,39 +122,40 @@ def _record(fields: dict[str, object], block: bytes) -> bytes:
     return VERSION + lines.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block
 
 
-def first_of_equals(rows: DataFrame) -> DataFrame:
-    """(row, first_row, first_id): for each row (row, id, digest, bytes), the first one with its payload; short ones are compared where they are met."""
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))
-    firsts = rows.groupBy("digest").agg(first.alias("f"))
-    return rows.select("row", "digest").join(firsts, "digest").select("row", F.col("f.row").alias("first_row"), F.col("f.id").alias("first_id"))
-
-
 def write_archives(rows: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, least_bytes: int = 0) -> None:
-    """Writes rows (id, uri, payload binary) as archives in a new folder; payloads under least_bytes are always responses."""
-    rows = rows.select("id", F.col("uri").cast("string").alias("uri"), F.coalesce(F.col("payload"), F.lit(b"")).alias("payload")).withColumn("row", F.monotonically_increasing_id())
-    keys = rows.select("row", "id", F.sha1("payload").alias("digest"), F.length("payload").alias("bytes"))
-    # only keys meet by payload, so a payload that a third of the rows share moves no texts to one place
-    decided = first_of_equals(keys.where(F.col("bytes") >= least_bytes)).withColumn("first_id", F.col("first_id").cast("string"))
-    whole = rows.withColumn("id", F.col("id").cast("string")).join(decided.hint("shuffle_hash"), "row", "left")
+    """Writes rows (id, uri, payload binary) as archives in a new folder; payloads under least_bytes are always responses.
+
+    Rows are known by a hash of all three, so nothing depends on their order; equal rows are counted before they are
+    moved. Only hashes meet by payload, so one that a third of the rows share moves no texts to one place.
+    """
+    text = lambda c: F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit(""))
+    rows = rows.select("id", F.col("uri").cast("string").alias("uri"), F.coalesce(F.col("payload"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
+    rows = rows.withColumn("mark", F.md5(F.concat(text("id"), F.lit("\0"), text("uri"), F.lit("\0"), F.col("digest"))))
+    keys = rows.where(F.length("payload") >= least_bytes).select("mark", "id", "digest").distinct()
+    firsts = keys.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark")).alias("f"))
+    decided = keys.select("mark", "digest").join(firsts, "digest").select("mark", F.col("f.mark").alias("first"), F.col("f.id").cast("string").alias("first_id"))
+    each = rows.groupBy("mark").agg(F.any_value("id").cast("string").alias("id"), F.any_value("uri").alias("uri"), F.any_value("payload").alias("payload"), F.count("*").alias("copies"))
+    whole = each.join(decided.hint("shuffle_hash"), "mark", "left")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _columns([(_record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:file:{TaskContext.get().partitionId()}>", "WARC-Date": DATE, "Content-Type": "application/warc-fields"}, b"software: tidemark\r\n"),)], ["record"], [pa.binary()])
         for b in batches:
             out, size = [], 0
-            for row, key, uri, payload, first_row, first_id in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            mark, key, uri, first, first_id, copies = (b.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))
+            for mark, key, uri, payload, first, first_id, copy in ((*x[:-1], i) for x in zip(mark, key, uri, b.column(3), first, first_id, copies, strict=True) for i in range(x[-1])):
                 payload = payload.as_py()
-                name = record_id(row, key)
+                name = record_id(mark, copy, key)
                 of_payload = "sha1:" + base32(hashlib.sha1(payload).digest())
                 # a line end would begin another header
                 fields = {"WARC-Type": "response", "WARC-Record-ID": name, "WARC-Date": DATE, "WARC-Target-URI": None if uri is None else quote(uri, safe="%:/?#[]@!$&'()*+,;=~"), "WARC-Payload-Digest": of_payload, "Content-Type": "application/http;msgtype=response"}
-                if first_row is not None and first_row != row:
-                    fields |= {"WARC-Type": "revisit", "WARC-Refers-To": record_id(first_row, first_id), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+                if first is not None and (first, 0) != (mark, copy):
+                    fields |= {"WARC-Type": "revisit", "WARC-Refers-To": record_id(first, 0, first_id), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
                     out.append((_record(fields, HTTP),))
                     continue
                 block = HTTP + chunked(payload)
                 pieces = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
                 for i, piece in enumerate(pieces, 1):
-                    own = fields if i == 1 else {"WARC-Type": "continuation", "WARC-Record-ID": record_id(row, f"{key}#{i}"), "WARC-Date": DATE, "WARC-Segment-Origin-ID": name}
+                    own = fields if i == 1 else {"WARC-Type": "continuation", "WARC-Record-ID": record_id(mark, copy, f"{key}#{i}"), "WARC-Date": DATE, "WARC-Segment-Origin-ID": name}
                     own = own | {"WARC-Block-Digest": "sha1:" + base32(hashlib.sha1(piece).digest())}
                     if len(pieces) > 1:
                         own |= {"WARC-Segment-Number": i, "WARC-Segment-Total-Length": len(block) if i == len(pieces) else None}
@@ -165,7 +166,7 @@ def write_archives(rows: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
                     out, size = [], 0
             yield _columns(out, ["record"], [pa.binary()])
 
-    made = whole.select("row", "id", "uri", "payload", "first_row", "first_id").mapInArrow(records, "record binary")
+    made = whole.select("mark", "id", "uri", "payload", "first", "first_id", "copies").mapInArrow(records, "record binary")
     lines = made.select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
