@@ -267,5 +267,7 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     dealt = pairs.join(ids, pairs["item_id"].eqNullSafe(ids["item_id"])).select("number", "term", F.pmod(F.xxhash64("number"), F.lit(max(blocks, 1))).alias("block"))
     out = docs.sparkSession.createDataFrame([], "number long, rank int, doc_id long, score long")
     for block in range(blocks):
-        out = out.unionByName(_search_block(docs, dealt.where(F.col("block") == block).select("number", "term").toArrow(), k))
+        own = dealt.where(F.col("block") == block).select("number", "term").toArrow()
+        if own.num_rows:
+            out = out.unionByName(_search_block(docs, own, k))
     return out.join(ids, "number").select("item_id", "rank", "doc_id", "score")
