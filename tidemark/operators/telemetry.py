@@ -186,6 +186,44 @@ def cooldowns(log: DataFrame, threshold: int = 3) -> DataFrame:
     return out.select("provider", F.coalesce("failures", F.lit(0)).alias("failures"), (F.coalesce("failures", F.lit(0)) >= threshold).alias("is_open"), F.col("until").alias("cooldown_until_us"))
 
 
+#: Parameters: how much each part of a candidate's score counts for a task; the last two are taken off. (task, quality, health, speed, quota, reliability, failures, cooldown)
+WEIGHTS = [("final_notes", 3.0, 1.5, 0.5, 1.0, 1.5, 1.0, 2.0), ("preprocessing", 0.5, 1.5, 3.0, 1.0, 1.0, 1.0, 2.0), ("default", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)]
+PARTS = ("quality", "health", "speed", "quota", "reliability", "failures", "cooldown")
+
+
+def weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(WEIGHTS, "task string, " + ", ".join(f"{p} double" for p in PARTS))
+
+
+def candidate_parts(models: DataFrame, stats: DataFrame, cooled: DataFrame, used: DataFrame, policies: DataFrame, now_us: Column, threshold: int = 3) -> DataFrame:
+    """What is known of each model, every part between 0 and 1.
+
+    models: provider, model, tier and quality; stats: of provider_stats; cooled: of cooldowns; used: requests and tokens of a provider on the quota day.
+    quality is given. health: 0 while an opened breaker rests, half once it may be tried, else 1. speed: 1 at once, 0 from 10 s on. quota: what
+    is left of the tighter daily limit, 1 without one. reliability: share of successes. failures: those since the last success, over threshold.
+    cooldown: 1 while the provider rests, for whatever reason. A model that nothing is known of has a speed and a reliability of half.
+    """
+    known = models.join(stats.select("provider", "model", "success_rate", "mean_latency_ms"), ["provider", "model"], "left").join(cooled.select("provider", F.col("failures").alias("failed"), "cooldown_until_us"), "provider", "left")
+    known = policy_of(known.join(used.select("provider", F.col("requests").alias("used"), F.col("tokens").alias("used_tokens")), "provider", "left"), policies)
+    left = lambda amount, limit: F.when(F.col(limit).isNull(), 1.0).when(F.col(limit) <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce(amount, F.lit(0)) / F.col(limit)))
+    failed, resting = F.coalesce("failed", F.lit(0)), F.coalesce(F.col("cooldown_until_us") > now_us, F.lit(False))
+    return known.select(
+        "provider", "model", "tier", F.coalesce("quality", F.lit(0.0)).alias("quality"), F.when(failed < threshold, 1.0).when(resting, 0.0).otherwise(0.5).alias("health"),
+        F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("mean_latency_ms") / 10_000), F.lit(0.5)).alias("speed"), F.least(left("used", "rpd"), left("used_tokens", "tpd")).alias("quota"), F.coalesce("success_rate", F.lit(0.5)).alias("reliability"),
+        F.least(F.lit(1.0), failed / threshold).alias("failures"), F.when(resting, 1.0).otherwise(0.0).alias("cooldown"),
+    )
+
+
+def candidate_scores(parts: DataFrame, weights: DataFrame) -> DataFrame:
+    """(task, provider, model, tier, score, rank): the weighed parts of each candidate for each task, best first; a weight that isn't given is 0. Both tables are short lists of models and tasks."""
+    named = weights.select("task", *(F.coalesce(p, F.lit(0.0)).alias(f"w_{p}") for p in PARTS))
+    weighed = [F.col(f"w_{p}") * F.col(p) for p in PARTS]
+    total = weighed[0] + weighed[1] + weighed[2] + weighed[3] + weighed[4] - weighed[5] - weighed[6]
+    both = parts.join(F.broadcast(named), F.lit(True)).withColumn("score", F.round(total, 4))  # parameters: a row for each kind of task
+    order = Window.partitionBy("task").orderBy(F.desc("score"), "tier", "provider", "model")
+    return both.select("task", "provider", "model", "tier", "score", F.row_number().over(order).alias("rank"))
+
+
 def provider_of(model: Column) -> Column:
     """The provider that a model's name stands for."""
     return F.when(model.startswith("m0"), "alpha").when(model.startswith("m1"), "beta").otherwise("other")

@@ -151,6 +151,33 @@ def provider_health_detail(spark: SparkSession, d: str) -> DataFrame:
     return T.health(P.llm_requests(spark, d), "provider", "model", "task")
 
 
+WEIGHT_SQL = f"weights(task, {', '.join('w_' + p for p in T.PARTS)}) AS (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" for x in row) + ")" for row in T.WEIGHTS) + ")"
+PARTED = """clock AS (SELECT max(ts) AS now, epoch_us(max(ts)) AS now_us FROM llm_requests),
+spent AS (SELECT provider, count(*) AS used, sum(input_tokens + output_tokens) AS used_tokens FROM llm_requests, clock WHERE CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles' AS DATE) = CAST(now AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles' AS DATE) GROUP BY 1),
+bounds AS (SELECT m.provider, m.model, m.tier, CASE WHEN x.provider IS NULL THEN p.rpd ELSE x.rpd END AS rpd, CASE WHEN x.provider IS NULL THEN p.tpd ELSE x.tpd END AS tpd FROM models m LEFT JOIN policies x ON x.provider = m.provider AND x.model = m.model LEFT JOIN policies p ON p.provider = m.provider AND p.model IS NULL),
+rested AS (SELECT provider, coalesce(failures, 0) AS failed, until FROM (SELECT DISTINCT provider FROM llm_requests) LEFT JOIN ends USING (provider)),
+parts AS (SELECT b.provider, b.model, b.tier, (5 - b.tier) / 4::DOUBLE AS quality, CASE WHEN coalesce(failed, 0) < 3 THEN 1.0::DOUBLE WHEN coalesce(until > now_us, false) THEN 0.0 ELSE 0.5 END AS health,
+coalesce(greatest(0.0::DOUBLE, 1 - round(latency, 2) / 10000), 0.5) AS speed, least(CASE WHEN rpd IS NULL THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - coalesce(used, 0) / rpd::DOUBLE) END, CASE WHEN tpd IS NULL THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - coalesce(used_tokens, 0) / tpd::DOUBLE) END) AS quota,
+coalesce(round(rate, 4), 0.5) AS reliability, least(1.0::DOUBLE, coalesce(failed, 0) / 3::DOUBLE) AS failures, CASE WHEN coalesce(until > now_us, false) THEN 1.0::DOUBLE ELSE 0.0 END AS cooldown
+FROM bounds b CROSS JOIN clock LEFT JOIN stats USING (provider, model) LEFT JOIN rested r ON r.provider = b.provider LEFT JOIN spent s ON s.provider = b.provider),
+candidate_scores AS (SELECT task, provider, model, tier, round(w_quality * quality + w_health * health + w_speed * speed + w_quota * quota + w_reliability * reliability - w_failures * failures - w_cooldown * cooldown, 4) AS score FROM parts, weights)"""
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    log = P.llm_requests(spark, d)
+    now = log.agg(F.max("ts").alias("now")).first()["now"]
+    usage = T.usage(log).where(F.col("quota_day") == F.to_date(F.convert_timezone(F.lit("UTC"), F.lit("America/Los_Angeles"), F.lit(now).cast("timestamp_ntz"))))
+    models = T.fallbacks(spark).withColumn("quality", (5 - F.col("tier")) / 4)
+    cooled = T.cooldowns(log.withColumn("rate_limited", ~F.col("success") & (F.col("request_id") % 4 == 0)))
+    return T.candidate_parts(models, T.provider_stats(log), cooled, usage, T.quotas(spark), F.unix_micros(F.lit(now).cast("timestamp_ntz").cast("timestamp")))
+
+
+@query(P.sql("llm_requests", "SELECT *, row_number() OVER (PARTITION BY task ORDER BY score DESC, tier, provider, model) AS rank FROM candidate_scores", ROLLING, MODEL_SQL, QUOTA_SQL, COOL, WEIGHT_SQL, PARTED))
+def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every model for every task by what the log says of it at its end; the weights are parameters."""
+    return T.candidate_scores(_parts(spark, d), T.weights(spark))
+
+
 TODAY = "today AS (SELECT provider, count(*) AS requests FROM llm_requests WHERE CAST(ts AS DATE) = DATE '2024-01-30' GROUP BY provider)"
 FIT = "fit AS (SELECT m.provider, m.model, m.tier FROM models m LEFT JOIN health h USING (provider) LEFT JOIN today t USING (provider) LEFT JOIN policies q ON q.provider = m.provider AND q.model IS NULL WHERE context_window >= 16000 AND NOT coalesce(is_open, false) AND coalesce(coalesce(t.requests, 0) < q.rpd, true))"
 
