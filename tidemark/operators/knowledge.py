@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.functions import text as X
+from tidemark.sources.folders import checkpointed
 
 #: The keys that an artifact of each kind needs.
 REQUIRED = {"quiz": ["quiz"], "flashcards": ["flashcards"], "mindmap": ["content"], "formula_sheet": ["formulas", "topic_groups"], "interview": ["technical_questions", "conceptual_questions"], "revision": ["quick_facts", "must_know_points"], "detailed_notes": ["notes_markdown"]}
@@ -55,31 +56,60 @@ def topic_pairs(topics: DataFrame, threshold: float = 0.85) -> DataFrame:
     return rows.groupBy("video_id", "a", "b").applyInPandas(run, "video_id long, i long, j long, similarity double")
 
 
-def absorb(topics: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(video_id, topic_id, into): the lowest topic that isn't taken takes every later one that is like it and isn't taken; this isn't transitive."""
+#: Links that are left, from which on one bounded task settles them.
+FINISH = 100_000
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        like: dict[int, list[int]] = {}
-        for i, j in zip(right["i"], right["j"], strict=True):
-            like.setdefault(i, []).append(j)
-        into: dict[int, int] = {}
-        for i in sorted(left["topic_id"]):
-            if i not in into:
-                into[i] = i
-                for j in sorted(like.get(i, [])):
-                    into.setdefault(j, i)
-        ids = sorted(into)
-        return pd.DataFrame({"video_id": key[0], "topic_id": ids, "into": [into[i] for i in ids]})
 
-    left = topics.select(F.col("video_id").alias("lecture"), "topic_id")
-    return left.groupBy("lecture").cogroup(pairs.groupBy("video_id")).applyInPandas(run, "video_id long, topic_id long, into long")
+def absorb(topics: DataFrame, pairs: DataFrame, finish: int = FINISH) -> DataFrame:
+    """(video_id, topic_id, into): the lowest topic that isn't taken takes every later one that is like it and isn't taken; this isn't transitive.
+
+    In rounds over all lectures at once: topics without a lower one left that is like them take theirs; links of what is
+    taken go. A round settles every topic whose lower ones are settled, so there are few unless likeness forms long chains; the
+    last links, finish of them at most, are settled in one task. A taken topic goes to the lowest taker that is like it.
+    """
+    store = checkpointed(topics.sparkSession)
+    links = pairs.select("video_id", "i", "j").where("i < j").distinct()
+    all_links = left = store(links)
+    gone = topics.sparkSession.createDataFrame([], left.select("video_id", "j").schema)
+    while (n := left.count()) > finish:
+        takers = left.select("video_id", "i").distinct().join(left.select("video_id", F.col("j").alias("i")).distinct(), ["video_id", "i"], "left_anti")
+        taken = store(left.join(takers, ["video_id", "i"], "left_semi").select("video_id", "j").distinct())
+        gone = gone.unionByName(taken)
+        rest = left.join(taken, ["video_id", "j"], "left_anti")
+        left = store(rest.join(taken.withColumnRenamed("j", "i"), ["video_id", "i"], "left_anti"))
+    if n:
+        gone = gone.unionByName(left.coalesce(1).mapInPandas(_settled, gone.schema))
+    gone = store(gone)
+    free = all_links.join(gone.withColumnRenamed("j", "i"), ["video_id", "i"], "left_anti")
+    into = free.join(gone, ["video_id", "j"], "left_semi").groupBy("video_id", F.col("j").alias("topic_id")).agg(F.min("i").alias("taker"))
+    return topics.select("video_id", "topic_id").join(into, ["video_id", "topic_id"], "left").select("video_id", "topic_id", F.coalesce("taker", "topic_id").alias("into"))
+
+
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Topics that are taken by the links of batches."""
+    links = pd.concat(list(batches)).sort_values(["video_id", "i", "j"])
+    taken: set[tuple] = set()
+    for video, i, j in links.itertuples(index=False):
+        if (video, i) not in taken:
+            taken.add((video, j))
+    yield pd.DataFrame(sorted(taken), columns=["video_id", "j"])
 
 
 def merge_topics(topics: DataFrame, into: DataFrame) -> DataFrame:
-    """Topics with what they took in: takeaways without repeats in order, the latest end."""
-    rows = topics.join(into.toDF("video_id", "topic_id", "into"), ["video_id", "topic_id"])
-    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("topic_id", "takeaways"))), lambda x: x["takeaways"]))
-    return rows.groupBy("video_id", F.col("into").alias("topic_id")).agg(F.array_distinct(listed).alias("takeaways"), F.max("end_s").alias("end_s"), F.count("*").alias("merged"))
+    """Topics with what they took in: takeaways without repeats in order, citations (timestamp, text) of which the first of a timestamp stays, and the
+    latest end_time, by text. What repeats is dropped before it is gathered, so a topic that took many in stays as small as what it says."""
+    rows = topics.join(into.toDF("video_id", "own", "into"), (F.col("topic_id") == F.col("own")) & (topics["video_id"] == into["video_id"])).drop(into["video_id"]).drop("own")
+
+    def listed(column: str, key: str | None) -> DataFrame:
+        each = rows.select("video_id", "into", "topic_id", F.posexplode(column).alias("pos", "x"))
+        by = F.col("x") if key is None else F.col("x")[key]
+        first = each.groupBy("video_id", "into", by.alias("by")).agg(F.min(F.struct("topic_id", "pos", "x")).alias("first"))
+        return first.groupBy("video_id", "into").agg(F.transform(F.array_sort(F.collect_list("first")), lambda f: f["x"]).alias(column))
+
+    heads = rows.groupBy("video_id", "into").agg(F.max("end_time").alias("end_time"), F.count("*").alias("merged"))
+    for column, key in (("takeaways", None), ("citations", "timestamp")):
+        heads = heads.join(listed(column, key), ["video_id", "into"], "left").withColumn(column, F.coalesce(column, F.array().cast(topics.schema[column].dataType)))
+    return heads.withColumnRenamed("into", "topic_id")
 
 
 def missing_keys(artifacts: DataFrame, spark: SparkSession) -> DataFrame:

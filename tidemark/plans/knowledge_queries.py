@@ -16,7 +16,8 @@ from tidemark.sources import projections as P
 
 def _topics(spark: SparkSession, d: str) -> DataFrame:
     e = P.read(spark, d, "embeddings")
-    return e.select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("topic_id"), F.col("embedding").alias("vector"), F.array((F.col("vec_id") % 7).cast("string"), (F.col("vec_id") % 5).cast("string")).alias("takeaways"), (F.col("vec_id") * 1.0).alias("end_s"))
+    return e.select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("topic_id"), F.col("embedding").alias("vector"), F.array((F.col("vec_id") % 7).cast("string"), (F.col("vec_id") % 5).cast("string")).alias("takeaways"),
+        F.array(F.struct((F.col("vec_id") % 3).cast("string").alias("timestamp"), F.col("vec_id").cast("string").alias("text"))).alias("citations"), (F.col("vec_id") * 31 % 977).cast("string").alias("end_time"))
 
 
 PAIRS = """topics AS (SELECT label::BIGINT AS video_id, vec_id AS topic_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -29,11 +30,22 @@ def topic_pairs(spark: SparkSession, d: str) -> DataFrame:
     return K.topic_pairs(_topics(spark, d), 0.35)
 
 
-@query()
+GREEDY = """lower AS (SELECT t.video_id, t.topic_id, row_number() OVER (PARTITION BY t.video_id ORDER BY t.topic_id) AS no, coalesce(list(i) FILTER (i IS NOT NULL), []) AS lower FROM topics t LEFT JOIN (SELECT * FROM pairs WHERE similarity > 0.35) p ON p.video_id = t.video_id AND p.j = t.topic_id GROUP BY 1, 2),
+walk AS (SELECT video_id, topic_id, no, topic_id AS target, [topic_id] AS takers FROM lower WHERE no = 1
+UNION ALL SELECT l.video_id, l.topic_id, l.no, coalesce(list_min(list_intersect(l.lower, takers)), l.topic_id), CASE WHEN len(list_intersect(l.lower, takers)) = 0 THEN list_append(takers, l.topic_id) ELSE takers END FROM walk w JOIN lower l ON l.video_id = w.video_id AND l.no = w.no + 1),
+said AS (SELECT video_id, target, topic_id, unnest([(topic_id % 7)::VARCHAR, (topic_id % 5)::VARCHAR]) AS x, unnest([0, 1]) AS pos FROM walk),
+takeaways AS (SELECT video_id, target, string_agg(x, ',' ORDER BY place) AS takeaways FROM (SELECT video_id, target, x, min((topic_id, pos)) AS place FROM said GROUP BY 1, 2, 3) GROUP BY 1, 2),
+citations AS (SELECT video_id, target, string_agg(stamp || '=' || topic_id, ',' ORDER BY topic_id) AS citations FROM (SELECT video_id, target, (topic_id % 3)::VARCHAR AS stamp, min(topic_id) AS topic_id FROM walk GROUP BY 1, 2, 3) GROUP BY 1, 2),
+merged AS (SELECT video_id, target, max((topic_id * 31 % 977)::VARCHAR) AS end_time, count(*) AS merged FROM walk GROUP BY 1, 2)"""
+
+
+@query(P.sql("", "SELECT video_id, target AS topic_id, takeaways, citations, end_time, merged FROM merged JOIN takeaways USING (video_id, target) JOIN citations USING (video_id, target)", PAIRS, GREEDY))
 def topic_merge(spark: SparkSession, d: str) -> DataFrame:
-    """G7, A22; tested against a loop."""
+    """G7, A22."""
     t = _topics(spark, d)
-    return K.merge_topics(t, K.absorb(t, K.topic_pairs(t, 0.35)))
+    found = K.merge_topics(t, K.absorb(t, K.topic_pairs(t, 0.35)))
+    cited = F.array_join(F.transform("citations", lambda c: F.concat(c["timestamp"], F.lit("="), c["text"])), ",")
+    return found.select("video_id", "topic_id", F.array_join("takeaways", ",").alias("takeaways"), cited.alias("citations"), "end_time", "merged")
 
 
 ARTIFACTS = """artifacts AS (SELECT doc_id AS video_id, ['quiz', 'flashcards', 'formula_sheet', 'interview'][doc_id % 4 + 1] AS kind, CASE WHEN doc_id % 4 = 0 AND doc_id % 3 <> 0 THEN '{"quiz":[]}' WHEN doc_id % 4 = 1 THEN '{"cards":[]}' WHEN doc_id % 4 = 2 THEN '{"formulas":[],"topic_groups":{}}' WHEN doc_id % 8 = 3 THEN '{"technical_questions":[]}' ELSE '{}' END AS content FROM documents),
