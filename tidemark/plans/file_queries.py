@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +10,11 @@ from tidemark.operators import knowledge as K
 from tidemark.plans.registry import query
 from tidemark.sources import files
 from tidemark.sources import projections as P
+from tidemark.sources.folders import new_folder
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names; of our own only where that is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-files-")
-    return f"{base}/files-{uuid.uuid4().hex}"
+    return new_folder(spark, "files")
 
 
 @query(P.sql("llm_requests", "SELECT request_id, provider, model, task, round(latency_ms, 2) AS latency_ms, input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens, success, CASE WHEN NOT success THEN 'ERROR' END AS error_type, video_id FROM llm_requests"))

@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
+from tidemark.plans.telemetry_queries import COOL
 from tidemark.sources import projections as P
+from tidemark.sources.folders import new_folder
 from tidemark.streaming import jobs as J
 
 
+#: Files in a batch, which bounds the rows of a key that a batch brings.
+FILES = 64
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream."""
     schema = P.read(spark, d, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{d}/events.parquet*")
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all there is and reads what it wrote; the shared folder holds its files and its log."""
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-stream-")) + f"/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     before = spark.conf.get(J.STORE[0], None)
     spark.conf.set(*J.STORE)
     try:
@@ -83,7 +86,16 @@ def stream_jobs(spark: SparkSession, d: str) -> DataFrame:
     return _drained(spark, J.unique_jobs(_stream(spark, d).select(F.concat(F.lit("video_"), F.col("user_id").cast("string")).alias("job_id"), "ts")), "append").select("job_id").distinct()
 
 
-@query()
+@query(P.sql("llm_requests", """SELECT provider, coalesce(failures, 0) AS failures, until AS cooldown_until_us, CASE WHEN coalesce(failures, 0) < 3 THEN 'CLOSED' WHEN (until + 999) // 1000 <= watermark THEN 'HALF_OPEN' ELSE 'OPEN' END AS state, coalesce((until + 999) // 1000 <= watermark, true) AS can_execute
+FROM (SELECT DISTINCT provider FROM llm_requests) LEFT JOIN ends USING (provider), (SELECT epoch_ms(max(ts)) - 600000 AS watermark FROM llm_requests)""", COOL))
 def stream_health(spark: SparkSession, d: str) -> DataFrame:
-    """T7."""
-    return _latest(_drained(spark, J.breaker(_log(_stream(spark, d))), "update"), "provider")
+    """As provider_cooldowns, and whether a provider may be tried at the watermark that the stream ends with."""
+    log = _log(_stream(spark, d)).withColumn("rate_limited", ~F.col("success") & (F.col("request_id") % 4 == 0))
+    return _latest(_drained(spark, J.breaker(log), "update"), "provider")
+
+
+@query()
+def stream_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """T5: p95 of each provider from hourly sketches of the stream; within the sketch's rank error of A6 (tested)."""
+    hours = _latest(_drained(spark, J.latency_sketches(_log(_stream(spark, d))), "update"), "provider", "hour")
+    return J.merged_quantile(hours, "provider").withColumnRenamed("quantile", "p95_ms")

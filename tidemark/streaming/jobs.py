@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,37 +40,59 @@ def unique_jobs(jobs: DataFrame) -> DataFrame:
 
 
 class Limiter(StatefulProcessor):
-    """Accepts an attempt when fewer than limit accepted ones lie in the window that ends with it."""
+    """Accepts an attempt when fewer than limit accepted ones lie in the window that ends with it.
+
+    A key is forgotten once the watermark has passed the window of its last accepted attempt, so state is as large as the
+    number of users of one window. Attempts are decided in the order of their time within a batch; later than the watermark, they are dropped by the engine.
+    """
 
     def __init__(self, limit: int, window_s: int):
         self.limit, self.window = limit, window_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.accepted = handle.getListState("accepted", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("at", kind="stable")
-        kept = [x[0] for x in self.accepted.get()]
-        out = []
-        for t in pdf["at"]:
+        times = np.sort(np.concatenate([f["at"].to_numpy(np.int64) for f in rows]))  # the time is all that an attempt has
+        before = [x[0] for x in self.accepted.get()]
+        kept, out = list(before), []
+        for t in times.tolist():
             kept = [a for a in kept if a > t - self.window]
             ok = len(kept) < self.limit
             if ok:
-                kept.append(int(t))
+                kept.append(t)
             out.append(not ok)
+        self._keep(before, kept)
+        yield pd.DataFrame({"user_id": key[0], "action": key[1], "at": times, "rejected": out})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        before = [x[0] for x in self.accepted.get()]
+        self._keep([], [a for a in before if a + self.window > passed])
+        return iter(())
+
+    def _keep(self, before: list[int], kept: list[int]) -> None:
+        """Stores what is kept, and wakes the key when the last of it is out of the window."""
+        if before:
+            self.handle.deleteTimer(self._end(before))
         if kept:
             self.accepted.put([(a,) for a in kept])
+            self.handle.registerTimer(self._end(kept))
         else:
             self.accepted.clear()
-        yield pd.DataFrame({"user_id": pdf["user_id"], "action": pdf["action"], "at": pdf["at"], "rejected": out})
+
+    def _end(self, kept: list[int]) -> int:
+        return -(-(max(kept) + self.window) // 1000)
 
     def close(self) -> None:
         pass
 
 
-def limiter(actions: DataFrame, limit: int, window_s: int) -> DataFrame:
+def limiter(actions: DataFrame, limit: int, window_s: int, delay: str = "1 hour") -> DataFrame:
     """Live decisions on (user_id, action, at in microseconds)."""
-    return actions.groupBy("user_id", "action").transformWithStateInPandas(Limiter(limit, window_s), "user_id long, action string, at long, rejected boolean", "append", "none")
+    timed = actions.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", delay)
+    return timed.groupBy("user_id", "action").transformWithStateInPandas(Limiter(limit, window_s), "user_id long, action string, at long, rejected boolean", "append", "eventTime")
 
 
 class Rolling(StatefulProcessor):
@@ -96,33 +119,93 @@ def rolling(requests: DataFrame, n: int = 100) -> DataFrame:
 
 
 class Breaker(StatefulProcessor):
-    """CLOSED, OPEN after some failures in a row, HALF_OPEN once the cooldown is over."""
+    """Health of a provider: CLOSED, OPEN from some failures since the last success on, HALF_OPEN once its rest is over.
 
-    def __init__(self, threshold: int, cooldown_s: int):
-        self.threshold, self.cooldown = threshold, cooldown_s * 1_000_000
+    A rate limit rests the provider without counting as a failure; a success ends everything. Rows are taken in the order of their
+    time: those that the watermark hasn't passed are held back, so that rows of a later batch can still come before them. The
+    state that is put out counts them in. A timer at the end of a rest tells that the provider may be tried again, with or without a next row.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "state string, failures long, since long")
+    def __init__(self, threshold: int, cooldown_s: int, rate_limit_s: int):
+        self.threshold, self.rests = threshold, (cooldown_s * 1_000_000, rate_limit_s * 1_000_000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["at", "request_id"], kind="stable")
-        state, failures, since = tuple(self.state.get()) if self.state.exists() else ("CLOSED", 0, 0)
-        for at, ok in zip(pdf["at"], pdf["success"], strict=True):
-            if state == "OPEN" and at - since >= self.cooldown:
-                state = "HALF_OPEN"
-            if ok:
-                state, failures = "CLOSED", 0
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "failures long, until long, timer long")
+        self.held = handle.getListState("held", "at long, request_id long, kind int")
+
+    def _after(self, failures: int, until: int, rows) -> tuple[int, int]:
+        for at, _, kind in rows:
+            if kind == SUCCESS:
+                failures, until = 0, 0
+            elif kind == LIMITED:
+                until = at + self.rests[1]
             else:
                 failures += 1
-                if state == "HALF_OPEN" or failures >= self.threshold:
-                    state, since = "OPEN", int(at)
-        self.state.update((state, int(failures), int(since)))
-        yield pd.DataFrame({"provider": [key[0]], "state": [state], "failures": [failures]})
+                if failures >= self.threshold:
+                    until = at + self.rests[0]
+        return failures, until
+
+    def _told(self, key, failures: int, until: int, now: int) -> pd.DataFrame:
+        rested = until <= now
+        state = "CLOSED" if failures < self.threshold else "HALF_OPEN" if rested else "OPEN"
+        return pd.DataFrame({"provider": [key[0]], "state": [state], "failures": [failures], "cooldown_until_us": pd.array([until or None], "Int64"), "can_execute": [rested]})
+
+    def _update(self, key, new: list[tuple], watermark_ms: int) -> tuple[int, int]:
+        """Failures and end of rest after all rows; those before the watermark are settled. A timer waits for the end of the rest."""
+        failures, until, timer = tuple(self.settled.get()) if self.settled.exists() else (0, 0, 0)
+        rows = sorted([*(tuple(r) for r in self.held.get()), *new])
+        passed = [r for r in rows if r[0] <= watermark_ms * 1000]
+        failures, until = self._after(failures, until, passed)
+        rest = rows[len(passed):]
+        self.held.put(rest) if rest else self.held.clear()
+        now_failures, now_until = self._after(failures, until, rest)
+        wanted = -(-now_until // 1000)
+        if timer and timer != wanted:
+            self.handle.deleteTimer(timer)
+        if wanted > watermark_ms and timer != wanted:
+            self.handle.registerTimer(wanted)
+        self.settled.update((failures, until, wanted if wanted > watermark_ms else 0))
+        return now_failures, now_until
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: list[tuple] = []
+        for f in rows:
+            kind = np.where(f["success"].to_numpy(bool), SUCCESS, np.where(f["rate_limited"].to_numpy(bool), LIMITED, FAILURE))
+            new += zip(f["at"].tolist(), f["request_id"].tolist(), kind.tolist(), strict=True)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        failures, until = self._update(key, new, watermark)
+        yield self._told(key, failures, until, max(watermark * 1000, max(r[0] for r in new)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        failures, until = self._update(key, [], watermark)
+        yield self._told(key, failures, until, watermark * 1000)
 
     def close(self) -> None:
         pass
 
 
-def breaker(requests: DataFrame, threshold: int = 3, cooldown_s: int = 120) -> DataFrame:
-    """State of each provider after (provider, at in microseconds, request_id, success)."""
-    return requests.groupBy("provider").transformWithStateInPandas(Breaker(threshold, cooldown_s), "provider string, state string, failures long", "update", "none")
+SUCCESS, FAILURE, LIMITED = 0, 1, 2
+
+
+def breaker(requests: DataFrame, threshold: int = 3, cooldown_s: int = 120, rate_limit_s: int = 60, delay: str = "10 minutes") -> DataFrame:
+    """Health of each provider after (provider, at in microseconds, request_id, success, rate_limited), and when a rest ends."""
+    timed = requests.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", delay)
+    return timed.groupBy("provider").transformWithStateInPandas(Breaker(threshold, cooldown_s, rate_limit_s), "provider string, state string, failures long, cooldown_until_us long, can_execute boolean", "update", "eventTime")
+
+
+# Quantiles of a growing log
+
+
+def latency_sketches(requests: DataFrame, k: int = 400) -> DataFrame:
+    """(provider, hour, requests, successes, sketch): a mergeable sketch of the latencies of each hour's successes; its size doesn't depend on their number."""
+    hours = requests.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour").groupBy("provider", F.window("at", "1 hour").alias("w"))
+    sketch = F.kll_sketch_agg_double(F.when(F.col("success"), F.col("latency_ms")), k)
+    return hours.agg(F.count("*").alias("requests"), F.count_if("success").alias("successes"), sketch.alias("sketch")).select("provider", F.col("w.start").alias("hour"), "requests", "successes", "sketch")
+
+
+def merged_quantile(sketches: DataFrame, *by: str, q: float = 0.95) -> DataFrame:
+    """The q quantile of latencies over all hours of a group, from their sketches; null without successes."""
+    merged = sketches.groupBy(*by).agg(F.sum("requests").alias("requests"), F.sum("successes").alias("successes"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select(*by, "requests", "successes", F.when(F.col("successes") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q))).alias("quantile"))
