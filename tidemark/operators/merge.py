@@ -62,6 +62,22 @@ def lectures(segments: DataFrame, frames: DataFrame, built: DataFrame) -> DataFr
     return out.join(listed(frames, "frames", "idx", "scene_number", "timestamp_ms", "clean_text"), "video_id", "left")
 
 
+def saved_lectures(built: DataFrame, segments: DataFrame, windows: DataFrame, frames: DataFrame) -> DataFrame:
+    """Nested lectures as they are saved (sources.files.LECTURE): sections in order, with the segments and the frames of those that are scenes."""
+    said = scene_segments(segments, windows).groupBy("video_id", "scene_number").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("text").alias("text"), F.col("start_s").alias("start"), F.col("end_s").alias("end")))).alias("said"))
+    shown = frames.select(
+        "video_id", "scene_number", "idx", F.format_string("frames/%s/scene_%04d_%s.jpg", F.col("video_id").cast("string"), F.col("scene_number").cast("int"), F.col("idx").cast("string")).alias("frame_path"),
+        (F.col("timestamp_ms") / 1000).alias("timestamp_sec"), F.nullif("clean_text", F.lit("")).alias("ocr_text"), F.nullif("importance", F.lit(0.0)).alias("importance_score"),
+    )
+    shown = shown.groupBy("video_id", "scene_number").agg(F.array_sort(F.collect_list(F.struct("idx", "frame_path", "timestamp_sec", F.col("scene_number"), "ocr_text", "importance_score", F.lit(None).cast("double").alias("transcript_similarity")))).alias("shown"))
+    rows = built.withColumn("scene_number", F.when(F.col("kind") == "scene", F.col("number"))).join(said, ["video_id", "scene_number"], "left").join(shown, ["video_id", "scene_number"], "left")
+    section = F.struct(
+        "section_index", F.format_string("section_%03d", F.col("section_index").cast("int")).alias("section_id"), F.col("start_s").alias("start_time"), F.col("end_s").alias("end_time"), F.when(F.col("scene_number").isNotNull(), F.array("scene_number")).alias("scene_numbers"),
+        F.transform("said", lambda x: x.dropFields("idx")).alias("transcript_segments"), F.transform("shown", lambda x: x.dropFields("idx")).alias("frames"),
+    )
+    return rows.groupBy(F.col("video_id").cast("string").alias("video_id")).agg(F.transform(F.array_sort(F.collect_list(section)), lambda x: x.dropFields("section_index")).alias("sections"), F.create_map(F.lit("sections"), F.count("*").cast("double")).alias("statistics"))
+
+
 def lecture_markdown(built: DataFrame, segments: DataFrame, windows: DataFrame, frames: DataFrame) -> DataFrame:
     """A page for each lecture: a heading and speech for each scene, a preview of 100 characters for each frame."""
     speech = full_text(scene_segments(segments, windows), "video_id", "scene_number")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import knowledge as K
+from tidemark.operators import merge as M
+from tidemark.operators import vision as V
+from tidemark.plans.media_queries import BUILT, FOURTH, MAPPED, WINDOWS
 from tidemark.plans.registry import query
 from tidemark.sources import files
 from tidemark.sources import projections as P
@@ -26,6 +29,54 @@ def request_log(spark: SparkSession, d: str) -> DataFrame:
     return files.read_log(spark, path).drop("ts")
 
 
+LOGGED = P.sql("llm_requests", "SELECT request_id, provider, model, task, round(latency_ms, 2) AS latency_ms, input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens, success, CASE WHEN NOT success THEN 'ERROR' END AS error_type, video_id FROM llm_requests")
+
+
+@query(LOGGED)
+def request_log_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A growing folder of requests streamed into the log in two runs, of which the second goes on where the first ended."""
+    path, log = _folder(spark), P.llm_requests(spark, d)
+    for half in (0, 1):
+        log.where(F.col("request_id") % 2 == half).write.mode("append").parquet(f"{path}/in")
+        arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/in")
+        files.stream_log(arriving, f"{path}/log", f"{path}/state").awaitTermination()
+    return files.read_log(spark, f"{path}/log").drop("ts")
+
+
+@query(P.sql("frames", """SELECT sha256(concat_ws('|', video_id, scene_number, timestamp_ms, idx)) AS frame_id, video_id, scene_number, timestamp_ms, blur_score, clean_text, importance FROM
+(SELECT *, 0.25::DOUBLE AS importance FROM frames WHERE video_id % 3 <> 0 UNION ALL SELECT *, 0.75 FROM frames WHERE video_id % 3 = 0 AND idx % 4 = 1 AND video_id % 6 = 0)"""))
+def replaced_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The frames of all lectures written, then those of every third lecture replaced twice, of which half have none any more; the four tables read back and joined by their key."""
+    path = _folder(spark)
+    f = P.frames(spark, d).withColumns({"transcript_similarity": F.lit(0.0), "is_selected": F.lit(False)})
+    every = f.select("video_id")
+    files.replace_frames(every, V.tables(f.withColumn("importance", F.lit(0.25))), path)
+    third = every.where("video_id % 3 = 0")
+    for _ in range(2):
+        files.replace_frames(third, V.tables(f.where("video_id % 6 = 0 and idx % 4 = 1").withColumn("importance", F.lit(0.75))), path)
+    held = {name: files.read_frames(spark, path, name) for name in ("video_frames", "frame_metadata", "ocr_results", "frame_scores")}
+    out = held["video_frames"]
+    for name in ("frame_metadata", "ocr_results", "frame_scores"):
+        out = out.join(held[name].drop("video_id"), "frame_id")
+    return out.select("frame_id", "video_id", "scene_number", "timestamp_ms", "blur_score", "clean_text", "importance")
+
+
+@query(P.sql("scenes", """SELECT b.video_id, 'section_' || printf('%03d', section_index) AS section_id, b.start_s, b.end_s, CASE WHEN kind = 'scene' THEN number END AS scene, coalesce(s.n, 0) AS n_segments, coalesce(s.said, '') AS said, coalesce(f.n, 0) AS n_frames, coalesce(f.empty, 0) AS n_empty, coalesce(f.score, 0) AS score FROM built b
+LEFT JOIN (SELECT video_id, scene_number, count(*) AS n, string_agg(text, '|' ORDER BY idx) AS said FROM mapped GROUP BY 1, 2) s ON s.video_id = b.video_id AND s.scene_number = b.number AND kind = 'scene'
+LEFT JOIN (SELECT video_id, scene_number, count(*) AS n, count(*) FILTER (clean_text = '') AS empty, round(sum(average_confidence), 6) AS score FROM frames GROUP BY 1, 2) f ON f.video_id = b.video_id AND f.scene_number = b.number AND kind = 'scene'""", WINDOWS, MAPPED, FOURTH.replace(" WHERE video_id % 4 <> 0", ""), BUILT))
+def saved_lectures(spark: SparkSession, d: str) -> DataFrame:
+    """Nested lectures saved as JSON, where empty values are left out, and loaded again with defaults at every depth."""
+    path = _folder(spark)
+    s, scenes = P.segments(spark, d), P.scenes(spark, d)
+    files.write_lectures(M.saved_lectures(M.sections(s, scenes), s, M.scene_windows(scenes), P.frames(spark, d).withColumn("importance", F.col("average_confidence"))), path)
+    x = files.read_lectures(spark, path).where("fault is null").select(F.col("video_id").cast("long").alias("video_id"), F.explode("sections").alias("x"))
+    total = F.aggregate(F.transform("x.frames", lambda f: f["importance_score"] + f["transcript_similarity"]), F.lit(0.0), lambda a, b: a + b)
+    return x.select(
+        "video_id", "x.section_id", F.col("x.start_time").alias("start_s"), F.col("x.end_time").alias("end_s"), F.get("x.scene_numbers", F.lit(0)).alias("scene"), F.size("x.transcript_segments").cast("long").alias("n_segments"),
+        F.array_join(F.transform("x.transcript_segments", lambda t: t["text"]), "|").alias("said"), F.size("x.frames").cast("long").alias("n_frames"), F.size(F.filter("x.frames", lambda f: f["ocr_text"].isNull())).cast("long").alias("n_empty"), F.round(total, 6).alias("score"),
+    )
+
+
 @query(P.sql("segments", "SELECT video_id, idx, start_s, end_s, text FROM segments"))
 def transcript_files(spark: SparkSession, d: str) -> DataFrame:
     """A JSON file for each lecture, every second one an object with metadata, read back in either shape."""

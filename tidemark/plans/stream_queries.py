@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
-from tidemark.plans.telemetry_queries import COOL
+from tidemark.plans.telemetry_queries import ACCEPTED, COOL
 from tidemark.sources import projections as P
 from tidemark.sources.folders import new_folder
 from tidemark.streaming import jobs as J
@@ -55,7 +55,7 @@ def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     return _latest(_drained(spark, J.progress(_stream(spark, d).select(F.col("user_id").alias("video_id"), F.col("event_type").alias("status"), "ts")), "update"), "video_id")
 
 
-@query()
+@query(P.sql("", "SELECT user_id, action, t AS at, rejected FROM walk", "actions AS (SELECT user_id, event_type AS action, ts FROM events)", ACCEPTED.format(actions="actions")))
 def stream_limiter(spark: SparkSession, d: str) -> DataFrame:
     """The live twin of rate_limit_accepted."""
     a = _stream(spark, d).select("user_id", F.col("event_type").alias("action"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))

@@ -92,9 +92,14 @@ def rate_limit_sliding(spark: SparkSession, d: str) -> DataFrame:
     return T.attempts_limit(_actions(spark, d), 2, 86_400)
 
 
-@query()
+ACCEPTED = """attempts AS (SELECT user_id, action, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, action ORDER BY ts) AS no FROM {actions}),
+walk AS (SELECT user_id, action, ts, t, no, [t] AS kept, false AS rejected FROM attempts WHERE no = 1
+UNION ALL SELECT user_id, action, ts, t, no, CASE WHEN len(held) >= 2 THEN held ELSE list_append(held, t) END, len(held) >= 2 FROM (SELECT a.*, list_filter(w.kept, lambda x: x > a.t - 86400000000) AS held FROM walk w JOIN attempts a ON a.user_id = w.user_id AND a.action = w.action AND a.no = w.no + 1))"""
+
+
+@query(P.sql("", "SELECT user_id, action, ts, rejected FROM walk", ACTIONS, ACCEPTED.format(actions="actions")))
 def rate_limit_accepted(spark: SparkSession, d: str) -> DataFrame:
-    """A fold, tested against a loop."""
+    """A fold."""
     return T.accepted_limit(_actions(spark, d), 2, 86_400)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import folders
+
 LOG = "ts timestamp, task string, provider string, model string, latency_ms double, input_tokens long, output_tokens long, total_tokens long, success boolean, error_type string, video_id long, request_id long"
 SEGMENTS = "array<struct<text: string, start: double, end: double, duration: double>>"
 
@@ -45,23 +47,67 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.split_part(place, F.lit("__"), F.lit(1)).alias("provider"), F.split_part(place, F.lit("__"), F.lit(2)).alias("key"), F.col("value").alias("content"))
 
 
+#: A saved lecture. Free-form metadata and statistics are maps.
+LECTURE = (
+    "video_id string, metadata map<string, string>, statistics map<string, double>, sections array<struct<section_id: string, start_time: double, end_time: double, scene_numbers: array<long>, "
+    "transcript_segments: array<struct<text: string, start: double, end: double>>, frames: array<struct<frame_path: string, timestamp_sec: double, scene_number: long, ocr_text: string, importance_score: double, transcript_similarity: double>>>>"
+)
+
+
 def write_lectures(lectures: DataFrame, path: str) -> None:
+    """Lectures by LECTURE as JSON, one a line; empty values are left out and come back as defaults."""
     lectures.write.mode("overwrite").json(path)
 
 
-def read_lectures(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Nested lectures; missing lists are empty."""
-    out = spark.read.schema(schema).json(path)
-    for f in out.schema.fields:
-        if f.dataType.typeName() == "array":
-            out = out.withColumn(f.name, F.coalesce(f.name, F.array().cast(f.dataType)))
-    return out
+def read_lectures(spark: SparkSession, path: str) -> DataFrame:
+    """Saved lectures by LECTURE with ``fault``: a missing list or map is empty, a missing score is 0, at every depth; a lecture without
+    its own id, a section without id or times, or a frame without path, time or scene has the fault MISSING_KEY; text that isn't JSON is UNREADABLE. A null counts as missing."""
+    held = spark.read.schema(f"{LECTURE}, broken string").option("columnNameOfCorruptRecord", "broken").option("mode", "PERMISSIVE").json(path)
+    none = lambda kind: F.array().cast(kind)
+    types = {f.name: f.dataType for f in held.schema["sections"].dataType.elementType.fields}
+    frame = lambda x: x.withField("importance_score", F.coalesce(x["importance_score"], F.lit(0.0))).withField("transcript_similarity", F.coalesce(x["transcript_similarity"], F.lit(0.0)))
+
+    def section(x: Column) -> Column:
+        for name in ("scene_numbers", "transcript_segments"):
+            x = x.withField(name, F.coalesce(x[name], none(types[name])))
+        return x.withField("frames", F.coalesce(F.transform(x["frames"], frame), none(types["frames"])))
+
+    lacking = lambda x, *names: F.coalesce(*[F.when(x[n].isNull(), True) for n in names], F.lit(False))
+    bad_section = lambda x: lacking(x, "section_id", "start_time", "end_time") | F.exists(x["frames"], lambda f: lacking(f, "frame_path", "timestamp_sec", "scene_number"))
+    out = held.withColumn("sections", F.coalesce(F.transform("sections", section), none(held.schema["sections"].dataType)))
+    for name in ("metadata", "statistics"):
+        out = out.withColumn(name, F.coalesce(name, F.create_map().cast(held.schema[name].dataType)))
+    fault = F.when(F.col("broken").isNotNull(), "UNREADABLE").when(F.col("video_id").isNull() | F.exists("sections", bad_section), "MISSING_KEY")
+    return out.withColumn("fault", fault).drop("broken")
+
+
+#: Folders of each frame table; a lecture's rows lie in one of them.
+BUCKETS = 64
 
 
-def replace_frames(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes frame tables by lecture; lectures that are written again are replaced, others stay."""
+def replace_frames(lectures: DataFrame, tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS) -> None:
+    """Replaces all rows of the lectures (video_id) in each of the tables by those given, of which some lectures may have none; other lectures stay.
+
+    Tables are kept in folders by a hash of the lecture, of which only those with a lecture to replace are written again, by a dynamic
+    overwrite: it is staged beside them and takes their place when it is complete, so doing it again, or after a failure, ends in the same rows.
+    """
+    spark = lectures.sparkSession
+    bucket = F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int")
+    lectures = lectures.select("video_id").distinct()
+    touched = {r[0] for r in lectures.select(bucket.alias("bucket")).distinct().collect()}  # buckets at most
     for name, table in tables.items():
-        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(f"{path}/{name}")
+        rows, place = table.join(lectures, "video_id", "left_semi").withColumn("bucket", bucket), f"{path}/{name}"
+        if folders.exists(spark, place):
+            stay = spark.read.schema(rows.schema).parquet(place).where(F.col("bucket").isin(*touched)).join(lectures, "video_id", "left_anti")
+            rows = stay.unionByName(rows)
+        filled = {r[0] for r in rows.select("bucket").distinct().collect()}  # buckets at most
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(place)
+        for b in touched - filled:  # an overwrite leaves a folder alone for which it has no row
+            folders.remove(spark, f"{place}/bucket={b}")
+
+
+def read_frames(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}").drop("bucket")
 
 
 def save_stage(table: DataFrame, path: str, stage: str) -> DataFrame:
@@ -70,6 +116,21 @@ def save_stage(table: DataFrame, path: str, stage: str) -> DataFrame:
     return table.sparkSession.read.parquet(f"{path}/{stage}")
 
 
-def read_table(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int], partitions: int) -> DataFrame:
-    """A table of a relational database, read in ranges of its key."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions).load()
+def read_table(spark: SparkSession, table: str, key: str, partitions: int, **options: str) -> DataFrame:
+    """A table of a relational database, read in partitions by ranges of a numeric key between its least and its greatest value, which the database is
+    asked for. Filters and columns of a query go to the database. options: those of Spark's reader, url and driver at least."""
+    source = spark.read.format("jdbc").options(**options)
+    ends = source.option("query", f"SELECT MIN({key}) AS LO, MAX({key}) AS HI FROM {table}").load().first()
+    if ends[0] is None:
+        return source.option("dbtable", table).load()
+    return source.options(dbtable=table, partitionColumn=key, lowerBound=str(ends[0]), upperBound=str(ends[1] + 1), numPartitions=str(partitions)).load()
+
+
+def write_table(df: DataFrame, table: str, mode: str = "append", **options: str) -> None:
+    """Rows into a table of a relational database."""
+    df.write.format("jdbc").options(**options).option("dbtable", table).mode(mode).save()
+
+
+def stream_log(requests: DataFrame, path: str, log: str):
+    """Appends a stream of requests to a request log; started again with the same log folder after whatever end, each request is there once. Read it with read_log."""
+    return log_records(requests).writeStream.format("json").option("path", path).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
