@@ -98,7 +98,7 @@ def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def merge_topics(topics: DataFrame, into: DataFrame) -> DataFrame:
     """Topics with what they took in: takeaways without repeats in order, citations (timestamp, text) of which the first of a timestamp stays, and the
     latest end_time, by text. What repeats is dropped before it is gathered, so a topic that took many in stays as small as what it says."""
-    rows = topics.join(into.toDF("video_id", "own", "into"), (F.col("topic_id") == F.col("own")) & (topics["video_id"] == into["video_id"])).drop(into["video_id"]).drop("own")
+    rows = topics.join(into, ["video_id", "topic_id"])
 
     def listed(column: str, key: str | None) -> DataFrame:
         each = rows.select("video_id", "into", "topic_id", F.posexplode(column).alias("pos", "x"))

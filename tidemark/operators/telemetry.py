@@ -209,7 +209,7 @@ def candidate_parts(models: DataFrame, stats: DataFrame, cooled: DataFrame, used
     failed, resting = F.coalesce("failed", F.lit(0)), F.coalesce(F.col("cooldown_until_us") > now_us, F.lit(False))
     return known.select(
         "provider", "model", "tier", F.coalesce("quality", F.lit(0.0)).alias("quality"), F.when(failed < threshold, 1.0).when(resting, 0.0).otherwise(0.5).alias("health"),
-        F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("mean_latency_ms") / 10_000), F.lit(0.5)).alias("speed"), F.least(left("used", "rpd"), left("used_tokens", "tpd")).alias("quota"), F.coalesce("success_rate", F.lit(0.5)).alias("reliability"),
+        F.greatest(F.lit(0.0), F.coalesce(1 - F.col("mean_latency_ms") / 10_000, F.lit(0.5))).alias("speed"), F.least(left("used", "rpd"), left("used_tokens", "tpd")).alias("quota"), F.coalesce("success_rate", F.lit(0.5)).alias("reliability"),
         F.least(F.lit(1.0), failed / threshold).alias("failures"), F.when(resting, 1.0).otherwise(0.0).alias("cooldown"),
     )
 

@@ -48,12 +48,12 @@ def request_log_stream(spark: SparkSession, d: str) -> DataFrame:
 def replaced_frames(spark: SparkSession, d: str) -> DataFrame:
     """The frames of all lectures written, then those of every third lecture replaced twice, of which half have none any more; the four tables read back and joined by their key."""
     path = _folder(spark)
-    f = P.frames(spark, d).withColumns({"transcript_similarity": F.lit(0.0), "is_selected": F.lit(False)})
+    f = files.save_stage(P.frames(spark, d), path, "frames").withColumns({"transcript_similarity": F.lit(0.0), "is_selected": F.lit(False)})
     every = f.select("video_id")
-    files.replace_frames(every, V.tables(f.withColumn("importance", F.lit(0.25))), path)
+    files.replace_frames(every, V.tables(f.withColumn("importance", F.lit(0.25))), path, 8)
     third = every.where("video_id % 3 = 0")
     for _ in range(2):
-        files.replace_frames(third, V.tables(f.where("video_id % 6 = 0 and idx % 4 = 1").withColumn("importance", F.lit(0.75))), path)
+        files.replace_frames(third, V.tables(f.where("video_id % 6 = 0 and idx % 4 = 1").withColumn("importance", F.lit(0.75))), path, 8)
     held = {name: files.read_frames(spark, path, name) for name in ("video_frames", "frame_metadata", "ocr_results", "frame_scores")}
     out = held["video_frames"]
     for name in ("frame_metadata", "ocr_results", "frame_scores"):

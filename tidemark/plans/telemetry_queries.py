@@ -162,7 +162,7 @@ spent AS (SELECT provider, count(*) AS used, sum(input_tokens + output_tokens) A
 bounds AS (SELECT m.provider, m.model, m.tier, CASE WHEN x.provider IS NULL THEN p.rpd ELSE x.rpd END AS rpd, CASE WHEN x.provider IS NULL THEN p.tpd ELSE x.tpd END AS tpd FROM models m LEFT JOIN policies x ON x.provider = m.provider AND x.model = m.model LEFT JOIN policies p ON p.provider = m.provider AND p.model IS NULL),
 rested AS (SELECT provider, coalesce(failures, 0) AS failed, until FROM (SELECT DISTINCT provider FROM llm_requests) LEFT JOIN ends USING (provider)),
 parts AS (SELECT b.provider, b.model, b.tier, (5 - b.tier) / 4::DOUBLE AS quality, CASE WHEN coalesce(failed, 0) < 3 THEN 1.0::DOUBLE WHEN coalesce(until > now_us, false) THEN 0.0 ELSE 0.5 END AS health,
-coalesce(greatest(0.0::DOUBLE, 1 - round(latency, 2) / 10000), 0.5) AS speed, least(CASE WHEN rpd IS NULL THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - coalesce(used, 0) / rpd::DOUBLE) END, CASE WHEN tpd IS NULL THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - coalesce(used_tokens, 0) / tpd::DOUBLE) END) AS quota,
+greatest(0.0::DOUBLE, coalesce(1 - round(latency, 2) / 10000, 0.5)) AS speed, least(CASE WHEN rpd IS NULL THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - coalesce(used, 0) / rpd::DOUBLE) END, CASE WHEN tpd IS NULL THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - coalesce(used_tokens, 0) / tpd::DOUBLE) END) AS quota,
 coalesce(round(rate, 4), 0.5) AS reliability, least(1.0::DOUBLE, coalesce(failed, 0) / 3::DOUBLE) AS failures, CASE WHEN coalesce(until > now_us, false) THEN 1.0::DOUBLE ELSE 0.0 END AS cooldown
 FROM bounds b CROSS JOIN clock LEFT JOIN stats USING (provider, model) LEFT JOIN rested r ON r.provider = b.provider LEFT JOIN spent s ON s.provider = b.provider),
 candidate_scores AS (SELECT task, provider, model, tier, round(w_quality * quality + w_health * health + w_speed * speed + w_quota * quota + w_reliability * reliability - w_failures * failures - w_cooldown * cooldown, 4) AS score FROM parts, weights)"""

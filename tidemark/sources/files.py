@@ -93,7 +93,7 @@ def replace_frames(lectures: DataFrame, tables: dict[str, DataFrame], path: str,
     """
     spark = lectures.sparkSession
     bucket = F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int")
-    lectures = lectures.select("video_id").distinct()
+    lectures = folders.checkpointed(spark)(lectures.select("video_id").distinct())
     touched = {r[0] for r in lectures.select(bucket.alias("bucket")).distinct().collect()}  # buckets at most
     for name, table in tables.items():
         rows, place = table.join(lectures, "video_id", "left_semi").withColumn("bucket", bucket), f"{path}/{name}"
@@ -101,7 +101,7 @@ def replace_frames(lectures: DataFrame, tables: dict[str, DataFrame], path: str,
             stay = spark.read.schema(rows.schema).parquet(place).where(F.col("bucket").isin(*touched)).join(lectures, "video_id", "left_anti")
             rows = stay.unionByName(rows)
         filled = {r[0] for r in rows.select("bucket").distinct().collect()}  # buckets at most
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(place)
+        rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(place)
         for b in touched - filled:  # an overwrite leaves a folder alone for which it has no row
             folders.remove(spark, f"{place}/bucket={b}")
 
@@ -119,11 +119,11 @@ def save_stage(table: DataFrame, path: str, stage: str) -> DataFrame:
 def read_table(spark: SparkSession, table: str, key: str, partitions: int, **options: str) -> DataFrame:
     """A table of a relational database, read in partitions by ranges of a numeric key between its least and its greatest value, which the database is
     asked for. Filters and columns of a query go to the database. options: those of Spark's reader, url and driver at least."""
-    source = spark.read.format("jdbc").options(**options)
-    ends = source.option("query", f"SELECT MIN({key}) AS LO, MAX({key}) AS HI FROM {table}").load().first()
-    if ends[0] is None:
-        return source.option("dbtable", table).load()
-    return source.options(dbtable=table, partitionColumn=key, lowerBound=str(ends[0]), upperBound=str(ends[1] + 1), numPartitions=str(partitions)).load()
+    source = lambda **more: spark.read.format("jdbc").options(**options, **more).load()
+    low, high = source(query=f"SELECT MIN({key}) AS LO, MAX({key}) AS HI FROM {table}").first()
+    if low is None:
+        return source(dbtable=table)
+    return source(dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(partitions))
 
 
 def write_table(df: DataFrame, table: str, mode: str = "append", **options: str) -> None:
