@@ -1,4 +1,4 @@
-"""Hybrid search over chunks: inverted index, BM25, dense scores, their mix, diversity."""
+"""Hybrid search over chunks: dense scores, their mix with lexical ones (search_index.py), diversity."""
 
 from __future__ import annotations
 
@@ -12,32 +12,9 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 
 
-def index(chunks: DataFrame) -> DataFrame:
-    """(video_id, chunk, term, tf, length): words of each chunk."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = chunks.select("video_id", "chunk", words.alias("words")).select("video_id", "chunk", F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
-    return rows.groupBy("video_id", "chunk", "length", "term").agg(F.count("*").alias("tf")).select("video_id", "chunk", "term", "tf", "length")
-
-
-def sizes(chunks: DataFrame) -> DataFrame:
-    """(video_id, n, mean): chunks with words and their mean number of words, without an index."""
-    length = F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    return chunks.select("video_id", length.alias("length")).where("length > 0").groupBy("video_id").agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("mean"))
-
-
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Score of each query (query_id, video_id, term) against the chunks (video_id, chunk, text) of its lecture.
-
-    Only terms that are asked for in a lecture are indexed: the words of a chunk meet the lecture's asked ones before they are counted.
-    """
-    asked = queries.groupBy("video_id").agg(F.collect_set("term").alias("asked"))
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = chunks.select("video_id", "chunk", words.alias("words")).join(asked, "video_id").select("video_id", "chunk", F.size("words").alias("length"), F.explode(F.filter("words", lambda w: F.array_contains("asked", w))).alias("term"))
-    hits = rows.groupBy("video_id", "chunk", "length", "term").agg(F.count("*").alias("tf"))
-    hits = hits.withColumn("df", F.count("*").over(Window.partitionBy("video_id", "term"))).join(sizes(chunks), "video_id").join(queries.distinct(), ["video_id", "term"])
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return hits.withColumn("part", part).groupBy("query_id", "video_id", "chunk").agg(F.sum("part").alias("score"))
+def words_of(text: str) -> Column:
+    """Runs of letters and digits in lower case."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 #: Vectors in a part and queries in a block, which a task holds; and queries in one matrix product.

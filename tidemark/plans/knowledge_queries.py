@@ -10,8 +10,10 @@ from tidemark.operators import chunks as C
 from tidemark.operators import knowledge as K
 from tidemark.operators import merge as M
 from tidemark.operators import retrieval as R
+from tidemark.operators import search_index as SI
 from tidemark.plans.registry import query
 from tidemark.sources import projections as P
+from tidemark.sources.folders import new_folder
 
 
 def _topics(spark: SparkSession, d: str) -> DataFrame:
@@ -309,8 +311,10 @@ BM25 = """sizes AS (SELECT video_id, count(*) AS n, sum(length) / count(*) AS me
 bm25 AS (SELECT query_id, video_id, chunk, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score FROM asked JOIN postings USING (video_id, term) JOIN df USING (video_id, term) JOIN sizes USING (video_id) GROUP BY 1, 2, 3)"""
 
 
-def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return R.index(P.segments(spark, d).withColumnRenamed("idx", "chunk"))
+def _index(spark: SparkSession, d: str, bounds: bool = False) -> SI.Index:
+    path = new_folder(spark, "index")
+    SI.build(_parts(spark, d), path, bounds=bounds)
+    return SI.Index(spark, path)
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
@@ -326,14 +330,19 @@ def _asked(parts: DataFrame) -> DataFrame:
 @query(P.sql("segments", "SELECT * FROM postings", WORDS))
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     """R3."""
-    return _postings(spark, d)
+    return _index(spark, d).postings()
 
 
 @query(P.sql("segments", "SELECT query_id, video_id, chunk, round(score, 6) AS score FROM bm25", WORDS, ASKED, BM25))
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    """R4."""
-    p = _parts(spark, d)
-    return R.bm25(p, _asked(p)).withColumn("score", F.round("score", 6))
+    """All scores, from the stored index."""
+    return _index(spark, d).scores(_asked(_parts(spark, d))).withColumn("score", F.round("score", 6))
+
+
+@query(P.sql("segments", "SELECT query_id, video_id, chunk, score, rank FROM (SELECT query_id, video_id, chunk, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM bm25) WHERE rank <= 3", WORDS, ASKED, BM25))
+def bm25_top(spark: SparkSession, d: str) -> DataFrame:
+    """The three best parts of each lecture, skipping ranges that can't hold one."""
+    return _index(spark, d, True).top(_asked(_parts(spark, d)), 3).withColumn("score", F.round("score", 6))
 
 
 SEMANTIC = """vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), held AS (SELECT count(*) AS n FROM embeddings),
@@ -352,9 +361,8 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    p = _parts(spark, d)
     semantic = _vectors(spark, d).where("chunk % 3 <> 0").select("query_id", "chunk", R.cosine(F.col("asked"), F.col("vector")).alias("score"))
-    return R.hybrid(R.bm25(p, _asked(p)), semantic)
+    return R.hybrid(_index(spark, d).scores(_asked(_parts(spark, d))), semantic)
 
 
 @query(P.sql("segments", "SELECT query_id, chunk, round(score, 6) AS score FROM hybrid", WORDS, ASKED, BM25, SEMANTIC, HYBRID))
