@@ -140,3 +140,31 @@ def overlapping(text: Column, size: int, overlap: int) -> Column:
     step = size - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length(text) - overlap) / step).cast("int") - 1))
     return F.transform(starts, lambda i: F.substring(text, i * step + 1, F.lit(size)))
+
+
+def token_windows(segments: DataFrame, size: int = 200, overlap: int = 40) -> DataFrame:
+    """(video_id, piece, first_token, n_tokens, start_char, end_char, start_s, end_s, text): windows of size words of a lecture, each overlap words into the one before.
+
+    Words run on from segment to segment. Characters are places in the lecture's text, its segments joined by a space; times are those of the segments that
+    the first and the last word come from. A segment meets only the windows that it has words in, so no word is a row of its own. A lecture without words has none.
+    """
+    step = size - overlap
+    parts = segments.select("video_id", "idx", "start_s", F.coalesce("end_s", "start_s").alias("end_s"), F.coalesce("text", F.lit("")).alias("text"))
+    # each word with the white space before it
+    parts = parts.withColumn("words", F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)).withColumn("n", F.size("words").cast("long"))
+    before = Window.partitionBy("video_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"token": F.coalesce(F.sum("n").over(before), F.lit(0)), "char": F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)), "total": F.sum("n").over(Window.partitionBy("video_id"))}).where("n > 0")
+    low, high = F.greatest(F.lit(0), F.floor((F.col("token") - size) / step) + 1), F.floor((F.col("token") + F.col("n") - 1) / step)
+    last = F.greatest(F.lit(0), F.ceil((F.col("total") - overlap) / step) - 1)  # later ones would only repeat what overlaps
+    met = parts.withColumn("piece", F.explode(F.filter(F.sequence(low, high), lambda w: w <= last)))
+    begin = F.greatest(F.lit(0), F.col("piece") * step - F.col("token")).cast("int")
+    end = F.least(F.col("n"), F.col("piece") * step + size - F.col("token")).cast("int")
+    bare = lambda w: F.regexp_replace(w, r"^[\x20\x09-\x0D]+", "")
+    upto = lambda k: F.length(F.array_join(F.slice("words", F.lit(1), k), ""))
+    met = met.where(begin < end).withColumns({"begin": begin, "end": end}).withColumn("own", F.slice("words", F.col("begin") + 1, F.col("end") - F.col("begin")))
+    one = met.select(
+        "video_id", "piece", "idx", "start_s", "end_s", (F.col("token") + F.col("begin")).alias("first"), F.size("own").cast("long").alias("k"), F.array_join(F.transform("own", bare), " ").alias("text"),
+        (F.col("char") + upto(F.col("begin") + 1) - F.length(bare(F.get("own", F.lit(0))))).alias("a"), (F.col("char") + upto(F.col("end"))).alias("z"),
+    )
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ")  # size words at most
+    return one.groupBy("video_id", "piece").agg(F.min("first").alias("first_token"), F.sum("k").alias("n_tokens"), F.min("a").alias("start_char"), F.max("z").alias("end_char"), F.min_by("start_s", "idx").alias("start_s"), F.max_by("end_s", "idx").alias("end_s"), joined.alias("text"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import LongType
 
 from tidemark.functions import text as X
 
@@ -85,16 +85,52 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return round(best / 100, 4)
 
 
-@F.pandas_udf(DoubleType())
-def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _common(a: str, b: str) -> int:
+    """Length of a longest common subsequence."""
+    return round(_indel(a, b) * (len(a) + len(b)) / 200) if a and b else 0
+
+
+@F.pandas_udf(LongType())
+def common(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Length of a longest common subsequence of each pair; null pairs aren't aligned."""
     for a, b in pairs:
-        yield pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)])
+        yield pd.Series([None if x is None else _common(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+def word_sets(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
+    """pairs with the words that the normalised texts a and b share and those that only one has, sorted and joined, and whether one has none."""
+    words = lambda t: F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(t, F.lit("")), " "), lambda w: w != "")))
+    sets = pairs.withColumns({"x": words(a), "y": words(b)})
+    joined = lambda c: F.array_join(c, " ")
+    return sets.withColumns({"both": joined(F.array_intersect("x", "y")), "only_x": joined(F.array_except("x", "y")), "only_y": joined(F.array_except("y", "x")), "empty": (F.size("x") == 0) | (F.size("y") == 0)}).drop("x", "y")
+
+
+def ratio(k: Column) -> Column:
+    """token_set_ratio of word_sets when a longest common subsequence of the words that aren't shared has length k.
+
+    The shared words begin either text, so what is common to both is they and k; against the shared words alone, either ratio follows from lengths.
+    """
+    n, x, y = F.length("both"), F.length("only_x"), F.length("only_y")
+    shared = n + F.when(n > 0, 1).otherwise(0)
+    share = lambda common, total: F.when(total > 0, F.lit(200.0) * common / total).otherwise(0.0) / 100
+    alone = F.when(n > 0, F.greatest(share(n, n + shared + x), share(n, n + shared + y))).otherwise(0.0)
+    best = F.greatest(alone, share(shared + k, shared + x + shared + y))
+    return F.bround(F.when(F.col("empty"), 0.0).when((n > 0) & ((x == 0) | (y == 0)), 1.0).otherwise(best), 4)
 
 
 def match(frames: DataFrame, segments: DataFrame, window: int = 1) -> DataFrame:
-    """Best segment of each frame by text; the earliest of equals, none at score 0."""
+    """Best segment of each frame by text; the earliest of equals, none at score 0.
+
+    A ratio lies between those for no and for the longest possible alignment of the words that aren't shared. Candidates that can't reach what another of
+    the frame has for certain are dropped, and of the rest only those are aligned whose ratio isn't settled by that.
+    """
     near = as_of(frames, segments, window).join(frames.select("video_id", F.col("idx").alias("frame"), "clean_text"), ["video_id", "frame"])
-    scored = near.withColumn("score", similarity(X.match_text(F.col("clean_text")), X.match_text(F.col("segment_text"))))
+    pairs = word_sets(near, X.match_text(F.col("clean_text")), X.match_text(F.col("segment_text"))).select("video_id", "frame", "segment", "both", "only_x", "only_y", "empty")
+    bounds = pairs.withColumns({"low": ratio(F.lit(0)), "high": ratio(F.least(F.length("only_x"), F.length("only_y")))})
+    able = bounds.withColumn("least", F.max("low").over(Window.partitionBy("video_id", "frame"))).where("high >= least")
+    unsettled = F.col("low") < F.col("high")
+    aligned = able.withColumn("k", F.coalesce(common(F.when(unsettled, F.col("only_x")), F.when(unsettled, F.col("only_y"))), F.lit(0)))
+    scored = aligned.withColumn("score", ratio(F.col("k")))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("video_id", "frame").orderBy(F.desc("score"), "segment"))).where("rank = 1")
     found = F.col("score") > 0
     return best.select("video_id", F.col("frame").alias("idx"), F.when(found, F.col("segment")).alias("segment"), F.col("score").alias("transcript_similarity"), F.when(found, "token_set_ratio").otherwise("none").alias("method"))

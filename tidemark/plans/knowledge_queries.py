@@ -391,3 +391,15 @@ def search_results(spark: SparkSession, d: str) -> DataFrame:
 def overlapping_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of 100 characters that overlap by 20."""
     return P.segments(spark, d).select("video_id", "idx", F.posexplode(C.overlapping(F.col("text"), 100, 20)).alias("piece", "text"))
+
+
+TOKENS = """pieces AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS ws, coalesce(sum(length(text) + 1) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char0 FROM segments),
+spread AS (SELECT video_id, idx, start_s, end_s, char0, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM pieces),
+tokens AS (SELECT *, regexp_replace(w, '^[\x20\x09-\x0D]+', '') AS word, char0 + sum(length(w)) OVER (PARTITION BY video_id, idx ORDER BY i) AS z, row_number() OVER (PARTITION BY video_id ORDER BY idx, i) - 1 AS p, count(*) OVER (PARTITION BY video_id) AS total FROM spread),
+windowed AS (SELECT *, unnest(range(greatest(0, (p - 200 + 160) // 160), p // 160 + 1)) AS piece FROM tokens)"""
+
+
+@query(P.sql("segments", "SELECT video_id, piece, min(p) AS first_token, count(*) AS n_tokens, min(z - length(word))::BIGINT AS start_char, max(z)::BIGINT AS end_char, arg_min(start_s, p) AS start_s, arg_max(end_s, p) AS end_s, string_agg(word, ' ' ORDER BY p) AS text FROM windowed WHERE p < piece * 160 + 200 AND (piece = 0 OR piece * 160 + 40 < total) GROUP BY 1, 2", TOKENS))
+def token_windows(spark: SparkSession, d: str) -> DataFrame:
+    """R1 by tokens: windows of 200 words that overlap by 40, with their characters and times."""
+    return C.token_windows(P.segments(spark, d), 200, 40)
