@@ -67,11 +67,19 @@ def has_bullets(text: Column) -> Column:
     return text.rlike(BULLET)
 
 
+def formula_signs(text: Column) -> dict[str, Column]:
+    """What can make a line a formula, by name."""
+    return {
+        "strong sign": text.rlike(f"[{STRONG_SIGNS}]"),
+        "equals sign and operator": text.contains("=") & text.rlike(OPERATOR),
+        "name set to something": text.rlike(ASSIGNED),
+        "operator between operands, not only hyphenated words": text.rlike(OPERANDS) & ~text.rlike(ONLY_WORDS),
+    }
+
+
 def is_formula(text: Column) -> Column:
-    """Whether a line reads as a formula: signs that only formulas have; an equation; or operands joined by an operator, hyphenated words aside."""
-    calculated = text.rlike(OPERANDS) & ~text.rlike(ONLY_WORDS)
-    equation = F.contains(text, F.lit("=")) & (text.rlike(ASSIGNED) | text.rlike(OPERATOR))
-    return calculated | equation | text.rlike(f"[{STRONG_SIGNS}]")
+    """Whether a line shows any of formula_signs."""
+    return F.array_contains(F.array(*formula_signs(text).values()), True)
 
 
 def proper_nouns(text: Column) -> Column:

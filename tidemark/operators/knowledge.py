@@ -227,11 +227,15 @@ def violations(answers: DataFrame) -> DataFrame:
 #: Headings of a topic note, in order, and how an entry is written; %s is the entry.
 NOTE_LISTS = [("steps", "### How It Works (Steps)", "%d. %s"), ("relationships", "### Relationships With Other Concepts", "- %s"), ("misconceptions", "### Common Misconceptions", "- %s"), ("key_takeaways", "### Key Takeaways / Exam Perspective", "- %s")]
 NOTE_TEXTS = [("overview", "### Overview"), ("core_idea", "### Core Idea")]
+NOTE_FORMULAS, NOTE_EXAMPLES = "### Mathematical Formulation", "### Examples"
 NOTE_TERMS = "### Important Terms\n| Term | Meaning |\n|---|---|"
 
 
 def topic_note(topics: DataFrame) -> Column:
-    """A topic's note in Markdown; sections whose column is missing, null or empty are left out. A ready notes_markdown stands for the whole."""
+    """A topic's note in Markdown; sections whose column is missing, null or empty are left out. A ready notes_markdown stands for the whole.
+
+    important_terms are (term, meaning), formulas (expression, explanation), examples either a text or (problem, solution).
+    """
     have = set(topics.columns)
     pieces = [F.concat(F.lit("## "), F.coalesce("title", F.lit("Untitled Topic")), F.lit("\n\n"))]
 
@@ -242,9 +246,16 @@ def topic_note(topics: DataFrame) -> Column:
         if name in have:
             section(heading, F.col(name), F.col(name) != "")
     for name, heading, form in NOTE_LISTS:
-        if name == "relationships" and "important_terms" in have:  # terms stand behind the steps
+        if name == "relationships" and "important_terms" in have:  # terms, formulas and examples stand behind the steps
             rows = F.transform("important_terms", lambda x: F.concat(F.lit("| **"), F.coalesce(x["term"], F.lit("")), F.lit("** | "), F.coalesce(x["meaning"], F.lit("")), F.lit(" |")))
             section(NOTE_TERMS, F.array_join(rows, "\n"), F.size("important_terms") > 0)
+        if name == "relationships" and "formulas" in have:
+            explained = lambda x: F.when(F.coalesce(x["explanation"], F.lit("")) != "", F.concat(F.lit("\n> "), x["explanation"])).otherwise("")
+            rows = F.transform("formulas", lambda x: F.concat(F.lit("**"), F.coalesce(x["expression"], F.lit("")), F.lit("**"), explained(x), F.lit("\n")))
+            section(NOTE_FORMULAS, F.array_join(rows, "\n"), F.size("formulas") > 0)
+        if name == "relationships" and "examples" in have:
+            solved = lambda x: F.concat(F.lit("**Scenario:** "), F.coalesce(x["problem"], F.lit("")), F.lit("\n**Solution:** "), F.coalesce(x["solution"], F.lit("")), F.lit("\n"))
+            section(NOTE_EXAMPLES, F.array_join(F.transform("examples", lambda x: F.coalesce(F.concat(F.lit("- "), x["text"]), solved(x))), "\n"), F.size("examples") > 0)
         if name in have:
             entry = (lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)) if form.startswith("%d") else (lambda x, i: F.concat(F.lit("- "), x))
             section(heading, F.array_join(F.transform(name, entry), "\n"), F.size(name) > 0)

@@ -16,13 +16,16 @@ SOURCE_PENALTY = {"generated_caption": 0.03, "translated_caption": 0.05, "stt":
 
 
 def canonical(cues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Captions as segments, numbered from 1 by input order, and the rejected cues with a reason. Blank cues are skipped."""
-    end = F.col("start_s") + F.col("duration_s")
-    checked = cues.withColumn("text", X.normalise(F.col("text"))).withColumn("end_s", end).where("text <> ''")
-    bad = F.when(F.col("start_s").isNull() | F.isnan("start_s") | (F.col("start_s") < 0), "INVALID_START").when(F.col("end_s").isNull() | (F.col("end_s") <= F.col("start_s")), "INVALID_INTERVAL")
+    """Captions as segments, numbered from 1 by input order, and the rejected cues with a reason.
+
+    A start or duration that isn't a finite number of at least 0 rejects a cue, blank or not; other blank cues are skipped; then one that ends where it starts is rejected.
+    """
+    sound = lambda c: F.coalesce(_finite(c) & (F.col(c) >= 0), F.lit(False))
+    checked = cues.withColumn("text", X.normalise(F.col("text"))).withColumn("end_s", F.col("start_s") + F.col("duration_s"))
+    bad = F.when(~sound("start_s"), "INVALID_START").when(~sound("duration_s"), "INVALID_DURATION").when((F.col("text") != "") & (F.col("end_s") <= F.col("start_s")), "INVALID_INTERVAL")
     checked = checked.withColumn("reason", bad)
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("idx"))
-    good = checked.where("reason is null").select("video_id", number.alias("segment_index"), "start_s", "end_s", "text", X.language(F.col("lang")).alias("lang"))
+    good = checked.where("reason is null and text <> ''").select("video_id", number.alias("segment_index"), "start_s", "end_s", "text", X.language(F.col("lang")).alias("lang"))
     return good, checked.where("reason is not null").select("video_id", "idx", "reason")
 
 
@@ -140,8 +143,11 @@ def gate(segments: DataFrame) -> DataFrame:
     return segments.groupBy("video_id").agg(F.bool_and(F.coalesce(exportable(segments), F.lit(False))).alias("exportable"), F.count_if(~F.coalesce(exportable(segments), F.lit(False))).alias("rejected"))
 
 
-def exports(segments: DataFrame) -> DataFrame:
-    """(video_id, format, body) of plain, timestamped, SRT, VTT and JSON exports; a video is at most some hours of speech."""
+def exports(segments: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """(video_id, format, body) of plain, timestamped, SRT, VTT and JSON exports; a video is at most some hours of speech.
+
+    metadata (video_id, metadata: a map or a struct) goes into the JSON export; a lecture without has an empty object there.
+    """
     good = segments.where(exportable(segments)).withColumn("no", F.row_number().over(Window.partitionBy("video_id").orderBy("idx")))
     lines = good.select(
         "video_id", "no", F.col("text").alias("txt"), F.concat(F.lit("["), X.short_clock(F.col("start_s")), F.lit("] "), F.col("text")).alias("timestamped"),
@@ -152,9 +158,14 @@ def exports(segments: DataFrame) -> DataFrame:
     joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", c))), lambda x: x[c]), by)
     bodies = lines.groupBy("video_id").agg(
         F.concat(joined("txt", "\n"), F.lit("\n")).alias("txt"), F.concat(joined("timestamped", "\n"), F.lit("\n")).alias("timestamped"), joined("srt", "\n").alias("srt"),
-        F.concat(F.lit("WEBVTT\n\n"), joined("vtt", "\n")).alias("vtt"), F.concat(F.lit('{"metadata":{},"segments":['), joined("json", ","), F.lit("]}")).alias("json"),
+        F.concat(F.lit("WEBVTT\n\n"), joined("vtt", "\n")).alias("vtt"), F.concat(F.lit('"segments":['), joined("json", ","), F.lit("]}")).alias("json"),
     )
-    return bodies.unpivot("video_id", ["txt", "timestamped", "srt", "vtt", "json"], "format", "body")
+    known = F.lit("{}")
+    if metadata is not None:
+        bodies = bodies.join(metadata.select("video_id", F.to_json("metadata").alias("known")), "video_id", "left")
+        known = F.coalesce("known", known)
+    bodies = bodies.withColumn("json", F.concat(F.lit('{"metadata":'), known, F.lit(","), F.col("json")))
+    return bodies.select("video_id", "txt", "timestamped", "srt", "vtt", "json").unpivot("video_id", ["txt", "timestamped", "srt", "vtt", "json"], "format", "body")
 
 
 def manifest(bodies: DataFrame) -> DataFrame:

@@ -109,13 +109,15 @@ def stage_tables(spark: SparkSession, d: str) -> DataFrame:
     return files.save_stage(saved.groupBy("video_id").agg(F.count("*").alias("n_segments"), F.sum(F.length("text")).alias("characters")), path, "sizes")
 
 
-@query(P.sql("segments", "SELECT video_id, '# Lecture ' || video_id || chr(10) || chr(10) || '## Detailed Notes' || chr(10) || chr(10) || string_agg(note || '---' || chr(10), chr(10) ORDER BY idx) AS notes FROM (SELECT video_id, idx, '## Topic ' || idx || chr(10) || chr(10) || '### Overview' || chr(10) || text || chr(10) || chr(10) || CASE WHEN idx % 2 = 0 THEN '### How It Works (Steps)' || chr(10) || '1. first' || chr(10) || '2. second' || chr(10) || chr(10) ELSE '' END || CASE WHEN idx % 3 = 0 THEN '### Important Terms' || chr(10) || '| Term | Meaning |' || chr(10) || '|---|---|' || chr(10) || '| **t** | ' || idx || ' |' || chr(10) || chr(10) ELSE '' END || CASE WHEN idx % 4 = 0 THEN '### Key Takeaways / Exam Perspective' || chr(10) || '- one' || chr(10) || chr(10) ELSE '' END AS note FROM segments WHERE text <> '') GROUP BY 1"))
+@query(P.sql("segments", "SELECT video_id, '# Lecture ' || video_id || chr(10) || chr(10) || '## Detailed Notes' || chr(10) || chr(10) || string_agg(note || '---' || chr(10), chr(10) ORDER BY idx) AS notes FROM (SELECT video_id, idx, '## Topic ' || idx || chr(10) || chr(10) || '### Overview' || chr(10) || text || chr(10) || chr(10) || CASE WHEN idx % 2 = 0 THEN '### How It Works (Steps)' || chr(10) || '1. first' || chr(10) || '2. second' || chr(10) || chr(10) ELSE '' END || CASE WHEN idx % 3 = 0 THEN '### Important Terms' || chr(10) || '| Term | Meaning |' || chr(10) || '|---|---|' || chr(10) || '| **t** | ' || idx || ' |' || chr(10) || chr(10) ELSE '' END || CASE WHEN idx % 5 = 0 THEN '### Mathematical Formulation' || chr(10) || '**y = ' || idx || '**' || chr(10) || '> grows' || chr(10) || chr(10) || '**z**' || chr(10) || chr(10) || chr(10) ELSE '' END || CASE WHEN idx % 6 = 0 THEN '### Examples' || chr(10) || '- short' || chr(10) || '**Scenario:** ' || idx || chr(10) || '**Solution:** none' || chr(10) || chr(10) || chr(10) ELSE '' END || CASE WHEN idx % 8 = 7 THEN '### Relationships With Other Concepts' || chr(10) || '- like others' || chr(10) || chr(10) ELSE '' END || CASE WHEN idx % 4 = 0 THEN '### Key Takeaways / Exam Perspective' || chr(10) || '- one' || chr(10) || chr(10) ELSE '' END AS note FROM segments WHERE text <> '') GROUP BY 1"))
 def topic_notes(spark: SparkSession, d: str) -> DataFrame:
     """notes of each lecture's topics, of which empty sections are left out."""
     i, none = F.col("idx"), F.array().cast("array<string>")
     terms = F.when(i % 3 == 0, F.array(F.struct(F.lit("t").alias("term"), i.cast("string").alias("meaning"))))
     t = P.segments(spark, d).where("text <> ''").select(
         "video_id", i.alias("topic_id"), F.concat(F.lit("Topic "), i.cast("string")).alias("title"), F.col("text").alias("overview"), F.when(i % 2 == 0, F.array(F.lit("first"), F.lit("second"))).otherwise(none).alias("steps"),
-        terms.alias("important_terms"), F.when(i % 4 == 0, F.array(F.lit("one"))).alias("key_takeaways"),
+        terms.alias("important_terms"), F.when(i % 5 == 0, F.array(F.struct(F.concat(F.lit("y = "), i.cast("string")).alias("expression"), F.lit("grows").alias("explanation")), F.struct(F.lit("z").alias("expression"), F.lit("").alias("explanation")))).alias("formulas"),
+        F.when(i % 6 == 0, F.array(F.struct(F.lit("short").alias("text"), F.lit(None).cast("string").alias("problem"), F.lit(None).cast("string").alias("solution")), F.struct(F.lit(None).cast("string").alias("text"), i.cast("string").alias("problem"), F.lit("none").alias("solution")))).alias("examples"),
+        F.when(i % 8 == 7, F.array(F.lit("like others"))).alias("relationships"), F.when(i % 4 == 0, F.array(F.lit("one"))).alias("key_takeaways"),
     )
     return K.compiled_notes(t, F.concat(F.lit("Lecture "), F.col("video_id").cast("string")))

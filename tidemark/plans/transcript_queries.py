@@ -12,8 +12,11 @@ from tidemark.plans.registry import query
 from tidemark.sources import projections as P
 
 NORMAL = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
-CHECKED = f"checked AS (SELECT video_id, idx, lang, {NORMAL} AS text, start_s, start_s + duration_s AS end_s, CASE WHEN start_s IS NULL OR start_s < 0 THEN 'INVALID_START' WHEN start_s + duration_s <= start_s THEN 'INVALID_INTERVAL' END AS reason FROM raw_cues WHERE {NORMAL} <> '')"
-CANON = "canon AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS idx, start_s, end_s, text, replace(lower(trim(lang)), '_', '-') AS lang FROM checked WHERE reason IS NULL)"
+#: Cues with every kind of bad number: not a number, infinite, and negative in a blank cue.
+STRANGE = """strange AS (SELECT video_id, idx, lang, CASE WHEN idx % 50 = 45 THEN ' ' ELSE text END AS text, CASE WHEN idx % 50 = 33 THEN 'inf'::DOUBLE WHEN idx % 50 = 45 THEN -2.0::DOUBLE WHEN idx % 50 = 11 THEN 'nan'::DOUBLE ELSE start_s END AS start_s,
+CASE WHEN idx % 50 = 27 THEN 'nan'::DOUBLE WHEN idx % 50 = 39 THEN 'inf'::DOUBLE WHEN idx % 50 = 41 THEN NULL WHEN idx % 50 = 43 THEN -0.5::DOUBLE ELSE duration_s END AS duration_s FROM raw_cues)"""
+CHECKED = f"""{STRANGE}, checked AS (SELECT *, CASE WHEN start_s IS NULL OR NOT isfinite(start_s) OR start_s < 0 THEN 'INVALID_START' WHEN duration_s IS NULL OR NOT isfinite(duration_s) OR duration_s < 0 THEN 'INVALID_DURATION' WHEN text <> '' AND end_s <= start_s THEN 'INVALID_INTERVAL' END AS reason FROM (SELECT video_id, idx, lang, {NORMAL} AS text, start_s, duration_s, start_s + duration_s AS end_s FROM strange))"""
+CANON = "canon AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS idx, start_s, end_s, text, replace(lower(trim(lang)), '_', '-') AS lang FROM checked WHERE reason IS NULL AND text <> '')"
 #: Cues as segments, made to overlap, repeat and run backwards at fixed places.
 ROUGH = """rough AS (SELECT video_id, idx, CASE WHEN idx % 9 = 4 THEN start_s - 30 ELSE start_s END AS start_s, CASE WHEN idx % 11 = 5 THEN end_s + 20 ELSE start_s + duration_s END AS end_s, text FROM (SELECT *, start_s + duration_s AS end_s FROM raw_cues))"""
 VALID = """coded AS (SELECT r.*, media_s, CASE WHEN start_s IS NULL OR NOT isfinite(start_s) THEN 'INVALID_START' WHEN end_s IS NULL OR NOT isfinite(end_s) THEN 'INVALID_END' WHEN start_s < 0 THEN 'NEGATIVE_START' WHEN end_s <= start_s THEN 'INVALID_INTERVAL' WHEN trim(coalesce(text, '')) = '' THEN 'EMPTY_SEGMENT' WHEN start_s > media_s THEN 'START_AFTER_MEDIA' END AS reject_code FROM rough r LEFT JOIN media USING (video_id)),
@@ -44,10 +47,17 @@ def rough(spark: SparkSession, d: str) -> DataFrame:
     return c.select("video_id", "idx", F.when(i % 9 == 4, F.col("start_s") - 30).otherwise(F.col("start_s")).alias("start_s"), F.when(i % 11 == 5, end + 20).otherwise(end).alias("end_s"), "text")
 
 
+def _strange(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("idx") % 50
+    start = F.when(k == 33, float("inf")).when(k == 45, -2.0).when(k == 11, float("nan")).otherwise(F.col("start_s"))
+    length = F.when(k == 27, float("nan")).when(k == 39, float("inf")).when(k == 41, None).when(k == 43, -0.5).otherwise(F.col("duration_s"))
+    return P.raw_cues(spark, d).withColumns({"text": F.when(k == 45, " ").otherwise(F.col("text")), "start_s": start, "duration_s": length})
+
+
 @query(P.sql("raw_cues", "SELECT video_id, idx AS segment_index, start_s, end_s, text, lang FROM canon", CHECKED, CANON))
 def canonical_segments(spark: SparkSession, d: str) -> DataFrame:
     """P14, P7, W1, F1, F3."""
-    return T.canonical(P.raw_cues(spark, d))[0]
+    return T.canonical(_strange(spark, d))[0]
 
 
 SPEECH = "speech AS (SELECT video_id, idx, lang, CASE WHEN idx % 17 = 3 THEN 'NaN' WHEN idx % 17 = 5 THEN '-0.5' ELSE start_s::VARCHAR END AS start_s, CASE WHEN idx % 19 = 4 THEN 'inf' WHEN idx % 19 = 6 THEN '0' ELSE end_s::VARCHAR END AS end_s, CASE WHEN idx % 23 = 2 THEN '  ' ELSE text END AS text, -(idx % 40) / 16.0::DOUBLE AS avg_logprob FROM segments)"
@@ -73,7 +83,7 @@ def caption_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(P.sql("raw_cues", "SELECT video_id, idx, reason FROM checked WHERE reason IS NOT NULL", CHECKED))
 def rejected_cues(spark: SparkSession, d: str) -> DataFrame:
     """What the canonical form leaves out, with the reason."""
-    return T.canonical(P.raw_cues(spark, d))[1]
+    return T.canonical(_strange(spark, d))[1]
 
 
 @query(P.sql("raw_cues media", "SELECT video_id, idx, code, severity FROM issues", ROUGH, VALID, ISSUES))
@@ -145,10 +155,23 @@ def srt_export(spark: SparkSession, d: str) -> DataFrame:
     return T.exports(P.segments(spark, d)).where("format = 'srt'").select("video_id", "body")
 
 
+def _json(spark: SparkSession, d: str) -> DataFrame:
+    known = P.media(spark, d).select("video_id", F.struct(F.col("video_id").cast("string").alias("id"), F.col("actual").alias("language"), F.col("source_type").alias("source"), F.col("media_s").alias("duration")).alias("metadata"))
+    return T.exports(P.segments(spark, d), known).where("format = 'json'").select("video_id", "body")
+
+
 @query()
 def json_export(spark: SparkSession, d: str) -> DataFrame:
-    """S8; tested by reading it back."""
-    return T.exports(P.segments(spark, d)).where("format = 'json'").select("video_id", "body")
+    """S8; json_round_trip reads it back."""
+    return _json(spark, d)
+
+
+@query(P.sql("media", "SELECT g.video_id, m.actual AS language, m.source_type AS source, media_s AS duration, g.no, g.start_s, g.end_s, g.text FROM good g LEFT JOIN media m USING (video_id)", EXPORTS))
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON export parsed again, with its metadata and segments."""
+    whole = F.from_json("body", "metadata struct<id: string, language: string, source: string, duration: double>, segments array<struct<no: long, start_s: double, end_s: double, text: string>>")
+    rows = _json(spark, d).select("video_id", whole.alias("x")).select("video_id", "x.metadata.language", "x.metadata.source", "x.metadata.duration", F.explode("x.segments").alias("s"))
+    return rows.select("video_id", "language", "source", "duration", "s.no", "s.start_s", "s.end_s", "s.text")
 
 
 TRACKS = "tracks AS (SELECT DISTINCT doc_id // 5 AS video_id, lang, doc_id % 2 = 1 AS generated, doc_id % 3 <> 0 AS translatable FROM documents)"
