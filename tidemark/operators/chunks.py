@@ -75,6 +75,13 @@ def gather(numbered: DataFrame, places: int | None = 2, name: str = "range") ->
     return out.select(F.concat_ws("", F.col("video_id").cast("string"), F.lit(f"_{name}_"), F.col("chunk").cast("string")).alias("chunk_id"), "video_id", "chunk", "start_s", "end_s", "text")
 
 
+def or_transcript(chunks: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Chunks, and for each lecture (video_id, transcript) without any, one of its whole transcript at no time."""
+    bare = transcripts.join(chunks.select("video_id").distinct(), "video_id", "left_anti")
+    one = bare.select(F.concat(F.col("video_id").cast("string"), F.lit("_0")).alias("chunk_id"), "video_id", F.lit(0).cast("long").alias("chunk"), F.lit(0.0).alias("start_s"), F.lit(0.0).alias("end_s"), F.coalesce("transcript", F.lit("")).alias("text"))
+    return chunks.select(*one.columns).unionByName(one)
+
+
 def merge_scenes(scenes: DataFrame, least_ms: int = 2000) -> DataFrame:
     """Scenes numbered anew after a scene shorter than least_ms has taken in the ones that follow; the last may stay short."""
 

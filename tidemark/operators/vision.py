@@ -136,6 +136,19 @@ def match(frames: DataFrame, segments: DataFrame, window: int = 1) -> DataFrame:
     return best.select("video_id", F.col("frame").alias("idx"), F.when(found, F.col("segment")).alias("segment"), F.col("score").alias("transcript_similarity"), F.when(found, "token_set_ratio").otherwise("none").alias("method"))
 
 
+def recognised(frames: DataFrame, lines: DataFrame, least: float = 0.5) -> DataFrame:
+    """(video_id, idx, raw_text, clean_text, n_lines, average_confidence) of each frame from its recognised lines (video_id, idx, pos, text, confidence).
+
+    Lines without text or under the least confidence go. raw_text has all others, trimmed, in order; clean_text only the first of equal lines, cleaned.
+    A frame without lines has '' , 0 lines and a confidence of 0.
+    """
+    sure = lines.where((F.coalesce("text", F.lit("")) != "") & (F.col("confidence") >= least)).withColumn("text", F.trim("text"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])  # of one picture
+    read = sure.groupBy("video_id", "idx").agg(listed.alias("read"), F.avg("confidence").alias("mean"))
+    out = frames.select("video_id", "idx").join(read, ["video_id", "idx"], "left").withColumn("read", F.coalesce("read", F.array().cast("array<string>")))
+    return out.select("video_id", "idx", F.array_join("read", "\n").alias("raw_text"), X.ocr_clean(F.array_join(F.array_distinct("read"), "\n")).alias("clean_text"), F.size("read").cast("long").alias("n_lines"), F.coalesce("mean", F.lit(0.0)).alias("average_confidence"))
+
+
 def features(frames: DataFrame) -> DataFrame:
     """What recognised text says: counts and the signs of code, equations and bullets."""
     text = X.ocr_clean(F.col("clean_text"))

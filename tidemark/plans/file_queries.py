@@ -63,7 +63,7 @@ def replaced_frames(spark: SparkSession, d: str) -> DataFrame:
 
 @query(P.sql("scenes", """SELECT b.video_id, 'section_' || printf('%03d', section_index) AS section_id, b.start_s, b.end_s, CASE WHEN kind = 'scene' THEN number END AS scene, coalesce(s.n, 0) AS n_segments, coalesce(s.said, '') AS said, coalesce(f.n, 0) AS n_frames, coalesce(f.empty, 0) AS n_empty, coalesce(f.score, 0) AS score FROM built b
 LEFT JOIN (SELECT video_id, scene_number, count(*) AS n, string_agg(text, '|' ORDER BY idx) AS said FROM mapped GROUP BY 1, 2) s ON s.video_id = b.video_id AND s.scene_number = b.number AND kind = 'scene'
-LEFT JOIN (SELECT video_id, scene_number, count(*) AS n, count(*) FILTER (clean_text = '') AS empty, round(sum(average_confidence), 6) AS score FROM frames GROUP BY 1, 2) f ON f.video_id = b.video_id AND f.scene_number = b.number AND kind = 'scene'""", WINDOWS, MAPPED, FOURTH.replace(" WHERE video_id % 4 <> 0", ""), BUILT))
+LEFT JOIN (SELECT video_id, scene_number, count(*) AS n, count(*) FILTER (clean_text = '') AS empty, round(sum(average_confidence), 6) AS score FROM frames GROUP BY 1, 2) f ON f.video_id = b.video_id AND f.scene_number = b.number AND kind = 'scene'""", WINDOWS, MAPPED, FOURTH.replace(" WHERE blur_score >= 60", ""), BUILT))
 def saved_lectures(spark: SparkSession, d: str) -> DataFrame:
     """Nested lectures saved as JSON, where empty values are left out, and loaded again with defaults at every depth."""
     path = _folder(spark)

@@ -346,7 +346,7 @@ def bm25_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEMANTIC = """vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), held AS (SELECT count(*) AS n FROM embeddings),
-semantic AS (SELECT video_id AS query_id, idx AS chunk, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score FROM segments, held JOIN vectors q ON q.vec_id = video_id % n JOIN vectors c ON c.vec_id = (video_id * 13 + idx) % n WHERE idx % 3 <> 0)"""
+semantic AS (SELECT video_id AS query_id, idx AS chunk, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score FROM segments, held JOIN vectors q ON q.vec_id = video_id % n JOIN vectors c ON c.vec_id = (video_id * 13 + idx) % n WHERE score > 0)"""
 HYBRID = """both_scores AS (SELECT query_id, chunk, b.score AS l, s.score AS s FROM bm25 b FULL JOIN semantic s USING (query_id, chunk)),
 hybrid AS (SELECT query_id, chunk, 0.5 * coalesce(CASE WHEN max(l) OVER w > min(l) OVER w THEN (l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w) WHEN l IS NOT NULL THEN 1 END, 0) + 0.5 * coalesce(CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) WHEN s IS NOT NULL THEN 1 END, 0) AS score FROM both_scores WINDOW w AS (PARTITION BY query_id))"""
 
@@ -361,7 +361,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    semantic = _vectors(spark, d).where("chunk % 3 <> 0").select("query_id", "chunk", R.cosine(F.col("asked"), F.col("vector")).alias("score"))
+    semantic = _vectors(spark, d).select("query_id", "chunk", R.cosine(F.col("asked"), F.col("vector")).alias("score")).where("score > 0")  # no match otherwise
     return R.hybrid(_index(spark, d).scores(_asked(_parts(spark, d))), semantic)
 
 

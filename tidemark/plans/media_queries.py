@@ -51,6 +51,13 @@ def chunks_after(spark: SparkSession, d: str) -> DataFrame:
     return C.gather(C.after(s, skip_blank=False))
 
 
+@query(P.sql("segments", "SELECT * FROM timed UNION ALL SELECT doc_id || '_0', doc_id, 0, 0.0, 0.0, coalesce(text, '') FROM documents WHERE doc_id NOT IN (SELECT video_id FROM timed)", "long AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS idx, start_s, end_s, text FROM segments WHERE length(text) >= 40)", AFTER.replace("FROM segments", "FROM long").replace("JOIN segments", "JOIN long"), "timed AS (" + ROWS + ")"))
+def chunks_or_transcript(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the lines that have 40 characters at least; a lecture without one is a single chunk of its whole transcript."""
+    s = P.segments(spark, d).where(F.length("text") >= 40)
+    return C.or_transcript(C.gather(C.after(s, skip_blank=False)), P.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.col("text").alias("transcript")))
+
+
 SCENE_FOLD = """numbered AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY scene_number) AS k FROM scenes),
 merging AS (SELECT video_id, k, start_ms AS a, end_ms AS b, 1 AS n FROM numbered WHERE k = 1 UNION ALL SELECT s.video_id, s.k, CASE WHEN m.b - m.a >= 2000 THEN s.start_ms ELSE m.a END, s.end_ms, m.n + CASE WHEN m.b - m.a >= 2000 THEN 1 ELSE 0 END FROM merging m JOIN numbered s ON s.video_id = m.video_id AND s.k = m.k + 1)"""
 
@@ -172,6 +179,25 @@ FEATURES = f"""cleaned AS (SELECT *, {CLEAN} AS ocr FROM frames),
 featured AS (SELECT *, len(list_filter(regexp_split_to_array(trim(ocr), '\\s+'), lambda x: x <> '')) AS words, length(ocr) AS characters, regexp_matches(ocr, '(?m)(def |class |import |#include|<[a-z]|\\{{|\\}}|;$|\\(\\))') AS has_code, regexp_matches(ocr, '[=+\\-*/\\\\∑∫∂√≈≤≥±]') AS has_equation, regexp_matches(ocr, '(?m)^\\s*[•\\-*\\d.]+\\s') AS has_bullets FROM cleaned)"""
 
 
+LINES = """rows AS (SELECT video_id, idx, unnest(string_split(clean_text, ' ')) AS w, unnest(range(0, len(string_split(clean_text, ' ')))) AS i FROM frames),
+read0 AS (SELECT video_id, idx, i // 4 AS pos, string_agg(CASE WHEN i // 4 % 5 = 4 THEN 'The end' ELSE w END, ' ' ORDER BY i) AS text, ((video_id * 31 + idx * 17 + i // 4 * 13) % 100) / 100::DOUBLE AS confidence FROM rows GROUP BY 1, 2, 3, 5),
+sure AS (SELECT video_id, idx, pos, trim(text) AS text, confidence FROM read0 WHERE text <> '' AND confidence >= 0.5),
+once AS (SELECT video_id, idx, text, min(pos) AS pos FROM sure GROUP BY 1, 2, 3),
+joined AS (SELECT video_id, idx, string_agg(text, chr(10) ORDER BY pos) AS clean_text FROM once GROUP BY 1, 2)"""
+
+
+@query(P.sql("frames", f"SELECT f.video_id, f.idx, coalesce(raw_text, '') AS raw_text, coalesce(c.clean, '') AS clean_text, coalesce(n_lines, 0) AS n_lines, coalesce(round(mean, 9), 0) AS average_confidence FROM frames f LEFT JOIN (SELECT video_id, idx, string_agg(text, chr(10) ORDER BY pos) AS raw_text, count(*) AS n_lines, avg(confidence) AS mean FROM sure GROUP BY 1, 2) r ON r.video_id = f.video_id AND r.idx = f.idx LEFT JOIN (SELECT video_id, idx, {CLEAN} AS clean FROM joined) c ON c.video_id = f.video_id AND c.idx = f.idx", LINES))
+def ocr_lines(spark: SparkSession, d: str) -> DataFrame:
+    """frames' lines of four words, of which each fifth one repeats, with a confidence."""
+    f = P.frames(spark, d)
+    words = F.split("clean_text", " ")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 4).cast("int")), lambda k: F.slice(words, k * 4 + 1, F.lit(4)))
+    said = lambda x, k: F.array_join(F.when(k % 5 == 4, F.transform(x, lambda _: F.lit("The end"))).otherwise(x), " ")
+    rows = f.select("video_id", "idx", F.posexplode(F.transform(cut, said)).alias("pos", "text"))
+    rows = rows.withColumn("confidence", ((F.col("video_id") * 31 + F.col("idx") * 17 + F.col("pos") * 13) % 100) / 100)
+    return V.recognised(f, rows).withColumn("average_confidence", F.round("average_confidence", 9))
+
+
 @query(P.sql("frames", "SELECT video_id, idx, ocr, words, characters, has_code, has_equation, has_bullets FROM featured", FEATURES))
 def ocr_features(spark: SparkSession, d: str) -> DataFrame:
     """F11, F12, A14."""
@@ -308,16 +334,20 @@ BUILT = """built0 AS (SELECT w.video_id, 'scene' AS kind, w.scene_number AS numb
 UNION ALL SELECT video_id, 'orphan', 0, arg_min(start_s, (start_s, idx)), arg_max(end_s, (start_s, idx)), count(*), 0 FROM (SELECT * FROM spoken s ANTI JOIN mapped4 m ON m.video_id = s.video_id AND m.start_s = s.start_s) SEMI JOIN scenes4 USING (video_id) GROUP BY 1
 UNION ALL SELECT video_id, 'gap', section, min(start_s), arg_max(end_s, (start_s, idx)), count(*), 0 FROM sectioned4 GROUP BY 1, 2, 3),
 built AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_s, kind, number) AS section_index FROM built0)"""
-FOURTH = """scenes4 AS (SELECT * FROM scenes WHERE video_id % 4 <> 0), spoken AS (SELECT * FROM segments WHERE trim(text) <> ''),
+FOURTH = """scenes4 AS (SELECT video_id, scene_number, min(timestamp_ms) AS start_ms, max(timestamp_ms) AS end_ms, count(*) AS frame_count FROM frames WHERE blur_score >= 60 GROUP BY 1, 2), spoken AS (SELECT * FROM segments WHERE trim(text) <> ''),
 windows4 AS (SELECT video_id, scene_number, start_ms / 1000 AS start_s, coalesce(lead(start_ms) OVER (PARTITION BY video_id ORDER BY start_ms, scene_number) / 1000, end_ms / 1000 + 30) AS end_s, frame_count FROM scenes4),
 mapped4 AS (SELECT s.video_id, w.scene_number, s.idx, s.start_s FROM spoken s JOIN windows4 w ON w.video_id = s.video_id AND s.start_s <= w.end_s AND s.end_s >= w.start_s),
 flagged4 AS (SELECT *, CASE WHEN start_s - lag(end_s) OVER (PARTITION BY video_id ORDER BY start_s, idx) > 10 THEN 1 ELSE 0 END AS new FROM spoken ANTI JOIN scenes4 USING (video_id)),
 sectioned4 AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY start_s, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS section FROM flagged4)"""
 
 
+def _sharp(spark: SparkSession, d: str) -> DataFrame:
+    return P.frames(spark, d).where("blur_score >= 60")
+
+
 def _built(spark: SparkSession, d: str) -> DataFrame:
-    """Every fourth lecture has no frames here, so both ways of sectioning are taken."""
-    return M.sections(P.segments(spark, d), P.scenes(spark, d).where("video_id % 4 <> 0"))
+    """Sections by the scenes of sharp frames; a lecture whose frames are all blurred has none, so both ways of sectioning are taken."""
+    return M.sections(P.segments(spark, d), P.scenes_of(_sharp(spark, d)))
 
 
 @query(P.sql("scenes", "SELECT * FROM built", FOURTH, BUILT))
@@ -327,10 +357,10 @@ def merged_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(P.sql("scenes", """SELECT video_id, section_count, greatest_end_s, last_end_s, coalesce(total_segments, 0) AS total_segments, coalesce(total_frames, 0) AS total_frames, coalesce(frames_with_ocr, 0) AS frames_with_ocr FROM (SELECT video_id, count(*) AS section_count, max(end_s) AS greatest_end_s, arg_max(end_s, section_index) AS last_end_s FROM built GROUP BY 1)
-LEFT JOIN (SELECT video_id, count(*) AS total_segments FROM spoken GROUP BY 1) USING (video_id) LEFT JOIN (SELECT video_id, count(*) AS total_frames, count(*) FILTER (trim(clean_text) <> '') AS frames_with_ocr FROM frames WHERE video_id % 4 <> 0 GROUP BY 1) USING (video_id)""", FOURTH, BUILT))
+LEFT JOIN (SELECT video_id, count(*) AS total_segments FROM spoken GROUP BY 1) USING (video_id) LEFT JOIN (SELECT video_id, count(*) AS total_frames, count(*) FILTER (trim(clean_text) <> '') AS frames_with_ocr FROM frames WHERE blur_score >= 60 GROUP BY 1) USING (video_id)""", FOURTH, BUILT))
 def lecture_statistics(spark: SparkSession, d: str) -> DataFrame:
     """A7, A24."""
-    return M.statistics(_built(spark, d), P.segments(spark, d), P.frames(spark, d).where("video_id % 4 <> 0"))
+    return M.statistics(_built(spark, d), P.segments(spark, d), _sharp(spark, d))
 
 
 @query(P.sql("segments", "SELECT video_id, string_agg(text, ' ' ORDER BY idx) AS full_text FROM segments GROUP BY 1"))

@@ -58,8 +58,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scenes_of(frames: DataFrame) -> DataFrame:
+    return frames.groupBy("video_id", "scene_number").agg(F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"), F.count("*").alias("frame_count"))
+
+
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).groupBy("video_id", "scene_number").agg(F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"), F.count("*").alias("frame_count"))
+    return scenes_of(frames(spark, sf_dir))
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
