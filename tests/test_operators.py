@@ -145,7 +145,7 @@ def test_rolling_stream_is_the_batch(spark, data):
 def test_every_query_runs(spark, data):
     for name, q in entry.queries().items():
         if name not in entry.oracle_sql() and not name.startswith(("op", "pipeline")):
-            assert q(spark, data).limit(5).columns
+            assert q(spark, data).count() >= 0 and q(spark, data).columns
 
 
 def test_absorb_is_not_transitive(spark):
