@@ -74,8 +74,13 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, alpha: float = 0.5) -> DataF
     return both.select("query_id", "chunk", F.round(mixed, 6).alias("score"))
 
 
-def diverse(candidates: DataFrame, k: int = 3, weight: float = 0.7) -> DataFrame:
-    """Maximal marginal relevance: k results a query, each weighed by its score against its likeness to those before."""
+def diverse(candidates: DataFrame, k: int = 3, weight: float = 0.7, retrieved: int = 5) -> DataFrame:
+    """Maximal marginal relevance: of the retrieved best candidates of a query, k results, each weighed by its score against its likeness to those before.
+
+    The best are found by Spark, so what is compared with each other is as many as are asked for, however many candidates there are.
+    """
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk")
+    candidates = candidates.withColumn("place", F.row_number().over(best)).where(F.col("place") <= retrieved).drop("place")
 
     def run(pdfs: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
         pdf = pdfs.sort_values(["score", "chunk"], ascending=[False, True], kind="stable").reset_index(drop=True)
