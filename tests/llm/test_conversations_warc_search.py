@@ -286,3 +286,13 @@ def test_queries_give_the_rows_of_their_sql(spark, data, name):
     assert sorted(want.columns) == sorted(got.columns)
     rows = want.fetchall()
     assert rows and sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, rows))
+
+
+def test_counts_of_more_than_32_bits_come_through():
+    import numpy as np
+
+    from tidemark.llm import suffix_tree_lm
+
+    for x in ([], [0], [255, 256], [5_000_000_000, 1, 2**40 + 3], [2**62]):
+        planes = suffix_tree_lm._planes(np.array(x, np.int64))
+        assert planes.dtype == np.uint8 and suffix_tree_lm._from_planes(planes).tolist() == x

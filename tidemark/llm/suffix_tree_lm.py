@@ -148,12 +148,17 @@ class Stream:
 
 
 def _planes(x: np.ndarray) -> np.ndarray:
-    """32-bit numbers as byte planes."""
-    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel()
+    """Whole numbers of up to 64 bits as byte planes, as many as the largest needs; their number comes first."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :width]
+    return np.r_[np.uint8(width), planes.T.ravel()]
 
 
 def _from_planes(planes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    body = planes[1:].reshape(int(planes[0]), -1)
+    whole = np.zeros((body.shape[1], 8), np.uint8)
+    whole[:, : len(body)] = body.T
+    return whole.view(np.int64).ravel()
 
 
 def _summed(key: list[np.ndarray], *values: list[np.ndarray]):
@@ -220,7 +225,7 @@ def score(docs: DataFrame, min_count: int = 64, depth: int = 3) -> DataFrame:
         tok, n_words, out = tokens(table)
         known, which = np.unique(tok, return_inverse=True)
         order, bounds = X.by_shard((H.mix(known & np.uint64((1 << int(WORD_BITS)) - 1)) % np.uint64(n_shards)).astype(np.int64), n_shards)
-        c, number, heads = np.zeros(len(known), np.uint32), np.zeros(len(known), np.uint64), []
+        c, number, heads = np.zeros(len(known), np.int64), np.zeros(len(known), np.uint64), []
         for s, body in zip(right.column("shard").to_pylist(), right.column("body").to_pylist(), strict=True):
             own = order[bounds[s] : bounds[s + 1]]
             head, counts, ranks = X.load(body, np.float64, np.uint8, np.uint8)
