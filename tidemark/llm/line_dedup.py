@@ -17,7 +17,7 @@ empty line; lines that are empty or white space are never removed; the kept line
 document are joined by newlines, unchanged; texts and lines may be of any length; rows with equal doc_id count as the
 same document (an equal line at the same place stays in each); rows with a null
 doc_id stay as they are and remove nothing; an empty table stays empty; other columns are kept, but for
-n_lines, n_removed and kept_sha256, which are set anew.
+n_lines, n_removed and kept_sha256, which a report sets anew.
 """
 
 from __future__ import annotations
@@ -309,9 +309,9 @@ def kept_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     return written(again.join(similar_lines.select(F.col("id").alias("line"), "check"), ["line", "check"], "left_anti").unionByName(fuzzy))
 
 
-def remove_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with the kept lines as text, and n_lines, n_removed and kept_sha256 besides."""
-    docs = docs.drop("n_lines", "n_removed", "kept_sha256").withColumn("text", F.col("text").cast("string"))
+def remove_lines(docs: DataFrame, percent: int = 80, report: bool = True) -> DataFrame:
+    """docs with the kept lines as text, and n_lines, n_removed and kept_sha256 besides; without a report the caller's columns of these names stay."""
+    docs = (docs.drop("n_lines", "n_removed", "kept_sha256") if report else docs).withColumn("text", F.col("text").cast("string"))
     n_shards = X.shards(docs)
     packed = X.pack(docs)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -377,11 +377,13 @@ def remove_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         for r, some in zip(*_grouped(row[gone], number[gone]), strict=True):
             out = set(some.tolist())
             texts[r] = "\n".join(x for i, x in enumerate(texts[r].split("\n")) if i not in out)
-        sha = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
         out = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        if not report:
+            return out
+        sha = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
         return out.append_column("n_lines", pa.array(n_lines, pa.int64())).append_column("n_removed", pa.array(n_removed)).append_column("kept_sha256", pa.array(sha, pa.string()))
 
-    return X.settle(packed, replies, settle, f"{types}, n_lines long, n_removed long, kept_sha256 string")
+    return X.settle(packed, replies, settle, f"{types}, n_lines long, n_removed long, kept_sha256 string" if report else types)
 
 
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
