@@ -254,8 +254,10 @@ def jaccard_brute(own):
 
 @pytest.mark.parametrize("hot", [16, 2])
 def test_op9_against_brute_force(spark, empty, monkeypatch, hot):
-    """Also with parts held to be hot from three members on, so that the ways for large groups are taken."""
+    """Also with parts held to be hot from three members on, so that the ways for large groups are taken, and with links joined in rounds alone."""
     monkeypatch.setattr(jaccard_join, "HOT", hot)
+    if hot == 2:
+        monkeypatch.setattr(components, "LAST", 0)
     rng = random.Random(3)
     own, base = list(enumerate(texts())), [[f"w{rng.randrange(400)}" for _ in range(rng.choice([8, 30, 120, 300]))] for _ in range(6)]
     boiler = [f"b{i}" for i in range(60)]
@@ -431,16 +433,23 @@ def test_op1_defaults_on_toxic_junk_and_clean_rows(spark):
     assert len(kept) >= 388
 
 
-def test_helpers(spark):
+@pytest.mark.parametrize("last", [100_000, 12, 0])
+def test_components(spark, monkeypatch, last):
+    """All links in one task; rounds until few are left; rounds to the end."""
+    monkeypatch.setattr(components, "LAST", last)
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (100, 98), (7, 7)], "a long, b long")
     assert {r.id: r.component for r in components.components(links).collect()} == {**{i: 0 for i in range(41)}, 98: 98, 99: 98, 100: 98}
     assert components.components(links.limit(0)).count() == 0
+
+
+def test_helpers(spark):
     ids = spark.range(0, 50, 7).toDF("x")
     shared = bloom.build(ids.select(F.xxhash64("x")))
     have = np.array([r[0] for r in ids.select(F.xxhash64("x")).collect()])
     assert len(bloom.passing(shared, have.view(np.uint64))) == len(have)
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id long, text string")
     assert sorted(r.text for r in filtering.without(docs, spark.createDataFrame([(2,), (None,)], "g long")).collect()) == ["a", "c"]
+    assert sorted(r.text for r in filtering.only(docs, spark.createDataFrame([(2,), (2,), (None,)], "g long")).collect()) == ["b"]
     packed = exchange.pack(documents(spark), batch_bytes=100).collect()
     assert len({r.batch for r in packed}) == len(packed) and sum(exchange.unpack(r.body).num_rows for r in packed) == len(texts())
 
@@ -476,3 +485,23 @@ def test_pipeline(spark, data):
     want = jaccard_brute(list(zip(seen[1][2]["doc_id"], seen[1][2]["text"], strict=True)))
     assert kept[2] == {i for i, (_, c) in want.items() if c == i}
     assert {r.doc_id for r in corpus_pipeline.run(spark, data).select("doc_id").collect()} == kept[4]
+
+
+def test_pipeline_stages_on_odd_rows(spark, data):
+    """Null, empty and repeated rows, rows without an id, an empty table, and the caller's columns under the operators' own names."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    some = docs.orderBy("doc_id").limit(40)
+    odd = some.unionByName(some.limit(3)).unionByName(some.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for k, text in enumerate([None, "", " \n\t", "w " * 20_000 + "x" * 300_000]):
+        odd = odd.unionByName(some.limit(1).withColumn("doc_id", F.lit(10**9 + k).cast("long")).withColumn("text", F.lit(text).cast("string")))
+    names = [*CLASHES, "n_lines", "n_removed", "kept_sha256", "chosen", "least", "lang_known"]
+    for c in names:
+        odd = odd.withColumn(c, F.lit(f"mine {c}"))
+    odd = spark.createDataFrame(odd.collect(), odd.schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, data)
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in odd.schema]
+        rows = out.collect()
+        assert rows and all(r[c] == f"mine {c}" for r in rows for c in names)
+        assert stage(spark, odd.limit(0), data).count() == 0

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from tidemark.llm.storage import checkpoint, written
 
 #: Members of a group that its centre meets in one task.
 BLOCK = 1024
+#: Links that one task can finish, 16 bytes each; while there are more, rounds make them fewer.
+LAST = 100_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,14 +24,16 @@ def components(links: DataFrame) -> DataFrame:
     until every node points at a root, and replaces the links by links between
     roots. Counts of links shrink each round, and no node's links meet in one task:
     the minimum is summed before the shuffle, and joins have a plain table on each side.
+    The last links, at most LAST, are finished in one task.
     """
     links = checkpoint(links.where("a <> b").select("a", "b").distinct())
     pointer = None
     while True:
+        if links.count() <= LAST:
+            pointer = _moved(pointer, checkpoint(_finished(links)))
+            return pointer.select("id", F.col("root").alias("component"))
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = checkpoint(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("root")))
-        if pointer is None and hook.isEmpty():
-            return hook.select("id", F.col("root").alias("component"))
         while True:  # pointer jumping
             up = hook.select(F.col("id").alias("root"), F.col("root").alias("above"))
             jumped = checkpoint(hook.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("to"), "root"))
@@ -36,11 +41,32 @@ def components(links: DataFrame) -> DataFrame:
             if jumped.where("root <> to").isEmpty():
                 break
         step = hook.select(F.col("id").alias("node"), F.col("root").alias("to"))
-        pointer = hook if pointer is None else checkpoint(pointer.join(step, pointer["root"] == step["node"], "left").select("id", F.coalesce("to", "root").alias("root")))
+        pointer = _moved(pointer, hook)
         a, b = step.select(F.col("node").alias("a"), F.col("to").alias("ra")), step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         links = checkpoint(links.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-        if links.isEmpty():
-            return pointer.select("id", F.col("root").alias("component"))
+
+
+def _moved(pointer: DataFrame | None, hook: DataFrame) -> DataFrame:
+    """Pointers (id, root) after their roots have got roots (id, root) of their own."""
+    if pointer is None:
+        return hook
+    step = hook.select(F.col("id").alias("node"), F.col("root").alias("to"))
+    return checkpoint(pointer.join(step, pointer["root"] == step["node"], "left").select("id", F.coalesce("to", "root").alias("root")))
+
+
+def _finished(links: DataFrame) -> DataFrame:
+    """(id, root) of the nodes of a bounded number of links."""
+    kind = links.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            a, b = (np.concatenate(side) for side in zip(*held, strict=True))
+            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = nodes[forest(len(nodes), at[: len(a)], at[len(a) :])]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["id", "root"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, f"id {kind}, root {kind}")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Leaving documents out by key without moving the texts of all others."""
+"""Choosing documents by key without moving the texts of all others."""
 
 from __future__ import annotations
 
@@ -13,6 +13,13 @@ from tidemark.llm import bloom
 from tidemark.llm.storage import written
 
 
+def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs whose key is among ids (one column). As in without, the filter and the join behind it: what a full filter lets pass is left out all the same."""
+    ids = written(ids.toDF("chosen").where("chosen is not null").distinct())
+    passed = _flagged(docs, ids, key).where("tidemark_may_go").drop("tidemark_may_go")
+    return passed.join(ids, passed[key] == ids["chosen"], "left_semi")
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs whose key isn't among ids (one column); rows with a null key stay.
 
@@ -20,7 +27,15 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     can't clear are joined with ids, so their texts alone are shuffled.
     """
     ids = written(ids.toDF("gone").where("gone is not null").distinct())
-    wanted = bloom.build(ids.select(F.xxhash64("gone")))
+    flagged = _flagged(docs, ids, key)
+    clear = flagged.where("not tidemark_may_go").drop("tidemark_may_go")
+    doubtful = flagged.where("tidemark_may_go").drop("tidemark_may_go")
+    return clear.unionByName(doubtful.join(ids, doubtful[key] == ids["gone"], "left_anti"))
+
+
+def _flagged(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """docs with tidemark_may_go: whether the key may be among ids."""
+    wanted = bloom.build(ids.select(F.xxhash64(ids.columns[0])))
 
     @F.pandas_udf("boolean")
     def may_go(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -29,7 +44,4 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
             out[bloom.passing(wanted, h.to_numpy(np.int64).view(np.uint64))] = True
             yield pd.Series(out)
 
-    flagged = docs.withColumn("tidemark_may_go", may_go(F.xxhash64(key)))
-    clear = flagged.where("not tidemark_may_go").drop("tidemark_may_go")
-    doubtful = flagged.where("tidemark_may_go").drop("tidemark_may_go")
-    return clear.unionByName(doubtful.join(ids, doubtful[key] == ids["gone"], "left_anti"))
+    return docs.withColumn("tidemark_may_go", may_go(F.xxhash64(key)))

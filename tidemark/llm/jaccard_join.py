@@ -35,11 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom, rarest
+from tidemark.llm import rarest
 from tidemark.llm import exchange as X
 from tidemark.llm import hashing as H
 from tidemark.llm.components import link_groups, with_sides
-from tidemark.llm.filtering import without
+from tidemark.llm.filtering import only, without
 from tidemark.llm.storage import written
 
 #: Members of a part of which all pairs are counted.
@@ -281,20 +281,17 @@ def _met(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, sketch, set) of the wanted documents: a parity sketch of SKETCH_BITS, and the sorted hashes, HASH_BYTES each. The few others that the filter lets pass do no harm."""
-    wanted = bloom.build(ids.distinct().select(F.xxhash64("id")))
+    """(id, n, sketch, set) of the wanted documents: a parity sketch of SKETCH_BITS, and the sorted hashes, HASH_BYTES each."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            at = bloom.passing(wanted, whole.column(2).to_numpy().view(np.uint64))
-            for b in X.slices([whole.take(pa.array(at))], 1 << 20):
-                row, h, n, _ = sets(b.column(1), k)
-                some = np.flatnonzero(n)
-                bits = np.bincount(row * SKETCH_BITS + (H.mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=len(n) * SKETCH_BITS) & 1
-                sketch = np.packbits(bits.reshape(len(n), SKETCH_BITS).astype(np.uint8), axis=1)[some]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(rarest.narrow(h, n[some], HASH_BYTES), pa.binary())], ["id", "n", "sketch", "set"])
-
-    return written(docs.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(emit, "id long, n long, sketch binary, set binary"))
+        for b in X.slices(batches, 1 << 20):
+            row, h, n, _ = sets(b.column(1), k)
+            some = np.flatnonzero(n)
+            bits = np.bincount(row * SKETCH_BITS + (H.mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=len(n) * SKETCH_BITS) & 1
+            sketch = np.packbits(bits.reshape(len(n), SKETCH_BITS).astype(np.uint8), axis=1)[some]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(rarest.narrow(h, n[some], HASH_BYTES), pa.binary())], ["id", "n", "sketch", "set"])
+
+    return written(only(docs, ids).mapInArrow(emit, "id long, n long, sketch binary, set binary"))
 
 
 def _linked(known: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
