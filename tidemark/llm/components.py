@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import checkpoint, written
+from tidemark.llm.storage import checkpoint, let_go, written
 
 #: Members of a group that its centre meets in one task.
 BLOCK = 1024
@@ -110,6 +110,7 @@ def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify:
     stars = members.join(centre, "part").where("a <> id").select("a", F.col("id").alias("b"), block.alias("block"))
     pairs = pairs.select("a", "b", F.lit(0).alias("block")).unionByName(stars).groupBy("a", "b").agg(F.min("block").alias("block"))
     joined = components(written(links.unionByName(verify(written(pairs)))))
+    let_go(members.sparkSession)
     if members.isEmpty():
         return joined
 
@@ -126,10 +127,13 @@ def link_groups(links: DataFrame, pairs: DataFrame, members: DataFrame, verify:
     most = most.groupBy("part").agg(F.max(F.struct("times", "component", "any.id")).alias("most"))
     stars = left.join(most, "part").where("component <> most.component").select(F.col("most.id").alias("a"), F.col("id").alias("b"), block.alias("block"))
     joined = merged(joined, verify(written(stars.groupBy("a", "b").agg(F.min("block").alias("block")))))
+    let_go(members.sparkSession)
     rest = written(mixed(left, joined).select("id", "component").distinct())
     if rest.isEmpty():
         return joined
-    return merged(joined, verify(written(rest_pairs(rest).withColumn("block", F.lit(0)))))
+    pairs = written(rest_pairs(rest).withColumn("block", F.lit(0)))
+    let_go(members.sparkSession)
+    return merged(joined, verify(pairs))
 
 
 def with_sides(pairs: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:

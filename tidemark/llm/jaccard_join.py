@@ -40,7 +40,7 @@ from tidemark.llm import exchange as X
 from tidemark.llm import hashing as H
 from tidemark.llm.components import link_groups, with_sides
 from tidemark.llm.filtering import only, without
-from tidemark.llm.storage import written
+from tidemark.llm.storage import let_go, scratch, written
 
 #: Members of a part of which all pairs are counted.
 HOT = 16
@@ -291,7 +291,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             sketch = np.packbits(bits.reshape(len(n), SKETCH_BITS).astype(np.uint8), axis=1)[some]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(rarest.narrow(h, n[some], HASH_BYTES), pa.binary())], ["id", "n", "sketch", "set"])
 
-    return written(only(docs, ids).mapInArrow(emit, "id long, n long, sketch binary, set binary"))
+    return only(docs, ids).mapInArrow(emit, "id long, n long, sketch binary, set binary")
 
 
 def _linked(known: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
@@ -330,18 +330,20 @@ def similar_documents(docs: DataFrame, k: int = 5) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.where("doc_id is not null")
     found = written(_met(keyed, k))
+    let_go(docs.sparkSession)
     every = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("least"))
     nodes = lambda c: found.where("kind = 1").select(F.col("a").alias(f"{c}_node"), F.col("b").alias(c), F.col("c").alias(f"{c}_hot"), F.col("d").alias("needed"))
-    pairs = written(found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("n")).select(F.col("a").alias("a_node"), F.col("b").alias("b_node"), "n"))
-    # A similar pair shares at least r + 1 parts; those that are empty or hot are not counted in n, and of those that count at least one is left.
-    likely = pairs.join(nodes("a"), "a_node").join(nodes("b").drop("needed"), "b_node")
-    likely = likely.where(F.col("n") >= F.greatest(F.lit(1), F.col("needed") - F.least("a_hot", "b_hot"))).where("a <> b")
-    candidates = written(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    unsafe = found.where("kind = 3").select(F.col("a").alias("part"), F.col("b").alias("id"))
-    equal = every.where("least <> doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    known = _sets(keyed, unsafe.select("id").unionByName(candidates.select(F.col("a").alias("id"))).unionByName(candidates.select(F.col("b").alias("id"))), k)
-    rest = lambda nodes: rarest.across(known.select("id", "set").join(nodes, "id"), width=HASH_BYTES)
-    joined = link_groups(equal, candidates, unsafe, lambda pairs: _linked(known, pairs), rest)
+    with scratch(docs.sparkSession) as held:
+        pairs = held(found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("n")).select(F.col("a").alias("a_node"), F.col("b").alias("b_node"), "n"))
+        # A similar pair shares at least r + 1 parts; those that are empty or hot are not counted in n, and of those that count at least one is left.
+        likely = pairs.join(nodes("a"), "a_node").join(nodes("b").drop("needed"), "b_node")
+        likely = likely.where(F.col("n") >= F.greatest(F.lit(1), F.col("needed") - F.least("a_hot", "b_hot"))).where("a <> b")
+        candidates = held(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        unsafe = found.where("kind = 3").select(F.col("a").alias("part"), F.col("b").alias("id"))
+        equal = every.where("least <> doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+        known = held(_sets(keyed, unsafe.select("id").unionByName(candidates.select(F.col("a").alias("id"))).unionByName(candidates.select(F.col("b").alias("id"))), k))
+        rest = lambda nodes: rarest.across(known.select("id", "set").join(nodes, "id"), width=HASH_BYTES)
+        joined = link_groups(equal, candidates, unsafe, lambda pairs: _linked(known, pairs), rest)
     out = every.join(joined, every["doc_id"] == joined["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
