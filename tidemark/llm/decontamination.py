@@ -5,7 +5,10 @@
    documents drop windows that no item has. As the benchmark grows the filter only
    passes more; the join decides.
 2. Windows that pass are joined with the seeds: pairs of a document and an item
-   that share tokens.
+   that share tokens. Tiles that cover c words of an item hold at least c / min_match of
+   its windows, so the seeds that most documents hold are left out as long as
+   fewer windows of the item than that go with them: every pair that can count still has a
+   rarer seed in common, and a phrase that a third of the corpus holds joins nothing.
 3. For each pair, greedy string tiling: all longest common runs are found from
    running Karp-Rabin hashes of the windows; the longest is marked first, then the
    longest that is left unmarked on both sides, down to ``min_match`` words. Marked
@@ -15,18 +18,20 @@
 Words are runs of ASCII letters, digits and any byte of a non-ASCII character,
 with A-Z lower-cased. Defined results: null or empty texts and items with fewer
 words than ``min_match`` give no pair; rows with equal doc_id are tested each and
-their pairs reported once, the best one; a null doc_id or item_id is kept as null;
-other columns are ignored.
+their pairs reported once, the best one; items with equal item_id likewise; a null doc_id
+or item_id is kept as null; an empty table gives no pair; texts of any length are read whole,
+a pair within one task; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
@@ -81,20 +86,39 @@ def tiles(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int
     return out
 
 
+def least_windows(words: int, k: int, coverage: float) -> int:
+    """Tiles that cover that share of an item's words hold at least so many of its windows of k words: c words in tiles of k or more are c / k windows or more."""
+    covered = next(c for c in range(max(math.floor(coverage * words) - 1, 0), math.ceil(coverage * words) + 2) if words == 0 or c / words >= coverage)
+    return max(1, -(-covered // k))
+
+
+def rare(seeds: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item, seed): the seeds of each item without those that most documents hold, as long as the windows that go with them are fewer than needed."""
+    frequency = asked.groupBy("seed").agg(F.count("*").alias("docs"))
+    commonest = Window.partitionBy("item").orderBy(F.desc("docs"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    return seeds.join(frequency, "seed").withColumn("so_far", F.sum("windows").over(commonest)).where("so_far >= need").select("item", "seed")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float = 0.5) -> DataFrame:
     """(doc_id, item_id, item_words, covered_words, n_tiles, coverage) of each pair that reaches the coverage."""
     k = min_match
-    items = items.select(F.col("item_id"), F.col("text").cast("string").alias("item_text"))
+    items = checkpoint(items.select("item_id", F.col("text").cast("string").alias("item_text"), F.monotonically_increasing_id().alias("item")))
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, h, _, _ = _windows(b.column(1), k)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(h.view(np.int64))], ["item_id", "seed"])
+            row, h, _, of = _windows(b.column(1), k)
+            words = np.bincount(of, minlength=b.num_rows)
+            need = np.array([least_windows(int(n), k, coverage) for n in words], np.int64)
+            by = np.lexsort((h, row))
+            row, h = row[by], h[by]
+            first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+            columns = [b.column(0).take(pa.array(row[first])), pa.array(h[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(h)])), pa.array(need[row[first]])]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "seed", "windows", "need"])
 
     item_type = items.schema["item_id"].dataType.simpleString()
-    seeds = checkpoint(items.mapInArrow(seed, f"item_id {item_type}, seed long").distinct())
+    seeds = checkpoint(items.select("item", "item_text").mapInArrow(seed, "item long, seed long, windows long, need long"))
 
-    shared = bloom.build(seeds.select("seed"))
+    shared = bloom.build(seeds.select("seed").distinct())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -111,8 +135,9 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = 5, coverage
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     hits = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id {doc_type}, text string, seeds array<long>")
     hits = checkpoint(hits.withColumn("row", F.monotonically_increasing_id()))
-    pairs = hits.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").select("row", "item_id").distinct()
-    pairs = pairs.join(hits.select("row", "doc_id", "text"), "row").join(items, pairs["item_id"].eqNullSafe(items["item_id"])).select("doc_id", pairs["item_id"], "text", "item_text")
+    asked = hits.select("row", F.explode("seeds").alias("seed"))
+    pairs = asked.join(rare(seeds, asked), "seed").select("row", "item").distinct()
+    pairs = pairs.join(hits.select("row", "doc_id", "text"), "row").join(items, "item").select("doc_id", "item_id", "text", "item_text")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
