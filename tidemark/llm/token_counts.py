@@ -6,7 +6,7 @@ and truncated totals. The sums run in two levels, over ranges of 256 lengths and
 within a range, so no task holds the whole histogram.
 
 Defined results: a null or empty text has length 0; rows with equal keys count
-each; an empty table gives no rows; other columns are ignored.
+each; an empty table gives no rows; a text of any length is encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import checkpoint
+
 #: How the byte-level vocabularies split a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -79,4 +81,4 @@ def by_limit(histogram: DataFrame, width: int = 256) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, ranks: str, text: str = "text") -> DataFrame:
-    return by_limit(lengths(docs, ranks, text))
+    return by_limit(checkpoint(lengths(docs, ranks, text)))  # read twice, encoded once
