@@ -47,7 +47,7 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: The n-gram model, MinHash and the tokenizer are beyond SQL; tests/llm compares each stage's rows on the smallest tables.
+#: The n-gram model, MinHash and the tokenizer are beyond SQL; tests/llm/test_stages.py compares each stage's rows with loops over the smallest tables.
 ORACLE_SQL = None
 
 
