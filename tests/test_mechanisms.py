@@ -1,5 +1,6 @@
 """Mechanisms that span several runs or rounds: absorption, streams with timers and expiring state, restarts, replaced and nested files, relational tables."""
 
+import hashlib
 import json
 import random
 import time
@@ -233,3 +234,20 @@ def test_candidate_scores_by_hand(spark):
     got = {(r.task, r.provider): (r.score, r["rank"]) for r in T.candidate_scores(T.candidate_parts(models, stats, cooled, used, policies, F.lit(1_000)), weights).collect()}
     assert {k: v for k, v in got.items() if k[0] == "t"} == {("t", "a"): (4.4, 1), ("t", "c"): (3.5, 2), ("t", "b"): (-3.5, 3)}
     assert [got["even", p][1] for p in "abc"] == [1, 2, 3]  # ties by tier, provider, model
+
+
+def test_export_files_are_the_bodies(spark):
+    """Byte for byte, with line ends inside a text, other scripts and a text without a line end; written again, they replace only their own."""
+    path = folders.new_folder(spark, "test")
+    bodies = [(1, "txt", "one\r\ntwo\n"), (1, "json", '{"a":"é ß"}'), (2, "txt", "\n\n日本\n"), (2, "srt", "1\n0 --> 1\nx\n\n"), (3, "txt", "")]
+    schema = "video_id long, format string, body string"
+    held = lambda: {(r.video_id, r.format): (bytes(r.content), r.bytes, r.sha256) for r in files.export_files(spark, path).collect()}
+    as_file = lambda b: (b if b.endswith("\n") else b + "\n").encode()
+    state = lambda b: (as_file(b), len(as_file(b)), hashlib.sha256(as_file(b)).hexdigest())
+    files.write_exports(spark.createDataFrame(bodies, schema), path)
+    assert held() == {(i, f): state(b) for i, f, b in bodies}
+    for _ in range(2):
+        files.write_exports(spark.createDataFrame([(2, "txt", "new")], schema), path)
+        assert held() == {(i, f): state("new" if (i, f) == (2, "txt") else b) for i, f, b in bodies}
+    wanted = spark.createDataFrame([(2, "txt"), (2, "txt"), (9, "txt")], "video_id long, format string")
+    assert sorted((r.video_id, r.status) for r in files.export_states(wanted, files.export_files(spark, path)).collect()) == [(2, "READY"), (9, "MISSING")]

@@ -229,6 +229,8 @@ def test_text_edges(spark):
     assert one(W.error_code, "Sign In please") == ("AUTH_REQUIRED", False) and one(W.error_code, "private") == ("METADATA_FAILED", True) and one(W.error_code, "it TIMED out") == ("NETWORK_TIMEOUT", True)
     assert one(X.fenced, "x ```json\n{}\n``` y") == "{}" and one(X.fenced, "plain") == "plain"
     assert one(X.plain_text, "<p>a&amp;b <script>x<y</script><b>e\u0301&nbsp;c</b><!-- z --></p>") == "a&b \u00e9 c"
+    assert one(X.plain_text, "if a < b and <i>b > c</i><br/><!DOCTYPE x>") == "if a < b and b > c"
+    assert one(X.folded, " GROSSE Straße ") == one(X.folded, "große STRASSE") and one(X.folded, "ΛΌΓΟΣ") == one(X.folded, "λόγος")
 
 
 def test_files_round_trip(spark, tmp_path):

@@ -98,9 +98,18 @@ def _decoded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", html.unescape(t)))
 
 
+def folded(text: Column) -> Column:
+    """Text without outer blanks for comparison without case: lower-cased, sharp s as ss, final sigma as sigma. Ligatures stay as they are."""
+    return F.replace(F.replace(F.lower(F.trim(text)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
+#: A comment, or a tag: a letter, slash or mark follows its bracket, so a lone less-than sign stays text.
+TAG = r"(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>"
+
+
 def plain_text(markup: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags out, entities decoded, canonically composed, white space collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(markup, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<!--.*?-->|<[^>]*>", " ")
+    bare = F.regexp_replace(F.regexp_replace(markup, r"(?is)<(script|style)\b.*?</\1\s*>", " "), TAG, " ")
     return normalise(F.pandas_udf(_decoded, "string")(bare))
 
 

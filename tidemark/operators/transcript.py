@@ -65,12 +65,12 @@ def validate(segments: DataFrame, media: DataFrame) -> DataFrame:
     )
     s = s.withColumn("reject_code", code)
     before = Window.partitionBy("video_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("reject_code").isNull(), F.struct("start_s", "end_s", F.lower(F.trim("text")).alias("folded"))), ignorenulls=True).over(before)
+    last = F.last(F.when(F.col("reject_code").isNull(), F.struct("start_s", "end_s", X.folded(F.col("text")).alias("folded"))), ignorenulls=True).over(before)
     s = s.withColumn("last", last)
     # START_AFTER_MEDIA is tested after the order, so such a row may be reported as out of order too
     placed = F.col("reject_code").isNull() | (F.col("reject_code") == "START_AFTER_MEDIA")
     accepted = F.col("reject_code").isNull()
-    same = (F.lower(F.trim("text")) == F.col("last.folded")) & (F.abs(F.col("start_s") - F.col("last.start_s")) < TOLERANCE_S) & (F.abs(F.col("end_s") - F.col("last.end_s")) < TOLERANCE_S)
+    same = (X.folded(F.col("text")) == F.col("last.folded")) & (F.abs(F.col("start_s") - F.col("last.start_s")) < TOLERANCE_S) & (F.abs(F.col("end_s") - F.col("last.end_s")) < TOLERANCE_S)
     flag = lambda c: F.coalesce(c, F.lit(False))
     return s.select(
         "video_id", "idx", "start_s", "end_s", "text", "reject_code", flag(placed & (F.col("start_s") < F.col("last.start_s"))).alias("out_of_order"), flag(accepted & same).alias("exact_duplicate"),
@@ -94,7 +94,7 @@ def without_segments(media: DataFrame, segments: DataFrame, allow_empty: bool =
 
 
 def duplicate_ratio(segments: DataFrame) -> DataFrame:
-    folded = F.lower(F.trim("text"))
+    folded = X.folded(F.col("text"))
     return segments.groupBy("video_id").agg((1 - F.count_distinct(folded) / F.count("*")).alias("duplicate_ratio"))
 
 

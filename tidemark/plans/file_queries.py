@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import knowledge as K
 from tidemark.operators import merge as M
+from tidemark.operators import transcript as T
 from tidemark.operators import vision as V
 from tidemark.plans.media_queries import BUILT, FOURTH, MAPPED, WINDOWS
 from tidemark.plans.registry import query
+from tidemark.plans.transcript_queries import EXPORTS
 from tidemark.sources import files
 from tidemark.sources import projections as P
 from tidemark.sources.folders import new_folder
@@ -90,6 +92,21 @@ def transcript_files(spark: SparkSession, d: str) -> DataFrame:
     return files.read_transcripts(spark, path, r"video_id=([0-9]+)/").select(F.col("file").cast("long").alias("video_id"), "idx", "start_s", "end_s", "text")
 
 
+REVISED = """revised AS (SELECT * REPLACE (CASE WHEN video_id % 3 = 0 THEN 'again: ' || text ELSE text END AS text) FROM segments),
+""" + EXPORTS.replace("FROM segments", "FROM revised")
+
+
+@query(P.sql("segments media", """SELECT video_id, format, octet_length(encode(body)) AS bytes, sha256(body) AS sha256, CASE WHEN body IS NULL THEN 'MISSING' ELSE 'READY' END AS status
+FROM (SELECT DISTINCT video_id, format FROM media, (SELECT unnest(['txt', 'timestamped', 'srt', 'vtt']) AS format)) LEFT JOIN exports USING (video_id, format)""", REVISED))
+def written_exports(spark: SparkSession, d: str) -> DataFrame:
+    """Every export written as a file, those of every third lecture written again from other words, and the manifest of what lies on disk; a lecture that has nothing to export has no file."""
+    path, s = _folder(spark), P.segments(spark, d)
+    files.write_exports(T.exports(s), path)
+    files.write_exports(T.exports(s.where("video_id % 3 = 0").withColumn("text", F.concat(F.lit("again: "), F.col("text")))), path)
+    wanted = P.media(spark, d).select("video_id", F.explode(F.array(*[F.lit(x) for x in ("txt", "timestamped", "srt", "vtt")])).alias("format"))
+    return files.export_states(wanted, files.export_files(spark, path))
+
+
 @query(P.sql("", "SELECT 'p' || (event_id % 3) AS provider, 'k' || (event_id % 7) AS key, event_type AS content, event_id FROM events WHERE event_type = 'error'"))
 def response_files(spark: SparkSession, d: str) -> DataFrame:
     """Captured responses, a folder for each provider and key, with the content in a fenced block, read back."""

@@ -20,9 +20,9 @@ CANON = "canon AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORD
 #: Cues as segments, made to overlap, repeat and run backwards at fixed places.
 ROUGH = """rough AS (SELECT video_id, idx, CASE WHEN idx % 9 = 4 THEN start_s - 30 ELSE start_s END AS start_s, CASE WHEN idx % 11 = 5 THEN end_s + 20 ELSE start_s + duration_s END AS end_s, text FROM (SELECT *, start_s + duration_s AS end_s FROM raw_cues))"""
 VALID = """coded AS (SELECT r.*, media_s, CASE WHEN start_s IS NULL OR NOT isfinite(start_s) THEN 'INVALID_START' WHEN end_s IS NULL OR NOT isfinite(end_s) THEN 'INVALID_END' WHEN start_s < 0 THEN 'NEGATIVE_START' WHEN end_s <= start_s THEN 'INVALID_INTERVAL' WHEN trim(coalesce(text, '')) = '' THEN 'EMPTY_SEGMENT' WHEN start_s > media_s THEN 'START_AFTER_MEDIA' END AS reject_code FROM rough r LEFT JOIN media USING (video_id)),
-prior AS (SELECT *, last_value(CASE WHEN reject_code IS NULL THEN {'s': start_s, 'e': end_s, 't': lower(trim(text))} END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM coded),
+prior AS (SELECT *, last_value(CASE WHEN reject_code IS NULL THEN {'s': start_s, 'e': end_s, 't': replace(replace(lower(trim(text)), 'ß', 'ss'), 'ς', 'σ')} END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM coded),
 valid AS (SELECT video_id, idx, start_s, end_s, text, reject_code, coalesce((reject_code IS NULL OR reject_code = 'START_AFTER_MEDIA') AND start_s < last.s, false) AS out_of_order,
-  coalesce(reject_code IS NULL AND lower(trim(text)) = last.t AND abs(start_s - last.s) < 0.001 AND abs(end_s - last.e) < 0.001, false) AS exact_duplicate,
+  coalesce(reject_code IS NULL AND replace(replace(lower(trim(text)), 'ß', 'ss'), 'ς', 'σ') = last.t AND abs(start_s - last.s) < 0.001 AND abs(end_s - last.e) < 0.001, false) AS exact_duplicate,
   coalesce(reject_code IS NULL AND start_s < last.e, false) AS overlap, coalesce(reject_code IS NULL AND end_s > media_s + 2, false) AS end_after_media FROM prior)"""
 ISSUES = """issues AS (SELECT video_id, idx, reject_code AS code, CASE reject_code WHEN 'EMPTY_SEGMENT' THEN 'warning' ELSE 'error' END AS severity FROM valid WHERE reject_code IS NOT NULL UNION ALL SELECT video_id, idx, 'OUT_OF_ORDER', 'warning' FROM valid WHERE out_of_order
 UNION ALL SELECT video_id, idx, 'EXACT_DUPLICATE', 'warning' FROM valid WHERE exact_duplicate UNION ALL SELECT video_id, idx, 'OVERLAP', 'warning' FROM valid WHERE overlap UNION ALL SELECT video_id, idx, 'END_AFTER_MEDIA', 'warning' FROM valid WHERE end_after_media)"""
@@ -32,7 +32,7 @@ reached AS (SELECT *, max(b) OVER (PARTITION BY video_id ORDER BY a, b ROWS BETW
 islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM reached),
 sums AS (SELECT video_id, sum(n) AS s FROM (SELECT video_id, island, max(b) - min(a) AS n FROM islands GROUP BY 1, 2) GROUP BY 1),
 cover AS (SELECT video_id, CASE WHEN media_s > 0 THEN least(1.0::DOUBLE, coalesce(s, 0) / media_s) END AS coverage FROM media LEFT JOIN sums USING (video_id))"""
-DUPES = "dupes AS (SELECT video_id, 1 - count(DISTINCT lower(trim(text))) / count(*) AS duplicate_ratio FROM rough GROUP BY 1)"
+DUPES = "dupes AS (SELECT video_id, 1 - count(DISTINCT replace(replace(lower(trim(text)), 'ß', 'ss'), 'ς', 'σ')) / count(*) AS duplicate_ratio FROM rough GROUP BY 1)"
 ACCEPTED = "accepted AS (SELECT * FROM valid WHERE reject_code IS NULL)"
 SCORED = """parts AS (SELECT m.video_id, n, coalesce(errors, 0) AS errors, 1.0::DOUBLE - least(0.45::DOUBLE, coalesce(errors, 0) * 0.15::DOUBLE) - least(0.2::DOUBLE, coalesce(warnings, 0) * 0.02::DOUBLE)
  - CASE WHEN coverage < 0.01 THEN 0.45::DOUBLE WHEN coverage < 0.2 THEN 0.25 WHEN coverage < 0.8 THEN 0.08 ELSE 0 END - CASE source_type WHEN 'generated_caption' THEN 0.03::DOUBLE WHEN 'translated_caption' THEN 0.05 WHEN 'stt' THEN 0.03 ELSE 0 END

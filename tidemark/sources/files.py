@@ -37,8 +37,21 @@ def read_transcripts(spark: SparkSession, path: str, name: str = r"([^/]+)\.[^.]
 
 
 def write_exports(bodies: DataFrame, path: str) -> None:
-    """Exports, a folder for each format, as text with the lecture as a partition."""
-    bodies.select("format", "video_id", F.col("body").alias("value")).write.mode("overwrite").partitionBy("format", "video_id").text(path)
+    """A file for each lecture and format, in the folder that they name; it holds the body and ends with a line end. What a lecture had before in that format is replaced, all else stays."""
+    rows = bodies.select("format", "video_id", F.regexp_replace("body", r"\n\z", "").alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("format", "video_id").text(path)
+
+
+def export_files(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, format, bytes, sha256, content) of the export files as they are on disk."""
+    found = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, format string, video_id long").load(path)
+    return found.select("video_id", "format", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+def export_states(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """The manifest of expected exports (video_id, format): size and digest of the file, READY, or MISSING where there is none."""
+    out = expected.select("video_id", "format").distinct().join(found.select("video_id", "format", "bytes", "sha256"), ["video_id", "format"], "left")
+    return out.withColumn("status", F.when(F.col("sha256").isNull(), "MISSING").otherwise("READY"))
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
