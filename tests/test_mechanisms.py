@@ -249,5 +249,11 @@ def test_export_files_are_the_bodies(spark):
     for _ in range(2):
         files.write_exports(spark.createDataFrame([(2, "txt", "new")], schema), path)
         assert held() == {(i, f): state("new" if (i, f) == (2, "txt") else b) for i, f, b in bodies}
+    packed = folders.new_folder(spark, "test")
+    for _ in range(2):
+        files.keep_exports(spark.createDataFrame(bodies, schema), packed, 2)
+        assert {(r.video_id, r.format): (bytes(r.content), r.bytes, r.sha256) for r in files.kept_exports(spark, packed).collect()} == {(i, f): state(b) for i, f, b in bodies}
+    files.keep_exports(spark.createDataFrame([(2, "vtt", "new")], schema), packed, 2)
+    assert {(r.video_id, r.format) for r in files.kept_exports(spark, packed).collect()} == {(1, "txt"), (1, "json"), (2, "vtt"), (3, "txt")}
     wanted = spark.createDataFrame([(2, "txt"), (2, "txt"), (9, "txt")], "video_id long, format string")
     assert sorted((r.video_id, r.status) for r in files.export_states(wanted, files.export_files(spark, path)).collect()) == [(2, "READY"), (9, "MISSING")]

@@ -99,12 +99,12 @@ REVISED = """revised AS (SELECT * REPLACE (CASE WHEN video_id % 3 = 0 THEN 'agai
 @query(P.sql("segments media", """SELECT video_id, format, octet_length(encode(body)) AS bytes, sha256(body) AS sha256, CASE WHEN body IS NULL THEN 'MISSING' ELSE 'READY' END AS status
 FROM (SELECT DISTINCT video_id, format FROM media, (SELECT unnest(['txt', 'timestamped', 'srt', 'vtt']) AS format)) LEFT JOIN exports USING (video_id, format)""", REVISED))
 def written_exports(spark: SparkSession, d: str) -> DataFrame:
-    """Every export written as a file, those of every third lecture written again from other words, and the manifest of what lies on disk; a lecture that has nothing to export has no file."""
+    """Every export stored, those of every third lecture stored again from other words, and the manifest of what lies on disk; a lecture that has nothing to export is missing."""
     path, s = _folder(spark), P.segments(spark, d)
-    files.write_exports(T.exports(s), path)
-    files.write_exports(T.exports(s.where("video_id % 3 = 0").withColumn("text", F.concat(F.lit("again: "), F.col("text")))), path)
+    files.keep_exports(T.exports(s), path, 8)
+    files.keep_exports(T.exports(s.where("video_id % 3 = 0").withColumn("text", F.concat(F.lit("again: "), F.col("text")))), path, 8)
     wanted = P.media(spark, d).select("video_id", F.explode(F.array(*[F.lit(x) for x in ("txt", "timestamped", "srt", "vtt")])).alias("format"))
-    return files.export_states(wanted, files.export_files(spark, path))
+    return files.export_states(wanted, files.kept_exports(spark, path))
 
 
 @query(P.sql("", "SELECT 'p' || (event_id % 3) AS provider, 'k' || (event_id % 7) AS key, event_type AS content, event_id FROM events WHERE event_type = 'error'"))

@@ -37,7 +37,7 @@ def read_transcripts(spark: SparkSession, path: str, name: str = r"([^/]+)\.[^.]
 
 
 def write_exports(bodies: DataFrame, path: str) -> None:
-    """A file for each lecture and format, in the folder that they name; it holds the body and ends with a line end. What a lecture had before in that format is replaced, all else stays."""
+    """A file for each lecture and format, to be handed out, in the folder that they name; it holds the body and ends with a line end. What a lecture had before in that format is replaced, all else stays."""
     rows = bodies.select("format", "video_id", F.regexp_replace("body", r"\n\z", "").alias("value"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("format", "video_id").text(path)
 
@@ -48,6 +48,18 @@ def export_files(spark: SparkSession, path: str) -> DataFrame:
     return found.select("video_id", "format", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
 
 
+def keep_exports(bodies: DataFrame, path: str, buckets: int | None = None) -> None:
+    """The exports of a whole library, thousands of lectures packed in a Parquet file: one file each would be billions of small ones. All formats of the lectures given are replaced, others stay."""
+    ended = F.concat(F.regexp_replace("body", r"\n\z", ""), F.lit("\n"))
+    replace_frames(bodies, {"exports": bodies.select("video_id", "format", F.encode(ended, "UTF-8").alias("content"))}, path, buckets or BUCKETS)
+
+
+def kept_exports(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, format, bytes, sha256, content) of packed exports, as export_files."""
+    kept = read_frames(spark, path, "exports")
+    return kept.select("video_id", "format", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
+
+
 def export_states(expected: DataFrame, found: DataFrame) -> DataFrame:
     """The manifest of expected exports (video_id, format): size and digest of the file, READY, or MISSING where there is none."""
     out = expected.select("video_id", "format").distinct().join(found.select("video_id", "format", "bytes", "sha256"), ["video_id", "format"], "left")
