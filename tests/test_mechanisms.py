@@ -257,3 +257,16 @@ def test_export_files_are_the_bodies(spark):
     assert {(r.video_id, r.format) for r in files.kept_exports(spark, packed).collect()} == {(1, "txt"), (1, "json"), (2, "vtt"), (3, "txt")}
     wanted = spark.createDataFrame([(2, "txt"), (2, "txt"), (9, "txt")], "video_id long, format string")
     assert sorted((r.video_id, r.status) for r in files.export_states(wanted, files.export_files(spark, path)).collect()) == [(2, "READY"), (9, "MISSING")]
+
+
+def test_transcripts_of_a_library_are_packed(spark, data, tmp_path, monkeypatch):
+    from tidemark.plans import file_queries as Q
+
+    monkeypatch.setattr(Q, "_folder", lambda _: f"{tmp_path.as_uri()}/library")
+    rows = entry.queries()["transcript_files"](spark, data)
+    assert rows.count() == P.segments(spark, data).count()
+    assert len(list(tmp_path.rglob("part-*"))) < 50 < rows.select("video_id").distinct().count()
+    either = [("1", '[{"text": "x", "start": 1, "duration": 2}]'), ("2", '{"metadata": {"id": "2"}, "segments": [{"start": 1, "end": 4}, {"text": "z"}]}')]
+    files.keep_transcripts(spark.createDataFrame(either, "file string, value string"), f"{tmp_path.as_uri()}/either")
+    got = sorted(tuple(r) for r in files.kept_transcripts(spark, f"{tmp_path.as_uri()}/either").collect())
+    assert got == [("1", 1, 1.0, 3.0, "x"), ("2", 1, 1.0, 4.0, ""), ("2", 2, 0.0, 0.0, "z")]

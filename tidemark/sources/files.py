@@ -28,7 +28,11 @@ def append_log(requests: DataFrame, path: str) -> None:
 
 def read_transcripts(spark: SparkSession, path: str, name: str = r"([^/]+)\.[^.]+$") -> DataFrame:
     """Transcript files of either shape, a list of segments or an object with metadata and segments: a row a segment, keyed by what name finds in the path, by default the file name."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), name, 1))
+    return _transcript_rows(spark.read.text(path, wholetext=True).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), name, 1)))
+
+
+def _transcript_rows(whole: DataFrame) -> DataFrame:
+    """The segments of transcripts (file, value)."""
     listed = F.from_json("value", SEGMENTS)
     held = F.from_json("value", f"struct<segments: {SEGMENTS}>")["segments"]
     rows = whole.select("file", F.posexplode(F.when(F.ltrim("value").startswith("["), listed).otherwise(held)).alias("pos", "s"))
@@ -36,6 +40,16 @@ def read_transcripts(spark: SparkSession, path: str, name: str = r"([^/]+)\.[^.]
     return rows.select("file", (F.col("pos") + 1).cast("long").alias("idx"), F.coalesce("s.start", F.lit(0.0)).alias("start_s"), end.alias("end_s"), F.coalesce("s.text", F.lit("")).alias("text"))
 
 
+def keep_transcripts(bodies: DataFrame, path: str) -> None:
+    """The transcripts (file, value) of a whole library, thousands of lectures packed in a Parquet file: one file each takes longer to make than to fill."""
+    bodies.select("file", "value").write.mode("overwrite").parquet(path)
+
+
+def kept_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Packed transcripts, as read_transcripts."""
+    return _transcript_rows(spark.read.parquet(path))
+
+
 def write_exports(bodies: DataFrame, path: str) -> None:
     """A file for each lecture and format, to be handed out, in the folder that they name; it holds the body and ends with a line end. What a lecture had before in that format is replaced, all else stays."""
     rows = bodies.select("format", "video_id", F.regexp_replace("body", r"\n\z", "").alias("value"))
