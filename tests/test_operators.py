@@ -4,6 +4,7 @@ import json
 import re
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -243,3 +244,25 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "t" / "a.json").write_text('[{"text":"x","start":0,"duration":2}]')
     (tmp_path / "t" / "b.json").write_text('{"metadata":{},"segments":[{"text":"y","start":1,"end":3}]}')
     assert sorted((r.file, r.end_s, r.text) for r in files.read_transcripts(spark, f"{tmp_path}/t").collect()) == [("a", 2.0, "x"), ("b", 3.0, "y")]
+
+
+def test_dense_compares_all_parts_and_breaks_ties_by_id(spark, monkeypatch):
+    monkeypatch.setattr(R, "PART", 30)
+    monkeypatch.setattr(R, "BLOCK", 7)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 24))
+    rows = [(i, base[i % 40].tolist()) for i in range(200)]  # each vector five times
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    try:
+        got = {(r.query_id, r["rank"]): r.vec_id for r in R.dense(vectors.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id"), vectors, 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 200, 5):
+        s = np.round(unit @ unit[q % 40], 9)
+        order = sorted((x for x in range(200) if x != q), key=lambda x: (-s[x % 40], x))
+        want |= {(q, n + 1): x for n, x in enumerate(order[:7])}
+    assert got == want
