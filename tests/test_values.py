@@ -259,3 +259,13 @@ def test_search_results_are_diverse_candidates_with_their_text(spark, data):
             worth = {x: 0.7 * score[x] - 0.3 * max((sum(a * b for a, b in zip(v[x], v[y], strict=True)) for y in chosen[:n]), default=0.0) for x in left}
             assert worth[c] >= max(worth.values()) - 1e-5
             del left[c]
+
+
+def test_scores_of_the_same_words_are_the_same_whatever_their_order(spark, tmp_path):
+    rng, words = random.Random(3), [f"w{i}" for i in range(40)]
+    said = {c: rng.sample(words, 12) for c in range(30)}
+    chunks = [(1, 2 * c + k, " ".join(w if k == 0 else reversed(w))) for c, w in said.items() for k in (0, 1)]
+    path = (tmp_path / "i").as_uri()
+    SI.build(spark.createDataFrame(chunks, "video_id long, chunk long, text string").repartition(7), path)
+    got = {r.chunk: r.score for r in SI.Index(spark, path).scores(spark.createDataFrame([(1, 1, w) for w in words], "query_id long, video_id long, term string").repartition(7)).collect()}
+    assert len(got) == 60 and all(got[2 * c] == got[2 * c + 1] for c in said)
