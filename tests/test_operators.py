@@ -275,3 +275,8 @@ def test_overlap_counts_edits_in_bytes(spark):
     assert got[1, 2] == "NEAR" and got[2, 2] == "NEAR"
     rows = [(1, 1, a + "äöüäöü"), (1, 2, a + "      ")]  # 6 characters, but 12 bytes of 101 characters
     assert {r.idx: r.overlap_class for r in TR.overlap_class(spark.createDataFrame(rows, "video_id long, idx long, text string")).collect()}[2] == "INDEPENDENT"
+
+
+def test_folds_of_frames_and_scenes_take_many_lectures_a_call(spark, data):
+    for name in ("frame_dedup", "scene_merge", "vision_run"):
+        assert "FlatMapGroupsInPandas" not in entry.queries()[name](spark, data)._jdf.queryExecution().toString()

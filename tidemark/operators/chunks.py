@@ -85,19 +85,24 @@ def or_transcript(chunks: DataFrame, transcripts: DataFrame) -> DataFrame:
 def merge_scenes(scenes: DataFrame, least_ms: int = 2000) -> DataFrame:
     """Scenes numbered anew after a scene shorter than least_ms has taken in the ones that follow; the last may stay short."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("scene_number", kind="stable")
+    def numbers(start: list, stop: list) -> list[int]:
         number, begin, end, out = 0, None, 0, []
-        for a, b in zip(pdf["start_ms"], pdf["end_ms"], strict=True):
+        for a, b in zip(start, stop, strict=True):
             if begin is None or end - begin >= least_ms:
                 number, begin = number + 1, a
             end = b
             out.append(number)
-        return pd.DataFrame({"video_id": pdf["video_id"], "scene_number": pdf["scene_number"], "merged": out})
+        return out
 
-    numbers = scenes.select("video_id", "scene_number", "start_ms", "end_ms").groupBy("video_id").applyInPandas(run, "video_id long, scene_number long, merged long")
-    rows = scenes.join(numbers, ["video_id", "scene_number"])
-    return rows.groupBy("video_id", F.col("merged").alias("scene_number")).agg(F.min_by("start_ms", rows["scene_number"]).alias("start_ms"), F.max_by("end_ms", rows["scene_number"]).alias("end_ms"), F.sum("frame_count").alias("frame_count"))
+    @F.pandas_udf("array<long>")
+    def merged(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for start, stop in parts:
+            yield pd.Series([numbers(a.tolist(), b.tolist()) for a, b in zip(start, stop, strict=True)], dtype=object)
+
+    one = F.struct("scene_number", "start_ms", "end_ms", "frame_count")
+    lectures = scenes.groupBy("video_id").agg(F.array_sort(F.collect_list(one)).alias("s")).withColumn("merged", merged("s.start_ms", "s.end_ms"))
+    rows = lectures.select("video_id", F.explode(F.arrays_zip("s", "merged")).alias("x")).select("video_id", "x.s.*", "x.merged")
+    return rows.groupBy("video_id", "merged").agg(F.min_by("start_ms", "scene_number").alias("start_ms"), F.max_by("end_ms", "scene_number").alias("end_ms"), F.sum("frame_count").alias("frame_count")).withColumnRenamed("merged", "scene_number")
 
 
 def fallback_scenes(media: DataFrame) -> DataFrame:

@@ -21,19 +21,25 @@ def hamming(a: Column, b: Column) -> Column:
 def unique_frames(frames: DataFrame, threshold: int = 5, memory: int = 50) -> DataFrame:
     """is_duplicate: fewer than threshold bits from one of the last memory hashes that were kept. A null hash is a duplicate."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
+    def duplicates(hashes: list) -> list[bool]:
         kept: list[int] = []
         out = []
-        for h in pdf["phash"]:
+        for h in hashes:
             x = None if h is None else int(h, 16)
             duplicate = x is None or any((x ^ k).bit_count() < threshold for k in kept[-memory:])
             if not duplicate:
                 kept.append(x)
             out.append(duplicate)
-        return pd.DataFrame({"video_id": pdf["video_id"], "idx": pdf["idx"], "is_duplicate": out})
+        return out
 
-    return frames.select("video_id", "idx", "phash").groupBy("video_id").applyInPandas(run, "video_id long, idx long, is_duplicate boolean")
+    @F.pandas_udf("array<boolean>")
+    def marked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashes in parts:
+            yield pd.Series([duplicates(x) for x in hashes], dtype=object)
+
+    # many lectures in a batch: a call for each one costs more than its frames
+    lectures = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("idx", "phash"))).alias("f")).withColumn("d", marked("f.phash"))
+    return lectures.select("video_id", F.explode(F.arrays_zip("f", "d")).alias("x")).select("video_id", "x.f.idx", F.col("x.d").alias("is_duplicate"))
 
 
 def blur_split(frames: DataFrame, floor: float = 30.0) -> DataFrame:
