@@ -6,6 +6,7 @@ import random
 import time
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,3 +271,54 @@ def test_transcripts_of_a_library_are_packed(spark, data, tmp_path, monkeypatch)
     files.keep_transcripts(spark.createDataFrame(either, "file string, value string"), f"{tmp_path.as_uri()}/either")
     got = sorted(tuple(r) for r in files.kept_transcripts(spark, f"{tmp_path.as_uri()}/either").collect())
     assert got == [("1", 1, 1.0, 3.0, "x"), ("2", 1, 1.0, 4.0, ""), ("2", 2, 0.0, 0.0, "z")]
+
+
+class Held:
+    """State of one key that counts the calls."""
+
+    def __init__(self):
+        self.rows, self.calls, self.told = [], [], None
+
+    def get(self):
+        return iter(self.rows) if self.told is None else self.told
+
+    def put(self, rows):
+        self.rows = list(rows)
+        self.calls.append("put")
+
+    def clear(self):
+        self.rows = []
+
+    def exists(self):
+        return self.told is not None
+
+    def update(self, value):
+        self.told = value
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+
+    deleteTimer = registerTimer
+    getCurrentWatermarkInMs = lambda self: 0
+
+
+def test_health_holds_back_rows_from_the_last_success_on_only():
+    b, held, settled = J.Breaker(3, 120, 60), Held(), Held()
+    b.handle, b.settled, b.held = Held(), settled, held
+    frame = lambda rows: pd.DataFrame(rows, columns=["at", "request_id", "success", "rate_limited"])
+    first = [(i * SECOND, i, i % 7 == 0, False) for i in range(1, 1000)]  # the last success is 994
+    out = pd.concat(b.handleInputRows(("p",), iter([frame(first[500:]), frame(first[:500])]), Held()))
+    assert (out["failures"].tolist(), len(held.rows)) == ([5], 6)
+    out = pd.concat(b.handleInputRows(("p",), iter([frame([(996 * SECOND, 2000, True, False), (3, 2001, False, False)])]), Held()))
+    assert (out["failures"].tolist(), [r[1] for r in held.rows]) == ([3], [2000, 997, 998, 999])
+
+
+def test_limiter_stores_nothing_for_rejected_attempts():
+    from pyspark.sql import Row
+
+    limiter, handle = J.Limiter(2, 3600), Held()
+    limiter.handle, limiter.accepted = handle, Held()
+    attempts = lambda *s: [r.rejected for r in limiter.handleInputRows((1, "x"), iter([Row(at=t * SECOND) for t in s]), None)]
+    assert attempts(20, 10, 30) == [False, False, True] and (limiter.accepted.calls, handle.calls) == (["put"], ["timer"])
+    assert attempts(40, 50) == [True, True] and (limiter.accepted.calls, handle.calls) == (["put"], ["timer"])
+    assert attempts(3611) == [False] and limiter.accepted.rows == [(20 * SECOND,), (3611 * SECOND,)]
