@@ -161,6 +161,23 @@ def test_diversity(spark):
     assert got == {0: 1, 1: 2} or got == {0: 1, 2: 2}
 
 
+def test_diversity_of_many_queries_is_a_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = [(q, c, float(rng.integers(0, 9)) / 8, [float(x) for x in rng.normal(size=4)]) for q in range(60) for c in range(q % 8 + 1)]
+    out = R.diverse(spark.createDataFrame(rows, "query_id long, chunk long, score double, vector array<double>"))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # not a Python call for each query
+    want = set()
+    for q in range(60):
+        own = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))[:5]
+        unit, left, chosen = [np.array(r[3]) / np.linalg.norm(r[3]) for r in own], list(range(len(own))), []
+        while left and len(chosen) < 3:
+            best = max(left, key=lambda i: (0.7 * own[i][2] - 0.3 * max((float(unit[i] @ unit[j]) for j in chosen), default=0.0), -i))
+            chosen.append(best)
+            left.remove(best)
+        want |= {(q, own[i][1], n) for n, i in enumerate(chosen, 1)}
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_knowledge_of_all_lectures_is_a_loop(spark, data):
     rows = lambda name: sorted(map(tuple, entry.queries()[name](spark, data).collect()), key=repr)
     own = defaultdict(list)
