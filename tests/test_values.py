@@ -269,3 +269,12 @@ def test_scores_of_the_same_words_are_the_same_whatever_their_order(spark, tmp_p
     SI.build(spark.createDataFrame(chunks, "video_id long, chunk long, text string").repartition(7), path)
     got = {r.chunk: r.score for r in SI.Index(spark, path).scores(spark.createDataFrame([(1, 1, w) for w in words], "query_id long, video_id long, term string").repartition(7)).collect()}
     assert len(got) == 60 and all(got[2 * c] == got[2 * c + 1] for c in said)
+
+
+def test_rows_of_a_chunk_are_one_chunk(spark, tmp_path):
+    path = (tmp_path / "i").as_uri()
+    SI.build(spark.createDataFrame([(1, 1, "a b"), (1, 1, "B ... c"), (1, 2, "--"), (1, 3, None), (1, 4, "b")], "video_id long, chunk long, text string"), path)
+    index = SI.Index(spark, path)
+    assert sorted(map(tuple, index.postings().collect())) == [(1, 1, "a", 1, 4), (1, 1, "b", 2, 4), (1, 1, "c", 1, 4), (1, 4, "b", 1, 1)]
+    assert [tuple(r) for r in index.lectures.collect()] == [(1, 2, 2.5)]
+    assert {(r.term, r.df) for r in index.held.collect()} == {("a", 1), ("b", 2), ("c", 1)}
