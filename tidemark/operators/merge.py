@@ -70,12 +70,18 @@ def saved_lectures(built: DataFrame, segments: DataFrame, windows: DataFrame, fr
         (F.col("timestamp_ms") / 1000).alias("timestamp_sec"), F.nullif("clean_text", F.lit("")).alias("ocr_text"), F.nullif("importance", F.lit(0.0)).alias("importance_score"),
     )
     shown = shown.groupBy("video_id", "scene_number").agg(F.array_sort(F.collect_list(F.struct("idx", "frame_path", "timestamp_sec", F.col("scene_number"), "ocr_text", "importance_score", F.lit(None).cast("double").alias("transcript_similarity")))).alias("shown"))
-    rows = built.withColumn("scene_number", F.when(F.col("kind") == "scene", F.col("number"))).join(said, ["video_id", "scene_number"], "left").join(shown, ["video_id", "scene_number"], "left")
-    section = F.struct(
-        "section_index", F.format_string("section_%03d", F.col("section_index").cast("int")).alias("section_id"), F.col("start_s").alias("start_time"), F.col("end_s").alias("end_time"), F.when(F.col("scene_number").isNotNull(), F.array("scene_number")).alias("scene_numbers"),
-        F.transform("said", lambda x: x.dropFields("idx")).alias("transcript_segments"), F.transform("shown", lambda x: x.dropFields("idx")).alias("frames"),
+    # a lecture's sections, speech and frames move once, by the lecture, and meet there by the scene
+    part = F.struct("section_index", "start_s", "end_s")
+    rows = built.select("video_id", F.when(F.col("kind") == "scene", F.col("number")).alias("scene_number"), part.alias("part"))
+    for held in (said, shown):
+        rows = rows.unionByName(held.where("scene_number is not null"), allowMissingColumns=True)
+    met = rows.repartition("video_id").groupBy("video_id", "scene_number").agg(F.collect_list("part").alias("parts"), F.first("said", True).alias("said"), F.first("shown", True).alias("shown")).where(F.size("parts") > 0)
+    section = lambda x: F.struct(
+        x["section_index"].alias("section_index"), F.format_string("section_%03d", x["section_index"].cast("int")).alias("section_id"), x["start_s"].alias("start_time"), x["end_s"].alias("end_time"), F.when(F.col("scene_number").isNotNull(), F.array("scene_number")).alias("scene_numbers"),
+        F.transform("said", lambda y: y.dropFields("idx")).alias("transcript_segments"), F.transform("shown", lambda y: y.dropFields("idx")).alias("frames"),
     )
-    return rows.groupBy(F.col("video_id").cast("string").alias("video_id")).agg(F.transform(F.array_sort(F.collect_list(section)), lambda x: x.dropFields("section_index")).alias("sections"), F.create_map(F.lit("sections"), F.count("*").cast("double")).alias("statistics"))
+    listed = F.array_sort(F.flatten(F.collect_list(F.transform("parts", section))))
+    return met.groupBy("video_id").agg(listed.alias("listed"), F.sum(F.size("parts")).cast("double").alias("n")).select(F.col("video_id").cast("string").alias("video_id"), F.transform("listed", lambda x: x.dropFields("section_index")).alias("sections"), F.create_map(F.lit("sections"), F.col("n")).alias("statistics"))
 
 
 def lecture_markdown(built: DataFrame, segments: DataFrame, windows: DataFrame, frames: DataFrame) -> DataFrame:
