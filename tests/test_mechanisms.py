@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 import time
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.operators import knowledge as K
+from tidemark.operators import merge as M
 from tidemark.operators import telemetry as T
 from tidemark.operators import vision as V
 from tidemark.sources import files
@@ -181,6 +183,40 @@ def test_replaced_frames(spark):
     assert len(keys[0]) == 3 and all(k == keys[0] for k in keys)
 
 
+def test_replaced_tables_are_computed_once_however_many_lectures_are_sent(spark, monkeypatch):
+    for sent in (files.SENT, 0):
+        monkeypatch.setattr(files, "SENT", sent)
+        path, seen = folders.new_folder(spark, "frames"), spark.sparkContext.accumulator(0)
+
+        def looked(v, seen=seen):
+            seen.add(1)
+            return True
+
+        rows = lambda lectures, text: spark.createDataFrame([(v, text) for v in lectures], "video_id long, text string").where(F.udf(looked, "boolean")("video_id"))  # noqa: E731, B023
+        ids = lambda *x: spark.createDataFrame([(v,) for v in x], "video_id long")
+        rows(range(30), "old").join(ids(*range(30)), "video_id", "left_semi").write.format("noop").mode("append").save()
+        once = seen.value
+        files.replace_frames(ids(*range(30)), {"t": rows(range(30), "old")}, path, 5)
+        assert 30 <= once == seen.value - once
+        files.replace_frames(ids(*range(0, 50, 2)), {"t": rows(range(0, 60, 4), "new")}, path, 5)  # 52 and 56 aren't to be replaced
+        files.replace_frames(rows([1, 3], ""), {"t": rows([1, 3], "own")}, path, 5, own=True)
+        got = {(r.video_id, r.text) for r in files.read_frames(spark, path, "t").collect()}
+        assert got == {(v, "old") for v in range(5, 30, 2)} | {(v, "new") for v in range(0, 50, 4)} | {(1, "own"), (3, "own")}
+
+
+def test_saved_lectures_move_by_lecture_only(spark, data):
+    s, scenes = P.segments(spark, data), P.scenes(spark, data)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = M.saved_lectures(M.sections(s, scenes), s, M.scene_windows(scenes), P.frames(spark, data).withColumn("importance", F.col("average_confidence")))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert moved and not [x for x in moved if "scene_number" in x]
+
+
 def test_lectures_with_missing_keys_get_defaults(spark, tmp_path):
     frame = {"frame_path": "f.jpg", "timestamp_sec": 1.5, "scene_number": 2}
     whole = {

@@ -65,7 +65,7 @@ def export_files(spark: SparkSession, path: str) -> DataFrame:
 def keep_exports(bodies: DataFrame, path: str, buckets: int | None = None) -> None:
     """The exports of a whole library, thousands of lectures packed in a Parquet file: one file each would be billions of small ones. All formats of the lectures given are replaced, others stay."""
     ended = F.concat(F.regexp_replace("body", r"\n\z", ""), F.lit("\n"))
-    replace_frames(bodies, {"exports": bodies.select("video_id", "format", F.encode(ended, "UTF-8").alias("content"))}, path, buckets or BUCKETS)
+    replace_frames(bodies, {"exports": bodies.select("video_id", "format", F.encode(ended, "UTF-8").alias("content"))}, path, buckets or BUCKETS, own=True)
 
 
 def kept_exports(spark: SparkSession, path: str) -> DataFrame:
@@ -94,8 +94,8 @@ LECTURE = (
 
 
 def write_lectures(lectures: DataFrame, path: str) -> None:
-    """Lectures by LECTURE as JSON, one a line; empty values are left out and come back as defaults."""
-    lectures.write.mode("overwrite").json(path)
+    """Lectures by LECTURE as JSON, one a line, packed by gzip; empty values are left out and come back as defaults."""
+    lectures.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def read_lectures(spark: SparkSession, path: str) -> DataFrame:
@@ -124,25 +124,35 @@ def read_lectures(spark: SparkSession, path: str) -> DataFrame:
 BUCKETS = 64
 
 
-def replace_frames(lectures: DataFrame, tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS) -> None:
+#: Lectures up to which their ids are sent to every task (16 bytes each), so that no table has to move; more are met by a shuffle.
+SENT = 1_500_000
+
+
+def replace_frames(lectures: DataFrame, tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS, own: bool = False) -> None:
     """Replaces all rows of the lectures (video_id) in each of the tables by those given, of which some lectures may have none; other lectures stay.
+    Rows of other lectures are left out, unless own says that there are none.
 
     Tables are kept in folders by a hash of the lecture, of which only those with a lecture to replace are written again, by a dynamic
     overwrite: it is staged beside them and takes their place when it is complete, so doing it again, or after a failure, ends in the same rows.
+    Each task writes its rows where they belong, so a folder has a file for each task at most and rows aren't shuffled to be written.
     """
     spark = lectures.sparkSession
     bucket = F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int")
     lectures = folders.checkpointed(spark)(lectures.select("video_id").distinct())
-    touched = {r[0] for r in lectures.select(bucket.alias("bucket")).distinct().collect()}  # buckets at most
+    counts = {r[0]: r[1] for r in lectures.groupBy(bucket.alias("bucket")).count().collect()}  # buckets at most
+    if sum(counts.values()) <= SENT:
+        lectures = F.broadcast(lectures)
     for name, table in tables.items():
-        rows, place = table.join(lectures, "video_id", "left_semi").withColumn("bucket", bucket), f"{path}/{name}"
+        rows, place = table if own else table.join(lectures, "video_id", "left_semi"), f"{path}/{name}"
+        rows, before = rows.withColumn("bucket", bucket), {}
         if folders.exists(spark, place):
-            stay = spark.read.schema(rows.schema).parquet(place).where(F.col("bucket").isin(*touched)).join(lectures, "video_id", "left_anti")
+            before = {b: folders.names(spark, f"{place}/bucket={b}") for b in counts}
+            stay = spark.read.schema(rows.schema).parquet(place).where(F.col("bucket").isin(*counts)).join(lectures, "video_id", "left_anti")
             rows = stay.unionByName(rows)
-        filled = {r[0] for r in rows.select("bucket").distinct().collect()}  # buckets at most
-        rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(place)
-        for b in touched - filled:  # an overwrite leaves a folder alone for which it has no row
-            folders.remove(spark, f"{place}/bucket={b}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(place)
+        for b, names in before.items():  # an overwrite leaves a folder alone for which it has no row
+            if names and folders.names(spark, f"{place}/bucket={b}") == names:
+                folders.remove(spark, f"{place}/bucket={b}")
 
 
 def read_frames(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -151,7 +161,7 @@ def read_frames(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def save_stage(table: DataFrame, path: str, stage: str) -> DataFrame:
     """A stage's table, written and read again, so that a later run can start there."""
-    table.write.mode("overwrite").parquet(f"{path}/{stage}")
+    table.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{stage}")
     return table.sparkSession.read.parquet(f"{path}/{stage}")
 
 
