@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom, bpe, bwt, components, decontamination, embedding_dedup, exchange, filtering, hashing, jaccard_join, line_dedup, quality, substring_dedup, suffix_dedup, suffix_tree_lm, token_counts
+from tidemark.llm import bloom, bpe, bwt, components, decontamination, embedding_dedup, exchange, filtering, hashing, jaccard_join, line_dedup, quality, rarest, substring_dedup, suffix_dedup, suffix_tree_lm, token_counts
 from tidemark.llm.queries import tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -505,3 +505,40 @@ def test_pipeline_stages_on_odd_rows(spark, data):
         rows = out.collect()
         assert rows and all(r[c] == f"mine {c}" for r in rows for c in names)
         assert stage(spark, odd.limit(0), data).count() == 0
+
+
+def test_sketches_are_as_long_as_their_sets_need():
+    """Two bits a shingle at least, a fraction of a set's bytes; the distance of sketches of any two lengths never exceeds that of the sets."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 1 << 54, n, dtype=np.uint64)) for n in (1, 5, 40, 300, 500, 520, 9000)]
+    rows += [np.unique(np.r_[x[len(x) // 9 :], rng.integers(0, 1 << 54, 7, dtype=np.uint64)]) for x in rows]
+    n = np.array([len(x) for x in rows])
+    got = jaccard_join.sketches(np.concatenate(rows), n)
+    assert [len(x) for x in got] == [min(512, max(8, (1 << int(2 * m - 1).bit_length()) // 8)) for m in n.tolist()]
+    a, b = np.triu_indices(len(rows))
+    far = jaccard_join.apart([got[i] for i in a], [got[i] for i in b])
+    assert all(x <= len(np.setxor1d(rows[i], rows[j])) for x, i, j in zip(far, a, b, strict=True)) and not far[a == b].any()
+
+
+@pytest.mark.parametrize("bits", [32, 3])
+def test_rarest_shingles_meet_without_their_sets(spark, tmp_path, monkeypatch, bits):
+    """Texts are packed as they are in files, only nodes meet, and shingles that agree in the bits that are sent lose no pair."""
+    monkeypatch.setattr(rarest, "KEY_BITS", bits)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[: 50 + i % 3], *(f"x{i}{j}" for j in range(i % 4))])) for i in range(24)]
+    spark.createDataFrame([*rows, rows[5]], "id long, text string").write.parquet(f"{tmp_path}/texts")
+    nodes = spark.createDataFrame([(i, i % 5) for i in range(20)], "id long, component long")
+    got = rarest.across(spark.read.parquet(f"{tmp_path}/texts"), nodes, "text", lambda t: jaccard_join._hashes(t, 5)).collect()
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    alike = {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 5 != b % 5 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    found = {(r.a, r.b) for r in got}
+    assert alike and alike <= found and all(a < b < 20 and a % 5 != b % 5 for a, b in found)
+
+
+def test_jaccard_rows_of_one_document_in_and_beside_hot_parts(spark, monkeypatch):
+    """A document with a row in hot parts, whose text is stored at once, is still compared by its other row."""
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    common, own = " ".join(f"c{i}" for i in range(80)), " ".join(f"o{i}" for i in range(80))
+    rows = [*((i, f"{common} {i}") for i in range(1, 9)), (5, own), (20, f"{own} more"), (30, "nothing like these at all here")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.similar_documents(documents(spark, rows)).collect()}
+    assert {k[0]: v for k, v in got.items()} == {**dict.fromkeys([*range(1, 9), 20], 1), 30: 30}

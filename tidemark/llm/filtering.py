@@ -16,7 +16,7 @@ from tidemark.llm.storage import written
 def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs whose key is among ids (one column). As in without, the filter and the join behind it: what a full filter lets pass is left out all the same."""
     ids = written(ids.toDF("chosen").where("chosen is not null").distinct())
-    passed = _flagged(docs, ids, key).where("tidemark_may_go").drop("tidemark_may_go")
+    passed = marked(docs, ids, key).where("tidemark_may_go").drop("tidemark_may_go")
     return passed.join(ids, passed[key] == ids["chosen"], "left_semi")
 
 
@@ -27,13 +27,13 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     can't clear are joined with ids, so their texts alone are shuffled.
     """
     ids = written(ids.toDF("gone").where("gone is not null").distinct())
-    flagged = _flagged(docs, ids, key)
+    flagged = marked(docs, ids, key)
     clear = flagged.where("not tidemark_may_go").drop("tidemark_may_go")
     doubtful = flagged.where("tidemark_may_go").drop("tidemark_may_go")
     return clear.unionByName(doubtful.join(ids, doubtful[key] == ids["gone"], "left_anti"))
 
 
-def _flagged(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+def marked(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """docs with tidemark_may_go: whether the key may be among ids."""
     wanted = bloom.build(ids.select(F.xxhash64(ids.columns[0])))
 

@@ -16,7 +16,8 @@ document of which at most r parts are empty or hot is sure to meet every partner
 a part that is not, so hot parts (a common line, a large group) need only be looked at for
 the others, and of those only the ones beyond r, the rarest: there each is first checked
 against the smallest document of the part; documents of such parts that are still in
-different components meet by the rarest fifth of their shingles.
+different components meet by the rarest fifth of their shingles. The texts of these documents are
+stored where their parts are known, and sets are made of them where they are needed.
 Every candidate is verified by the exact intersection of the sets.
 
 Defined results: with fewer than five words the whole sequence is the one shingle; a null
@@ -45,13 +46,12 @@ from tidemark.llm.storage import let_go, scratch, written
 #: Members of a part of which all pairs are counted.
 HOT = 16
 WIDTH_BITS = 20
-#: Bits of a shingle's hash, beside the row in a slice of at most 1024; sets are stored with so many bytes a hash.
+#: Bits of a shingle's hash, beside the row in a slice of at most 1024.
 HASH_BITS = 54
-HASH_BYTES = 7
 #: Bits of a part's code that are sent; others choose its shard.
 CODE_BITS = 48
-#: Bits of the compact sketch that candidates are compared by before their sets are.
-SKETCH_BITS = 4096
+#: Least and most bits of the compact sketch that candidates are compared by before their sets are; between, two for each shingle.
+SKETCH_BITS = (64, 4096)
 #: Size bands grow by this ratio.
 BAND = (5, 3)
 
@@ -174,7 +174,8 @@ def _nodes(batch: int, entry: np.ndarray, below: np.ndarray) -> np.ndarray:
 
 def _met(docs: DataFrame, k: int) -> DataFrame:
     """(kind, a, b, c, d), all that batches and shards find out: 0 pairs of nodes (a, b, n shared); 1 nodes (node, doc_id, hot parts, needed);
-    2 documents (doc_id, n_shingles, smallest equal one or null); 3 hot parts (part, doc_id) that a document may not leave out."""
+    2 documents (doc_id, n_shingles, smallest equal one or null); 3 hot parts (part, doc_id) that a document may not leave out;
+    4 documents of those (doc_id, n_shingles), with sketch and text."""
     n_shards = X.shards(docs)
     packed = X.pack(docs)
 
@@ -244,13 +245,15 @@ def _met(docs: DataFrame, k: int) -> DataFrame:
     def told(kind: int, *columns: np.ndarray) -> pa.Table:
         arrays = [pa.array(np.full(len(columns[0]), kind)), *(c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in columns)]
         zeros = [pa.array(np.zeros(len(columns[0]), np.int64))] * (4 - len(columns))
-        return pa.Table.from_arrays([*arrays, *zeros], ["kind", "a", "b", "c", "d"])
+        none = [pa.nulls(len(columns[0]), pa.binary()), pa.nulls(len(columns[0]), pa.string())]
+        return pa.Table.from_arrays([*arrays, *zeros, *none], ["kind", "a", "b", "c", "d", "sketch", "text"])
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         bodies = dict(zip(right.column("shard").to_pylist(), right.column("body").to_pylist(), strict=True))
         if not left.num_rows:  # pairs from a shard
             return pa.concat_tables([told(0, *X.load(x, np.int64, np.int64, np.int64)) for x in bodies.values()])
-        v, batch = View(X.unpack(left.column("body")[0].as_py()), k), left.column("batch")[0].as_py()
+        table = X.unpack(left.column("body")[0].as_py())
+        v, batch = View(table, k), left.column("batch")[0].as_py()
         least = X.load(bodies.pop(X.KEPT), np.int64)[0]
         entries, entry, short, order, bounds = v.parts(least, n_shards)
         members, shard = np.zeros(len(entry), np.int64), np.zeros(len(entry), np.uint64)
@@ -269,45 +272,66 @@ def _met(docs: DataFrame, k: int) -> DataFrame:
         stay = rank >= entries[entry[hot], 2]
         doc = v.ids[entries[:, 0]]
         rep = least[v.which]
+        some = np.unique(entries[entry[hot[stay]], 0])
+        chosen = np.zeros(len(v.n), bool)
+        chosen[some] = True
+        texts = table.column("text").take(pa.array(some)).cast(pa.string()).combine_chunks()
         return pa.concat_tables([
             told(1, _nodes(batch, np.arange(len(entries)), entries[:, 1]), doc, n_hot, entries[:, 3]),
             told(2, v.ids, v.n, pa.array(rep, mask=v.n == 0)),
             told(3, part[stay], doc[entry[hot[stay]]]),
+            told(4, v.ids[some], v.n[some]).set_column(5, "sketch", pa.array(sketches(v.h[np.repeat(chosen, v.n)], v.n[some]), pa.binary())).set_column(6, "text", texts),
         ])
 
     mail = X.answer(X.ask(packed, classes), least_of)
     mail = X.ask_again(packed, mail, send).groupBy("shard").applyInArrow(meet, X.REPLY)
-    return packed.groupBy("batch").cogroup(mail.groupBy("batch")).applyInArrow(settle, "kind long, a long, b long, c long, d long")
+    return packed.groupBy("batch").cogroup(mail.groupBy("batch")).applyInArrow(settle, "kind long, a long, b long, c long, d long, sketch binary, text string")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, sketch, set) of the wanted documents: a parity sketch of SKETCH_BITS, and the sorted hashes, HASH_BYTES each."""
+def sketches(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity sketches of rows with n hashes each: of two rows, cut to the shorter by XOR of its parts, they differ in no more bits than the sets in hashes."""
+    bits = np.clip(np.int64(1) << np.ceil(np.log2(2 * np.maximum(n, 1))).astype(np.int64), *SKETCH_BITS)
+    begin = np.r_[0, np.cumsum(bits)]
+    at = np.repeat(begin[:-1], n) + (H.mix(h) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    flat = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8)).tobytes()
+    return [flat[x:y] for x, y in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist(), strict=True)]
+
+
+def apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many bits the sketches of each pair differ."""
+    width = np.array([[len(x), len(y)] for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(left), np.int64)
+    for pair in np.unique(width, axis=0):
+        at = np.flatnonzero((width == pair).all(axis=1))
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join([side[i] for i in at]), np.uint64).reshape(len(at), -1, pair.min() // 8), axis=1) for side in (left, right))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
+def _sketched(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, sketch, text) of the documents that have shingles."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in X.slices(batches, 1 << 20):
-            row, h, n, _ = sets(b.column(1), k)
+            _, h, n, _ = sets(b.column(1), k)
             some = np.flatnonzero(n)
-            bits = np.bincount(row * SKETCH_BITS + (H.mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=len(n) * SKETCH_BITS) & 1
-            sketch = np.packbits(bits.reshape(len(n), SKETCH_BITS).astype(np.uint8), axis=1)[some]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(rarest.narrow(h, n[some], HASH_BYTES), pa.binary())], ["id", "n", "sketch", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(n[some]), pa.array(sketches(h, n[some]), pa.binary()), b.column(1).take(pa.array(some)).cast(pa.string())], ["id", "n", "sketch", "text"])
 
-    return only(docs, ids).mapInArrow(emit, "id long, n long, sketch binary, set binary")
+    return docs.mapInArrow(emit, "id long, n long, sketch binary, text string")
 
 
-def _linked(known: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
-    """Those of the pairs (a, b, block) that are similar, by the exact intersection of their sets; those that the sketches show to be too far apart never send their sets."""
+def _linked(known: DataFrame, pairs: DataFrame, k: int, percent: int = 80) -> DataFrame:
+    """Those of the pairs (a, b, block) that are similar, by the exact intersection of their sets; those that the sketches show to be too far apart never send their texts."""
     sketched = with_sides(pairs, known, ["n", "sketch"]).select("a", "b", "block", "a_n", "b_n", "a_sketch", "b_sketch")
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (5, 6))
-            apart = np.bitwise_count(x ^ y).sum(axis=1)
             both = b.column(3).to_numpy() + b.column(4).to_numpy()
-            keep = (100 + percent) * apart.astype(np.int64) <= (100 - percent) * both  # the symmetric difference is the Jaccard distance of the union
+            keep = (100 + percent) * apart(b.column(5).to_pylist(), b.column(6).to_pylist()) <= (100 - percent) * both  # the symmetric difference is the Jaccard distance of the union
             yield b.select(["a", "b", "block"]).filter(pa.array(keep))
 
     left = written(sketched.mapInArrow(may, "a long, b long, block int"))
-    both = with_sides(left, known, ["set"]).select("a", "b", "a_set", "b_set")
+    both = with_sides(left, known, ["text"]).select("a", "b", "a_text", "b_text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -315,16 +339,22 @@ def _linked(known: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
                 b = whole.slice(begin, 256)
                 key, size = [], np.zeros(b.num_rows, np.int64)
                 for side in (2, 3):
-                    h, n = rarest.wide(b.column(side).to_pylist(), HASH_BYTES)
-                    key.append(np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(8 * HASH_BYTES), n) | h)
+                    row, h, n, _ = sets(b.column(side), k)
+                    key.append(row.astype(np.uint64) << np.uint64(HASH_BITS) | h)
                     size += n
                 key = np.sort(np.concatenate(key))
-                common = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(8 * HASH_BYTES)).astype(np.int64), minlength=b.num_rows)
+                common = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(HASH_BITS)).astype(np.int64), minlength=b.num_rows)
                 yield b.select(["a", "b"]).filter(pa.array(100 * common >= percent * (size - common)))
 
     return both.mapInArrow(verify, "a long, b long").distinct()
 
 
+def _hashes(texts: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the sets of (id, text) rows, one after the other, and how many each has."""
+    got = [sets(b.column(1), k)[1:3] for b in X.slices(texts.to_batches(), 1 << 20)]
+    return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in got)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in got)])
+
+
 def similar_documents(docs: DataFrame, k: int = 5) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -341,9 +371,17 @@ def similar_documents(docs: DataFrame, k: int = 5) -> DataFrame:
         candidates = held(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         unsafe = found.where("kind = 3").select(F.col("a").alias("part"), F.col("b").alias("id"))
         equal = every.where("least <> doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-        known = held(_sets(keyed, unsafe.select("id").unionByName(candidates.select(F.col("a").alias("id"))).unionByName(candidates.select(F.col("b").alias("id"))), k))
-        rest = lambda nodes: rarest.across(known.select("id", "set").join(nodes, "id"), width=HASH_BYTES)
-        joined = link_groups(equal, candidates, unsafe, lambda pairs: _linked(known, pairs), rest)
+        sides = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct()
+        stored = unsafe.select("id").distinct()
+        # Of a doc_id that several rows have, stored is only what is in a hot part; such a document is stored again with all its rows.
+        again = every.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+        more = sides.join(stored, "id", "left_anti").unionByName(again.join(sides.unionByName(stored), "id", "left_semi"))
+        known = found.where("kind = 4").select(F.col("a").alias("id"), F.col("b").alias("n"), "sketch", "text").unionByName(held(_sketched(only(keyed, more), k)))
+
+        def rest(nodes: DataFrame) -> DataFrame:
+            return rarest.across(known.select("id", "text"), nodes, "text", lambda texts: _hashes(texts, k))
+
+        joined = link_groups(equal, candidates, unsafe, lambda pairs: _linked(known, pairs, k), rest)
     out = every.join(joined, every["doc_id"] == joined["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -276,21 +276,17 @@ def _linked(lines: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _sets(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component, set) of the lines that are nodes (id, component)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 2000):
-                b = whole.slice(begin, 2000)
-                raw = b.column(2).to_pylist()
-                ends = np.cumsum([len(x) for x in raw])
-                value, bounds = _shingles(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, ends[:-1]], ends)
-                both = H.distinct(np.repeat(np.arange(len(raw), dtype=np.uint64) << np.uint64(48), np.diff(bounds)) | (H.mix(value) >> np.uint64(16)))
-                n = np.bincount((both >> np.uint64(48)).astype(np.int64), minlength=len(raw))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rarest.narrow(both, n), pa.binary())], ["id", "component", "set"])
-
-    return lines.join(nodes, "id").select("id", "component", "line").mapInArrow(run, "id long, component long, set binary")
+def _hashes(lines: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the distinct shingles of (id, line) rows, one line after the other, and how many each has."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for begin in range(0, lines.num_rows, 2000):
+        raw = lines.column("line").slice(begin, 2000).to_pylist()
+        ends = np.cumsum([len(x) for x in raw])
+        value, bounds = _shingles(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, ends[:-1]], ends)
+        both = H.distinct(np.repeat(np.arange(len(raw), dtype=np.uint64) << np.uint64(48), np.diff(bounds)) | (H.mix(value) >> np.uint64(16)))
+        hashes.append(both & np.uint64((1 << 48) - 1))
+        counts.append(np.bincount((both >> np.uint64(48)).astype(np.int64), minlength=len(raw)))
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 def kept_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -301,7 +297,7 @@ def kept_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     members = found.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("id"))
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
     lines = _lines(keyed, ids)
-    joined = link_groups(pairs.limit(0), pairs, members, lambda p: _linked(lines, p, percent), lambda rest: rarest.across(_sets(lines, rest), percent))
+    joined = link_groups(pairs.limit(0), pairs, members, lambda p: _linked(lines, p, percent), lambda rest: rarest.across(lines.select("id", "line"), rest, "line", _hashes, percent))
     similar_lines = written(lines.drop("line").join(joined, "id"))
     first = similar_lines.groupBy("component").agg(F.min(F.struct("doc_id", "number")).alias("first"))
     fuzzy = similar_lines.drop("doc_id", "number").join(first, "component").select(F.col("id").alias("line"), "check", "first.doc_id", "first.number")
