@@ -542,3 +542,23 @@ def test_jaccard_rows_of_one_document_in_and_beside_hot_parts(spark, monkeypatch
     rows = [*((i, f"{common} {i}") for i in range(1, 9)), (5, own), (20, f"{own} more"), (30, "nothing like these at all here")]
     got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.similar_documents(documents(spark, rows)).collect()}
     assert {k[0]: v for k, v in got.items()} == {**dict.fromkeys([*range(1, 9), 20], 1), 30: 30}
+
+
+def test_tables_of_powers_are_kept_once():
+    """A table for each base, whatever lengths are asked for: a worker's memory doesn't hold shorter ones beside it."""
+    for base in (3, 5):
+        for n in (1, 70_000, 10, 300_000, 140_000):
+            assert hashing.powers(base, n).tolist()[-1] == pow(base, n - 1, 1 << 64) and len(hashing.powers(base, n)) == n
+    held = [len(hashing._POWERS[base]) for base in (3, 5)]
+    assert held == [1 << 19] * 2
+
+
+def test_grams_of_a_batch_are_held_piece_by_piece(spark, monkeypatch):
+    """Pieces of any size give the same scores, and no piece holds more than it may."""
+    rows = [(i, None if i == 3 else "" if i == 4 else f"word{i} and some {i * 7919} text. " * (i % 9)) for i in range(40)]
+    table = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    want = hashing.distinct(quality.grams(table)[0])
+    for size in (64, 1 << 18):
+        monkeypatch.setattr(quality, "HELD_BYTES", size)
+        assert (quality._distinct_grams(table) == want).all()
+        assert all(t.num_rows == 1 or t.column("text").combine_chunks().nbytes < 64 + 16 * t.num_rows for t in quality._pieces(table)) or size > 64

@@ -7,8 +7,6 @@ per-word Python objects are made.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 
@@ -21,16 +19,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> np.ndarray:
-    p = np.full(size, base, dtype=np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
+#: A table for each base, as long as was needed so far.
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; sizes are rounded up so that few tables are kept."""
-    return _powers(base, max(1 << 16, 1 << int(n - 1).bit_length() if n > 1 else 1))[:n]
+    """base**0 .. base**(n-1) modulo 2**64; sizes are rounded up so that tables seldom grow, and a shorter one isn't kept beside a longer one."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(1 << 16, 1 << int(n - 1).bit_length()), base, dtype=np.uint64)
+        known[0] = 1
+        _POWERS[base] = np.cumprod(known, dtype=np.uint64, out=known)
+    return known[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -25,6 +25,8 @@ says otherwise; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,8 @@ from tidemark.llm.storage import checkpoint
 ORDER = 5
 #: Bytes of letters that a word needs to count for the strangest word; a byte of a non-ASCII character is one.
 WORD_LETTERS = 3
+#: Bytes of text whose n-grams are held at a time; several arrays of 8 bytes go with each.
+HELD_BYTES = 1 << 18
 
 
 def grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +59,16 @@ def grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return out, row
 
 
+def _pieces(table: pa.Table) -> Iterator[pa.Table]:
+    """The rows of a batch, HELD_BYTES of text or one row at a time."""
+    for b in X.slices(table.select(["doc_id", "text"]).to_batches(), HELD_BYTES):
+        yield pa.Table.from_batches([b])
+
+
+def _distinct_grams(table: pa.Table) -> np.ndarray:
+    return H.distinct(np.concatenate([np.zeros(0, np.uint64), *(H.distinct(grams(t)[0]) for t in _pieces(table))]))
+
+
 def _shard(gram: np.ndarray, n_shards: int) -> np.ndarray:
     return (H.mix((gram >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(n_shards)).astype(np.int64)
 
@@ -165,7 +179,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     sharded = model.where("order > 2").mapInArrow(dealt, "shard int, kind string, order int, key long, value double")
 
     def ask(table: pa.Table):
-        g = H.distinct(grams(table)[0])
+        g = _distinct_grams(table)
         order, bounds = X.by_shard(_shard(g, n_shards), n_shards)
         for s in np.flatnonzero(np.diff(bounds)):
             yield int(s), X.dump(np.diff(g[order[bounds[s] : bounds[s + 1]]], prepend=np.uint64(0)))
@@ -184,16 +198,21 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     replies = X.ask(packed, ask).groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(answer, X.REPLY)
 
     def settle(table: pa.Table, replies: dict[int, bytes]) -> pa.Table:
-        g, row = grams(table)
-        every, inverse = np.unique(g, return_inverse=True)
+        every = _distinct_grams(table)
         order, bounds = X.by_shard(_shard(every, n_shards), n_shards)
         logs = np.zeros(len(every))
         for s, body in replies.items():
             logs[order[bounds[s] : bounds[s + 1]]] = X.load(body, np.float32)[0]
-        n = np.bincount(row, minlength=table.num_rows)
-        total = np.bincount(row, logs[inverse], table.num_rows)
-        perplexity = np.exp(-total / np.maximum(n, 1))
-        return pa.Table.from_arrays([table.column("doc_id"), table.column("lang"), pa.array(n), pa.array(perplexity, mask=n == 0), pa.array(strangest_words(table, -logs[inverse]))], ["doc_id", "lang", "n_symbols", "perplexity", "strangest_word"])
+        n, perplexity, strangest = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+        for t in _pieces(table):
+            g, row = grams(t)
+            own, inverse = np.unique(g, return_inverse=True)
+            log = logs[np.searchsorted(every, own)][inverse]
+            n.append(np.bincount(row, minlength=t.num_rows))
+            perplexity.append(np.exp(-np.bincount(row, log, t.num_rows) / np.maximum(n[-1], 1)))
+            strangest.append(strangest_words(t, -log))
+        n = np.concatenate(n)
+        return pa.Table.from_arrays([table.column("doc_id"), table.column("lang"), pa.array(n), pa.array(np.concatenate(perplexity), mask=n == 0), pa.array(np.concatenate(strangest))], ["doc_id", "lang", "n_symbols", "perplexity", "strangest_word"])
 
     return X.settle(packed, replies, settle, "doc_id long, lang string, n_symbols long, perplexity double, strangest_word double")
 
