@@ -562,3 +562,13 @@ def test_grams_of_a_batch_are_held_piece_by_piece(spark, monkeypatch):
         monkeypatch.setattr(quality, "HELD_BYTES", size)
         assert (quality._distinct_grams(table) == want).all()
         assert all(t.num_rows == 1 or t.column("text").combine_chunks().nbytes < 64 + 16 * t.num_rows for t in quality._pieces(table)) or size > 64
+
+
+def test_bodies_are_small_and_keep_their_arrays():
+    """Most requests are of a few keys: a body costs little beside them, and empty arrays and odd lengths come back."""
+    arrays = [np.arange(3, dtype=np.uint8), np.zeros(0, np.int64), np.array([1.5, -2]), np.array([True, False, True]), np.arange(5, dtype=np.uint32)]
+    body = exchange.dump(*arrays)
+    assert len(body) < 120 and exchange.load(exchange.dump()) == []
+    for got, want in zip(exchange.load(body, *(a.dtype for a in arrays)), arrays, strict=True):
+        assert got.dtype == want.dtype and got.tolist() == want.tolist()
+    assert len(exchange.load(body, np.uint8, np.int64)) == 2
