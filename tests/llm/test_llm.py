@@ -572,3 +572,20 @@ def test_bodies_are_small_and_keep_their_arrays():
     for got, want in zip(exchange.load(body, *(a.dtype for a in arrays)), arrays, strict=True):
         assert got.dtype == want.dtype and got.tolist() == want.tolist()
     assert len(exchange.load(body, np.uint8, np.int64)) == 2
+
+
+def test_ranges_are_hashed_part_by_part(monkeypatch):
+    """Hashes don't depend on the parts, and tables of powers are no longer than a part with its longest range."""
+    rng = np.random.default_rng(1)
+    buf = rng.integers(0, 256, 300_000).astype(np.uint8)
+    start = np.sort(rng.integers(0, 290_000, 5000))
+    end = start + rng.integers(0, 9000, 5000)
+    for lane in (0, 1):
+        want = hashing.hash_of(hashing.prefix_hashes(buf, lane), start, end, lane)
+        monkeypatch.setattr(hashing, "_POWERS", {})
+        monkeypatch.setattr(hashing, "HELD", 50_000)
+        assert (hashing.range_hash(buf, start, end, lane) == want).all()
+        assert max(map(len, hashing._POWERS.values())) == 1 << 16
+        back = np.arange(5000)[::-1]
+        assert (hashing.range_hash(buf, start[back], end[back], lane) == want[back]).all()
+    assert len(hashing.range_hash(buf, start[:0], end[:0])) == 0

@@ -12,6 +12,8 @@ import pyarrow as pa
 
 #: Odd multipliers of the two independent hash lanes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Symbols of a buffer that range_hash takes at a time.
+HELD = 1 << 17
 #: The white space that ends a word: space and 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -68,7 +70,14 @@ def flat(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.nda
 
 def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
     """Polynomial hash of buf[start:end] for every range; buf holds bytes or mixed hashes."""
-    return hash_of(prefix_hashes(buf, lane), start, end, lane)
+    if len(buf) <= HELD or (start[1:] < start[:-1]).any():
+        return hash_of(prefix_hashes(buf, lane), start, end, lane)
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):  # ranges in order: a part of buf at a time, so that no array is as long as it
+        low, j = start[i], int(np.searchsorted(start, start[i] + HELD))
+        out[i:j] = hash_of(prefix_hashes(buf[low : end[i:j].max()], lane), start[i:j] - low, end[i:j] - low, lane)
+        i = j
+    return out
 
 
 def prefix_hashes(buf: np.ndarray, lane: int = 0) -> np.ndarray:
