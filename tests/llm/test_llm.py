@@ -204,6 +204,13 @@ def test_op7_against_counts(spark, docs, empty, depth):
     assert len(suffix_tree_lm.score(documents(spark, [(3, "a"), (3, "a"), (None, None)]), min_count=1).collect()) == 3
 
 
+def test_op7_reads_the_batches_that_it_repacked(spark):
+    """Streams of words are bodies of arrays, not of rows, and every round reads them as such; null keys and empty texts come back."""
+    got = suffix_tree_lm.score(documents(spark, [(2, "a b a b"), (3, ""), (None, None), (-4, "c")]), min_count=1).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == [(False, -4, 2), (False, 2, 5), (False, 3, 1), (True, 0, 1)]
+    assert all(r.score < 0 and r.base_score < 0 for r in got)
+
+
 def test_op7_keeps_contexts_of_a_large_corpus(spark):
     """A context of min_count occurrences counts however many tokens there are besides."""
     rng = random.Random(12)

@@ -149,18 +149,18 @@ def _rows(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def ask(packed: DataFrame, fn: Callable[[pa.Table], Iterable[tuple[int, bytes]]]) -> DataFrame:
-    """fn gets a batch's rows and yields (shard, body) requests."""
+def ask(packed: DataFrame, fn: Callable[[pa.Table], Iterable[tuple[int, bytes]]], read: Callable[[bytes], object] = unpack) -> DataFrame:
+    """fn gets a batch's rows, or what else read makes of a body, and yields (shard, body) requests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for batch, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                yield _rows(["shard", "batch", "body"], [pa.int32(), pa.int64(), pa.binary()], [(s, batch, x) for s, x in fn(unpack(body.as_py()))])
+                yield _rows(["shard", "batch", "body"], [pa.int32(), pa.int64(), pa.binary()], [(s, batch, x) for s, x in fn(read(body.as_py()))])
 
     return packed.mapInArrow(run, REQUEST)
 
 
-def ask_again(packed: DataFrame, replies: DataFrame, fn: Callable[[pa.Table, dict[int, bytes]], Iterable[tuple[int, bytes]]]) -> DataFrame:
+def ask_again(packed: DataFrame, replies: DataFrame, fn: Callable[[pa.Table, dict[int, bytes]], Iterable[tuple[int, bytes]]], read: Callable[[bytes], object] = unpack) -> DataFrame:
     """As ask, for a later round: fn also gets the replies that the batch has had.
 
     What fn yields for the shard KEPT comes back with the replies, under KEPT.
@@ -168,7 +168,7 @@ def ask_again(packed: DataFrame, replies: DataFrame, fn: Callable[[pa.Table, dic
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         batch = key[0].as_py()
-        rows = [(s if s != KEPT else KEPT - 1 - batch % 100_003, batch, x) for s, x in fn(*_met(left, right))]
+        rows = [(s if s != KEPT else KEPT - 1 - batch % 100_003, batch, x) for s, x in fn(*_met(left, right, read))]
         return pa.Table.from_batches([_rows(["shard", "batch", "body"], [pa.int32(), pa.int64(), pa.binary()], rows)])
 
     return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, REQUEST)
@@ -188,15 +188,15 @@ def answer(requests: DataFrame, fn: Callable[[list[bytes]], list[bytes | None]])
     return requests.groupBy("shard").applyInArrow(run, REPLY)
 
 
-def _met(left: pa.Table, right: pa.Table) -> tuple[pa.Table, dict[int, bytes]]:
-    return unpack(left.column("body")[0].as_py()), dict(zip(right.column("shard").to_pylist(), right.column("body").to_pylist(), strict=True))
+def _met(left: pa.Table, right: pa.Table, read: Callable[[bytes], object]) -> tuple:
+    return read(left.column("body")[0].as_py()), dict(zip(right.column("shard").to_pylist(), right.column("body").to_pylist(), strict=True))
 
 
-def settle(packed: DataFrame, replies: DataFrame, fn: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
+def settle(packed: DataFrame, replies: DataFrame, fn: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema: str, read: Callable[[bytes], object] = unpack) -> DataFrame:
     """fn gets a batch's rows with the replies by shard and makes the result's rows."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return fn(*_met(left, right))
+        return fn(*_met(left, right, read))
 
     return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, schema)
 

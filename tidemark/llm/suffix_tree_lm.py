@@ -78,8 +78,8 @@ class Level:
 class Stream:
     """The words of a batch as numbers of the whole corpus, and what is known of its contexts so far."""
 
-    def __init__(self, table: pa.Table, n_shards: int, min_count: int):
-        ids, null, n_words, out, word, c, number, heads = (np.frombuffer(table.column(i)[0].as_py(), t) for i, t in enumerate((np.int64, np.bool_, np.int64, np.bool_, np.uint8, np.uint8, np.uint8, np.float64)))
+    def __init__(self, arrays: list[np.ndarray], n_shards: int, min_count: int):
+        ids, null, n_words, out, word, c, number, heads = arrays
         self.ids, self.n_words, self.out, self.n_shards, self.min_count = pa.array(ids, mask=null), n_words, out, n_shards, min_count
         self.word = _from_planes(word)
         self.c, self.number = _from_planes(c).astype(np.float64), X.load_sorted(number)
@@ -241,9 +241,12 @@ def score(docs: DataFrame, min_count: int = 64, depth: int = 3) -> DataFrame:
         body = X.dump(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), n_words, out, _planes(place[which]), _planes(c[by_number]), X.dump_sorted(number[by_number]), head)
         return pa.Table.from_pydict({"batch": left.column("batch"), "body": pa.array([body], pa.binary())})
 
-    def stream(table: pa.Table, replies: dict[int, bytes], rounds: int) -> tuple[Stream, list[np.ndarray]]:
+    def read(body: bytes) -> list[np.ndarray]:
+        return X.load(body, np.int64, np.bool_, np.int64, np.bool_, np.uint8, np.uint8, np.uint8, np.float64)
+
+    def stream(arrays: list[np.ndarray], replies: dict[int, bytes], rounds: int) -> tuple[Stream, list[np.ndarray]]:
         """A batch after so many rounds, and all that it has been told: for each round T of the contexts of the round before, counts of keys, and the numbers of candidates."""
-        v, told = Stream(table, n_shards, min_count), []
+        v, told = Stream(arrays, n_shards, min_count), []
         if X.KEPT in replies:
             told = [X.load_sorted(x) if i % 3 == 2 else _from_planes(x) for i, x in enumerate(X.load(replies[X.KEPT], *[np.uint8] * (3 * ((rounds - 1) // 2 * 2))))]
         for i in range(rounds):
@@ -266,8 +269,8 @@ def score(docs: DataFrame, min_count: int = 64, depth: int = 3) -> DataFrame:
     def turn(rounds: int):
         """Round number rounds + 1: the keys of the next level, and the sums of the one before."""
 
-        def ask(table: pa.Table, replies: dict[int, bytes]):
-            v, told = stream(table, replies, rounds)
+        def ask(arrays: list[np.ndarray], replies: dict[int, bytes]):
+            v, told = stream(arrays, replies, rounds)
             if keeps(rounds):
                 yield X.KEPT, X.dump(*[X.dump_sorted(x) if i % 3 == 2 else _planes(x) for i, x in enumerate(told)])
             if rounds:
@@ -287,8 +290,8 @@ def score(docs: DataFrame, min_count: int = 64, depth: int = 3) -> DataFrame:
 
         return ask
 
-    def settle(table: pa.Table, replies: dict[int, bytes]) -> pa.Table:
-        v, _ = stream(table, replies, depth + 1)
+    def settle(arrays: list[np.ndarray], replies: dict[int, bytes]) -> pa.Table:
+        v, _ = stream(arrays, replies, depth + 1)
         n = len(v.n_words)
         columns = [v.ids, pa.array(v.out), pa.array(v.n_words + 1), pa.array(np.bincount(v.row, v.c[v.word] > 0, n).astype(np.int64)), pa.array(np.full(n, int(v.total))), pa.array(np.bincount(v.row, np.log10(v.root[v.word]), n)), pa.array(np.bincount(v.row, np.log10(v.p), n))]
         return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -296,11 +299,11 @@ def score(docs: DataFrame, min_count: int = 64, depth: int = 3) -> DataFrame:
     counts = X.answer(X.ask(packed, words), answer)
     streams = packed.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(repacked, X.PACKED).repartition("batch")
     first = turn(0)
-    inbox = X.answer(X.ask(streams, lambda table: first(table, {})), answer)
+    inbox = X.answer(X.ask(streams, lambda arrays: first(arrays, {}), read), answer)
     for rounds in range(1, depth + 1):
-        mail = X.answer(X.ask_again(streams, inbox, turn(rounds)), answer)
+        mail = X.answer(X.ask_again(streams, inbox, turn(rounds), read), answer)
         inbox = mail if keeps(rounds) else inbox.unionByName(mail)
-    return X.settle(streams, inbox, settle, SCHEMA)
+    return X.settle(streams, inbox, settle, SCHEMA, read)
 
 
 def _context_shards(level: Level, n_shards: int):
