@@ -389,6 +389,27 @@ def test_op10_recall_of_the_shipped_bands():
         assert ((keys[:, :n] == keys[:, n:]).sum(axis=0) >= 1).mean() > 0.998
 
 
+def test_op10_hashes_of_a_line_depend_on_its_bytes_alone():
+    """Alone, among others and in blocks of its own: the same two hashes and band keys, by one call; a byte more or less gives others."""
+    rng = random.Random(8)
+    lines = [bytes(rng.choices(b"abcdefgh ", k=n)) + b"." for n in [*range(25), 100, 40_000, 300_000, *rng.choices(range(200), k=400)]]
+    lines += [x + b"z" for x in lines] + lines
+    ends = np.cumsum([len(x) + 3 for x in lines])
+    buf, start, end = np.frombuffer(b"".join(x + b"\n\0 " for x in lines), np.uint8), ends - 3 - [len(x) for x in lines], ends - 3
+    (ids, check), keys = line_dedup.line_ids(buf, start, end), line_dedup.signatures(buf, start, end)
+    n = len(set(lines))
+    assert len(set(ids.tolist())) == len(set(check.tolist())) == len(set(ids.tolist()) | set(check.tolist())) / 2 == n
+    first = {}
+    for i, x in enumerate(lines):
+        assert first.setdefault(x, (ids[i], check[i], keys[:, i].tolist())) == (ids[i], check[i], keys[:, i].tolist())
+    for x in lines[:40]:
+        alone = np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)])
+        a, b = line_dedup.line_ids(*alone)
+        assert first[x] == (a[0], b[0], line_dedup.signatures(*alone)[:, 0].tolist())
+    assert all(len(x) == 0 for x in line_dedup.line_ids(buf, start[:0], end[:0])) and line_dedup.signatures(buf, start[:0], end[:0]).shape == (16, 0)
+    assert hashing.lowered(np.arange(256, dtype=np.uint8)).tobytes() == bytes(range(256)).lower()
+
+
 def test_op1_model_sums_to_one(spark, docs):
     model = quality.fit(quality.count_grams(docs)).toPandas()
     rows = [model[c].to_numpy() for c in ("kind", "order", "key", "value")]

@@ -17,8 +17,6 @@ HELD = 1 << 17
 #: The white space that ends a word: space and 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 
 
 #: A table for each base, as long as was needed so far.
@@ -51,6 +49,18 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
 
 
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return buf + (((buf - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """buf[i:i + 8] as a little-endian number for every i, zeros behind its end: a view, so only what is taken of it is made."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
 def flat(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and the n + 1 offsets; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -65,7 +75,7 @@ def flat(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.nda
     offsets = np.frombuffer(off, np.int64)[texts.offset : texts.offset + n + 1]
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     buf = buf[offsets[0] : offsets[-1]]
-    return (LOWER[buf] if lower else buf), offsets - offsets[0]
+    return (lowered(buf) if lower else buf), offsets - offsets[0]
 
 
 def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:

@@ -40,7 +40,10 @@ from tidemark.llm.storage import written
 SHINGLE = 8
 BANDS, ROWS = 16, 4
 SLOTS = BANDS * ROWS
-VALUE_BITS = 45
+#: An empty slot.
+NONE = np.uint64((1 << 64) - 1)
+#: Masks of the first 0 to 8 bytes of a number.
+PART = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: Odd factors of the values of a band, and what is added for each band.
 MIXERS = np.random.default_rng(5).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALTS = np.random.default_rng(6).integers(0, 1 << 63, BANDS, dtype=np.uint64)
@@ -82,52 +85,76 @@ def line_spans(texts: pa.Array):
     return buf, start, end, row, number
 
 
-def line_ids(buf, start, end, lane: int = 0) -> np.ndarray:
-    return H.range_hash(buf, start, end, lane).view(np.int64)
+def line_ids(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each line, polynomials of its bytes taken eight at a time from its start on."""
+    value, size = H.eights(buf), end - start
+    n = np.maximum(-(-size // 8), 1)
+    sums = np.empty((2, len(start)), np.uint64)
+    for a, b in _blocks(n):
+        bounds = np.r_[0, np.cumsum(n[a:b])]
+        at = np.arange(bounds[-1])
+        word = value[8 * at + np.repeat(start[a:b] - 8 * bounds[:-1], n[a:b])]
+        word[bounds[1:] - 1] &= PART[size[a:b] - 8 * (n[a:b] - 1)]
+        at -= np.repeat(bounds[:-1], n[a:b])
+        for lane, base in enumerate(H.BASES):
+            x = H.mix(word + np.uint64(H.BASES[1 - lane]))
+            x *= H.powers(base, int(n[a:b].max()))[at]
+            sums[lane, a:b] = np.add.reduceat(x, bounds[:-1])
+    return tuple(H.mix(sums + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).view(np.int64))
+
+
+def _blocks(n: np.ndarray):
+    """Bounds of runs of lines with so many numbers n together that these stay in the cache."""
+    cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(n) >> 15)) + 1, len(n)]
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if len(n) else ()
 
 
 def _shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All shingles of the lines, one line after the other, and the bounds of the lines."""
     n = np.maximum(end - start - SHINGLE + 1, 1)
     bounds = np.r_[0, np.cumsum(n)]
-    if not len(start):
-        return np.zeros(0, np.uint64), bounds
-    low, high = int(start.min()), int(end.max())
-    value = np.zeros(high - low + SHINGLE, np.uint64)
-    value[: high - low] = buf[low:high]
-    for step in (1, 2, 4):  # twice as many bytes each time
-        value[:-step] |= value[step:] << np.uint64(8 * step)
-    out = value[np.arange(bounds[-1]) + np.repeat(start - low - bounds[:-1], n)]
+    out = H.eights(buf)[np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], n)]
     short = np.flatnonzero(end - start < SHINGLE)
-    out[bounds[short]] &= (np.uint64(1) << (8 * (end - start)[short]).astype(np.uint64)) - np.uint64(1)
+    out[bounds[short]] &= PART[(end - start)[short]]
     return out, bounds
 
 
+def _least(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The least hash of the shingles of each line in each slot, NONE in an empty one; value has the bytes at every position, and lines are filled, apart and in order."""
+    n = np.maximum(end - start - SHINGLE + 1, 1)
+    least = np.full((len(start) + 1) * SLOTS, NONE)  # the last row is of the positions between
+    for a, b in _blocks(n):
+        low = start[a]
+        x = value[low : start[b - 1] + n[b - 1]].copy()
+        short = np.flatnonzero(end[a:b] - start[a:b] < SHINGLE) + a
+        x[start[short] - low] &= PART[(end - start)[short]]
+        x = H.mix(x)
+        times = np.empty(2 * (b - a) - 1, np.int64)
+        times[::2], times[1::2] = n[a:b], start[a + 1 : b] - start[a : b - 1] - n[a : b - 1]
+        rows = np.full(len(times), len(start) * SLOTS)
+        rows[::2] = np.arange(a, b) * SLOTS
+        at = np.repeat(rows, times)
+        at += (x >> np.uint64(58)).view(np.int64)
+        np.minimum.at(least, at, x)
+    return least[:-SLOTS]
+
+
 def signatures(buf, start, end) -> np.ndarray:
     """The band keys of each line."""
     keys = np.zeros((BANDS, len(start)), np.uint64)
-    n = np.maximum(end - start - SHINGLE + 1, 1)
-    block = np.cumsum(n) >> 17  # so many lines at a time that their shingles stay in the cache
-    cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(block)) + 1, np.arange(0, len(start), 4096), len(start)])
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        value, bounds = _shingles(buf, start[a:b], end[a:b])
-        h = H.mix(value)
-        x = np.repeat(np.arange(b - a, dtype=np.uint64) << np.uint64(VALUE_BITS + 6), np.diff(bounds))
-        x |= h >> np.uint64(64 - VALUE_BITS - 6)
-        x.sort()
-        slot = x >> np.uint64(VALUE_BITS)
-        first = np.r_[True, slot[1:] != slot[:-1]]
-        least = np.zeros((b - a) * SLOTS, np.uint64)
-        least[slot[first].astype(np.int64)] = (x[first] & np.uint64((1 << VALUE_BITS) - 1)) + np.uint64(1)
+    value = H.eights(buf)
+    for a in range(0, len(start), 4096):
+        b = min(a + 4096, len(start))
+        least = _least(value, start[a:b], end[a:b])
         filled = least.copy()
-        empty = np.flatnonzero(least == 0)
+        empty = np.flatnonzero(least == NONE)
         for borrow in BORROW:
             if not len(empty):
                 break
             filled[empty] = least[empty - empty % SLOTS + borrow[empty % SLOTS]]
-            empty = empty[filled[empty] == 0]
+            empty = empty[filled[empty] == NONE]
         if len(empty):
-            filled[empty] = least.reshape(-1, SLOTS).max(axis=1)[empty // SLOTS]
+            filled[empty] = least.reshape(-1, SLOTS).min(axis=1)[empty // SLOTS]
         bands = filled.reshape(-1, BANDS, ROWS)
         joint = bands[:, :, 0] * MIXERS[0] + SALTS
         for i in range(1, ROWS):
@@ -136,6 +163,21 @@ def signatures(buf, start, end) -> np.ndarray:
     return keys
 
 
+def _repeated(x: np.ndarray) -> np.ndarray:
+    """Positions of the numbers that occur more than once."""
+    order = np.argsort(x)
+    same = x[order[1:]] == x[order[:-1]]
+    return order[np.r_[False, same] | np.r_[same, False]] if len(x) else order
+
+
+def _by_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An order by a, then b, where equal a's mostly have equal b's."""
+    order = np.argsort(a)
+    if ((a[order[1:]] == a[order[:-1]]) & (b[order[1:]] != b[order[:-1]])).any():
+        order = np.lexsort((b, a))
+    return order
+
+
 def _first_of_each(ids: np.ndarray, check: np.ndarray, doc: np.ndarray, number: np.ndarray):
     """Positions of the first occurrence of each line, by (doc, number), in order of the lines, and their number of occurrences."""
     order = np.lexsort((number, doc, check, ids))
@@ -148,7 +190,7 @@ def _occurrences(b: pa.RecordBatch):
     buf, start, end, row, number = line_spans(b.column(1))
     at = np.flatnonzero(end > start)
     start, end = start[at], end[at]
-    return buf, start, end, line_ids(buf, start, end), line_ids(buf, start, end, 1), b.column(0).to_numpy()[row[at]], number[at]
+    return buf, start, end, *line_ids(buf, start, end), b.column(0).to_numpy()[row[at]], number[at]
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
@@ -157,7 +199,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
     low = np.uint64((1 << 40) - 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in X.slices(batches):
+        for b in X.slices(batches, 4 << 20):
             buf, start, end, ids, check, doc, number = _occurrences(b)
             at, times = _first_of_each(ids, check, doc, number)
             own_shard = (ids[at] % n_shards).astype(np.int64)
@@ -168,15 +210,19 @@ def _candidates(docs: DataFrame) -> DataFrame:
             key, band_ids = key[by_key], band_ids[by_key]
             order, bounds = X.by_shard((key % np.uint64(n_shards)).astype(np.int64), n_shards)
             order2, bounds2 = X.by_shard(own_shard, n_shards)
+            key, band_ids = key[order] // np.uint64(n_shards) & low, band_ids[order]
+            many, at = times[order2] > 1, at[order2]
+            ids, check, doc, number = ids[at], check[at], doc[at], number[at].astype(np.uint32)
             for s in np.flatnonzero(np.diff(bounds) + np.diff(bounds2)):
-                own, same = order[bounds[s] : bounds[s + 1]], at[order2[bounds2[s] : bounds2[s + 1]]]
-                many = times[order2[bounds2[s] : bounds2[s + 1]]] > 1
-                body = X.dump(X.dump_sorted(key[own] // np.uint64(n_shards) & low), band_ids[own], X.dump_sorted(ids[same].view(np.uint64)), check[same], doc[same], number[same].astype(np.uint32), many)
+                own, same = slice(bounds[s], bounds[s + 1]), slice(bounds2[s], bounds2[s + 1])
+                body = X.dump(X.dump_sorted(key[own]), band_ids[own], X.dump_sorted(ids[same].view(np.uint64)), check[same], doc[same], number[same], many[same])
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "body": pa.array([body], pa.binary())})
 
     def meet(table: pa.Table) -> pa.Table:
         got = [X.load(x, np.uint8, np.int64, np.uint8, np.int64, np.int64, np.uint32, np.bool_) for x in table.column("body").to_pylist()]
         key, ids = np.concatenate([X.load_sorted(g[0]) for g in got]), np.concatenate([g[1] for g in got])
+        order = _repeated(key)
+        key, ids = key[order], ids[order]
         order = np.lexsort((ids, key))
         key, ids = key[order], ids[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])][: len(key)]
@@ -197,12 +243,14 @@ def _candidates(docs: DataFrame) -> DataFrame:
         large = np.flatnonzero(np.repeat(size, size) > GROUP)
         bucket = H.mix(key[large] * np.uint64(n_shards) + np.uint64(table.column("shard")[0].as_py())).view(np.int64)
         line, check, doc, number, many = np.concatenate([X.load_sorted(g[2]) for g in got]).view(np.int64), *(np.concatenate([g[i] for g in got]) for i in (3, 4, 5, 6))
+        some = np.union1d(_repeated(line), np.flatnonzero(many))  # those that occur in several slices, or twice in one
+        line, check, doc, number, many = (x[some] for x in (line, check, doc, number, many))
         at, times = _first_of_each(line, check, doc, number)
         again = np.zeros(len(line), bool)
         again[at] = times > 1
         order = np.lexsort((number, doc, check, line))
         starts = np.repeat(np.cumsum(times) - times, times)
-        again[order[starts[many[order]]]] = True  # also those that occur twice in one slice
+        again[order[starts[many[order]]]] = True
         again = np.flatnonzero(again)
         zero = np.zeros(len(pairs) + len(large), np.int64)
         columns = [
@@ -319,8 +367,8 @@ def remove_lines(docs: DataFrame, percent: int = 80, report: bool = True) -> Dat
         buf, start, end, row, number = line_spans(table.column("text").take(pa.array(at)))
         own = np.flatnonzero(end > start)
         start, end, row, number = start[own], end[own], row[own], number[own]
-        ids, check = line_ids(buf, start, end), line_ids(buf, start, end, 1)
-        order = np.lexsort((check, ids))
+        ids, check = line_ids(buf, start, end)
+        order = _by_two(ids, check)
         new = np.r_[True, (ids[order[1:]] != ids[order[:-1]]) | (check[order[1:]] != check[order[:-1]])][: len(order)]
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
