@@ -389,6 +389,23 @@ def test_op10_recall_of_the_shipped_bands():
         assert ((keys[:, :n] == keys[:, n:]).sum(axis=0) >= 1).mean() > 0.998
 
 
+def test_op10_shingles_are_held_piece_by_piece(monkeypatch):
+    """A batch of lines, or of pairs as long as a batch, is verified and hashed half a megabyte of lines at a time, with the same results."""
+    rng = np.random.default_rng(9)
+    raw = rng.integers(97, 122, (6000, 400)).astype(np.uint8)
+    lines = [bytes(x[: 5 + i % 400]) for i, x in enumerate(raw)] + [b"y" * 700_000]
+    table = pa.table({"id": pa.array(range(len(lines)), pa.int64()), "line": pa.array(lines, pa.binary())})
+    held, shingles = [], line_dedup._shingles
+    monkeypatch.setattr(line_dedup, "_shingles", lambda *a: (held.append(len(a[0])), shingles(*a))[1])
+    got, n = line_dedup._hashes(table)
+    assert n.tolist() == [len({x[i : i + 8] for i in range(max(1, len(x) - 7))}) for x in lines[:-1]] + [1] and len(got) == n.sum()
+    assert len(held) > 2 and sorted(held)[-2] <= 512 << 10 and max(held) == 700_000
+    held.clear()
+    same = pa.RecordBatch.from_arrays([table["id"].combine_chunks(), table["id"].combine_chunks(), *[table["line"].combine_chunks()] * 2], ["a", "b", "a_line", "b_line"])
+    assert sum(b.num_rows for b in line_dedup.verified(iter([same]), 80)) == len(lines)
+    assert sorted(held)[-2] <= 512 << 10 and max(held) == 1_400_000
+
+
 def test_op10_hashes_of_a_line_depend_on_its_bytes_alone():
     """Alone, among others and in blocks of its own: the same two hashes and band keys, by one call; a byte more or less gives others."""
     rng = random.Random(8)

@@ -49,8 +49,8 @@ MIXERS = np.random.default_rng(5).integers(0, 1 << 63, ROWS, dtype=np.uint64) *
 SALTS = np.random.default_rng(6).integers(0, 1 << 63, BANDS, dtype=np.uint64)
 #: Lines in a bucket of which all pairs are candidates.
 GROUP = 8
-#: Bytes of lines that are verified at a time.
-VERIFIED = 4 << 20
+#: Bytes of lines, if not one line or pair, whose shingles are held at a time; these are 8 times as long, in several arrays.
+VERIFIED = 512 << 10
 #: For each attempt, the slot that each empty slot looks at.
 BORROW = np.stack([np.random.default_rng(11 + i).permutation(SLOTS) for i in range(256)])
 
@@ -307,28 +307,29 @@ def similar(lines_a: pa.Array, lines_b: pa.Array, percent: int = 80) -> np.ndarr
     return linked
 
 
+def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Those of the pairs (a, b, a_line, b_line) that are similar, as (a, b)."""
+    for whole in batches:
+        ends = np.cumsum(pc.add(pc.binary_length(whole.column(2)), pc.binary_length(whole.column(3))).to_numpy().astype(np.int64))
+        begin = 0
+        while begin < whole.num_rows:
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + VERIFIED, side="right")))
+            b = whole.slice(begin, min(stop, begin + 65_536) - begin)
+            begin += b.num_rows
+            yield b.select(["a", "b"]).filter(pa.array(similar(b.column(2), b.column(3), percent)))
+
+
 def _linked(lines: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
     """Those of the pairs (a, b, block) of line ids that are similar, as (a, b)."""
     both = with_sides(pairs, lines, ["line"]).select("a", "b", "a_line", "b_line")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            ends = np.cumsum(pc.add(pc.binary_length(whole.column(2)), pc.binary_length(whole.column(3))).to_numpy().astype(np.int64))
-            begin = 0
-            while begin < whole.num_rows:
-                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + VERIFIED, side="right")))
-                b = whole.slice(begin, min(stop, begin + 65_536) - begin)
-                begin += b.num_rows
-                yield b.select(["a", "b"]).filter(pa.array(similar(b.column(2), b.column(3), percent)))
-
-    return both.mapInArrow(verify, "a long, b long")
+    return both.mapInArrow(lambda batches: verified(batches, percent), "a long, b long")
 
 
 def _hashes(lines: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the distinct shingles of (id, line) rows, one line after the other, and how many each has."""
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for begin in range(0, lines.num_rows, 2000):
-        raw = lines.column("line").slice(begin, 2000).to_pylist()
+    for piece in X.slices(lines.select(["id", "line"]).to_batches(), VERIFIED):
+        raw = piece.column("line").to_pylist()
         ends = np.cumsum([len(x) for x in raw])
         value, bounds = _shingles(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, ends[:-1]], ends)
         both = H.distinct(np.repeat(np.arange(len(raw), dtype=np.uint64) << np.uint64(48), np.diff(bounds)) | (H.mix(value) >> np.uint64(16)))
