@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -306,6 +307,52 @@ def test_op2_against_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_op2_shards_grow_in_number_and_not_in_size(spark, monkeypatch):
+    """However few the shuffle partitions are; vectors in 4 bytes a number, in 8, and both in one group."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((700, 16))
+    v[100:220] = v[3] + 0.02 * rng.standard_normal((120, 16))  # a bucket in each table
+    v[::2] = v[::2].astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embedding_dedup, "SHARD", 64, raising=False)
+    grouped, group = [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *by: (grouped.append(self) if by == ("shard",) else None) or group(self, *by))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df, block=16).collect()}
+    sizes = [r["count"] for r in group(grouped[0], "shard").count().collect()]
+    assert sum(sizes) > 30_000 and max(sizes) < 512  # 16 shards otherwise
+    assert len({len(r.raw) for r in grouped[0].select("raw").collect()}) == 2
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, 0)
+    root = components.forest(700, *np.nonzero(s >= 0.9))
+    assert got == {i: (int((s[i] >= 0.9).sum()), int(root[i])) for i in range(700)}
+
+
+def test_op2_a_shard_of_near_copies_needs_little_memory():
+    rng, k, tables = np.random.default_rng(6), 8, 32
+    v = (np.ones(64) + 0.05 * rng.standard_normal((1024, 64))).astype(np.float32)
+    at = np.tile(np.arange(1024), tables)
+    tab = np.repeat(np.arange(tables), 1024)
+    shard = pa.table({"shard": np.zeros(len(at), np.int32), "bucket": tab.astype(np.int64), "tab": tab.astype(np.int32), "low": np.zeros(len(at), np.int32), "high": np.ones(len(at), np.int32), "own": (at % 2).astype(np.int32), "rep": at, "copies": np.ones(len(at), np.int64), "raw": pa.array([v[i].tobytes() for i in at], pa.binary())})
+    tracemalloc.start()
+    try:
+        out = embedding_dedup.checked(shard, k, tables, 0.9, 7)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100e6  # all pairs of the shard are 134 MB
+    keys = embedding_dedup._keys(embedding_dedup._unit([x.tobytes() for x in v]), k, tables, 7)
+    assert all((embedding_dedup._keys(embedding_dedup._unit([v[i].tobytes()]), k, tables, 7) == keys[i]).all() for i in range(0, 1024, 50))
+    new = np.ones((512, 512), bool)
+    want = np.zeros(1024, np.int64)
+    for t in range(tables):  # a pair counts where it doesn't share an earlier key
+        if t:
+            new &= keys[::2, t - 1, None] != keys[None, 1::2, t - 1]
+        want[::2] += new.sum(axis=1)
+        want[1::2] += new.sum(axis=0)
+    assert out.column("n").to_pylist() == want.tolist() and set(out.column("root").to_pylist()) == {0}
+
+
 def test_op3_tiles_and_pairs(spark, docs, empty):
     words = lambda t: np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint64)
     item = "a b c d e f g h i j"

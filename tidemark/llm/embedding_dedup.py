@@ -13,6 +13,11 @@ is dealt out as pairs of blocks, so neither a hot bucket nor its pairs meet in o
 task. A pair that shares several buckets counts in the first table only. Blocks give
 counts per vector and a spanning forest, never all pairs.
 
+A vector goes to a bucket in each table, and tables become more as vectors do. So the
+numbers of shards, of their partitions and of the tasks that make keys follow the number
+of these entries, not the shuffle partitions alone: a shard holds about ``SHARD`` entries,
+a block is checked by itself, and keys are computed again only for vectors with a near one.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths never link; rows with
 equal vec_id and vector count as separate rows in n_links; an empty table gives no rows.
@@ -20,11 +25,11 @@ equal vec_id and vector count as separate rows in n_links; an empty table gives
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -35,6 +40,10 @@ from tidemark.llm.storage import checkpoint
 
 #: Width of a quantisation step, in units of the length-1 vectors.
 WIDTH = 3.0
+#: Entries (a vector in a bucket) in a shard, in a task that makes them, and in a batch of it; and pairs that are held at once.
+SHARD, TASK, BATCH, PAIRS = 1 << 15, 1 << 18, 1 << 14, 1 << 14
+#: Shards in a partition.
+TOGETHER = 8
 
 
 def same_step(distance: float, width: float = WIDTH) -> float:
@@ -50,24 +59,103 @@ def tables_for(n: int, threshold: float, recall: float, bucket: int = 64) -> tup
     return k, math.ceil(math.log(1 - recall) / math.log(1 - near**k))
 
 
-def _keys(unit: np.ndarray, k: int, tables: int, seed: int) -> np.ndarray:
-    """64-bit keys, one column a table."""
-    rng = np.random.default_rng([seed, unit.shape[1]])
-    a = rng.standard_normal((unit.shape[1], tables * k))
+@functools.lru_cache(maxsize=4)
+def _projections(dims: int, k: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([seed, dims])
+    a = rng.standard_normal((dims, tables * k))
     b = rng.uniform(0, WIDTH, tables * k)
-    steps = np.floor((unit @ a + b) / WIDTH).astype(np.int64).reshape(len(unit), tables, k)
     odd = rng.integers(1, 1 << 62, size=(tables, k), dtype=np.int64) * 2 + 1
-    key = (steps.astype(np.uint64) * odd.astype(np.uint64)).sum(axis=2, dtype=np.uint64)
-    key ^= key >> np.uint64(29)
-    return (key * np.uint64(0xBF58476D1CE4E5B9) + np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return np.round(a * 2**16) / 2**16, b, odd.astype(np.uint64)
+
+
+def _keys(unit: np.ndarray, k: int, tables: int, seed: int, first: int | None = None) -> np.ndarray:
+    """64-bit keys, one column a table, of all or the first tables. Both factors have few digits, so that a sum is exact and a vector's keys don't depend on those beside it."""
+    a, b, odd = _projections(unit.shape[1], k, tables, seed)
+    tables = tables if first is None else first
+    a, b, odd = np.ascontiguousarray(a[:, : tables * k]), b[: tables * k], odd[:tables]
+    out, step = np.empty((len(unit), tables), np.int64), max(1, BATCH // tables)
+    for at in range(0, len(unit), step):
+        x = np.round(unit[at : at + step] * 2**20) / 2**20
+        steps = np.floor((x @ a + b) / WIDTH).astype(np.int64).reshape(len(x), tables, k)
+        key = (steps.view(np.uint64) * odd).sum(axis=2, dtype=np.uint64)
+        key ^= key >> np.uint64(29)
+        out[at : at + step] = (key * np.uint64(0xBF58476D1CE4E5B9) + np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return out
+
+
+def _raw(vector: list[float]) -> bytes:
+    """In 4 bytes a number where that loses nothing, else in 8 and one more for the whole, by which the two are told apart."""
+    v = np.array(vector, np.float64) + 0.0
+    with np.errstate(over="ignore"):
+        short = v.astype(np.float32)
+    return short.tobytes() if (short == v).all() else v.tobytes() + b"\0"
+
+
+def _dims(sizes: np.ndarray) -> np.ndarray:
+    """Numbers in vectors of so many bytes."""
+    return np.where(sizes % 2, sizes // 8, sizes // 4)
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    """Vectors of one size in bytes, scaled to length 1."""
+    v = np.frombuffer(b"".join(x[:-1] for x in raw), np.float64) if len(raw[0]) % 2 else np.frombuffer(b"".join(raw), np.float32).astype(np.float64)
+    v = v.reshape(len(raw), -1)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def checked(shard: pa.Table, k: int, tables: int, threshold: float, seed: int) -> pa.Table:
+    """(rep, n, root): how many near vectors the vectors of a shard's buckets have, and the links of a spanning forest."""
+    bucket, tab, low, high, own, rep, copies = (shard.column(c).to_numpy() for c in ("bucket", "tab", "low", "high", "own", "rep", "copies"))
+    ids, first, row = np.unique(rep, return_index=True, return_inverse=True)
+    copies, raw = copies[first], shard.column("raw").take(pa.array(first)).to_pylist()
+    sizes = np.array([len(x) for x in raw])
+    dims = _dims(sizes)
+    unit = np.zeros((len(ids), dims.max()))
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        unit[at, : dims[at[0]]] = _unit([raw[i] for i in at])
+    del raw
+    n, found = np.zeros(len(ids), np.int64), []
+    order = np.lexsort((high, low, bucket))
+    group = np.stack([bucket[order], low[order], high[order]], axis=1)
+    begins = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
+    for begin, end in zip(begins, np.r_[begins[1:], len(order)], strict=True):
+        if end - begin < 2:
+            continue
+        here = order[begin:end]
+        if group[begin, 1] == group[begin, 2]:
+            x = y = row[here]
+        else:
+            x, y = row[here[own[here] == group[begin, 1]]], row[here[own[here] == group[begin, 2]]]
+        close = unit[x] @ unit[y].T >= threshold - 1e-9
+        i, j = np.nonzero(np.triu(close, 1) if x is y else close)
+        if not len(i):
+            continue
+        a, b, t = x[i], y[j], tab[here[0]]
+        good = dims[a] == dims[b]
+        # by the cosine itself, and only in the first table where the pair meets
+        nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+        of_a, of_b = at[: len(a)], at[len(a) :]
+        keys = np.zeros((len(nodes), t), np.int64)
+        for d in np.unique(dims[nodes]) if t else []:
+            some = np.flatnonzero(dims[nodes] == d)
+            keys[some] = _keys(unit[nodes[some], :d], k, tables, seed, t)
+        for s in range(0, len(a), PAIRS):
+            part = slice(s, s + PAIRS)
+            good[part] &= np.einsum("ij,ij->i", unit[a[part]], unit[b[part]]) >= threshold
+            good[part] &= ~(keys[of_a[part]] == keys[of_b[part]]).any(axis=1)
+        of_a, of_b = of_a[good], of_b[good]
+        own_copies = copies[nodes]
+        n[nodes] += (np.bincount(of_a, own_copies[of_b], len(nodes)) + np.bincount(of_b, own_copies[of_a], len(nodes))).astype(np.int64)
+        root = forest(len(nodes), of_a, of_b)
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        found.append((nodes[moved], nodes[root[moved]]))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    root, met = forest(len(ids), a, b), np.flatnonzero(n > 0)
+    return pa.table({"rep": ids[met], "n": n[met], "root": ids[root[met]]})
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.999, block: int = 512, seed: int = 7) -> DataFrame:
     """Per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
@@ -75,81 +163,49 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
 
     def raw_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [None if x is None else (np.array(x, np.float64) + 0.0).tobytes() for x in b.column(1).to_pylist()]
+            raw = [None if x is None else _raw(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "raw": pa.array(raw, pa.binary())})
 
     rows = checkpoint(rows.select("vec_id", F.when(usable, F.col("embedding")).alias("embedding")).mapInArrow(raw_bytes, "vec_id long, raw binary"))
     classes = checkpoint(rows.where("raw is not null").groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    k, tables = tables_for(classes.count(), threshold, recall)
+    n, partitions = classes.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k, tables = tables_for(n, threshold, recall)
+    spread = checkpoint(classes.repartition(max(partitions, -(-n * tables // TASK))))
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signatures(batches: Iterator[pa.RecordBatch], buckets_only: bool = False) -> Iterator[pa.RecordBatch]:
+        step = max(1, BATCH // tables)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 raw, sizes = b.column(0).to_pylist(), pc.binary_length(b.column(0)).to_numpy()
                 for size in np.unique(sizes):
                     rows_here = np.flatnonzero(sizes == size)
                     key = _keys(_unit([raw[i] for i in rows_here]), k, tables, seed)
-                    which = np.repeat(rows_here, tables)
-                    got = b.take(pa.array(which))
+                    if buckets_only:
+                        bucket, times = np.unique(key, return_counts=True)
+                        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "times": pa.array(times)})
+                        continue
+                    got = b.take(pa.array(np.repeat(rows_here, tables)))
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.ravel()), "tab": pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows_here))), "rep": got.column(1), "copies": got.column(2), "raw": got.column(0)})
 
-    signed = classes.mapInArrow(signatures, "bucket long, tab int, rep long, copies long, raw binary")
+    in_parts = lambda entries: max(partitions, -(-entries // (SHARD * TOGETHER)))
     # Only buckets that hold more than a block need to be known by name.
-    large = checkpoint(signed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > block).select("bucket", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
-    known = F.broadcast(large) if large.count() <= 100_000 else large  # 12 bytes each
-    dealt = signed.join(known, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    times = spread.mapInArrow(lambda batches: signatures(batches, True), "bucket long, times long").repartition(in_parts(n * tables), "bucket")
+    large = checkpoint(times.groupBy("bucket").agg(F.sum("times").alias("size")).where(F.col("size") > block).select("bucket", "size", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    named, more = large.agg(F.count("*"), F.coalesce(F.sum(F.col("size") * (F.col("blocks") - 1)), F.lit(0))).first()
+    known = F.broadcast(large.drop("size")) if named <= 100_000 else large.drop("size")  # 12 bytes each
+    dealt = spread.mapInArrow(signatures, "bucket long, tab int, rep long, copies long, raw binary").join(known, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("rep", "tab"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    shards = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(4 * partitions, -(-(n * tables + more) // SHARD))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(shards)).cast("int")).select("shard", "bucket", "tab", "low", "high", "own", "rep", "copies", "raw")
+    dealt = dealt.repartition(in_parts(n * tables + more), "shard")
+
+    def check(shard: pa.Table) -> pa.Table:
+        return checked(shard, k, tables, threshold, seed)
 
-    def check(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["bucket", "low", "high"], kind="stable").reset_index(drop=True)
-        ids, row = np.unique(shard["rep"].to_numpy(), return_inverse=True)
-        first = np.zeros(len(ids), np.int64)
-        first[row] = np.arange(len(shard))
-        raw = shard["raw"].to_numpy()[first]
-        copies = shard["copies"].to_numpy()[first]
-        sizes = np.array([len(x) for x in raw])
-        unit, keys = np.zeros((len(ids), sizes.max() // 8)), np.zeros((len(ids), tables), np.int64)
-        for size in np.unique(sizes):
-            at = np.flatnonzero(sizes == size)
-            unit[at, : size // 8] = _unit(list(raw[at]))
-            keys[at] = _keys(unit[at, : size // 8], k, tables, seed)
-        found_a, found_b = [], []
-        group = shard[["bucket", "low", "high"]].to_numpy()
-        begins = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
-        tab, own_block = shard["tab"].to_numpy(), shard["own"].to_numpy()
-        for begin, end in zip(begins, np.r_[begins[1:], len(shard)], strict=True):
-            if end - begin < 2:
-                continue
-            members = row[begin:end]
-            if group[begin, 1] == group[begin, 2]:
-                x = y = members
-            else:
-                x, y = members[own_block[begin:end] == group[begin, 1]], members[own_block[begin:end] == group[begin, 2]]
-            close = unit[x] @ unit[y].T >= threshold - 1e-9
-            i, j = np.nonzero(np.triu(close, 1) if x is y else close)
-            a, b = x[i], y[j]
-            # by the cosine itself, and only in the first table where the pair meets
-            good = (np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold) & (sizes[a] == sizes[b])
-            t = tab[begin]
-            for s in range(0, len(a), 65536):
-                part = slice(s, s + 65536)
-                good[part] &= ~(keys[a[part], :t] == keys[b[part], :t]).any(axis=1)
-            found_a.append(a[good])
-            found_b.append(b[good])
-        if not found_a:
-            return pd.DataFrame({"rep": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        n = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-        root = forest(len(ids), a, b)
-        met = np.flatnonzero(n > 0)
-        return pd.DataFrame({"rep": ids[met], "n": n[met].astype(np.int64), "root": ids[root[met]]})
-
-    met = checkpoint(dealt.groupBy("shard").applyInPandas(check, "rep long, n long, root long"))
+    met = checkpoint(dealt.groupBy("shard").applyInArrow(check, "rep long, n long, root long"))
     linked = met.groupBy("rep").agg(F.sum("n").alias("n"))
     joined = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     per_class = checkpoint(classes.join(linked, "rep", "left").join(joined, classes["rep"] == joined["id"], "left").select("raw", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
