@@ -318,9 +318,10 @@ def test_op2_shards_grow_in_number_and_not_in_size(spark, monkeypatch):
     grouped, group = [], type(df).groupBy
     monkeypatch.setattr(type(df), "groupBy", lambda self, *by: (grouped.append(self) if by == ("shard",) else None) or group(self, *by))
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df, block=16).collect()}
-    sizes = [r["count"] for r in group(grouped[0], "shard").count().collect()]
+    whole = next(x for x in grouped if "raw" in x.columns)
+    sizes = [r["count"] for x in grouped for r in group(x, "shard").count().collect()]
     assert sum(sizes) > 30_000 and max(sizes) < 512  # 16 shards otherwise
-    assert len({len(r.raw) for r in grouped[0].select("raw").collect()}) == 2
+    assert len({len(r.raw) for r in whole.select("raw").collect()}) == 2
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, 0)
@@ -328,6 +329,26 @@ def test_op2_shards_grow_in_number_and_not_in_size(spark, monkeypatch):
     assert got == {i: (int((s[i] >= 0.9).sum()), int(root[i])) for i in range(700)}
 
 
+def test_op2_bounds_of_sketches_hold_and_tell_far_from_near():
+    rng = np.random.default_rng(8)
+    for dims in (1, 3, 64):
+        v = np.r_[rng.standard_normal((40, dims)), rng.standard_normal((40, dims)) * np.logspace(0, -6, dims), np.eye(dims)[:1], -np.eye(dims)[:1]]
+        v = np.r_[v, v + 0.2 * rng.standard_normal(v.shape) * np.abs(v).max(axis=1, keepdims=True)]
+        unit = embedding_dedup._unit([x.tobytes() + b"\0" for x in v])
+        raw = embedding_dedup._sketches(unit)
+        assert raw.shape == (len(v), dims + 8)
+        of = np.ascontiguousarray(raw[:, :8]).view(np.float32).astype(np.float64)
+        about = raw[:, 8:].view(np.int8) * of[:, :1]
+        bound, exact = about @ about.T + of[:, 1] + of[:, 1, None], unit @ unit.T
+        assert (bound >= exact - 1e-7).all() and (bound - exact).max() < 0.1
+        at = np.arange(len(v))
+        shard = pa.table({"bucket": at // 41, "tab": np.zeros(len(v), np.int32), "low": np.zeros(len(v), np.int32), "high": np.zeros(len(v), np.int32), "own": np.zeros(len(v), np.int32), "no": at, "sketch": pa.array([x.tobytes() for x in raw], pa.binary())})
+        near = (exact >= 0.9) & (at[:, None] // 41 == at // 41) & (at[:, None] != at)
+        far = ((exact < 0.8) | (at[:, None] // 41 != at // 41) | (at[:, None] == at)).all(axis=1)
+        got = np.isin(at, embedding_dedup.promising(shard, 0.9).column("no").to_numpy())
+        assert got[near.any(axis=1)].all() and not got[far].any()
+
+
 def test_op2_a_shard_of_near_copies_needs_little_memory():
     rng, k, tables = np.random.default_rng(6), 8, 32
     v = (np.ones(64) + 0.05 * rng.standard_normal((1024, 64))).astype(np.float32)

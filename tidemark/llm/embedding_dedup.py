@@ -17,6 +17,8 @@ A vector goes to a bucket in each table, and tables become more as vectors do. S
 numbers of shards, of their partitions and of the tasks that make keys follow the number
 of these entries, not the shuffle partitions alone: a shard holds about ``SHARD`` entries,
 a block is checked by itself, and keys are computed again only for vectors with a near one.
+An entry carries its vector in a byte a number, with a bound of what that loses. Only
+entries that can have a near one in their block by these bounds get the whole vector.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths never link; rows with
@@ -104,9 +106,62 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _sketches(unit: np.ndarray) -> np.ndarray:
+    """A row of bytes each: a step and a slack as 4-byte floats, then the numbers in steps.
+
+    Two vectors' product is at most that of their sketches and both slacks: with errors e of length |e|, it is that
+    product and at most |e| + |f| + 3 |e| |f|, and 2 |e| |f| <= |e|^2 + |f|^2.
+    """
+    step = (np.abs(unit).max(axis=1, keepdims=True) / 127).astype(np.float32)
+    steps = np.rint(unit / step).clip(-127, 127)
+    e = np.sqrt(((unit - steps * step) ** 2).sum(axis=1, keepdims=True))
+    slack = (e + 1.5 * e * e).astype(np.float32)
+    return np.hstack([step.view(np.uint8), slack.view(np.uint8), steps.astype(np.int8).view(np.uint8)])
+
+
+def _blocks(shard: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of the two sides of each block of a bucket, or pair of blocks; the same array twice for a single block."""
+    bucket, low, high, own = (shard.column(c).to_numpy() for c in ("bucket", "low", "high", "own"))
+    order = np.lexsort((high, low, bucket))
+    bucket, low, high = bucket[order], low[order], high[order]
+    begins = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    ends = np.r_[begins[1:], len(order)]
+    several = ends - begins > 1
+    for begin, end in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
+        here = order[begin:end]
+        if low[begin] == high[begin]:
+            yield here, here
+        else:
+            yield here[own[here] == low[begin]], here[own[here] == high[begin]]
+
+
+def promising(shard: pa.Table, threshold: float) -> pa.Table:
+    """The entries of a shard that can have a near vector in their block."""
+    no, first, row = np.unique(shard.column("no").to_numpy(), return_index=True, return_inverse=True)
+    sketch = shard.column("sketch").take(pa.array(first)).to_pylist()
+    sizes = np.array([len(x) for x in sketch])
+    vectors, slack = np.zeros((len(no), sizes.max() - 8), np.float32), np.zeros(len(no), np.float32)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        raw = np.frombuffer(b"".join([sketch[i] for i in at]), np.uint8).reshape(len(at), size)
+        of = np.ascontiguousarray(raw[:, :8]).view(np.float32)
+        vectors[at, : size - 8] = raw[:, 8:].view(np.int8) * of[:, :1]
+        slack[at] = of[:, 1]
+    least = threshold - 1e-6 - 2e-7 * vectors.shape[1]  # for the rounding of 4-byte sums
+    keep = np.zeros(len(row), bool)
+    for x, y in _blocks(shard):
+        a, b = row[x], row[y]
+        near = vectors[a] @ vectors[b].T + slack[a][:, None] + slack[b] >= least
+        if x is y:
+            np.fill_diagonal(near, False)
+        keep[x] |= near.any(axis=1)
+        keep[y] |= near.any(axis=0)
+    return shard.select(["bucket", "tab", "low", "high", "own", "no"]).filter(pa.array(keep))
+
+
 def checked(shard: pa.Table, k: int, tables: int, threshold: float, seed: int) -> pa.Table:
     """(rep, n, root): how many near vectors the vectors of a shard's buckets have, and the links of a spanning forest."""
-    bucket, tab, low, high, own, rep, copies = (shard.column(c).to_numpy() for c in ("bucket", "tab", "low", "high", "own", "rep", "copies"))
+    tab, rep, copies = (shard.column(c).to_numpy() for c in ("tab", "rep", "copies"))
     ids, first, row = np.unique(rep, return_index=True, return_inverse=True)
     copies, raw = copies[first], shard.column("raw").take(pa.array(first)).to_pylist()
     sizes = np.array([len(x) for x in raw])
@@ -117,22 +172,13 @@ def checked(shard: pa.Table, k: int, tables: int, threshold: float, seed: int) -
         unit[at, : dims[at[0]]] = _unit([raw[i] for i in at])
     del raw
     n, found = np.zeros(len(ids), np.int64), []
-    order = np.lexsort((high, low, bucket))
-    group = np.stack([bucket[order], low[order], high[order]], axis=1)
-    begins = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
-    for begin, end in zip(begins, np.r_[begins[1:], len(order)], strict=True):
-        if end - begin < 2:
-            continue
-        here = order[begin:end]
-        if group[begin, 1] == group[begin, 2]:
-            x = y = row[here]
-        else:
-            x, y = row[here[own[here] == group[begin, 1]]], row[here[own[here] == group[begin, 2]]]
+    for of_x, of_y in _blocks(shard):
+        x, y = row[of_x], row[of_y]
         close = unit[x] @ unit[y].T >= threshold - 1e-9
-        i, j = np.nonzero(np.triu(close, 1) if x is y else close)
+        i, j = np.nonzero(np.triu(close, 1) if of_x is of_y else close)
         if not len(i):
             continue
-        a, b, t = x[i], y[j], tab[here[0]]
+        a, b, t = x[i], y[j], tab[of_x[0]]
         good = dims[a] == dims[b]
         # by the cosine itself, and only in the first table where the pair meets
         nodes, at = np.unique(np.r_[a, b], return_inverse=True)
@@ -170,7 +216,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     classes = checkpoint(rows.where("raw is not null").groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     n, partitions = classes.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k, tables = tables_for(n, threshold, recall)
-    spread = checkpoint(classes.repartition(max(partitions, -(-n * tables // TASK))))
+    spread = checkpoint(classes.repartition(max(partitions, -(-n * tables // TASK))).withColumn("no", F.monotonically_increasing_id()))
 
     def signatures(batches: Iterator[pa.RecordBatch], buckets_only: bool = False) -> Iterator[pa.RecordBatch]:
         step = max(1, BATCH // tables)
@@ -180,13 +226,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
                 raw, sizes = b.column(0).to_pylist(), pc.binary_length(b.column(0)).to_numpy()
                 for size in np.unique(sizes):
                     rows_here = np.flatnonzero(sizes == size)
-                    key = _keys(_unit([raw[i] for i in rows_here]), k, tables, seed)
+                    unit = _unit([raw[i] for i in rows_here])
+                    key = _keys(unit, k, tables, seed)
                     if buckets_only:
                         bucket, times = np.unique(key, return_counts=True)
                         yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "times": pa.array(times)})
                         continue
-                    got = b.take(pa.array(np.repeat(rows_here, tables)))
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.ravel()), "tab": pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows_here))), "rep": got.column(1), "copies": got.column(2), "raw": got.column(0)})
+                    which = np.repeat(np.arange(len(rows_here), dtype=np.int32), tables)
+                    no = b.column(3).take(pa.array(rows_here[which]))
+                    sketch = pa.array([x.tobytes() for x in _sketches(unit)], pa.binary()).take(pa.array(which))
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.ravel()), "tab": pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows_here))), "no": no, "sketch": sketch})
 
     in_parts = lambda entries: max(partitions, -(-entries // (SHARD * TOGETHER)))
     # Only buckets that hold more than a block need to be known by name.
@@ -194,18 +243,25 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     large = checkpoint(times.groupBy("bucket").agg(F.sum("times").alias("size")).where(F.col("size") > block).select("bucket", "size", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
     named, more = large.agg(F.count("*"), F.coalesce(F.sum(F.col("size") * (F.col("blocks") - 1)), F.lit(0))).first()
     known = F.broadcast(large.drop("size")) if named <= 100_000 else large.drop("size")  # 12 bytes each
-    dealt = spread.mapInArrow(signatures, "bucket long, tab int, rep long, copies long, raw binary").join(known, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("rep", "tab"), F.col("blocks")).cast("int")
+    dealt = spread.mapInArrow(signatures, "bucket long, tab int, no long, sketch binary").join(known, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("no", "tab"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    shards = max(4 * partitions, -(-(n * tables + more) // SHARD))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(shards)).cast("int")).select("shard", "bucket", "tab", "low", "high", "own", "rep", "copies", "raw")
-    dealt = dealt.repartition(in_parts(n * tables + more), "shard")
+
+    def in_shards(dealt: DataFrame, entries: int) -> DataFrame:
+        shards = max(4 * partitions, -(-entries // SHARD))
+        return dealt.withColumn("shard", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(shards)).cast("int")).repartition(in_parts(entries), "shard").groupBy("shard")
+
+    def can(shard: pa.Table) -> pa.Table:
+        return promising(shard, threshold)
 
     def check(shard: pa.Table) -> pa.Table:
         return checked(shard, k, tables, threshold, seed)
 
-    met = checkpoint(dealt.groupBy("shard").applyInArrow(check, "rep long, n long, root long"))
+    dealt = dealt.select("bucket", "tab", "low", "high", "own", "no", "sketch")
+    left = checkpoint(in_shards(dealt, n * tables + more).applyInArrow(can, "bucket long, tab int, low int, high int, own int, no long"))
+    whole = left.join(spread.select("no", "rep", "copies", "raw"), "no").drop("no")
+    met = checkpoint(in_shards(whole, left.count()).applyInArrow(check, "rep long, n long, root long"))
     linked = met.groupBy("rep").agg(F.sum("n").alias("n"))
     joined = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     per_class = checkpoint(classes.join(linked, "rep", "left").join(joined, classes["rep"] == joined["id"], "left").select("raw", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
